@@ -20,8 +20,11 @@ CHUNK = "chunk_no"
 def join_on_groups(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps ``left``'s columns and adds the rest of ``right``.
 
-    The right keys are renamed first, so both sides may stem from one table.
+    The right keys are renamed first, so both sides may stem from one table. Without keys,
+    ``right`` is a global aggregate, that is exactly one row, and is attached to every row.
     """
+    if not names:
+        return left.join(F.broadcast(right))
     keys = {n: f"right_{n}" for n in names}
     extra = [c for c in right.columns if c not in names]
     renamed = right.select(*[F.col(n).alias(k) for n, k in keys.items()], *extra)
@@ -40,12 +43,15 @@ def chunked(df: DataFrame, groups: list[str], order: list[str], measures: list[s
     return ranged.select("*", *[F.sum(m).over(upto).alias(f"run_{m}") for m in measures])
 
 
-def running_totals(df: DataFrame, groups: list[str], order: list[str], measures: list[str]) -> DataFrame:
+def running_totals(
+    df: DataFrame, groups: list[str], order: list[str], measures: list[str], few_groups: bool = False
+) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum) and ``all_<m>`` (group sum) per measure.
 
     ``df`` must have one row per (group, order) and non-negative measures. The chunked rows
     are written once: chunk numbers depend on sampled range bounds, so both readers (the
-    chunk sums and the rows) have to see the same ones.
+    chunk sums and the rows) have to see the same ones. ``few_groups`` says that the schema
+    bounds the number of groups.
     """
     rows = cut_lineage(chunked(df, groups, order, measures))
     sums = rows.groupBy(CHUNK, *groups).agg(*[F.max(f"run_{m}").alias(f"sum_{m}") for m in measures])
@@ -58,7 +64,8 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], measures:
         *[F.coalesce(F.sum(f"sum_{m}").over(before), F.lit(0)).alias(f"before_{m}") for m in measures],
         *[F.sum(f"sum_{m}").over(group).alias(f"all_{m}") for m in measures],
     )
-    joined = join_on_groups(rows, as_small_side(offsets), [CHUNK, *groups])
+    offsets = as_small_side(cut_lineage(offsets) if few_groups else offsets, few_groups)
+    joined = join_on_groups(rows, offsets, [CHUNK, *groups])
     return joined.select(
         *df.columns,
         *[(F.col(f"before_{m}") + F.col(f"run_{m}")).alias(f"cum_{m}") for m in measures],

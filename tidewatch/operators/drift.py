@@ -35,7 +35,7 @@ class DriftThresholds:
 
 def value_totals(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
     """The frequency table with running and group totals of both sides."""
-    return running_totals(freq, [*keys, "feature", "kind"], ["num", "txt"], ["ref_n", "cur_n"])
+    return running_totals(freq, [*keys, "feature", "kind"], ["num", "txt"], ["ref_n", "cur_n"], not keys)
 
 
 def _numeric(totals: DataFrame) -> DataFrame:
@@ -62,32 +62,29 @@ def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_
     A quantile lies between the values at two ranks; a row of the running totals covers the
     ranks from ``cum - n`` to ``cum - 1``, so one aggregation finds all of them.
     """
-    first, last = F.col("cum_ref_n") - F.col("ref_n"), F.col("cum_ref_n") - 1
     levels = [j * (1.0 / bins) for j in range(bins)] + [1.0]
+    positions = [f"(all_ref_n - 1) * {level!r}D" for level in levels]
 
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("num")))
+    def value_at(rank: str) -> str:
+        return f"max(CASE WHEN cum_ref_n - ref_n <= {rank} AND {rank} < cum_ref_n THEN num END)"
 
-    positions = [(F.col("all_ref_n") - 1) * F.lit(q) for q in levels]
     ranked = (
         _numeric(totals)
         .where("ref_n > 0")
         .groupBy(*keys, "feature")
         .agg(
             F.max("all_ref_n").alias("all_ref_n"),
-            F.array(*[value_at(F.floor(p)) for p in positions]).alias("below"),
-            F.array(*[value_at(F.ceil(p)) for p in positions]).alias("above"),
+            F.expr(f"array({', '.join(value_at(f'floor({p})') for p in positions)})").alias("below"),
+            F.expr(f"array({', '.join(value_at(f'ceil({p})') for p in positions)})").alias("above"),
         )
     )
-
-    def interpolate(j: int, position: Column) -> Column:
-        low, high = F.col("below")[j], F.col("above")[j]
-        share = position - F.floor(position)
-        step = high - low
-        return F.when(step == 0, low).when(share < 0.5, low + step * share).otherwise(high - step * (1 - share))
-
-    edges = F.array_distinct(F.array(*[interpolate(j, p) for j, p in enumerate(positions)]))
-    return ranked.select(*keys, "feature", edges.alias("edges"))
+    interpolated = f"""
+        transform(array({', '.join(positions)}), (p, j) ->
+          CASE WHEN above[j] = below[j] THEN below[j]
+               WHEN p - floor(p) < 0.5D THEN below[j] + (above[j] - below[j]) * (p - floor(p))
+               ELSE above[j] - (above[j] - below[j]) * (1D - (p - floor(p))) END)
+    """
+    return ranked.select(*keys, "feature", F.expr(f"array_distinct({interpolated})").alias("edges"))
 
 
 def bin_number(value: Column, edges: Column) -> Column:
@@ -115,24 +112,29 @@ def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = ()) -> Data
     )
 
 
+def _psi_of(bins: Column, ref_all: Column, cur_all: Column) -> Column:
+    """PSI of an array of (bin, ref_n, cur_n); NULL when a side has nothing in any bin."""
+
+    def share(count: Column, whole: Column) -> Column:
+        return F.greatest(count / whole, F.lit(SHARE_FLOOR))
+
+    def add(total: Column, b: Column) -> Column:
+        ref, cur = share(b["ref_n"], ref_all), share(b["cur_n"], cur_all)
+        return total + (cur - ref) * F.log(cur / ref)
+
+    return F.when((ref_all > 0) & (cur_all > 0), F.aggregate(F.sort_array(bins), F.lit(0.0), add))
+
+
 def psi(bins: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Population stability index per feature; NULL when no current value falls into a bin."""
     gathered = bins.groupBy(*keys, "feature").agg(
         F.sum("ref_n").alias("ref_all"),
         F.sum("cur_n").alias("cur_all"),
-        F.sort_array(F.collect_list(F.struct("bin", "ref_n", "cur_n"))).alias("bins"),
+        F.collect_list(F.struct("bin", "ref_n", "cur_n")).alias("bins"),
+    )
+    return gathered.select(
+        *keys, "feature", _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all")).alias("psi")
     )
-
-    def share(count: Column, whole: str) -> Column:
-        return F.greatest(count / F.col(whole), F.lit(SHARE_FLOOR))
-
-    def add(total: Column, b: Column) -> Column:
-        ref, cur = share(b["ref_n"], "ref_all"), share(b["cur_n"], "cur_all")
-        return total + (cur - ref) * F.log(cur / ref)
-
-    index = F.aggregate("bins", F.lit(0.0), add)
-    both = (F.col("ref_all") > 0) & (F.col("cur_all") > 0)
-    return gathered.select(*keys, "feature", F.when(both, index).alias("psi"))
 
 
 def category_differences(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -185,22 +187,41 @@ def drift_from_frequencies(
     keys = list(keys)
     totals = value_totals(freq, keys)
     per_feature = [*keys, "feature"]
-    edges = as_small_side(quantile_edges(totals, keys, bins))
-    index = psi(histogram(totals, edges, keys), keys)
-
-    ref, cur = F.col("cum_ref_n") / F.col("all_ref_n"), F.col("cum_cur_n") / F.col("all_cur_n")
+    edges = as_small_side(quantile_edges(totals, keys, bins), not keys)
+    numeric = F.col("kind") == NUMERIC
+    gap = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_cur_n") / F.col("all_cur_n"))
     difference = F.abs(F.col("ref_n") / F.col("all_ref_n") - F.col("cur_n") / F.col("all_cur_n"))
-    measured = totals.groupBy(*per_feature, "kind").agg(
-        F.max(F.when(F.col("kind") == NUMERIC, F.abs(ref - cur))).alias("ks_statistic"),
-        (F.sum(F.when(F.col("kind") == CATEGORICAL, difference)) * F.lit(0.5)).alias("tvd"),
-        F.max("all_ref_n").alias("ref_n"),
-        F.max("all_cur_n").alias("cur_n"),
+    # One pass over the values: everything is summed per bin, then the few bins per feature.
+    per_bin = (
+        join_on_groups(totals, edges, per_feature, "left")
+        .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number(F.col("num"), F.col("edges"))))
+        .groupBy(*per_feature, "kind", "bin")
+        .agg(
+            F.sum("ref_n").alias("ref_n"),
+            F.sum("cur_n").alias("cur_n"),
+            F.max(F.when(numeric, gap)).alias("gap"),
+            F.sum(F.when(~numeric, difference)).alias("difference"),
+            F.max("all_ref_n").alias("all_ref_n"),
+            F.max("all_cur_n").alias("all_cur_n"),
+        )
+    )
+    inside = F.col("bin").isNotNull()
+    measured = (
+        per_bin.groupBy(*per_feature, "kind")
+        .agg(
+            F.max("gap").alias("ks_statistic"),
+            (F.sum("difference") * F.lit(0.5)).alias("tvd"),
+            F.max("all_ref_n").alias("ref_n"),
+            F.max("all_cur_n").alias("cur_n"),
+            F.sum(F.when(inside, F.col("ref_n"))).alias("ref_all"),
+            F.sum(F.when(inside, F.col("cur_n"))).alias("cur_all"),
+            F.collect_list(F.when(inside, F.struct("bin", "ref_n", "cur_n"))).alias("bins"),
+        )
+        .withColumn("psi", F.when(numeric, _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all"))))
     )
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
-    numeric = F.col("kind") == NUMERIC
     # Explicitly spread: the few rows here carry the exact p-values, the only Python work.
-    tasks = freq.sparkSession.sparkContext.defaultParallelism
-    joined = join_on_groups(measured, index, per_feature, "left").repartition(tasks, *per_feature)
+    joined = measured.repartition(freq.sparkSession.sparkContext.defaultParallelism, *per_feature)
     p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"))
     scored = joined.withColumn("ks_p_value", p_value)
     severity = F.when(numeric, numeric_severity(F.col("psi"), F.col("ks_p_value"), limits)).otherwise(

@@ -53,11 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def as_small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a side that is expected to be small and broadcast it only if it is.
+def as_small_side(df: DataFrame, bounded: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side that is known or found to be small.
 
-    Above ``limit`` rows the join is left to the optimizer: a shuffle join whose hot
-    partitions adaptive execution splits.
+    ``bounded`` says that its row count is limited by the schema and the number of shuffle
+    partitions (no key columns), so it is broadcast as it is. Otherwise it is computed and
+    counted first; above ``limit`` rows the join is left to the optimizer, a shuffle join
+    whose hot partitions adaptive execution splits.
     """
+    if bounded:
+        return F.broadcast(df)
     computed = cut_lineage(df)
     return F.broadcast(computed) if computed.count() <= limit else computed
