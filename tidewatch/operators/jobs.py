@@ -27,6 +27,11 @@ def queue_checks(requests: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def start_events(requests: DataFrame, at: Column) -> DataFrame:
+    """``running`` events of queued jobs."""
+    return requests.select("job_id", "project_id", F.lit(JOB_TYPE).alias("job_type"), *job_event(RUNNING, at))
+
+
 def finish_events(results: DataFrame, at: Column) -> DataFrame:
     """``completed`` or ``failed`` events from the outcome rows of a bulk run."""
     done = F.col("error_message").isNull()
@@ -54,7 +59,8 @@ def job_states(events: DataFrame, order: list[str] = ("event_at",)) -> DataFrame
 
     A restart clears the error, as does completion, so the error is the latest event's.
     """
-    position = F.struct(*order)
+    stage = F.when(F.col("status") == QUEUED, 0).when(F.col("status") == RUNNING, 1).otherwise(2)
+    position = F.struct(*order, stage)
     ended = F.col("status").isin(COMPLETED, FAILED)
     return (
         events.groupBy("job_id")

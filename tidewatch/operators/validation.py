@@ -20,10 +20,11 @@ def parsed_timestamp(raw: Column) -> Column:
     return F.when(iso, F.try_to_timestamp(F.trim(raw)))
 
 
-def prediction_checks(df: DataFrame, keys: list[str]) -> DataFrame:
+def prediction_checks(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     """Rule-breaking rows per key and the first broken rule, NULL if none.
 
-    ``df`` holds the text columns predicted_label, confidence and timestamp.
+    ``df`` holds the text columns predicted_label, confidence and timestamp. ``extra``
+    aggregates are taken in the same pass.
     """
     confidence = to_number(F.col("confidence"))
     counted = df.groupBy(*keys).agg(
@@ -34,6 +35,7 @@ def prediction_checks(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("timestamp").isNotNull() & parsed_timestamp(F.col("timestamp")).isNull()).alias(
             "invalid_timestamps"
         ),
+        *extra,
     )
     return counted.withColumn(
         "error",

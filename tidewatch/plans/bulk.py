@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from tidewatch.operators.jobs import finish_events, queue_checks
+from tidewatch.operators.jobs import finish_events, queue_checks, start_events
 from tidewatch.plans.health_check import diagnosis_report_table, health_check_table, job_results, run_health_checks
 from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import Store
@@ -33,11 +33,8 @@ def run_and_store(store: Store, requests: DataFrame, at: Column) -> DataFrame:
     outcome = job_results(results)
     store.append("health_checks", health_check_table(results, at))
     store.append("diagnosis_reports", diagnosis_report_table(results, at))
-    events = queue_checks(requests.withColumnRenamed("check_id", "job_id"), at).unionByName(
-        finish_events(outcome, at).join(
-            requests.selectExpr("check_id AS job_id", "project_id"), "job_id", "left"
-        ),
-        allowMissingColumns=True,
-    )
-    store.append("job_events", events)
+    jobs = requests.withColumnRenamed("check_id", "job_id")
+    finished = finish_events(outcome, at).join(jobs.select("job_id", "project_id"), "job_id", "left")
+    events = queue_checks(jobs, at).unionByName(start_events(jobs, at), allowMissingColumns=True)
+    store.append("job_events", events.unionByName(finished, allowMissingColumns=True))
     return outcome

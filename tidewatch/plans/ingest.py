@@ -75,28 +75,26 @@ def ingest_predictions(
     manifest = cut_lineage(_manifest(spark, uploads, max_bytes))
     rows = read_rows(spark, manifest)
     cell = F.col("cells")
-    checked = prediction_checks(
+    shape = prediction_checks(
         rows.select(
             "path",
+            "malformed",
+            "cells",
             cell["predicted_label"].alias("predicted_label"),
             cell["confidence"].alias("confidence"),
             cell["timestamp"].alias("timestamp"),
         ),
         ["path"],
-    ).select("path", F.col("error").alias("row_error"))
-    shape = rows.groupBy("path").agg(
         F.bool_or("malformed").alias("malformed"),
         F.bool_and(F.map_contains_key("cells", "predicted_label")).alias("has_prediction"),
         F.bool_or(cell["true_label"].isNotNull()).alias("is_labeled"),
-        F.count(F.lit(1)).alias("row_count"),
-    )
+    ).withColumnRenamed("error", "row_error")
     identity = ["project_id", "model_version_id", "content_hash"]
     known = store.read("prediction_batches").select(*identity).distinct().withColumn("is_known", F.lit(True))
     state = (
         manifest.join(projects, "project_id", "left")
         .join(models, "model_version_id", "left")
         .join(shape, "path", "left")
-        .join(checked, "path", "left")
         .join(known, identity, "left")
     )
     missing_project = F.format_string("Project with ID %s was not found.", F.col("project_id").cast("string"))

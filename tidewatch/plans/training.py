@@ -15,7 +15,7 @@ from tidewatch.operators.cumulative import join_on_groups, running_totals
 from tidewatch.operators.metrics import classification_metrics
 from tidewatch.operators.profile import columns_by_kind
 from tidewatch.operators.ranking import roc_auc
-from tidewatch.session import as_small_side, cut_lineage
+from tidewatch.session import as_small_side
 
 # Split share, seed, forest size and depth.
 TEST_SHARE = 0.30
@@ -62,18 +62,35 @@ def class_allocation(df: DataFrame, target: str, test_share: float = TEST_SHARE)
 def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: in every class exactly the allocated number of rows, chosen by hash order.
 
-    Rows are ranked inside their class through running totals over (hash, copies), never by a
-    window over a whole class; equal rows share a rank and are told apart by a copy number.
+    Running totals over the hash values of a class give the last hash that fits as a whole
+    and, if equal rows straddle the limit, how many of them to take. Rows are then flagged by
+    comparing hashes; only rows equal to a straddling one are numbered.
     """
     columns = df.columns
-    numbered = cut_lineage(df.withColumn("row_no", F.monotonically_increasing_id()))
-    hashed = numbered.select("row_no", F.col(target).alias("label"), F.xxhash64(F.lit(seed), "row_no").alias("pick"))
-    ranked = running_totals(hashed.withColumn("one", F.lit(1).cast("long")), ["label"], ["pick", "row_no"], ["one"])
-    sizes = as_small_side(class_allocation(numbered, target, test_share))
-    flags = join_on_groups(ranked, sizes, ["label"]).select(
-        "row_no", (F.col("cum_one") <= F.col("test_n")).alias("is_test")
+    picked = df.withColumns({"label": F.col(target), "pick": F.xxhash64(F.lit(seed), *columns)})
+    counted = picked.groupBy("label", "pick").agg(F.count(F.lit(1)).alias("one"))
+    ranked = running_totals(counted, ["label"], ["pick"], ["one"])
+    sizes = as_small_side(class_allocation(df, target, test_share))
+    before, fits = F.col("cum_one") - F.col("one"), F.col("cum_one") <= F.col("test_n")
+    straddles = ~fits & (before < F.col("test_n"))
+    bounds = as_small_side(
+        join_on_groups(ranked, sizes, ["label"])
+        .groupBy("label")
+        .agg(
+            F.max(F.when(fits, F.col("pick"))).alias("last_pick"),
+            F.max(F.when(straddles, F.col("pick"))).alias("split_pick"),
+            F.max(F.when(straddles, F.col("test_n") - before)).alias("take"),
+        )
+    )
+    placed = join_on_groups(picked, bounds, ["label"])
+    on_split = F.col("pick").eqNullSafe(F.col("split_pick"))
+    whole = placed.where(~on_split).withColumn("is_test", F.coalesce(F.col("pick") <= F.col("last_pick"), F.lit(False)))
+    split = placed.where(on_split).withColumns(
+        {"row_no": F.monotonically_increasing_id(), "copy": F.lit(1).cast("long")}
     )
-    return numbered.join(flags, "row_no").select(*columns, "is_test")
+    numbered = running_totals(split, ["label"], ["row_no"], ["copy"])
+    taken = numbered.withColumn("is_test", F.col("cum_copy") <= F.col("take"))
+    return whole.select(*columns, "is_test").unionByName(taken.select(*columns, "is_test"))
 
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:

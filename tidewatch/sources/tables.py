@@ -117,8 +117,8 @@ class Store:
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Write rows of a partitioned table so that repeating the write changes nothing."""
         by = PARTITIONS[table]
-        # One folder per batch: its rows are sent to the tasks that write it, so a load with
-        # many batches does not leave every task writing to every folder.
-        shaped = self._shaped(table, rows).repartition(*by, "row_id").sortWithinPartitions(*by)
+        # Range partitions hold whole neighbouring batches, or a piece of one large batch, so
+        # a task writes to few folders and no batch has to fit into one task.
+        shaped = self._shaped(table, rows).repartitionByRange(*by, "row_id").sortWithinPartitions(*by, "row_id")
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by).parquet(self.path(table))
