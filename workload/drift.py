@@ -38,7 +38,7 @@ def p_value_sql(d: str, n: str, m: str) -> str:
     w = "(pi() * pi() * k * k::DOUBLE)"
 
     def total(term: str) -> str:
-        return f"list_sum(list_transform(range(-20, 21), k -> {term}))"
+        return f"list_sum(list_transform(range(-20, 21), lambda k: {term}))"
 
     eq, ew = f"exp(-{q} / (2 * {z2}))", f"exp(-{w} / (2 * {z2}))"
     root = "sqrt(pi() / 2)"
@@ -54,7 +54,7 @@ def p_value_sql(d: str, n: str, m: str) -> str:
     k3b = f"(-({w}**2) + 3 * {w} * {z2}) * {ew}"
     k3 = f"({root} / (6480 * {z}**10) * {total(k3a)} + {root} / (108 * {z2}**3) * {total(k3b)})"
     series = f"(1 - ({k0} + ({k1}) / sqrt({e}) + {k2} / {e} + {k3} / {e}**1.5::DOUBLE))"
-    tail = f"""(2 * {d} * list_sum(list_transform(range(0, floor({e} * (1 - {d}))::BIGINT + 1), j ->
+    tail = f"""(2 * {d} * list_sum(list_transform(range(0, floor({e} * (1 - {d}))::BIGINT + 1), lambda j:
         CASE WHEN 1 - {d} - j / {e} > 0 THEN
         exp(lgamma({e} + 1) - lgamma(j + 1) - lgamma({e} - j + 1) + (j - 1) * ln({d} + j / {e})
             + ({e} - j) * ln(1 - {d} - j / {e})) ELSE 0 END)))"""
@@ -90,7 +90,7 @@ def drift_ctes(keys: str = "", edges: bool = True) -> str:
     binned AS (
       SELECT {by}, ref_n, cur_n,
         CASE WHEN len(edges) = 1 THEN CASE WHEN abs(num - edges[1]) <= 0.5 THEN 1 END
-             ELSE least(greatest(len(list_filter(edges, x -> x <= num)), 1), len(edges) - 1) END AS bin
+             ELSE least(greatest(len(list_filter(edges, lambda x: x <= num)), 1), len(edges) - 1) END AS bin
       FROM numbers JOIN edges USING ({by})),
     hist AS (SELECT {by}, bin, sum(ref_n)::DOUBLE AS r, sum(cur_n)::DOUBLE AS c FROM binned
              WHERE bin IS NOT NULL GROUP BY {by}, bin),
