@@ -127,7 +127,7 @@ def cascade_delete(
     return left
 
 
-def length_violations(df: DataFrame, limits: dict[str, tuple[int, int]]) -> Column:
+def length_violations(limits: dict[str, tuple[int, int]]) -> Column:
     """First text column whose length lies outside its limits, NULL if all fit."""
     bad = [
         F.when(~F.length(c).between(low, high) | (F.col(c).isNull() & F.lit(low > 0)), c)

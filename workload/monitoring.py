@@ -176,8 +176,8 @@ def stored_tables(spark, sf_dir, columns, batches=2):
     "health_check_bulk",
     f"""WITH {BINARY_LOG}, batched AS (SELECT *, l_suppkey % 2 AS batch FROM binary_log),
     {check_ctes(columns(FEATURES), 'batch, ', 'batched')}
-    SELECT batch AS check_id, 'completed' AS job_status, health_score, status, risk_level, retraining_recommended,
-      round(f1, 9) AS f1, round(roc_auc, 9) AS roc_auc, drifted_features, NULL::VARCHAR AS error_message FROM report
+    SELECT batch AS check_id, 'completed' AS job_status, health_score, status, risk_level,
+      retraining_recommended::VARCHAR AS retraining_recommended, round(f1, 9) AS f1, round(roc_auc, 9) AS roc_auc, drifted_features, NULL::VARCHAR AS error_message FROM report
     UNION ALL
     SELECT DISTINCT l_suppkey % 2 + 2, 'failed', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
       CASE WHEN l_suppkey % 2 = 0 THEN 'The selected model version does not belong to the selected project.'
@@ -206,7 +206,8 @@ def health_check_bulk(spark, sf_dir):
     extra = results.select(
         "check_id", r9("f1"), r9("roc_auc"), F.array_join("drifted_features", ", ").alias("drifted_features")
     )
-    return outcome.join(extra, "check_id")
+    advice = F.col("retraining_recommended").cast("string")
+    return outcome.withColumn("retraining_recommended", advice).join(extra, "check_id")
 
 
 @query("component_scores", f"{SHIFTED_CHECK} SELECT batch, {COMPONENT_SQL} FROM report")
