@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,22 @@ def build_session(app_name: str = "tidewatch", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session; a temporary one only in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
-        shared = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
-    context.setCheckpointDir(shared)
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
+            shared = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, for tables and files of one run."""
+    return f"{_ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -35,14 +35,14 @@ def list_files(spark: SparkSession, paths: list[str], max_bytes: int = MAX_FILE_
     """
     files = spark.read.format("binaryFile").load(paths)
     fits = F.col("length") <= max_bytes
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.decode(F.col("content"), "UTF-8")
     name = F.element_at(F.split(plain_path(F.col("path")), "/"), -1)
     listed = files.select(
         plain_path(F.col("path")).alias("path"),
         name.alias("file_name"),
         F.col("length").alias("bytes"),
         F.when(fits, F.sha2("content", 256)).alias("content_hash"),
-        F.when(fits, F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), "[\r﻿]", "")).alias("header"),
+        F.when(fits, F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), r"[\r\uFEFF]", "")).alias("header"),
     )
     problem = (
         F.when(~F.lower("file_name").endswith(".csv"), ONLY_CSV)

@@ -1 +1,94 @@
-"""Queries."""
+"""Training, splitting, weighting and logging of a classifier."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators.cumulative import join_on_groups
+from tidewatch.plans import training
+from workload import query, r9, table
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+
+
+def _items(spark, sf_dir):
+    """lineitem with a target that depends on quantity and discount."""
+    risky = (F.col("l_quantity") > 30) & (F.col("l_discount") < 0.07) | (F.col("l_returnflag") == "R")
+    return table(spark, sf_dir, "lineitem").select(*FEATURES, F.when(risky, 1).otherwise(0).alias("target"))
+
+
+ITEMS = """
+items AS (
+  SELECT *, CASE WHEN (l_quantity > 30 AND l_discount < 0.07::DOUBLE) OR l_returnflag = 'R' THEN 1 ELSE 0 END AS target
+  FROM lineitem)
+"""
+
+ALLOCATION = """
+classes AS (SELECT label, count(*) AS n FROM source GROUP BY label),
+quotas AS (SELECT label, n, ceil(sum(n) OVER () * 0.3::DOUBLE)::BIGINT AS test_total,
+  n * ceil(sum(n) OVER () * 0.3::DOUBLE) / sum(n) OVER () AS quota FROM classes),
+placed AS (SELECT *, row_number() OVER (ORDER BY quota - floor(quota) DESC, label) AS place,
+  test_total - sum(floor(quota)) OVER () AS left_over FROM quotas)
+SELECT label, n, (floor(quota) + CASE WHEN place <= left_over THEN 1 ELSE 0 END)::BIGINT AS test_n,
+  (n - floor(quota) - CASE WHEN place <= left_over THEN 1 ELSE 0 END)::BIGINT AS train_n FROM placed
+"""
+
+
+def _split_sizes(split, target):
+    return split.groupBy(F.col(target).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_test").alias("test_n"),
+        F.count_if(~F.col("is_test")).alias("train_n"),
+    )
+
+
+@query("stratified_split", f"WITH {ITEMS}, source AS (SELECT target AS label FROM items), {ALLOCATION}")
+def stratified_split(spark, sf_dir):
+    return _split_sizes(training.stratified_split(_items(spark, sf_dir), "target"), "target")
+
+
+@query("stratified_split_many_copies", f"WITH source AS (SELECT event_type AS label FROM events), {ALLOCATION}")
+def stratified_split_many_copies(spark, sf_dir):
+    """Every class is one group of equal rows."""
+    return _split_sizes(training.stratified_split(table(spark, sf_dir, "events").select("event_type"), "event_type"), "event_type")
+
+
+@query(
+    "balanced_weights",
+    """SELECT l_returnflag AS label, count(*) AS n,
+      round(sum(count(*)) OVER ()::DOUBLE / (count(*) OVER () * count(*)), 9) AS weight
+    FROM lineitem GROUP BY l_returnflag""",
+)
+def balanced_weights(spark, sf_dir):
+    return training.balanced_weights(table(spark, sf_dir, "lineitem"), "l_returnflag").select("label", "n", r9("weight"))
+
+
+@query(
+    "training_table_check",
+    """SELECT 'l_linestatus' AS target, CASE WHEN count(DISTINCT l_linestatus) < 2
+      THEN 'The target column must contain at least two classes.' ELSE '' END AS error FROM lineitem
+    UNION ALL SELECT 'constant', 'The target column must contain at least two classes.'
+    UNION ALL SELECT 'absent', 'Target column ''absent'' was not found.'""",
+)
+def training_table_check(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("constant", F.lit("a"))
+    parts = [
+        training.training_table_errors(items, t).select(F.lit(t).alias("target"), F.coalesce("error", F.lit("")).alias("error"))
+        for t in ("l_linestatus", "constant", "absent")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("train_forest")
+def train_forest(spark, sf_dir):
+    """Split, train, predict and evaluate; a forest has no SQL form."""
+    split = training.stratified_split(_items(spark, sf_dir), "target")
+    model = training.train_forest(split.where(~F.col("is_test")).drop("is_test"), "target")
+    predictions = model.predict(split.where("is_test").drop("is_test"))
+    log = training.prediction_log(predictions, F.lit("2024-02-01").cast("timestamp"))
+    sizes = log.agg(
+        F.count(F.lit(1)).alias("logged"),
+        F.min("confidence").alias("lowest"),
+        F.max("confidence").alias("highest"),
+    )
+    return join_on_groups(training.evaluate(predictions), sizes, [])
