@@ -88,7 +88,7 @@ def number_text(number: Column) -> Column:
         F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)),
         F.lit("e"),
         F.when(negative, "-").otherwise("+"),
-        F.lpad(parts(java, pattern, 5), 2, "0"),
+        F.regexp_replace(parts(java, pattern, 5), r"^(\d)$", "0$1"),
     )
     size = F.abs(number)
     return (

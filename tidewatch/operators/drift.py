@@ -44,7 +44,7 @@ def _numeric(totals: DataFrame) -> DataFrame:
 
 def ks_statistic(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Largest gap between the two empirical distribution functions, per numeric feature."""
-    gap = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_cur_n") / F.col("all_cur_n"))
+    gap = F.abs(F.try_divide("cum_ref_n", "all_ref_n") - F.try_divide("cum_cur_n", "all_cur_n"))
     return (
         _numeric(totals)
         .groupBy(*keys, "feature")
@@ -139,8 +139,8 @@ def psi(bins: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def category_differences(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Share of every category on both sides and their absolute difference."""
-    ref = F.col("ref_n") / F.col("all_ref_n")
-    cur = F.col("cur_n") / F.col("all_cur_n")
+    ref = F.try_divide("ref_n", "all_ref_n")
+    cur = F.try_divide("cur_n", "all_cur_n")
     return totals.where(F.col("kind") == CATEGORICAL).select(
         *keys,
         "feature",
@@ -189,8 +189,8 @@ def drift_from_frequencies(
     per_feature = [*keys, "feature"]
     edges = as_small_side(quantile_edges(totals, keys, bins), not keys)
     numeric = F.col("kind") == NUMERIC
-    gap = F.abs(F.col("cum_ref_n") / F.col("all_ref_n") - F.col("cum_cur_n") / F.col("all_cur_n"))
-    difference = F.abs(F.col("ref_n") / F.col("all_ref_n") - F.col("cur_n") / F.col("all_cur_n"))
+    gap = F.abs(F.try_divide("cum_ref_n", "all_ref_n") - F.try_divide("cum_cur_n", "all_cur_n"))
+    difference = F.abs(F.try_divide("ref_n", "all_ref_n") - F.try_divide("cur_n", "all_cur_n"))
     # One pass over the values: everything is summed per bin, then the few bins per feature.
     per_bin = (
         join_on_groups(totals, edges, per_feature, "left")

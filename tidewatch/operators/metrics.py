@@ -148,7 +148,7 @@ def metric_bundle(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
         F.max("label").alias("last_label"),
         F.max_by(scores, F.col("label")).alias("at_last"),
         F.max(F.when(F.col("label") == F.col("given"), scores)).alias("at_given"),
-        *[(F.sum(F.col(c) * support) / F.sum(support)).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
+        *[F.try_divide(F.sum(F.col(c) * support), F.sum(support)).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
         F.min(F.when(support > 0, support)).alias("true_min"),
         F.max(support).alias("true_max"),
         F.count_if(support > 0).alias("true_labels"),

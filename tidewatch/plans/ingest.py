@@ -17,7 +17,16 @@ from tidewatch.operators.profile import class_counts, map_cells, profile_cells,
 from tidewatch.operators.validation import parsed_timestamp, prediction_checks
 from tidewatch.plans.health_check import RESERVED_COLUMNS
 from tidewatch.session import cut_lineage
-from tidewatch.sources.files import MAX_FILE_BYTES, NO_ROWS, UNREADABLE, list_files, plain_path, read_rows
+from tidewatch.sources.files import (
+    EMPTY_FILE,
+    MAX_FILE_BYTES,
+    NO_ROWS,
+    ONLY_CSV,
+    UNREADABLE,
+    list_files,
+    plain_path,
+    read_rows,
+)
 from tidewatch.sources.tables import DATASET_TYPES, Store
 
 # Messages of the load rules.
@@ -38,7 +47,11 @@ def _manifest(spark: SparkSession, uploads: DataFrame, max_bytes: int) -> DataFr
     """Uploads with the facts of their files. The paths are the load's file listing."""
     uploads = uploads.withColumn("path", plain_path(F.col("path")))
     paths = sorted({row["path"] for row in uploads.select("path").toLocalIterator()})
-    return uploads.join(list_files(spark, paths, max_bytes), "path")
+    listed = uploads.join(list_files(spark, paths, max_bytes), "path", "left")
+    # A file without content is not listed.
+    name = F.coalesce("file_name", F.element_at(F.split("path", "/"), -1))
+    unlisted = F.when(F.col("bytes").isNull(), F.when(F.lower(name).endswith(".csv"), EMPTY_FILE).otherwise(ONLY_CSV))
+    return listed.withColumns({"file_name": name, "file_error": F.coalesce("file_error", unlisted)})
 
 
 def prediction_rows(rows: DataFrame, features: Column | None = None) -> DataFrame:

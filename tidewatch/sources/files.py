@@ -73,7 +73,7 @@ def read_rows(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     groups = (
         manifest.where("file_error IS NULL")
         .groupBy("header")
-        .agg(F.collect_list("path").alias("paths"))
+        .agg(F.collect_set("path").alias("paths"))
         .toLocalIterator()
     )
     parts = [_read_group(spark, header_names(g["header"] or ""), g["paths"]) for g in groups]

@@ -15,7 +15,10 @@ from tidewatch.streaming.prediction_stream import stream_predictions
 from workload import query, r9, table
 from workload.proxies import EVENT_SPLIT, before
 
-STAMP = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def stamp():
+    """The load time of every run."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
 
 # --- row checks ---------------------------------------------------------------------------
 
@@ -75,14 +78,14 @@ def validate_confidence(spark, sf_dir):
 @query(
     "validate_timestamps",
     f"""WITH {EVENT_TEXTS} SELECT event_type,
-    count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMESTAMP) IS NULL) AS invalid_timestamps,
+    count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMEstamp()) IS NULL) AS invalid_timestamps,
     CASE WHEN count(*) FILTER (predicted_label IS NULL) > 0
         THEN 'The ''predicted_label'' column cannot contain missing values.'
       WHEN count(*) FILTER (confidence IS NOT NULL AND try_cast(confidence AS DOUBLE) IS NULL) > 0
         THEN 'Confidence values must be numeric.'
       WHEN count(*) FILTER (try_cast(confidence AS DOUBLE) NOT BETWEEN 0 AND 1) > 0
         THEN 'Confidence values must be between 0 and 1.'
-      WHEN count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMESTAMP) IS NULL) > 0
+      WHEN count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMEstamp()) IS NULL) > 0
         THEN 'One or more timestamp values are invalid.' END AS error
     FROM texts GROUP BY ALL""",
 )
@@ -224,15 +227,15 @@ def _routed(paths):
 @query(
     "ingest_predictions",
     f"""SELECT event_type, count(*) AS row_count, true AS is_labeled, 'processed' AS status, true AS refused_again
-    FROM events WHERE ts >= TIMESTAMP '{EVENT_SPLIT}' GROUP BY event_type""",
+    FROM events WHERE ts >= TIMEstamp() '{EVENT_SPLIT}' GROUP BY event_type""",
 )
 def load_predictions(spark, sf_dir):
     """Logs per event type are loaded, then offered again and refused."""
     store, folder = _registry_store(spark, sf_dir), shared_folder(spark, "logs")
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
     uploads = _routed(_listed_paths(spark, folder))
-    ingest_predictions(store, uploads, STAMP)
-    again = ingest_predictions(store, uploads, STAMP)
+    ingest_predictions(store, uploads, stamp())
+    again = ingest_predictions(store, uploads, stamp())
     kind = F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type")
     stored = store.read("predictions").join(
         store.read("prediction_batches").select(F.col("id").alias("batch_id"), "content_hash", "is_labeled", "status"),
@@ -252,7 +255,7 @@ def load_predictions(spark, sf_dir):
     f"""SELECT event_type, count(*) AS row_count, 3 AS column_count,
       sha256('amount:float64|k:int64|outcome:int64') AS schema_hash,
       count(*) FILTER (event_id % 2 = 1) AS class_1, round(sum(value), 4) AS amount_total
-    FROM events WHERE ts < TIMESTAMP '{EVENT_SPLIT}' GROUP BY event_type""",
+    FROM events WHERE ts < TIMEstamp() '{EVENT_SPLIT}' GROUP BY event_type""",
 )
 def load_datasets(spark, sf_dir):
     """Training tables per event type, with profiles; the file name is the version."""
@@ -265,7 +268,7 @@ def load_datasets(spark, sf_dir):
         F.lit("training").alias("dataset_type"),
         F.concat_ws("-", kind, F.element_at(F.split("path", "/"), -1)).alias("version"),
     )
-    ingest_datasets(store, uploads, STAMP)
+    ingest_datasets(store, uploads, stamp())
     amount = F.col("numeric_summary")["amount"]
     classes = store.read("dataset_classes").where("class = '1'").select("dataset_id", F.col("n").alias("class_1"))
     return (
@@ -300,7 +303,7 @@ def parquet_sink(spark, sf_dir):
         F.lit(None).cast("timestamp").alias("prediction_timestamp"),
         F.lit(None).cast("string").alias("true_label"),
         F.lit(None).cast("double").alias("confidence"),
-        STAMP.alias("created_at"),
+        stamp().alias("created_at"),
     )
     store.replace_partitions("predictions", rows)
     store.replace_partitions("predictions", rows)
@@ -349,11 +352,11 @@ def stream_equals_batch(spark, sf_dir):
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
     streamed = _store_with_baselines(spark, sf_dir)
     stream = stream_predictions(
-        streamed, f"{folder}/*", shared_folder(spark, "progress"), _routed, _requests, lambda: STAMP, files_per_batch=2
+        streamed, f"{folder}/*", shared_folder(spark, "progress"), _routed, _requests, stamp, files_per_batch=2
     )
     stream.awaitTermination()
     batch = _store_with_baselines(spark, sf_dir)
-    load = ingest_predictions(batch, _routed(_listed_paths(spark, folder)), STAMP)
+    load = ingest_predictions(batch, _routed(_listed_paths(spark, folder)), stamp())
     outcome = job_results(run_stored(batch, _requests(load.accepted)))
     shown = ["health_score", "status", "risk_level", "retraining_recommended"]
     from_stream = streamed.read("health_checks").join(
@@ -375,9 +378,9 @@ def bulk_check_jobs(spark, sf_dir):
 
     store, folder = _store_with_baselines(spark, sf_dir), shared_folder(spark, "logs")
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
-    load = ingest_predictions(store, _routed(_listed_paths(spark, folder)), STAMP)
+    load = ingest_predictions(store, _routed(_listed_paths(spark, folder)), stamp())
     requests = _requests(load.accepted)
     broken = requests.select((F.col("check_id") + 1).alias("check_id"), *requests.columns[1:4], F.lit(-1).alias("prediction_batch_id"))
-    run_and_store(store, requests.unionByName(broken), STAMP)
+    run_and_store(store, requests.unionByName(broken), stamp())
     states = job_states(store.read("job_events"))
     return states.groupBy("status", "error_message").agg(F.count(F.lit(1)).alias("jobs"))
