@@ -35,11 +35,11 @@ class DriftThresholds:
 
 def value_totals(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
     """The frequency table with running and group totals of both sides."""
-    return running_totals(freq, [*keys, "feature", "kind"], ["num", "txt"], ["ref_n", "cur_n"], not keys)
+    return running_totals(freq, [*keys, "feature"], ["num", "txt"], ["ref_n", "cur_n"], not keys)
 
 
 def _numeric(totals: DataFrame) -> DataFrame:
-    return totals.where(F.col("kind") == NUMERIC)
+    return totals.where("txt IS NULL")
 
 
 def ks_statistic(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -141,7 +141,7 @@ def category_differences(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Share of every category on both sides and their absolute difference."""
     ref = F.try_divide("ref_n", "all_ref_n")
     cur = F.try_divide("cur_n", "all_cur_n")
-    return totals.where(F.col("kind") == CATEGORICAL).select(
+    return totals.where("txt IS NOT NULL").select(
         *keys,
         "feature",
         F.col("txt").alias("category"),
@@ -183,20 +183,25 @@ def drift_from_frequencies(
     bins: int = DEFAULT_BINS,
     strict: bool = False,
 ) -> DataFrame:
-    """One row per (keys, feature): type, measures, severity, or the reason it has none."""
+    """One row per (keys, feature): type, measures, severity, or the reason it has none.
+
+    ``missing_n`` is the number of missing current cells, found in the same pass.
+    """
     keys = list(keys)
     totals = value_totals(freq, keys)
     per_feature = [*keys, "feature"]
     edges = as_small_side(quantile_edges(totals, keys, bins), not keys)
-    numeric = F.col("kind") == NUMERIC
+    numeric = F.col("txt").isNull()
     gap = F.abs(F.try_divide("cum_ref_n", "all_ref_n") - F.try_divide("cum_cur_n", "all_cur_n"))
     difference = F.abs(F.try_divide("ref_n", "all_ref_n") - F.try_divide("cur_n", "all_cur_n"))
     # One pass over the values: everything is summed per bin, then the few bins per feature.
     per_bin = (
         join_on_groups(totals, edges, per_feature, "left")
         .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number(F.col("num"), F.col("edges"))))
-        .groupBy(*per_feature, "kind", "bin")
+        .groupBy(*per_feature, "bin")
         .agg(
+            F.bool_and(numeric).alias("numeric"),
+            F.sum("gap_n").alias("gap_n"),
             F.sum("ref_n").alias("ref_n"),
             F.sum("cur_n").alias("cur_n"),
             F.max(F.when(numeric, gap)).alias("gap"),
@@ -207,8 +212,10 @@ def drift_from_frequencies(
     )
     inside = F.col("bin").isNotNull()
     measured = (
-        per_bin.groupBy(*per_feature, "kind")
+        per_bin.groupBy(*per_feature)
         .agg(
+            F.bool_and("numeric").alias("numeric"),
+            F.sum("gap_n").alias("missing_n"),
             F.max("gap").alias("ks_statistic"),
             (F.sum("difference") * F.lit(0.5)).alias("tvd"),
             F.max("all_ref_n").alias("ref_n"),
@@ -217,8 +224,9 @@ def drift_from_frequencies(
             F.sum(F.when(inside, F.col("cur_n"))).alias("cur_all"),
             F.collect_list(F.when(inside, F.struct("bin", "ref_n", "cur_n"))).alias("bins"),
         )
-        .withColumn("psi", F.when(numeric, _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all"))))
+        .withColumn("psi", F.when(F.col("numeric"), _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all"))))
     )
+    numeric = F.col("numeric")
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
     # Explicitly spread: the few rows here carry the exact p-values, the only Python work.
     joined = measured.repartition(freq.sparkSession.sparkContext.defaultParallelism, *per_feature)
@@ -237,10 +245,11 @@ def drift_from_frequencies(
         severity = F.when(empty, F.raise_error(message)).otherwise(severity)
     return scored.select(
         *per_feature,
-        F.col("kind").alias("feature_type"),
+        F.when(numeric, NUMERIC).otherwise(CATEGORICAL).alias("feature_type"),
         *[F.when(~empty, F.col(c)).alias(c) for c in ("psi", "ks_statistic", "ks_p_value", "tvd")],
         F.when(~empty, severity).alias("severity") if not strict else severity.alias("severity"),
         message.alias("error"),
+        "missing_n",
     )
 
 
@@ -266,6 +275,7 @@ def drift_summary(drift: DataFrame, keys: list[str] = ()) -> DataFrame:
             F.count_if(drifted).alias("drifted_feature_count"),
             F.array_sort(F.collect_list(F.when(drifted, F.col("feature")))).alias("drifted_features"),
             F.min("error").alias("drift_error"),
+            F.sum("missing_n").alias("missing_n"),
         )
         .withColumn(
             "drift_rate",

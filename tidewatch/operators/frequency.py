@@ -1,10 +1,10 @@
 """Long observations and the frequency table all drift measures are derived from.
 
-An observation is one feature value of one row: ``(keys, feature, kind, num, txt)``. Numeric
-features fill ``num``; categorical ones fill ``txt``, with ``MISSING`` for a missing value.
-The frequency table counts each distinct value on the reference and the current side. Partial
-aggregation collapses repeated values before the shuffle, so a value held by a third of the
-rows costs one row per map task.
+An observation is one feature value of one row: ``(keys, feature, num, txt, gap)``. Numeric
+features fill ``num`` and leave ``txt`` NULL; categorical ones fill ``txt``, with ``MISSING``
+for a missing value, which ``gap`` marks. The frequency table counts each distinct value on
+the reference and the current side. Partial aggregation collapses repeated values before the
+shuffle, so a value held by a third of the rows costs one row per map task.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _category_text(name: str, data_type: T.DataType) -> Column:
     return value.cast("string")
 
 
-def observations(df: DataFrame, kinds: dict[str, str], keys: list[str] = (), extra: list[str] = ()) -> DataFrame:
+def observations(df: DataFrame, kinds: dict[str, str], keys: list[str] = ()) -> DataFrame:
     """Unpivot the features of a typed table; one scan, no shuffle."""
     cells: list[Column] = []
     for name, kind in kinds.items():
@@ -54,22 +54,23 @@ def observations(df: DataFrame, kinds: dict[str, str], keys: list[str] = (), ext
         if kind == NUMERIC:
             number = F.col(name).cast("double")
             number = F.when(~F.isnan(number), number)
-            text = F.lit(None).cast("string")
+            text, gap = F.lit(None).cast("string"), number.isNull()
         else:
             number = F.lit(None).cast("double")
-            text = F.coalesce(_category_text(name, data_type), F.lit(MISSING_CATEGORY))
-        cells += [F.lit(name), F.lit(kind), number, text]
-    stacked = F.stack(F.lit(len(kinds)), *cells).alias("feature", "kind", "num", "txt")
-    return df.select(*keys, *extra, stacked)
+            known = _category_text(name, data_type)
+            text, gap = F.coalesce(known, F.lit(MISSING_CATEGORY)), known.isNull()
+        cells += [F.lit(name), number, text, gap.cast("long")]
+    return df.select(*keys, F.stack(F.lit(len(kinds)), *cells).alias("feature", "num", "txt", "gap"))
 
 
 def count_values(sides: DataFrame, groups: list[str]) -> DataFrame:
     """Count distinct values per group on both sides of ``sides`` (``ref_n``, ``cur_n`` per row).
 
-    Missing numbers keep their group alive with a zero count on either side.
+    ``gap_n`` counts missing current cells. Missing numbers keep their group alive with a
+    zero count on either side.
     """
-    counted = sides.groupBy(*groups, "feature", "kind", "num", "txt").agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n")
+    counted = sides.groupBy(*groups, "feature", "num", "txt").agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"), F.sum("gap_n").alias("gap_n")
     )
     present = F.col("num").isNotNull() | F.col("txt").isNotNull()
     return counted.withColumns({c: F.when(present, F.col(c)).otherwise(0) for c in ("ref_n", "cur_n")})
@@ -80,18 +81,22 @@ def frequency_table(reference: DataFrame, current: DataFrame, keys: list[str] =
     keys = list(keys)
     kinds = feature_kinds(reference, current, shared_features(reference, current, keys))
     if not kinds:
-        schema = [reference.schema[k] for k in keys] + [
-            T.StructField("feature", T.StringType()),
-            T.StructField("kind", T.StringType()),
-            T.StructField("num", T.DoubleType()),
-            T.StructField("txt", T.StringType()),
-            T.StructField("ref_n", T.LongType()),
-            T.StructField("cur_n", T.LongType()),
-        ]
-        return reference.sparkSession.createDataFrame([], T.StructType(schema))
+        counts = [T.StructField(c, T.LongType()) for c in ("ref_n", "cur_n", "gap_n")]
+        values = [T.StructField("feature", T.StringType()), T.StructField("num", T.DoubleType())]
+        empty = [reference.schema[k] for k in keys] + values + [T.StructField("txt", T.StringType()), *counts]
+        return reference.sparkSession.createDataFrame([], T.StructType(empty))
 
     def side(df: DataFrame, ref_n: int) -> DataFrame:
-        counts = [F.lit(ref_n).cast("long").alias("ref_n"), F.lit(1 - ref_n).cast("long").alias("cur_n")]
-        return observations(df, kinds, keys).select("*", *counts)
+        long = observations(df, kinds, keys)
+        gap = F.lit(0) if ref_n else F.col("gap")
+        return long.select(
+            *keys,
+            "feature",
+            "num",
+            "txt",
+            F.lit(ref_n).cast("long").alias("ref_n"),
+            F.lit(1 - ref_n).cast("long").alias("cur_n"),
+            gap.cast("long").alias("gap_n"),
+        )
 
     return count_values(side(reference, 1).unionByName(side(current, 0)), keys)

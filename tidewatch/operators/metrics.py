@@ -21,23 +21,18 @@ def label_counts(
     df: DataFrame,
     keys: list[str] = (),
     low_confidence: float = LOW_CONFIDENCE,
-    features: list[str] = (),
 ) -> DataFrame:
-    """Rows per (keys, true, predicted) with confidence sums and missing feature cells."""
+    """Rows per (keys, true, predicted) with confidence sums."""
     names = df.columns
     conf = F.col(CONF).cast("double") if CONF in names else F.lit(None).cast("double")
     true = F.col(TRUE).cast("string") if TRUE in names else F.lit(None).cast("string")
     positive = F.col(POSITIVE).cast("string") if POSITIVE in names else F.lit(None).cast("string")
-    missing = F.lit(0)
-    for f in features:
-        missing = missing + F.col(f).isNull().cast("int")
     rows = df.select(
         *keys,
         true.alias(TRUE),
         F.col(PRED).cast("string").alias(PRED),
         conf.alias(CONF),
         positive.alias(POSITIVE),
-        missing.alias("missing"),
     )
     return rows.groupBy(*keys, TRUE, PRED).agg(
         F.count(F.lit(1)).alias("n"),
@@ -48,7 +43,6 @@ def label_counts(
         F.count_if(F.col(CONF) < low_confidence).alias("low_n"),
         F.count_if((F.col(CONF) < 0) | (F.col(CONF) > 1)).alias("out_of_range_n"),
         F.max(POSITIVE).alias(POSITIVE),
-        F.sum("missing").cast("long").alias("missing_cells"),
     )
 
 
@@ -133,7 +127,7 @@ def metric_bundle(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
         F.sum("n").alias("sample_count"),
         F.sum(F.when(F.col(TRUE).isNull(), F.col("n")).otherwise(0)).alias("unlabeled_n"),
         F.sum(F.when(F.col(TRUE) == F.col(PRED), F.col("n")).otherwise(0)).alias("correct"),
-        *[F.sum(c).alias(c) for c in ("conf_n", "conf_sum", "low_n", "out_of_range_n", "missing_cells")],
+        *[F.sum(c).alias(c) for c in ("conf_n", "conf_sum", "low_n", "out_of_range_n")],
         F.min("conf_min").alias("conf_min"),
         F.max("conf_max").alias("conf_max"),
         F.max(POSITIVE).alias("given_positive"),
@@ -200,13 +194,12 @@ def metric_bundle(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
         (by_side(0) / F.col("sample_count")).alias("minimum_share"),
         (by_side(1) / F.col("sample_count")).alias("maximum_share"),
         by_side(2).alias("class_count"),
-        "missing_cells",
         error.alias("metric_error"),
     )
 
 
 def classification_metrics(
-    df: DataFrame, keys: list[str] = (), low_confidence: float = LOW_CONFIDENCE, features: list[str] = ()
+    df: DataFrame, keys: list[str] = (), low_confidence: float = LOW_CONFIDENCE
 ) -> DataFrame:
     """Labeled or unlabeled measures per key, without the ranking measure of ``ranking``."""
-    return metric_bundle(label_counts(df, list(keys), low_confidence, features), list(keys))
+    return metric_bundle(label_counts(df, list(keys), low_confidence), list(keys))

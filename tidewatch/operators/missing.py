@@ -14,10 +14,16 @@ def missing_by_column(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return counted.select(F.stack(F.lit(len(columns)), *pairs).alias("column", "missing"))
 
 
-def missing_rate(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
-    """Share of missing cells over all rows and all features, per key; 0 without cells."""
+def missing_cells(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
+    """Missing cells over the given features, per key."""
     missing = F.lit(0)
     for f in features:
         missing = missing + F.col(f).isNull().cast("int")
-    cells = F.count(F.lit(1)) * len(features)
-    return df.groupBy(*keys).agg(F.when(cells > 0, F.sum(missing) / cells).otherwise(0.0).alias("missing_rate"))
+    return df.groupBy(*keys).agg(F.sum(missing).alias("missing_cells"), F.count(F.lit(1)).alias("rows"))
+
+
+def missing_rate(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
+    """Share of missing cells over all rows and all features, per key; 0 without cells."""
+    cells = F.col("rows") * len(features)
+    rate = F.when(cells > 0, F.col("missing_cells") / cells).otherwise(0.0)
+    return missing_cells(df, features, keys).select(*keys, rate.alias("missing_rate"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.text import MISSING_CATEGORY, to_number
 from tidewatch.functions.typing import BOOL, FLOAT64, INT64, OBJECT, type_counts, type_name, typed_text
 from tidewatch.operators.cumulative import join_on_groups
+from tidewatch.session import as_small_side
 
 
 def _deviation(value: Column) -> Column:
@@ -74,10 +75,17 @@ def profile_cells(cells: DataFrame, keys: list[str] = ()) -> DataFrame:
         )
         .withColumn("dtype", type_name(FLOAT64))
     )
-    values = cells.groupBy(*per_column, F.col("raw").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # Values are only counted for the columns that are not numeric; one summary row per column.
+    summary = as_small_side(summary)
+    numeric = F.col("dtype").isin(INT64, FLOAT64)
+    words = summary.where(~numeric).select(*per_column)
+    values = (
+        join_on_groups(cells, as_small_side(words), per_column)
+        .groupBy(*per_column, F.col("raw").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     top = top_values(values, per_column).withColumnRenamed("count", "text_count")
     joined = join_on_groups(summary, top, per_column, "left")
-    numeric = F.col("dtype").isin(INT64, FLOAT64)
 
     def if_numeric(name: str) -> Column:
         return F.when(numeric, F.col(name)).alias(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import CHUNK, chunked, join_on_groups
@@ -33,8 +33,8 @@ def area_under_roc(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
     return placed.groupBy(*keys).agg(F.when(pairs > 0, area / pairs).alias("roc_auc"))
 
 
-def score_counts(df: DataFrame, keys: list[str] = (), extra: list[Column] = ()) -> DataFrame:
-    """Rows per (keys, true label, predicted label, score), with further sums if asked for.
+def score_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Rows per (keys, true label, predicted label, score).
 
     Written once: labels, positive class and the ranking are all read from it.
     """
@@ -48,7 +48,7 @@ def score_counts(df: DataFrame, keys: list[str] = (), extra: list[Column] = ())
             true.cast("string").alias(TRUE),
             F.col(PRED).cast("string").alias(PRED),
             conf.cast("double").alias("score"),
-        ).agg(F.count(F.lit(1)).alias("n"), F.max(given.cast("string")).alias(POSITIVE), *extra)
+        ).agg(F.count(F.lit(1)).alias("n"), F.max(given.cast("string")).alias(POSITIVE))
     )
 
 

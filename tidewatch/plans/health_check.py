@@ -11,6 +11,7 @@ from tidewatch.operators.cumulative import join_on_groups
 from tidewatch.operators.drift import DriftThresholds, drift_from_frequencies, drift_summary, feature_drift
 from tidewatch.operators.frequency import CATEGORICAL, NUMERIC, count_values
 from tidewatch.operators.health import component_scores, diagnosis, health_score
+from tidewatch.operators.missing import missing_cells
 from tidewatch.operators.metrics import CONF, LOW_CONFIDENCE, POSITIVE, PRED, TRUE, metric_bundle
 from tidewatch.operators.ranking import auc_from_counts, score_counts
 from tidewatch.session import as_small_side, cut_lineage
@@ -49,7 +50,6 @@ COMPONENTS = [
 def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Metric bundle and AUC per key from one written count table."""
     score, n = F.col("score"), F.col("n")
-    missing = F.sum("missing_cells") if "missing_cells" in counted.columns else F.lit(0)
     counts = counted.groupBy(*keys, TRUE, PRED).agg(
         F.sum(n).alias("n"),
         F.sum(F.when(score.isNotNull(), n).otherwise(0)).alias("conf_n"),
@@ -59,7 +59,6 @@ def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(score < LOW_CONFIDENCE, n).otherwise(0)).alias("low_n"),
         F.sum(F.when((score < 0) | (score > 1), n).otherwise(0)).alias("out_of_range_n"),
         F.max(POSITIVE).alias(POSITIVE),
-        missing.alias("missing_cells"),
     )
     return join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left")
 
@@ -82,17 +81,24 @@ def check_tables(
     """
     keys = list(keys)
     features = [c for c in predictions.columns if c not in (*RESERVED_COLUMNS, POSITIVE, *keys)]
-    missing = F.lit(0)
-    for f in features:
-        missing = missing + F.col(f).isNull().cast("int")
-    counted = score_counts(predictions, keys, [F.sum(missing).cast("long").alias("missing_cells")])
     if target:
         reference = reference.drop(target)
     drift = feature_drift(reference, predictions.select(*keys, *features), keys, limits)
-    joined = join_on_groups(_metrics(counted, keys), drift_summary(drift, keys), keys, "left")
+    metrics = _metrics(score_counts(predictions, keys), keys)
+    joined = join_on_groups(metrics, drift_summary(drift, keys), keys, "left")
+    # The drift pass has counted the gaps of the shared features; only others are read again.
+    others = [f for f in features if f not in reference.columns]
+    if others:
+        gaps = missing_cells(predictions, others, keys)
+        joined = join_on_groups(joined, gaps, keys, "left")
+    else:
+        joined = joined.withColumn("missing_cells", F.lit(0).cast("long"))
     cells = F.col("sample_count") * len(features)
+    missing = F.coalesce("missing_n", F.lit(0)) + F.coalesce("missing_cells", F.lit(0))
     return _scored(
-        joined.withColumn("missing_rate", F.when(cells > 0, F.col("missing_cells") / cells).otherwise(0.0))
+        joined.withColumn("missing_rate", F.when(cells > 0, missing / cells).otherwise(0.0))
+        .withColumn("drift_rate", F.coalesce("drift_rate", F.lit(0.0)))
+        .drop("missing_n", "missing_cells")
     )
 
 
@@ -220,11 +226,11 @@ def _check_frequencies(values: DataFrame, types: DataFrame, checks: DataFrame) -
     cells = used.select(
         "check_id",
         "feature",
-        "kind",
         F.when(is_number, typed_number(raw, dtype)).alias("num"),
         F.when(~is_number, F.coalesce(typed_text(raw, dtype), F.lit(MISSING_CATEGORY))).alias("txt"),
         F.when(F.col("side") == "ref", F.col("n")).otherwise(0).alias("ref_n"),
         F.when(F.col("side") == "cur", F.col("n")).otherwise(0).alias("cur_n"),
+        F.lit(0).cast("long").alias("gap_n"),
     )
     return count_values(cells, ["check_id"])
 
@@ -259,7 +265,7 @@ def run_health_checks(
     )
     types = cut_lineage(types)
     drift = drift_from_frequencies(_check_frequencies(values, types, valid), ["check_id"], limits)
-    summary = drift_summary(drift, ["check_id"])
+    summary = drift_summary(drift, ["check_id"]).drop("missing_n")
     missing = (
         types.where("side = 'cur'")
         .groupBy(F.col("owner").alias("prediction_batch_id"))

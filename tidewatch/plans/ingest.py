@@ -16,7 +16,7 @@ from tidewatch.functions.text import label_text, to_number
 from tidewatch.operators.profile import class_counts, map_cells, profile_cells, profile_maps, schema_fingerprint
 from tidewatch.operators.validation import parsed_timestamp, prediction_checks
 from tidewatch.plans.health_check import RESERVED_COLUMNS
-from tidewatch.session import cut_lineage
+from tidewatch.session import as_small_side, cut_lineage
 from tidewatch.sources.files import (
     EMPTY_FILE,
     MAX_FILE_BYTES,
@@ -153,7 +153,7 @@ def ingest_predictions(
         uploaded_at.alias("uploaded_at"),
     )
     typed = prediction_rows(
-        rows.join(accepted.select("path", "project_id", F.col("id").alias("batch_id")), "path")
+        rows.join(as_small_side(accepted.select("path", "project_id", F.col("id").alias("batch_id"))), "path")
     ).withColumn("created_at", uploaded_at)
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
@@ -204,9 +204,8 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
         )
     )
     accepted = decided.where("error IS NULL").withColumn("id", F.xxhash64(*identity))
-    owned = rows.join(
-        accepted.select("path", "project_id", "target_column", F.col("id").alias("dataset_id")), "path"
-    )
+    owners = accepted.select("path", "project_id", "target_column", F.col("id").alias("dataset_id"))
+    owned = rows.join(as_small_side(owners), "path")
     profile = cut_lineage(profile_cells(map_cells(owned, "cells", ["dataset_id"]), ["dataset_id"]))
     hashes = schema_fingerprint(profile, ["dataset_id"]).withColumnRenamed("dataset_id", "id")
     stored_name = F.format_string("%s_%s_%s.csv", "dataset_type", "version", F.substring("content_hash", 1, 12))

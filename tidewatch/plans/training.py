@@ -15,7 +15,7 @@ from tidewatch.operators.cumulative import join_on_groups, running_totals
 from tidewatch.operators.metrics import classification_metrics
 from tidewatch.operators.profile import columns_by_kind
 from tidewatch.operators.ranking import roc_auc
-from tidewatch.session import as_small_side
+from tidewatch.session import as_small_side, cut_lineage
 
 # Split share, seed, forest size and depth.
 TEST_SHARE = 0.30
@@ -85,8 +85,11 @@ def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE,
     placed = join_on_groups(picked, bounds, ["label"])
     on_split = F.col("pick").eqNullSafe(F.col("split_pick"))
     whole = placed.where(~on_split).withColumn("is_test", F.coalesce(F.col("pick") <= F.col("last_pick"), F.lit(False)))
-    split = placed.where(on_split).withColumns(
-        {"row_no": F.monotonically_increasing_id(), "copy": F.lit(1).cast("long")}
+    # Written once, so that a repeated task cannot number the same rows differently.
+    split = cut_lineage(
+        placed.where(on_split).withColumns(
+            {"row_no": F.monotonically_increasing_id(), "copy": F.lit(1).cast("long")}
+        )
     )
     numbered = running_totals(split, ["label"], ["row_no"], ["copy"])
     taken = numbered.withColumn("is_test", F.col("cum_copy") <= F.col("take"))
