@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tables import REFERENCES
+
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Rows whose columns equal the given values; pushed down to the table's files."""
@@ -76,29 +78,11 @@ def reject_known(incoming: DataFrame, existing: DataFrame, identity: list[str],
     )
 
 
-# For each table, the column that points to the parent table's id.
-CASCADES: dict[str, dict[str, str]] = {
-    "model_versions": {"projects": "project_id"},
-    "datasets": {"projects": "project_id"},
-    "dataset_profiles": {"datasets": "dataset_id"},
-    "prediction_batches": {"projects": "project_id", "model_versions": "model_version_id"},
-    "predictions": {"prediction_batches": "batch_id"},
-    "health_checks": {
-        "projects": "project_id",
-        "model_versions": "model_version_id",
-        "datasets": "baseline_dataset_id",
-        "prediction_batches": "prediction_batch_id",
-    },
-    "diagnosis_reports": {"health_checks": "health_check_id"},
-    "automation_jobs": {"projects": "project_id"},
-}
-
-
 def cascade_delete(
     tables: dict[str, DataFrame],
     root: str,
     doomed: DataFrame,
-    cascades: dict[str, dict[str, str]] = CASCADES,
+    cascades: dict[str, dict[str, str]] = REFERENCES,
 ) -> dict[str, DataFrame]:
     """Tables left after deleting ``doomed`` ids (column ``id``) from ``root`` and all that hang on it.
 

@@ -1,14 +1,18 @@
-"""Health checks over the stored tables: run many, store results, reports and job events."""
+"""Health checks over the stored tables: queue, run many, store results, reports and job events."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidewatch.operators.jobs import finish_events, queue_checks, start_events
+from tidewatch.operators.jobs import QUEUED, finish_events, job_states, queue_checks, start_events
 from tidewatch.plans.health_check import diagnosis_report_table, health_check_table, job_results, run_health_checks
 from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import Store
 
+# The ids a queued check carries.
+PAYLOAD = "model_version_id BIGINT, baseline_dataset_id BIGINT, prediction_batch_id BIGINT"
+
 
 def run_stored(store: Store, requests: DataFrame) -> DataFrame:
     """Run requests against the store; partition folders of other batches are not read."""
@@ -23,18 +27,42 @@ def run_stored(store: Store, requests: DataFrame) -> DataFrame:
     )
 
 
-def run_and_store(store: Store, requests: DataFrame, at: Column) -> DataFrame:
-    """Run requests, append checks, reports and job events; returns the outcome per request.
+def queue_jobs(store: Store, requests: DataFrame, at: Column) -> None:
+    """Queue requests (check_id, project_id and the three ids) as jobs."""
+    store.append("job_events", queue_checks(requests.withColumnRenamed("check_id", "job_id"), at))
+
+
+def queued_requests(store: Store) -> DataFrame:
+    """Requests of the jobs that are still queued."""
+    events = store.read("job_events")
+    waiting = job_states(events).where(F.col("status") == QUEUED).select("job_id")
+    return (
+        events.where("payload IS NOT NULL")
+        .join(waiting, "job_id", "left_semi")
+        .select(F.col("job_id").alias("check_id"), "project_id", F.from_json("payload", PAYLOAD).alias("ids"))
+        .select("check_id", "project_id", "ids.*")
+        .dropDuplicates(["check_id"])
+    )
+
 
-    A failing request becomes a failed job with its message; the others go on.
+def run_queued(store: Store, at: Column) -> DataFrame:
+    """Run all queued jobs; returns the outcome per job.
+
+    A failing job becomes ``failed`` with its message; the others go on.
     """
-    requests = cut_lineage(requests)
+    requests = cut_lineage(queued_requests(store))
+    jobs = requests.withColumnRenamed("check_id", "job_id")
+    store.append("job_events", start_events(jobs, at))
     results = cut_lineage(run_stored(store, requests))
     outcome = job_results(results)
     store.append("health_checks", health_check_table(results, at))
     store.append("diagnosis_reports", diagnosis_report_table(results, at))
-    jobs = requests.withColumnRenamed("check_id", "job_id")
     finished = finish_events(outcome, at).join(jobs.select("job_id", "project_id"), "job_id", "left")
-    events = queue_checks(jobs, at).unionByName(start_events(jobs, at), allowMissingColumns=True)
-    store.append("job_events", events.unionByName(finished, allowMissingColumns=True))
+    store.append("job_events", finished)
     return outcome
+
+
+def run_and_store(store: Store, requests: DataFrame, at: Column) -> DataFrame:
+    """Queue requests and run everything that is queued."""
+    queue_jobs(store, requests, at)
+    return run_queued(store, at)

@@ -54,6 +54,20 @@ def _manifest(spark: SparkSession, uploads: DataFrame, max_bytes: int) -> DataFr
     return listed.withColumns({"file_name": name, "file_error": F.coalesce("file_error", unlisted)})
 
 
+def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column) -> None:
+    """Keep the bytes of accepted files under their stored name; a file goes from task to table."""
+    wanted = as_small_side(accepted.select("path", "id").join(stored.select("id", "file_path"), "id"))
+    paths = [row["path"] for row in wanted.select("path").distinct().toLocalIterator()]
+    if not paths:
+        return
+    files = store.spark.read.format("binaryFile").load(paths).withColumn("path", plain_path(F.col("path")))
+    named = files.join(wanted, "path").withColumn("project_id", F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint"))
+    store.append(
+        "raw_files",
+        named.select("project_id", "file_path", F.sha2("content", 256).alias("content_hash"), "content", at.alias("stored_at")),
+    )
+
+
 def prediction_rows(rows: DataFrame, features: Column | None = None) -> DataFrame:
     """Typed prediction rows from maps of text cells: reserved columns out, the rest features."""
     cell = F.col("cells")
@@ -152,11 +166,13 @@ def ingest_predictions(
         F.lit(None).cast("string").alias("error_message"),
         uploaded_at.alias("uploaded_at"),
     )
+    batches = cut_lineage(batches)
     typed = prediction_rows(
         rows.join(as_small_side(accepted.select("path", "project_id", F.col("id").alias("batch_id"))), "path")
     ).withColumn("created_at", uploaded_at)
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
+    _store_raw(store, accepted, batches, uploaded_at)
     store.append("prediction_batches", batches)
     return Load(batches, decided.where("error IS NOT NULL").select("path", "project_id", "model_version_id", "error"))
 
@@ -220,6 +236,7 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
         F.size("columns").cast("long").alias("column_count"),
         created_at.alias("created_at"),
     )
+    datasets = cut_lineage(datasets)
     profiles = profile_maps(profile, ["dataset_id"]).withColumn("created_at", created_at)
     classes = class_counts(owned.withColumn("target", F.col("cells")[F.col("target_column")]), "target", ["dataset_id"])
     store.replace_partitions(
@@ -227,5 +244,6 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
     )
     store.append("dataset_profiles", profiles)
     store.append("dataset_classes", classes)
+    _store_raw(store, accepted, datasets, created_at)
     store.append("datasets", datasets)
     return Load(datasets, decided.where("error IS NOT NULL").select("path", *identity, "error"))

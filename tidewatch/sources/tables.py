@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Table schemas.
 SCHEMAS = {
@@ -53,6 +56,10 @@ SCHEMAS = {
         "findings ARRAY<STRUCT<code: STRING, severity: STRING, message: STRING>>, recommendations ARRAY<STRING>, "
         "created_at TIMESTAMP"
     ),
+    "raw_files": (
+        "project_id BIGINT, file_path STRING, content_hash STRING, content BINARY, stored_at TIMESTAMP"
+    ),
+    "deletions": "table_name STRING, id BIGINT, deleted_at TIMESTAMP",
     "job_events": (
         "job_id BIGINT, project_id BIGINT, job_type STRING, status STRING, event_at TIMESTAMP, payload STRING, "
         "result STRING, error_message STRING"
@@ -63,6 +70,27 @@ SCHEMAS = {
 PARTITIONS = {
     "dataset_rows": ["project_id", "dataset_id"],
     "predictions": ["project_id", "batch_id"],
+    "raw_files": ["project_id"],
+}
+
+# For each table, the columns that point to another table's id. Rows go when
+# the row they point to goes.
+REFERENCES = {
+    "model_versions": {"projects": "project_id"},
+    "datasets": {"projects": "project_id"},
+    "dataset_profiles": {"datasets": "dataset_id"},
+    "dataset_classes": {"datasets": "dataset_id"},
+    "dataset_rows": {"datasets": "dataset_id"},
+    "prediction_batches": {"projects": "project_id", "model_versions": "model_version_id"},
+    "predictions": {"prediction_batches": "batch_id"},
+    "health_checks": {
+        "projects": "project_id",
+        "model_versions": "model_version_id",
+        "datasets": "baseline_dataset_id",
+        "prediction_batches": "prediction_batch_id",
+    },
+    "diagnosis_reports": {"health_checks": "health_check_id"},
+    "job_events": {"projects": "project_id"},
 }
 
 # Accepted enumerations and text lengths (lowest, highest; 0 allows NULL).
@@ -96,15 +124,47 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def read(self, table: str) -> DataFrame:
-        """The table, empty if nothing was written yet."""
-        reader = self.spark.read.schema(SCHEMAS[table])
+    def _stored(self, table: str) -> DataFrame | None:
         try:
-            return reader.parquet(self.path(table))
+            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
+            return None
+
+    def read(self, table: str) -> DataFrame:
+        """The table without deleted rows, empty if nothing was written yet."""
+        rows = self._stored(table)
+        if rows is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
+        deleted = self._stored("deletions") if table != "deletions" else None
+        if deleted is None:
+            return rows
+        own = {table: "id"} if "id" in rows.columns else {}
+        for parent, key in {**own, **REFERENCES.get(table, {})}.items():
+            gone = deleted.where(F.col("table_name") == parent).select(F.col("id").alias(key))
+            rows = rows.join(gone, key, "left_anti").select(*rows.columns)
+        return rows
+
+    def delete(self, table: str, ids: DataFrame, at: Column) -> None:
+        """Delete rows by ``id`` and everything that refers to them.
+
+        Only the ids are recorded, in one append; readers leave the rows out. Deleting a
+        project therefore rewrites nothing, however many predictions hang on it.
+        """
+        gone = {table: self.read(table).join(ids.select("id").distinct(), "id", "left_semi").select("id")}
+        for child, parents in REFERENCES.items():
+            if "id" not in self.spark.createDataFrame([], SCHEMAS[child]).columns:
+                continue
+            hits = [
+                self.read(child).join(gone[p].withColumnRenamed("id", key), key, "left_semi").select("id")
+                for p, key in parents.items()
+                if p in gone
+            ]
+            if hits:
+                gone[child] = reduce(DataFrame.union, hits).distinct()
+        marks = [g.select(F.lit(name).alias("table_name"), "id", at.alias("deleted_at")) for name, g in gone.items()]
+        self.append("deletions", reduce(DataFrame.unionByName, marks))
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[table])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scores
 from tidewatch.operators import health, missing
 from tidewatch.plans import health_check as plans
+from tidewatch.session import cut_lineage
 from workload import query, r9, table
 from workload.drift import ITEM_REF, SHIFTED, columns, drift_ctes, observed, summary_sql
 from workload.metrics import auc_sql, class_ctes
@@ -201,7 +202,7 @@ def health_check_bulk(spark, sf_dir):
         F.when(F.col("project_id") == 1, 99).otherwise(F.col("baseline_dataset_id")).alias("baseline_dataset_id"),
         "prediction_batch_id",
     )
-    results = plans.run_health_checks(good.unionByName(bad), **tables)
+    results = cut_lineage(plans.run_health_checks(good.unionByName(bad), **tables))
     outcome = plans.job_results(results).drop("health_check_id", "diagnosis_report_id")
     extra = results.select(
         "check_id", r9("f1"), r9("roc_auc"), F.array_join("drifted_features", ", ").alias("drifted_features")
