@@ -101,9 +101,8 @@ def bin_number(value: Column, edges: Column) -> Column:
 
 def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Reference and current counts per occupied bin of each numeric feature."""
-    binned = join_on_groups(
-        _numeric(totals).select(*keys, "feature", "num", "ref_n", "cur_n"), edges, [*keys, "feature"]
-    )
+    values = _numeric(totals).select(*keys, "feature", "num", "ref_n", "cur_n")
+    binned = join_on_groups(values, as_small_side(edges, not keys), [*keys, "feature"])
     return (
         binned.withColumn("bin", bin_number(F.col("num"), F.col("edges")))
         .where("bin IS NOT NULL")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups
+from tidewatch.session import cut_lineage
 
 # Fixed value: a confidence below this is low.
 LOW_CONFIDENCE = 0.60
@@ -34,7 +35,8 @@ def label_counts(
         conf.alias(CONF),
         positive.alias(POSITIVE),
     )
-    return rows.groupBy(*keys, TRUE, PRED).agg(
+    # The positive class is constant per key; grouping by it keeps all buffers fixed-width.
+    return rows.groupBy(*keys, TRUE, PRED, POSITIVE).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(CONF).alias("conf_n"),
         F.sum(CONF).alias("conf_sum"),
@@ -42,7 +44,6 @@ def label_counts(
         F.max(CONF).alias("conf_max"),
         F.count_if(F.col(CONF) < low_confidence).alias("low_n"),
         F.count_if((F.col(CONF) < 0) | (F.col(CONF) > 1)).alias("out_of_range_n"),
-        F.max(POSITIVE).alias(POSITIVE),
     )
 
 
@@ -96,6 +97,7 @@ def dense_confusion(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
 
     A display form, as wide as the number of classes; nothing else is computed from it.
     """
+    counts = cut_lineage(counts)
     totals = label_totals(counts, keys)
     labels = totals.groupBy(*keys).agg(F.array_sort(F.collect_list("label")).alias("labels"))
     cells = confusion_counts(counts, keys).groupBy(*keys, F.col(TRUE).alias("label")).agg(
@@ -109,7 +111,7 @@ def dense_confusion(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def class_shares(totals: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     """Share of each label among the true (``support``) or ``predicted`` labels."""
-    occurring = totals.where(F.col(column) > 0)
+    occurring = cut_lineage(totals).where(F.col(column) > 0)
     whole = occurring.groupBy(*keys).agg(F.sum(column).alias("whole"))
     joined = join_on_groups(occurring, whole, keys)
     return joined.select(*keys, "label", F.col(column).alias("n"), (F.col(column) / F.col("whole")).alias("share"))
@@ -123,6 +125,8 @@ def metric_bundle(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
     gives support-weighted averages.
     """
     keys = list(keys)
+    # Read three times below: written once, so that the rows are scanned once.
+    counts = cut_lineage(counts)
     whole = counts.groupBy(*keys).agg(
         F.sum("n").alias("sample_count"),
         F.sum(F.when(F.col(TRUE).isNull(), F.col("n")).otherwise(0)).alias("unlabeled_n"),

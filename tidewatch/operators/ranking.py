@@ -48,7 +48,8 @@ def score_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
             true.cast("string").alias(TRUE),
             F.col(PRED).cast("string").alias(PRED),
             conf.cast("double").alias("score"),
-        ).agg(F.count(F.lit(1)).alias("n"), F.max(given.cast("string")).alias(POSITIVE))
+            given.cast("string").alias(POSITIVE),
+        ).agg(F.count(F.lit(1)).alias("n"))
     )
 
 

@@ -50,7 +50,7 @@ COMPONENTS = [
 def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Metric bundle and AUC per key from one written count table."""
     score, n = F.col("score"), F.col("n")
-    counts = counted.groupBy(*keys, TRUE, PRED).agg(
+    counts = counted.groupBy(*keys, TRUE, PRED, POSITIVE).agg(
         F.sum(n).alias("n"),
         F.sum(F.when(score.isNotNull(), n).otherwise(0)).alias("conf_n"),
         F.sum(score * n).alias("conf_sum"),
@@ -58,7 +58,6 @@ def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
         F.max(score).alias("conf_max"),
         F.sum(F.when(score < LOW_CONFIDENCE, n).otherwise(0)).alias("low_n"),
         F.sum(F.when((score < 0) | (score > 1), n).otherwise(0)).alias("out_of_range_n"),
-        F.max(POSITIVE).alias(POSITIVE),
     )
     return join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left")
 
@@ -178,12 +177,23 @@ def resolve_requests(
     )
 
 
+def _of_owners(rows: DataFrame, column: str, owners: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the wanted owners, which ``owners`` lists in a column of the same name.
+
+    The range of the ids is a filter in its own right; being selective, it also lets the
+    optimizer prune the folders of partitioned tables down to the listed ids.
+    """
+    low, high = owners.agg(F.min(column), F.max(column)).first()
+    wanted = F.col(column).between(low, high)
+    return rows.where(wanted).join(owners.where(wanted), column, how)
+
+
 def _owned_values(rows: DataFrame, owner: str, wanted: DataFrame, column: str, side: str) -> DataFrame:
     """Distinct feature values with their row counts, for the wanted owners only."""
-    owners = as_small_side(wanted.select(F.col(column).alias("owner")).distinct())
-    cells = rows.select(F.col(owner).alias("owner"), "features").join(owners, "owner", "left_semi")
+    owners = as_small_side(wanted.select(F.col(column).alias(owner)).distinct())
+    cells = _of_owners(rows.select(owner, "features"), owner, owners)
     return (
-        cells.select("owner", F.explode("features").alias("feature", "raw"))
+        cells.select(F.col(owner).alias("owner"), F.explode("features").alias("feature", "raw"))
         .groupBy("owner", "feature", "raw")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("side", F.lit(side))
@@ -276,7 +286,7 @@ def run_health_checks(
     batches = as_small_side(
         valid.groupBy(F.col("prediction_batch_id").alias("batch_id")).agg(F.max(POSITIVE).alias(POSITIVE))
     )
-    labels = predictions.select("batch_id", TRUE, PRED, CONF).join(batches, "batch_id")
+    labels = _of_owners(predictions.select("batch_id", TRUE, PRED, CONF), "batch_id", batches, "inner")
     metrics = _metrics(score_counts(labels, ["batch_id"]), ["batch_id"]).withColumnRenamed(
         "batch_id", "prediction_batch_id"
     )

@@ -37,22 +37,21 @@ def training_table_errors(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def class_allocation(df: DataFrame, target: str, test_share: float = TEST_SHARE) -> DataFrame:
-    """Exact stratified sizes per class: rows, test rows and train rows.
+def class_allocation(classes: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
+    """Exact stratified sizes from one row ``(label, n)`` per class: test rows and train rows.
 
     The test set has ceil(share * rows) rows; classes get the floor of their part and the
-    rest goes to the largest remainders (then the smallest label). One row per class.
+    rest goes to the largest remainders (then the smallest label).
     """
-    counted = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    classes = Window.partitionBy()
+    everything = Window.partitionBy()
     quota = F.col("n") * F.col("test_total") / F.col("total")
     by_remainder = Window.orderBy((F.col("quota") - F.floor("quota")).desc(), F.col("label"))
     sized = (
-        counted.withColumn("total", F.sum("n").over(classes))
+        classes.withColumn("total", F.sum("n").over(everything))
         .withColumn("test_total", F.ceil(F.col("total") * F.lit(test_share)))
         .withColumn("quota", quota)
         .withColumn("base", F.floor("quota"))
-        .withColumn("left_over", F.col("test_total") - F.sum("base").over(classes))
+        .withColumn("left_over", F.col("test_total") - F.sum("base").over(everything))
         .withColumn("place", F.row_number().over(by_remainder))
     )
     test = F.col("base") + F.when(F.col("place") <= F.col("left_over"), 1).otherwise(0)
@@ -70,7 +69,8 @@ def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE,
     picked = df.withColumns({"label": F.col(target), "pick": F.xxhash64(F.lit(seed), *columns)})
     counted = picked.groupBy("label", "pick").agg(F.count(F.lit(1)).alias("one"))
     ranked = running_totals(counted, ["label"], ["pick"], ["one"])
-    sizes = as_small_side(class_allocation(df, target, test_share))
+    classes = ranked.groupBy("label").agg(F.max("all_one").alias("n"))
+    sizes = as_small_side(class_allocation(classes, test_share))
     before, fits = F.col("cum_one") - F.col("one"), F.col("cum_one") <= F.col("test_n")
     straddles = ~fits & (before < F.col("test_n"))
     bounds = as_small_side(
@@ -85,6 +85,9 @@ def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE,
     placed = join_on_groups(picked, bounds, ["label"])
     on_split = F.col("pick").eqNullSafe(F.col("split_pick"))
     whole = placed.where(~on_split).withColumn("is_test", F.coalesce(F.col("pick") <= F.col("last_pick"), F.lit(False)))
+    flagged = whole.select(*columns, "is_test")
+    if bounds.where("split_pick IS NOT NULL").isEmpty():
+        return flagged
     # Written once, so that a repeated task cannot number the same rows differently.
     split = cut_lineage(
         placed.where(on_split).withColumns(
@@ -93,7 +96,7 @@ def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE,
     )
     numbered = running_totals(split, ["label"], ["row_no"], ["copy"])
     taken = numbered.withColumn("is_test", F.col("cum_copy") <= F.col("take"))
-    return whole.select(*columns, "is_test").unionByName(taken.select(*columns, "is_test"))
+    return flagged.unionByName(taken.select(*columns, "is_test"))
 
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:
