@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics, ranking
 from tidewatch.plans.health_check import check_tables
@@ -25,7 +26,7 @@ SCHEMA = (
 
 
 def demo(spark):
-    return spark.createDataFrame(DEMO, SCHEMA).withColumn("age", __import__("pyspark").sql.functions.col("age").cast("int"))
+    return spark.createDataFrame(DEMO, SCHEMA).withColumn("age", F.col("age").cast("int"))
 
 
 def log(spark, rows, columns="true_label string, predicted_label string, confidence double"):
@@ -63,6 +64,22 @@ def test_demo_health(spark):
     assert row["retraining_recommended"] is True
 
 
+def test_a_check_without_values_has_no_score(spark):
+    reference = spark.createDataFrame([(None,), (None,)], "x double")
+    current = log(spark, [(1.0, "1", "1", 0.9), (2.0, "0", "0", 0.8)], "x double, true_label string, predicted_label string, confidence double")
+    row = check_tables(reference, current).first()
+    assert row["error_message"] == "Reference and current values must contain numeric data."
+    assert row["health_score"] is None and row["accuracy"] == 1.0
+
+
+def test_features_without_reference_count_as_cells(spark):
+    reference = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    columns = "x double, extra string, true_label string, predicted_label string, confidence double"
+    current = log(spark, [(1.0, None, "1", "1", 0.9), (None, "a", "0", "0", 0.8)], columns)
+    row = check_tables(reference, current).first()
+    assert row["feature_count"] == 1 and row["missing_rate"] == 0.5
+
+
 def test_three_classes_are_weighted(spark):
     rows = [("a", "a", 0.9), ("a", "b", 0.8), ("b", "b", 0.7), ("c", "a", 0.6)]
     row = metrics.classification_metrics(log(spark, rows)).first()

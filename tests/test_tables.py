@@ -150,6 +150,7 @@ def test_refused_logs(spark, store, tmp_path):
         write(folder, "nomodel.csv", LOG): (1, 99, "Model version with ID 99 was not found."),
         write(folder, "log.txt", LOG): (1, 10, "Only CSV files are supported."),
         write(folder, "empty.csv", ""): (1, 10, "The uploaded CSV file is empty."),
+        write(folder, "blank.csv", "\n\n"): (1, 10, "The uploaded file is not a valid readable CSV."),
         write(folder, "header.csv", "predicted_label,x\n"): (1, 10, "The CSV must contain at least one data row."),
         write(folder, "nolabel.csv", "x,y\n1,2\n"): (1, 10, "Required column 'predicted_label' is missing."),
         write(folder, "nullabel.csv", "x,predicted_label\n1,a\n2,\n"): (1, 10, "The 'predicted_label' column cannot contain missing values."),

@@ -127,7 +127,7 @@ def one_sample_p(n: int, d: float) -> float:
     """P(D >= d) for one sample of n rows."""
     if n * d <= 0.5:
         return 1.0
-    if d >= 1:
+    if d >= 1 or n * d * d > 370:  # beyond this the tail is below the smallest double
         return 0.0
     if n * d * d >= 2.2:
         tail = 2 * _one_sided_tail(n, d)

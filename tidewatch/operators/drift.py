@@ -21,6 +21,10 @@ from tidewatch.session import as_small_side
 SHARE_FLOOR = 1e-6
 DEFAULT_BINS = 10
 
+# Messages of features without values on one side.
+NO_NUMBERS = "Reference and current values must contain numeric data."
+NO_CATEGORIES = "Reference and current categories cannot be empty."
+
 
 @dataclass(frozen=True)
 class DriftThresholds:
@@ -87,24 +91,31 @@ def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_
     return ranked.select(*keys, "feature", F.expr(f"array_distinct({interpolated})").alias("edges"))
 
 
-def bin_number(value: Column, edges: Column) -> Column:
+# Up to this many bins the edges are compared one by one, which compiles to plain code.
+COMPILED_BINS = 100
+
+
+def bin_number(value: str, edges: str, bins: int = DEFAULT_BINS) -> Column:
     """1-based bin of a value; NULL when a constant reference leaves it outside its only bin.
 
     Bins are half-open, the outer ones reach to infinity. A constant reference has the single
     closed bin of half a unit either side.
     """
-    below = F.size(F.filter(edges, lambda e: e <= value))
+    if bins <= COMPILED_BINS:
+        below = F.expr(" + ".join(f"if(get({edges}, {j}) <= {value}, 1, 0)" for j in range(bins + 1)))
+    else:
+        below = F.expr(f"size(filter({edges}, e -> e <= {value}))")
     inner = F.least(F.greatest(below, F.lit(1)), F.size(edges) - 1)
-    constant = F.when(F.abs(value - edges[0]) <= 0.5, F.lit(1))
+    constant = F.when(F.abs(F.col(value) - F.get(F.col(edges), F.lit(0))) <= 0.5, F.lit(1))
     return F.when(F.size(edges) == 1, constant).otherwise(inner)
 
 
-def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
+def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
     """Reference and current counts per occupied bin of each numeric feature."""
     values = _numeric(totals).select(*keys, "feature", "num", "ref_n", "cur_n")
     binned = join_on_groups(values, as_small_side(edges, not keys), [*keys, "feature"])
     return (
-        binned.withColumn("bin", bin_number(F.col("num"), F.col("edges")))
+        binned.withColumn("bin", bin_number("num", "edges", bins))
         .where("bin IS NOT NULL")
         .groupBy(*keys, "feature", "bin")
         .agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
@@ -196,7 +207,7 @@ def drift_from_frequencies(
     # One pass over the values: everything is summed per bin, then the few bins per feature.
     per_bin = (
         join_on_groups(totals, edges, per_feature, "left")
-        .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number(F.col("num"), F.col("edges"))))
+        .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number("num", "edges", bins)))
         .groupBy(*per_feature, "bin")
         .agg(
             F.bool_and(numeric).alias("numeric"),
@@ -234,12 +245,7 @@ def drift_from_frequencies(
     severity = F.when(numeric, numeric_severity(F.col("psi"), F.col("ks_p_value"), limits)).otherwise(
         categorical_severity(F.col("tvd"), limits)
     )
-    message = F.when(
-        empty,
-        F.when(numeric, "Reference and current values must contain numeric data.").otherwise(
-            "Reference and current categories cannot be empty."
-        ),
-    )
+    message = F.when(empty, F.when(numeric, NO_NUMBERS).otherwise(NO_CATEGORIES))
     if strict:
         severity = F.when(empty, F.raise_error(message)).otherwise(severity)
     return scored.select(

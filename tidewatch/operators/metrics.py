@@ -15,6 +15,9 @@ from tidewatch.session import cut_lineage
 # Fixed value: a confidence below this is low.
 LOW_CONFIDENCE = 0.60
 
+# Fixed value: message of a log with confidences outside 0..1.
+NOT_IN_RANGE = "Confidence values must be between 0 and 1."
+
 TRUE, PRED, CONF, POSITIVE = "true_label", "predicted_label", "confidence", "positive_class"
 
 
@@ -175,7 +178,7 @@ def metric_bundle(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
         return F.when(labeled, shares["true"][i]).otherwise(shares["pred"][i])
 
     error = F.when(
-        F.col("out_of_range_n") > 0, F.lit("Confidence values must be between 0 and 1.")
+        F.col("out_of_range_n") > 0, NOT_IN_RANGE
     ).when(
         labeled & binary & given.isNotNull() & F.col("at_given").isNull(),
         F.concat(F.lit("Positive class '"), given, F.lit("' is not one of the labels.")),

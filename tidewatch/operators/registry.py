@@ -42,7 +42,7 @@ def newest_per_group(
 ) -> DataFrame:
     """The newest ``count`` rows of each group with their rank; each task keeps its own top rows first."""
     order = Window.partitionBy(*group).orderBy(F.col(stamp).desc(), F.col(id_column).desc())
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+    return df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= count)
 
 
 def orphans(children: DataFrame, parents: DataFrame, foreign_key: str, parent_key: str = "id") -> DataFrame:

@@ -19,6 +19,15 @@ from tidewatch.session import as_small_side, cut_lineage
 # Columns of a prediction log that are not features.
 RESERVED_COLUMNS = ["timestamp", "true_label", "predicted_label", "confidence"]
 
+# Messages of requests that cannot be run, in the order they are checked.
+NOT_FOUND = "%s with ID %s was not found."
+FOREIGN_MODEL = "The selected model version does not belong to the selected project."
+FOREIGN_DATASET = "The baseline dataset does not belong to the selected project."
+FOREIGN_BATCH = "The prediction batch does not belong to the selected project."
+OTHER_MODEL = "The prediction batch was not generated by the selected model version."
+EMPTY_BATCH = "The prediction batch contains no prediction records."
+EMPTY_BASELINE = "Baseline dataset %s has no stored rows."
+
 METRICS = [
     "sample_count",
     "label_count",
@@ -45,6 +54,17 @@ COMPONENTS = [
     "confidence_score",
     "class_balance_score",
 ]
+# What a failed check does not have.
+VERDICT = [
+    *COMPONENTS,
+    "health_score",
+    "status",
+    "risk_level",
+    "retraining_recommended",
+    "summary",
+    "findings",
+    "recommendations",
+]
 
 
 def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +96,8 @@ def check_tables(
     """Health check of a typed prediction table against a typed reference table, per key.
 
     Both tables carry the key columns; every other column of ``predictions`` that is not
-    reserved is a feature. ``target`` is dropped from the reference if it is there.
+    reserved is a feature. ``target`` is dropped from the reference if it is there. A check
+    that cannot be scored says why in ``error_message``.
     """
     keys = list(keys)
     features = [c for c in predictions.columns if c not in (*RESERVED_COLUMNS, POSITIVE, *keys)]
@@ -94,11 +115,15 @@ def check_tables(
         joined = joined.withColumn("missing_cells", F.lit(0).cast("long"))
     cells = F.col("sample_count") * len(features)
     missing = F.coalesce("missing_n", F.lit(0)) + F.coalesce("missing_cells", F.lit(0))
-    return _scored(
-        joined.withColumn("missing_rate", F.when(cells > 0, missing / cells).otherwise(0.0))
-        .withColumn("drift_rate", F.coalesce("drift_rate", F.lit(0.0)))
-        .drop("missing_n", "missing_cells")
+    scored = _scored(
+        joined.withColumn("missing_rate", F.when(cells > 0, missing / cells).otherwise(0.0)).withColumn(
+            "drift_rate", F.coalesce("drift_rate", F.lit(0.0))
+        )
     )
+    errors = ["drift_error", "metric_error", "score_error"]
+    checked = scored.withColumn("error_message", F.coalesce(*errors)).drop(*errors, "missing_n", "missing_cells")
+    usable = F.col("error_message").isNull()
+    return checked.withColumns({c: F.when(usable, F.col(c)) for c in VERDICT})
 
 
 def resolve_requests(
@@ -143,27 +168,17 @@ def resolve_requests(
     )
 
     def absent(kind: str, column: str) -> Column:
-        return F.format_string(f"{kind} with ID %s was not found.", F.col(column).cast("string"))
+        return F.format_string(NOT_FOUND, F.lit(kind), F.col(column).cast("string"))
 
-    other_model = F.col("batch_model") != F.col("model_version_id")
     problem = (
         F.when(F.col("has_project").isNull(), absent("Project", "project_id"))
         .when(F.col("model_project").isNull(), absent("Model version", "model_version_id"))
         .when(F.col("dataset_project").isNull(), absent("Dataset", "baseline_dataset_id"))
         .when(F.col("batch_project").isNull(), absent("Prediction batch", "prediction_batch_id"))
-        .when(
-            F.col("model_project") != F.col("project_id"),
-            "The selected model version does not belong to the selected project.",
-        )
-        .when(
-            F.col("dataset_project") != F.col("project_id"),
-            "The baseline dataset does not belong to the selected project.",
-        )
-        .when(
-            F.col("batch_project") != F.col("project_id"),
-            "The prediction batch does not belong to the selected project.",
-        )
-        .when(other_model, "The prediction batch was not generated by the selected model version.")
+        .when(F.col("model_project") != F.col("project_id"), FOREIGN_MODEL)
+        .when(F.col("dataset_project") != F.col("project_id"), FOREIGN_DATASET)
+        .when(F.col("batch_project") != F.col("project_id"), FOREIGN_BATCH)
+        .when(F.col("batch_model") != F.col("model_version_id"), OTHER_MODEL)
     )
     return found.select(
         "check_id",
@@ -304,15 +319,14 @@ def run_health_checks(
     data_error = (
         F.when(
             F.col("has_baseline").isNull(),
-            F.format_string("Baseline dataset %s has no stored rows.", F.col("baseline_dataset_id").cast("string")),
+            F.format_string(EMPTY_BASELINE, F.col("baseline_dataset_id").cast("string")),
         )
-        .when(F.col("sample_count").isNull(), "The prediction batch contains no prediction records.")
+        .when(F.col("sample_count").isNull(), EMPTY_BATCH)
         .otherwise(F.coalesce("drift_error", "metric_error"))
     )
     scored = _scored(joined)
     failed = F.coalesce(data_error, F.col("score_error"))
-    results = [*METRICS, *DRIFT, *COMPONENTS, "missing_rate", "health_score", "status", "risk_level"]
-    results += ["retraining_recommended", "summary", "findings", "recommendations"]
+    results = [*METRICS, *DRIFT, "missing_rate", *VERDICT]
     done = scored.withColumn("error_message", failed).select(
         "check_id", *[F.when(F.col("error_message").isNull(), F.col(c)).alias(c) for c in results], "error_message"
     )

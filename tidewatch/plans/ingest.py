@@ -32,6 +32,12 @@ from tidewatch.sources.tables import DATASET_TYPES, Store
 # Messages of the load rules.
 NO_PREDICTION_COLUMN = "Required column 'predicted_label' is missing."
 KNOWN_LOG = "This prediction file has already been uploaded for the selected model version."
+NO_PROJECT = "Project with ID %s was not found."
+NO_MODEL = "Model version with ID %s was not found."
+FOREIGN_MODEL = "Model version %s does not belong to project %s."
+KNOWN_DATASET = "Dataset type '%s' version '%s' already exists in project %s."
+NO_TARGET = "Target column '%s' was not found in the CSV."
+UNKNOWN_TYPE = "Unknown dataset type."
 PROCESSED = "processed"
 
 
@@ -124,10 +130,10 @@ def ingest_predictions(
         .join(shape, "path", "left")
         .join(known, identity, "left")
     )
-    missing_project = F.format_string("Project with ID %s was not found.", F.col("project_id").cast("string"))
-    missing_model = F.format_string("Model version with ID %s was not found.", F.col("model_version_id").cast("string"))
+    missing_project = F.format_string(NO_PROJECT, F.col("project_id").cast("string"))
+    missing_model = F.format_string(NO_MODEL, F.col("model_version_id").cast("string"))
     mismatch = F.format_string(
-        "Model version %s does not belong to project %s.",
+        FOREIGN_MODEL,
         F.col("model_version_id").cast("string"),
         F.col("project_id").cast("string"),
     )
@@ -195,18 +201,18 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
     )
     project_text = F.col("project_id").cast("string")
     exists = F.format_string(
-        "Dataset type '%s' version '%s' already exists in project %s.", "dataset_type", "version", project_text
+        KNOWN_DATASET, "dataset_type", "version", project_text
     )
     own_error = (
-        F.when(F.col("has_project").isNull(), F.format_string("Project with ID %s was not found.", project_text))
-        .when(~F.col("dataset_type").isin(DATASET_TYPES), "Unknown dataset type.")
+        F.when(F.col("has_project").isNull(), F.format_string(NO_PROJECT, project_text))
+        .when(~F.col("dataset_type").isin(DATASET_TYPES), UNKNOWN_TYPE)
         .when(F.col("is_known").isNotNull(), exists)
         .when(F.col("file_error").isNotNull(), F.col("file_error"))
         .when(F.col("malformed"), UNREADABLE)
         .when(F.col("row_count").isNull(), NO_ROWS)
         .when(
             ~F.array_contains("columns", F.col("target_column")),
-            F.format_string("Target column '%s' was not found in the CSV.", "target_column"),
+            F.format_string(NO_TARGET, "target_column"),
         )
     )
     judged = cut_lineage(state.withColumn("own_error", own_error).withColumn("exists_error", exists))

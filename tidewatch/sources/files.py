@@ -42,12 +42,13 @@ def list_files(spark: SparkSession, paths: list[str], max_bytes: int = MAX_FILE_
         name.alias("file_name"),
         F.col("length").alias("bytes"),
         F.when(fits, F.sha2("content", 256)).alias("content_hash"),
-        F.when(fits, F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), r"[\r\uFEFF]", "")).alias("header"),
+        F.when(fits, F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1)).alias("header"),
     )
     problem = (
         F.when(~F.lower("file_name").endswith(".csv"), ONLY_CSV)
         .when(F.col("bytes") == 0, EMPTY_FILE)
         .when(F.col("bytes") > max_bytes, TOO_LARGE)
+        .when(F.trim("header") == "", UNREADABLE)
     )
     return cut_lineage(listed.withColumn("file_error", problem))
 

@@ -252,7 +252,7 @@ def load_predictions(spark, sf_dir):
 
 @query(
     "ingest_datasets",
-    f"""SELECT event_type, count(*) AS row_count, 3 AS column_count,
+    f"""SELECT event_type, count(*) AS row_count, 3::BIGINT AS column_count,
       sha256('amount:float64|k:int64|outcome:int64') AS schema_hash,
       count(*) FILTER (event_id % 2 = 1) AS class_1, round(sum(value), 4) AS amount_total
     FROM events WHERE ts < TIMEstamp() '{EVENT_SPLIT}' GROUP BY event_type""",
