@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
 from tidewatch.operators.frequency import frequency_table
-from tidewatch.plans.health_check import _of_owners
+from tidewatch.plans.health_check import of_owners
 from tidewatch.session import as_small_side
 from tidewatch.sources.tables import Store
 from workload import table
@@ -39,6 +39,7 @@ def test_stored_batches_are_pruned_by_folder(spark, tmp_path):
     items = table(spark, SF_DIR, "lineitem")
     rows = items.select(
         F.lit(1).cast("long").alias("project_id"),
+        (F.col("l_suppkey") % 4).alias("load_id"),
         (F.col("l_suppkey") % 8).alias("batch_id"),
         F.monotonically_increasing_id().alias("row_id"),
         F.col("l_returnflag").alias("predicted_label"),
@@ -49,9 +50,10 @@ def test_stored_batches_are_pruned_by_folder(spark, tmp_path):
         F.lit(None).cast("timestamp").alias("created_at"),
     )
     store.replace_partitions("predictions", rows)
-    owners = as_small_side(spark.createDataFrame([(2,), (5,)], "batch_id long"))
-    kept = _of_owners(store.read("predictions"), "batch_id", owners)
-    assert "dynamicpruning" in plan(kept)
+    owners = as_small_side(spark.createDataFrame([(2, 2), (1, 5)], "load_id long, batch_id long"))
+    kept = of_owners(store.read("predictions"), ["load_id", "batch_id"], owners)
+    text = plan(kept)
+    assert "dynamicpruning" in text and "GreaterThanOrEqual(batch_id,2)" in text
     assert {r[0] for r in kept.select("batch_id").distinct().collect()} == {2, 5}
     assert kept.count() == items.where("l_suppkey % 8 IN (2, 5)").count()
 

@@ -240,3 +240,18 @@ def test_split_takes_exact_numbers_of_copies(spark):
     split = training.stratified_split(frame, "label")
     sizes = {(r["label"], r["is_test"]): r["count"] for r in split.groupBy("label", "is_test").count().collect()}
     assert sizes == {("a", True): 11, ("a", False): 26, ("b", True): 7, ("b", False): 16}
+
+
+def test_repeated_load_stores_rows_once(spark, store, tmp_path):
+    """The batch listing of a first run is lost; the second run overwrites the same folders."""
+
+    class Forgetful(Store):
+        def path(self, table):
+            return super().path("lost" if table == "prediction_batches" else table)
+
+    log = write(str(tmp_path / "logs"), "log.csv", LOG)
+    frame = spark.createDataFrame([(log, 1, 10)], "path string, project_id long, model_version_id long")
+    first = ingest.ingest_predictions(Forgetful(spark, store.root), frame, stamp()).accepted.first()
+    second = ingest.ingest_predictions(store, frame, stamp()).accepted.first()
+    assert (first["id"], first["load_id"]) == (second["id"], second["load_id"])
+    assert store.read("predictions").count() == 3

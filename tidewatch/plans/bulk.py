@@ -6,24 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.jobs import QUEUED, finish_events, job_states, queue_checks, start_events
-from tidewatch.plans.health_check import diagnosis_report_table, health_check_table, job_results, run_health_checks
-from tidewatch.session import cut_lineage
+from tidewatch.plans.health_check import (
+    diagnosis_report_table,
+    health_check_table,
+    job_results,
+    of_owners,
+    run_health_checks,
+)
+from tidewatch.session import as_small_side, cut_lineage
 from tidewatch.sources.tables import Store
 
 # The ids a queued check carries.
 PAYLOAD = "model_version_id BIGINT, baseline_dataset_id BIGINT, prediction_batch_id BIGINT"
 
 
+def _stored_rows(store: Store, table: str, owner: str, registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the wanted ids, read from the folders of the loads that hold them."""
+    listed = registry.select(F.col("id").alias(owner), "load_id")
+    places = as_small_side(wanted.distinct().join(listed, owner).select("load_id", owner))
+    return of_owners(store.read(table), ["load_id", owner], places)
+
+
 def run_stored(store: Store, requests: DataFrame) -> DataFrame:
-    """Run requests against the store; partition folders of other batches are not read."""
+    """Run requests against the store; folders of other loads are not read."""
+    datasets, batches = store.read("datasets"), store.read("prediction_batches")
+    baselines = requests.select(F.col("baseline_dataset_id").alias("dataset_id"))
+    checked = requests.select(F.col("prediction_batch_id").alias("batch_id"))
     return run_health_checks(
         requests,
         store.read("projects"),
         store.read("model_versions"),
-        store.read("datasets"),
-        store.read("prediction_batches"),
-        store.read("dataset_rows"),
-        store.read("predictions"),
+        datasets,
+        batches,
+        _stored_rows(store, "dataset_rows", "dataset_id", datasets, baselines),
+        _stored_rows(store, "predictions", "batch_id", batches, checked),
     )
 
 

@@ -192,21 +192,23 @@ def resolve_requests(
     )
 
 
-def _of_owners(rows: DataFrame, column: str, owners: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of the wanted owners, which ``owners`` lists in a column of the same name.
+def of_owners(rows: DataFrame, columns: list[str], owners: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the wanted owners, listed in ``owners`` by columns of the same names.
 
-    The range of the ids is a filter in its own right; being selective, it also lets the
-    optimizer prune the folders of partitioned tables down to the listed ids.
+    The ranges of the ids are filters in their own right, which file statistics serve; being
+    selective, they also let the optimizer prune partition folders down to the listed ids.
     """
-    low, high = owners.agg(F.min(column), F.max(column)).first()
-    wanted = F.col(column).between(low, high)
-    return rows.where(wanted).join(owners.where(wanted), column, how)
+    ends = owners.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]).first()
+    for c in columns:
+        wanted = F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"])
+        rows, owners = rows.where(wanted), owners.where(wanted)
+    return rows.join(owners, columns, how)
 
 
 def _owned_values(rows: DataFrame, owner: str, wanted: DataFrame, column: str, side: str) -> DataFrame:
     """Distinct feature values with their row counts, for the wanted owners only."""
     owners = as_small_side(wanted.select(F.col(column).alias(owner)).distinct())
-    cells = _of_owners(rows.select(owner, "features"), owner, owners)
+    cells = of_owners(rows.select(owner, "features"), [owner], owners)
     return (
         cells.select(F.col(owner).alias("owner"), F.explode("features").alias("feature", "raw"))
         .groupBy("owner", "feature", "raw")
@@ -301,7 +303,7 @@ def run_health_checks(
     batches = as_small_side(
         valid.groupBy(F.col("prediction_batch_id").alias("batch_id")).agg(F.max(POSITIVE).alias(POSITIVE))
     )
-    labels = _of_owners(predictions.select("batch_id", TRUE, PRED, CONF), "batch_id", batches, "inner")
+    labels = of_owners(predictions.select("batch_id", TRUE, PRED, CONF), ["batch_id"], batches, "inner")
     metrics = _metrics(score_counts(labels, ["batch_id"]), ["batch_id"]).withColumnRenamed(
         "batch_id", "prediction_batch_id"
     )

@@ -1,8 +1,9 @@
 """Loading datasets and prediction logs: validate, fingerprint, refuse copies, store.
 
 A load takes any number of files. Refused files become rows with the first rule they break;
-the others are stored. Ids are hashes of a row's identity, so loading a file again after a
-lost run writes the same ids and partitions.
+the others are stored. Ids are hashes of identities, so repeating a load that was lost half-way
+writes the same ids into the same folders. Rows count as stored once their batch is listed
+with the load that holds them.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Load:
 def _manifest(spark: SparkSession, uploads: DataFrame, max_bytes: int) -> DataFrame:
     """Uploads with the facts of their files. The paths are the load's file listing."""
     uploads = uploads.withColumn("path", plain_path(F.col("path")))
-    paths = sorted({row["path"] for row in uploads.select("path").toLocalIterator()})
+    paths = sorted({row["path"] for row in uploads.select("path").distinct().collect()})
     listed = uploads.join(list_files(spark, paths, max_bytes), "path", "left")
     # A file without content is not listed.
     name = F.coalesce("file_name", F.element_at(F.split("path", "/"), -1))
@@ -60,10 +61,15 @@ def _manifest(spark: SparkSession, uploads: DataFrame, max_bytes: int) -> DataFr
     return listed.withColumns({"file_name": name, "file_error": F.coalesce("file_error", unlisted)})
 
 
+def _load_id(accepted: DataFrame) -> Column:
+    """The identity of a load: a hash of the set it stores, the same when it is repeated."""
+    return F.lit(accepted.agg(F.coalesce(F.bit_xor(F.xxhash64("id")), F.lit(0).cast("long"))).first()[0])
+
+
 def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column) -> None:
     """Keep the bytes of accepted files under their stored name; a file goes from task to table."""
     wanted = as_small_side(accepted.select("path", "id").join(stored.select("id", "file_path"), "id"))
-    paths = [row["path"] for row in wanted.select("path").distinct().toLocalIterator()]
+    paths = [row["path"] for row in wanted.select("path").distinct().collect()]
     if not paths:
         return
     files = store.spark.read.format("binaryFile").load(paths).withColumn("path", plain_path(F.col("path")))
@@ -156,6 +162,7 @@ def ingest_predictions(
         )
     )
     accepted = decided.where("error IS NULL").withColumn("id", F.xxhash64(*identity))
+    load_id = _load_id(accepted)
     stored_name = F.format_string(
         "model_%s_%s.csv", F.col("model_version_id").cast("string"), F.substring("content_hash", 1, 12)
     )
@@ -170,12 +177,13 @@ def ingest_predictions(
         "is_labeled",
         F.lit(PROCESSED).alias("status"),
         F.lit(None).cast("string").alias("error_message"),
+        load_id.alias("load_id"),
         uploaded_at.alias("uploaded_at"),
     )
     batches = cut_lineage(batches)
     typed = prediction_rows(
         rows.join(as_small_side(accepted.select("path", "project_id", F.col("id").alias("batch_id"))), "path")
-    ).withColumn("created_at", uploaded_at)
+    ).withColumns({"load_id": load_id, "created_at": uploaded_at})
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
     _store_raw(store, accepted, batches, uploaded_at)
@@ -226,6 +234,7 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
         )
     )
     accepted = decided.where("error IS NULL").withColumn("id", F.xxhash64(*identity))
+    load_id = _load_id(accepted)
     owners = accepted.select("path", "project_id", "target_column", F.col("id").alias("dataset_id"))
     owned = rows.join(as_small_side(owners), "path")
     profile = cut_lineage(profile_cells(map_cells(owned, "cells", ["dataset_id"]), ["dataset_id"]))
@@ -240,13 +249,15 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
         "schema_hash",
         "row_count",
         F.size("columns").cast("long").alias("column_count"),
+        load_id.alias("load_id"),
         created_at.alias("created_at"),
     )
     datasets = cut_lineage(datasets)
     profiles = profile_maps(profile, ["dataset_id"]).withColumn("created_at", created_at)
     classes = class_counts(owned.withColumn("target", F.col("cells")[F.col("target_column")]), "target", ["dataset_id"])
     store.replace_partitions(
-        "dataset_rows", owned.select("project_id", "dataset_id", "row_id", F.col("cells").alias("features"))
+        "dataset_rows",
+        owned.select("project_id", load_id.alias("load_id"), "dataset_id", "row_id", F.col("cells").alias("features")),
     )
     store.append("dataset_profiles", profiles)
     store.append("dataset_classes", classes)

@@ -143,9 +143,10 @@ class Monitor:
         return self._of_project("prediction_batches", project_id, "uploaded_at")
 
     def batch_predictions(self, batch_id: int) -> DataFrame:
-        """Predictions of a batch in row order; only the batch's folder is read."""
-        self._one("prediction_batches", "Prediction batch", batch_id)
-        return oldest_first(where_equal(self.store.read("predictions"), batch_id=batch_id), "row_id")
+        """Predictions of a batch in row order; only the folder of its load is read."""
+        batch = self._one("prediction_batches", "Prediction batch", batch_id).first()
+        place = {"project_id": batch["project_id"], "load_id": batch["load_id"], "batch_id": batch_id}
+        return oldest_first(where_equal(self.store.read("predictions"), **place), "row_id")
 
     def jobs(self, limit: int = JOB_LIMITS[1]) -> DataFrame:
         if not JOB_LIMITS[0] <= limit <= JOB_LIMITS[2]:

@@ -75,7 +75,7 @@ def read_rows(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         manifest.where("file_error IS NULL")
         .groupBy("header")
         .agg(F.collect_set("path").alias("paths"))
-        .toLocalIterator()
+        .collect()
     )
     parts = [_read_group(spark, header_names(g["header"] or ""), g["paths"]) for g in groups]
     if not parts:

@@ -21,7 +21,8 @@ SCHEMAS = {
     ),
     "datasets": (
         "id BIGINT, project_id BIGINT, dataset_type STRING, version STRING, file_name STRING, file_path STRING, "
-        "content_hash STRING, schema_hash STRING, row_count BIGINT, column_count BIGINT, created_at TIMESTAMP"
+        "content_hash STRING, schema_hash STRING, row_count BIGINT, column_count BIGINT, load_id BIGINT, "
+        "created_at TIMESTAMP"
     ),
     "dataset_profiles": (
         "dataset_id BIGINT, missing_values MAP<STRING, BIGINT>, column_types MAP<STRING, STRING>, "
@@ -30,14 +31,16 @@ SCHEMAS = {
         "most_frequent: STRING, most_frequent_count: BIGINT>>, created_at TIMESTAMP"
     ),
     "dataset_classes": "dataset_id BIGINT, class STRING, n BIGINT",
-    "dataset_rows": "project_id BIGINT, dataset_id BIGINT, row_id BIGINT, features MAP<STRING, STRING>",
+    "dataset_rows": (
+        "project_id BIGINT, load_id BIGINT, dataset_id BIGINT, row_id BIGINT, features MAP<STRING, STRING>"
+    ),
     "prediction_batches": (
         "id BIGINT, project_id BIGINT, model_version_id BIGINT, file_name STRING, file_path STRING, "
         "content_hash STRING, row_count BIGINT, is_labeled BOOLEAN, status STRING, error_message STRING, "
-        "uploaded_at TIMESTAMP"
+        "load_id BIGINT, uploaded_at TIMESTAMP"
     ),
     "predictions": (
-        "project_id BIGINT, batch_id BIGINT, row_id BIGINT, prediction_timestamp TIMESTAMP, true_label STRING, "
+        "project_id BIGINT, load_id BIGINT, batch_id BIGINT, row_id BIGINT, prediction_timestamp TIMESTAMP, true_label STRING, "
         "predicted_label STRING, confidence DOUBLE, features MAP<STRING, STRING>, created_at TIMESTAMP"
     ),
     "health_checks": (
@@ -66,13 +69,17 @@ SCHEMAS = {
     ),
 }
 
-# Partition columns: a check or a listing of one project or batch reads only its folders.
+# Partition columns. A load writes one folder per project, whatever the number of its files,
+# so the number of folders grows with the loads and not with the batches.
 PARTITIONS = {
-    "dataset_rows": ["project_id", "dataset_id"],
-    "predictions": ["project_id", "batch_id"],
+    "dataset_rows": ["project_id", "load_id"],
+    "predictions": ["project_id", "load_id"],
     "raw_files": ["project_id"],
 }
 
+# Order inside a folder: the rows of a batch lie together, so file statistics find them.
+CLUSTERING = {"dataset_rows": ["dataset_id", "row_id"], "predictions": ["batch_id", "row_id"]}
+
 # For each table, the columns that point to another table's id. Rows go when
 # the row they point to goes.
 REFERENCES = {
@@ -177,8 +184,9 @@ class Store:
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Write rows of a partitioned table so that repeating the write changes nothing."""
         by = PARTITIONS[table]
-        # Range partitions hold whole neighbouring batches, or a piece of one large batch, so
-        # a task writes to few folders and no batch has to fit into one task.
-        shaped = self._shaped(table, rows).repartitionByRange(*by, "row_id").sortWithinPartitions(*by, "row_id")
+        # Range partitions hold neighbouring batches, or a piece of one large batch, so no
+        # batch has to fit into one task and every file covers a narrow range of batches.
+        order = [*by, *CLUSTERING[table]]
+        shaped = self._shaped(table, rows).repartitionByRange(*order).sortWithinPartitions(*order)
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by).parquet(self.path(table))

@@ -157,7 +157,7 @@ def _listed_paths(spark, folder):
 
 
 def _path_list(spark, folder):
-    return [row["path"] for row in _listed_paths(spark, folder).toLocalIterator()]
+    return [row["path"] for row in _listed_paths(spark, folder).collect()]
 
 
 @query(
@@ -292,10 +292,11 @@ def load_datasets(spark, sf_dir):
     FROM orders GROUP BY ALL""",
 )
 def parquet_sink(spark, sf_dir):
-    """Rows are stored by project and batch; writing them twice leaves one copy."""
+    """Rows are stored by project and load; writing them twice leaves one copy."""
     store = Store(spark, shared_folder(spark, "sink"))
     rows = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 4).alias("project_id"),
+        (F.col("o_custkey") % 8).alias("load_id"),
         (F.col("o_custkey") % 16).alias("batch_id"),
         F.col("o_orderkey").alias("row_id"),
         F.col("o_orderstatus").alias("predicted_label"),
@@ -325,12 +326,13 @@ def _store_with_baselines(spark, sf_dir):
     )
     rows = _event_baselines(spark, sf_dir).select(
         project.alias("project_id"),
+        F.lit(1).cast("long").alias("load_id"),
         (project + 200).alias("dataset_id"),
         F.monotonically_increasing_id().alias("row_id"),
         features.alias("features"),
     )
     store.replace_partitions("dataset_rows", rows)
-    store.append("datasets", rows.select(F.col("dataset_id").alias("id"), "project_id").distinct())
+    store.append("datasets", rows.select(F.col("dataset_id").alias("id"), "project_id", "load_id").distinct())
     return store
 
 
@@ -352,7 +354,7 @@ def stream_equals_batch(spark, sf_dir):
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
     streamed = _store_with_baselines(spark, sf_dir)
     stream = stream_predictions(
-        streamed, f"{folder}/*", shared_folder(spark, "progress"), _routed, _requests, stamp, files_per_batch=2
+        streamed, f"{folder}/*", shared_folder(spark, "progress"), _routed, _requests, stamp, files_per_batch=3
     )
     stream.awaitTermination()
     batch = _store_with_baselines(spark, sf_dir)
