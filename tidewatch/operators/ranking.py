@@ -60,20 +60,21 @@ def auc_from_counts(counted: DataFrame, keys: list[str] = ()) -> DataFrame:
     complete scores. The positive class is the given one, else the last of the two labels.
     """
     keys = list(keys)
-    whole = counted.groupBy(*keys).agg(
-        F.max(POSITIVE).alias("given"),
-        F.bool_and(F.col(TRUE).isNotNull() & F.col("score").isNotNull()).alias("complete"),
+    # Grouping by the positive class, one per key, keeps this pass over the counts hash-based.
+    present = F.col(TRUE).isNotNull() & F.col("score").isNotNull()
+    per_positive = counted.groupBy(*keys, POSITIVE).agg(F.bool_and(present).alias("complete"))
+    whole = per_positive.groupBy(*keys).agg(
+        F.max(POSITIVE).alias("given"), F.bool_and("complete").alias("complete")
     )
     labels = label_totals(counted, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("label_count"), F.max("label").alias("last_label")
     )
-    rule = as_small_side(
-        join_on_groups(whole, labels, keys).select(
-            *keys,
-            F.when(F.col("complete") & (F.col("label_count") == 2), F.coalesce("given", "last_label")).alias("positive"),
-        ),
-        not keys,
+    usable = F.col("complete") & (F.col("label_count") == 2)
+    rule = join_on_groups(whole, labels, keys).select(
+        *keys, F.when(usable, F.coalesce("given", "last_label")).alias("positive")
     )
+    # One row per key, read twice below.
+    rule = as_small_side(rule) if keys else cut_lineage(rule)
     hit = F.when(F.col(TRUE) == F.col("positive"), F.col("n")).otherwise(0)
     eligible = join_on_groups(counted, rule, keys).where("positive IS NOT NULL")
     area = area_under_roc(eligible.select(*keys, "score", hit.alias("pos"), (F.col("n") - hit).alias("neg")), keys)

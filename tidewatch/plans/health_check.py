@@ -79,7 +79,8 @@ def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(score < LOW_CONFIDENCE, n).otherwise(0)).alias("low_n"),
         F.sum(F.when((score < 0) | (score > 1), n).otherwise(0)).alias("out_of_range_n"),
     )
-    return join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left")
+    # One row per key: written, so that the final plan stays small.
+    return cut_lineage(join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left"))
 
 
 def _scored(joined: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def check_tables(
         reference = reference.drop(target)
     drift = feature_drift(reference, predictions.select(*keys, *features), keys, limits)
     metrics = _metrics(score_counts(predictions, keys), keys)
-    joined = join_on_groups(metrics, drift_summary(drift, keys), keys, "left")
+    joined = join_on_groups(metrics, cut_lineage(drift_summary(drift, keys)), keys, "left")
     # The drift pass has counted the gaps of the shared features; only others are read again.
     others = [f for f in features if f not in reference.columns]
     if others:
@@ -292,7 +293,7 @@ def run_health_checks(
     )
     types = cut_lineage(types)
     drift = drift_from_frequencies(_check_frequencies(values, types, valid), ["check_id"], limits)
-    summary = drift_summary(drift, ["check_id"]).drop("missing_n")
+    summary = cut_lineage(drift_summary(drift, ["check_id"]).drop("missing_n"))
     missing = (
         types.where("side = 'cur'")
         .groupBy(F.col("owner").alias("prediction_batch_id"))
