@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, sharding, url_rules
+from tidewatch.llm import byte_bpe, quality, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards the good ones keeps."""
+    documents, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    kept = quality.select(documents.select("doc_id", "text"), labels)
+    return kept.select("doc_id", "log_weight", "features", "sort_key")
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document placed by proportional stratified interleaving, law ``rows``."""
