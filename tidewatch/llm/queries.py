@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, quality, sharding, url_rules
+from tidewatch.llm import byte_bpe, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity after deobfuscation."""
+    documents, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    documents = documents.select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity.fit(documents, labels), restored=None)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the public rank file and decoded again."""
