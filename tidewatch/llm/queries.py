@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, quality, sharding, toxicity, url_rules
+from tidewatch.llm import byte_bpe, decontaminate, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the list and the mined rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    documents, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    flagged = decontaminate.flag(documents.select("doc_id", "text"), benchmark).filter("size(leaks) > 0")
+    found = flagged.select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select(
+        "doc_id", F.col("leak.item").cast("long").alias("item_id"), "leak.edits", "leak.start", "leak.length"
+    )
