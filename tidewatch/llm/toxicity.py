@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm import grams
 from tidewatch.llm.common import without
+from tidewatch.session import cut_lineage
 
 #: Letters that a sign may stand for. Fixed values.
 LOOKALIKE = {
@@ -46,6 +47,8 @@ SAMPLE = 10_000
 SLOTS = 1 << 20
 LENGTHS = (4, 5, 6, 8)
 LEAST = 4
+#: Log odds from which an n-gram counts.
+STRONG = 2.0
 
 
 @dataclass(frozen=True)
@@ -336,18 +339,18 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         )
 
     summed = chosen.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = summed.filter(f"slot < 0 OR toxic >= {LEAST}").toPandas()
-    totals = table[table["slot"] < 0]
-    clean, toxic = (int(totals[c].sum()) for c in ("clean", "toxic"))
+    summed = cut_lineage(summed)
+    totals = summed.filter("slot < 0").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    clean, toxic = totals["clean"] or 0, totals["toxic"] or 0
     weights = np.zeros(SLOTS)
     if not clean or not toxic:
         share = toxic / max(clean + toxic, 1)
         level = -30.0 if not toxic else (30.0 if share == 1 else np.log(share / (1 - share)))
         return Model(trigrams, weights, np.array([level, 0.0, 0.0, 0.0, 0.0]))
-    found = table[table["slot"] >= 0]
-    odds = np.log((found["toxic"] + 0.1) / (toxic + 0.2)) - np.log((found["clean"] + 0.5) / (clean + 1.0))
-    strong = odds > 2.0
-    weights[found["slot"][strong].to_numpy()] = odds[strong]
+    odds = F.log((F.col("toxic") + 0.1) / F.lit(toxic + 0.2)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
+    # Only the slots that speak for toxicity reach the driver: a few thousand of at most SLOTS.
+    strong = summed.filter(f"slot >= 0 AND toxic >= {LEAST}").select("slot", odds.alias("odds")).filter(f"odds > {STRONG}").toPandas()
+    weights[strong["slot"]] = strong["odds"]
     points = _evidence_of(chosen.select("text", "toxic"), trigrams, weights).select("toxic", "signs").toPandas()
     signs = np.array(points["signs"].to_list()).reshape(-1, 4)
     return Model(trigrams, weights, logistic(signs, points["toxic"].to_numpy(dtype=float)))
