@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, quality, sharding, toxicity, url_rules
+from tidewatch.llm import byte_bpe, decontaminate, ngram_join, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "log_weight", "features", "sort_key")
 
 
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 3-word shingles at a similarity of 0.9."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document placed by proportional stratified interleaving, law ``rows``."""
