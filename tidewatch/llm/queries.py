@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, ngram_join, quality, sharding, toxicity, url_rules
+from tidewatch.llm import byte_bpe, decontaminate, knn_join, ngram_join, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.col("leak.item").cast("long").alias("item_id"), "leak.edits", "leak.start", "leak.length"
     )
+
+
+@query(
+    "op9_knn_join",
+    """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, w.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, w.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM whole q JOIN whole w ON q.vec_id % 50 = 0 AND w.vec_id != q.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored
+    QUALIFY rank <= 5
+    """,
+)
+def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector among all others."""
+    vectors = knn_join.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return knn_join.top_k(vectors, vectors.filter("id % 50 = 0"))
