@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, knn_join, ngram_join, quality, sharding, toxicity, url_rules
+from tidewatch.llm import byte_bpe, decontaminate, knn_join, line_dedup, ngram_join, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,51 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "log_weight", "features", "sort_key")
 
 
+@query(
+    "op4_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, parts, unnest(range(len(parts))) AS line, unnest(parts) AS body
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+    ), sets AS (
+        SELECT doc_id, line, list_sort(list_distinct(list_filter(
+                   regexp_split_to_array(lower(body), '[ \t\x0B\f\r]+'), lambda w: w != ''))) AS words
+        FROM lines
+    ), units AS (
+        SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS unit
+        FROM sets WHERE len(words) > 0 GROUP BY words
+    ), tokens AS (
+        SELECT unit, n, unnest(words) AS word FROM units
+    ), common AS (
+        SELECT a.unit AS a, b.unit AS b, count(*) AS shared, any_value(a.n) AS n_a, any_value(b.n) AS n_b
+        FROM tokens a JOIN tokens b ON a.word = b.word AND a.unit != b.unit
+         AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+        GROUP BY a.unit, b.unit
+    ), late AS (
+        SELECT DISTINCT a AS unit
+        FROM common JOIN units x ON x.unit = a JOIN units y ON y.unit = b
+        WHERE 100 * shared >= 80 * (n_a + n_b - shared) AND y.first < x.first
+    ), told AS (
+        SELECT s.doc_id, s.line,
+               len(s.words) > 0 AND (l.unit IS NOT NULL OR (s.doc_id, s.line) > u.first) AS gone
+        FROM sets s LEFT JOIN units u ON u.words = s.words LEFT JOIN late l ON l.unit = u.unit
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT coalesce(gone, false)) AS n_kept,
+           coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE gone), '') AS gone
+    FROM told GROUP BY doc_id
+    """,
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines and the numbers of those that repeat an earlier line."""
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("lines").alias("n_lines"),
+        (F.col("lines") - F.size("gone")).alias("n_kept"),
+        F.array_join("gone", ",").alias("gone"),
+    )
+
+
 @query("op5_ngram_join")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 3-word shingles at a similarity of 0.9."""
