@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, knn_join, line_dedup, ngram_join, quality, sharding, toxicity, url_rules
+from tidewatch.llm import byte_bpe, decontaminate, knn_join, license_scan, line_dedup, ngram_join, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,17 @@ def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest inner products of every fiftieth vector among all others."""
     vectors = knn_join.whole_vectors(table(spark, sf_dir, "embeddings"))
     return knn_join.top_k(vectors, vectors.filter("id % 50 = 0"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or that of its nearest directory.
+
+    The table has no paths; a document lies in ``<source>/<lang>/<doc_id modulo 100>``.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scanned = license_scan.scan(documents).drop("text")
+    folder = F.concat_ws("/", "source", "lang", F.pmod("doc_id", F.lit(100)))
+    return license_scan.inherit(scanned, folder).select(
+        "doc_id", "own_license", "cosine", "license_line", "license_file", "license", "license_from"
+    )
