@@ -23,14 +23,15 @@ PERCENT = 80
 #: Slots of the table of word counts, and of the bitmap of lines whose words are fetched.
 SLOTS = 1 << 16
 BITMAP_WORDS = 1 << 15
-BLANKS = r"[ \t\x0B\f\r\n]+"
+#: White space besides the space that parts words.
+BLANKS = "\t\x0b\f\r\n"
 NEWLINE = "\n"
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> list[int]:
     """How often words of each slot occur in all texts; one number per slot."""
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), BLANKS)).alias("word"))
-    slots = words.select(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot"))
+    words = texts.select(F.explode(_words(F.col(text))).alias("word"))
+    slots = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
     counts = [0] * SLOTS
     for row in slots.groupBy("slot").agg(F.count("*").alias("uses")).collect():  # SLOTS rows at most
         counts[row["slot"]] = row["uses"]
@@ -44,13 +45,19 @@ def _coded(words: Column, counts: list[int]) -> Column:
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     codes = F.transform(
         hashes,
-        lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
+        lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long")), 56).bitwiseOR(
+            F.shiftrightunsigned(h, 8)
+        ),
     )
     return F.sort_array(F.array_distinct(codes))
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), BLANKS), lambda w: w != "")
+    """Lower-cased words between white space. Splitting at one plain sign needs no pattern."""
+    spaced = F.lower(line)
+    for blank in BLANKS:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -113,14 +120,14 @@ def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
         "word", F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")
     )
     pairs = ours.join(heads, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
-    early = _later(docs, units, cut_lineage(pairs), percent)
+    early = _later(docs, units, pairs, percent)
 
     shared = cut_lineage(places.join(words.filter("uses > 2").select("word"), "word"))
     rest = shared.join(early, ["unit", "n"], "left_anti")
     ours = rest.select("word", F.col("unit").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
     others = shared.select("word", F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
     more = ours.join(others, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
-    return early.union(_later(docs, units, cut_lineage(more), percent)).distinct()
+    return early.union(_later(docs, units, more, percent)).distinct()
 
 
 def _differ() -> Column:
@@ -128,10 +135,19 @@ def _differ() -> Column:
 
 
 def _later(docs: DataFrame, units: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later unit ``(unit, n)`` of each pair whose words are within the threshold."""
-    firsts = units.select("unit", "n", "first")
-    placed = pairs.join(firsts.select(F.col("unit").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a")), ["a", "n_a"])
-    placed = placed.join(firsts.select(F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("first").alias("first_b")), ["b", "n_b"])
+    """The later unit ``(unit, n)`` of each pair whose words are within the threshold.
+
+    Before words are fetched the prefixes bound the overlap: of the unit whose prefix ends first
+    in the common order, only words behind the prefix can be shared beyond the shared prefix.
+    """
+    sides = [
+        units.select(F.col("unit").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+        for x in ("a", "b")
+    ]
+    placed = pairs.join(sides[0], ["a", "n_a"]).join(sides[1], ["b", "n_b"])
+    behind = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    bound = F.size(F.array_intersect("prefix_a", "prefix_b")) + behind
+    placed = placed.filter(bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     before = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("a") < F.col("b")))
     early = F.struct(F.col("first_a").alias("first"), F.col("a").alias("unit"), F.col("n_a").alias("n"))
     late = F.struct(F.col("first_b").alias("first"), F.col("b").alias("unit"), F.col("n_b").alias("n"))
