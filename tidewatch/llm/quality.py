@@ -100,12 +100,36 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     if target.sum() == BUCKETS:
         return Model(np.zeros(BUCKETS), -1.0)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    chosen = rows.join(F.broadcast(sample), "key")
-    scored = weigh(chosen, Model(ratio, 0.0)).filter("features > 0")
-    points = scored.select("good", (F.col("log_weight") / F.col("features")).alias("mean")).toPandas()
+    chosen = rows.join(F.broadcast(sample), "key").select("text", "good")
+    points = chosen.mapInArrow(_judged(raw, target), "good int, mean double").toPandas()
     return Model(ratio, _margin(points["mean"].to_numpy(), points["good"].to_numpy()))
 
 
+def _judged(raw: np.ndarray, target: np.ndarray):
+    """A task that gives ``(good, mean)`` per labelled text with features: its mean log ratio.
+
+    A text labelled good is part of the target counts; its own features are taken off them first,
+    so that it is judged like a text that was not counted.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.array(batch.column("good").to_pylist(), dtype=np.int64)
+            for first, data, offsets in grams.blocks(batch.column("text")):
+                found, counts = features(data, offsets)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                label = good[first : first + len(counts)]
+                _, which, uses = np.unique(owner * BUCKETS + found, return_inverse=True, return_counts=True)
+                own = np.where(label[owner] == 1, uses[which], 0)
+                rest = target.sum() - np.where(label == 1, counts, 0)[owner]
+                ratio = np.log((target[found] - own) / rest) - np.log(raw[found] / raw.sum())
+                mean = np.bincount(owner, weights=ratio, minlength=len(counts)) / np.maximum(counts, 1)
+                solid = counts > 0
+                yield pa.RecordBatch.from_arrays([pa.array(label[solid].astype(np.int32)), pa.array(mean[solid])], names=["good", "mean"])
+
+    return judge
+
+
 def _margin(mean: np.ndarray, good: np.ndarray) -> float:
     """The cut with the least weighted error: losing a good text costs four bad ones kept.
 
