@@ -27,3 +27,26 @@ def without(df: DataFrame, *names: str) -> list[Column]:
 def text_of(column: str | Column) -> Column:
     """A text cell as it is, or the empty text for NULL."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+#: Slots of the bitmap that ``thinned`` sends to the scan, 32 bits each.
+BITMAP_WORDS = 1 << 15
+
+
+def thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is among the first column of ``wanted``; without NULL keys.
+
+    A bitmap of fixed size, whatever the input, drops most other rows before the join shuffles
+    them; the rest is dropped by the join itself.
+    """
+    name = wanted.columns[0]
+    bit = F.pmod(F.xxhash64(F.col(name)), F.lit(BITMAP_WORDS * 32)).cast("int")
+    set_bits = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32").cast("int").alias("slot"))
+    table = [0] * BITMAP_WORDS
+    for row in set_bits.agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).collect():
+        table[row["slot"]] = row["bits"]
+    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
+    own = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 32)).cast("int")
+    held = F.get(known, F.shiftright(own, 5))
+    hit = F.call_function("shiftrightunsigned", held, own.bitwiseAND(F.lit(31))).bitwiseAND(F.lit(1)) == 1
+    return rows.filter(hit).join(wanted.select(F.col(name).alias(key)).distinct(), key)

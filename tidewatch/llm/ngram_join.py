@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import fresh
+from tidewatch.llm.common import fresh, thinned
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
@@ -37,6 +37,8 @@ SEEDS = 3
 #: the token order depends on it, not the result; there are at most mean set size / share of them.
 FREQUENT_SHARE = 0.0005
 FREQUENT_LEAST = 20
+#: Stands for a NULL key inside.
+NO_KEY = -(2**63)
 #: Shingles counted at a time, and local repeats from which a token is reported.
 COUNT_BLOCK = 1 << 21
 COUNT_LEAST = 4
@@ -134,8 +136,11 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are within the threshold, compared exactly."""
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are within the threshold, compared exactly.
+
+    Only the texts of nodes in ``pairs`` are read again and turned into sets.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,22 +149,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
-            yield kept
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = cut_lineage(_node_sets(rows, nodes.select("node", "doc", "n", "s1").join(wanted, "node"), k))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, near boolean").filter("near").select("a", "b")
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, n_a, n_b, prefix_a, prefix_b)`` that sizes and prefixes do not rule out."""
-    common = F.array_intersect("prefix_a", "prefix_b")
-    pairs = pairs.withColumn("common", common).filter(F.size("common") >= SHARED)
+    """Those of the pairs ``(a, b, n_a, n_b, prefix_a, prefix_b)`` that prefixes do not rule out.
+
+    Tokens before the first shared one are lost to both. Of the node whose prefix ends first in
+    the common order, only tokens behind the prefix can be shared beyond the shared prefix.
+    """
+    pairs = pairs.withColumn("common", F.array_intersect("prefix_a", "prefix_b")).filter(F.size("common") >= SHARED)
     first = F.element_at("common", 1)
     left_a = F.col("n_a") - F.array_position("prefix_a", first) + 1
     left_b = F.col("n_b") - F.array_position("prefix_b", first) + 1
-    return pairs.filter(F.least(left_a, left_b) >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    behind = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    most = F.least(left_a, left_b, F.size("common") + behind)
+    return pairs.filter(most >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
 
 
 def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +186,7 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     """
     if not 1 <= percent <= 100 or k < 1:
         raise ValueError("percent must be 1 to 100 and k at least 1")
-    rows = documents.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("doc"), F.col(f"`{text}`").alias("text"))
     sketched = cut_lineage(
         sketches(rows, frequent_tokens(rows.select("text"), k), k, percent).withColumn(
             "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))
@@ -182,7 +194,7 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     )
     links = _links(rows, sketched, k, percent)
     found = components(links)
-    light = sketched.select("doc", "n", "node")
+    light = sketched.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias("doc"), "n", "node")
     named = light.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component_id"))
     return named.join(least, "root", "left").select(
@@ -195,29 +207,21 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
 def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs ``(a, b)`` of nodes that connect every class."""
     # One row per node that may link to a different one; a key stands for its text.
-    able = sketched.filter("prefix IS NOT NULL")
-    keys = able.groupBy("node").agg(F.min("doc").alias("doc"))
-    whole = able.join(keys, ["node", "doc"]).dropDuplicates(["node"])
-    # Tokens of one node only bring nobody together; a node needs SHARED others.
-    places = whole.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = places.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1").select("token")
-    postings = places.join(shared, "token")
-    open_nodes = postings.groupBy("node").agg(F.count("*").alias("uses")).filter(F.col("uses") >= SHARED).select("node")
-    nodes = cut_lineage(whole.join(open_nodes, "node"))
-    sets = cut_lineage(_node_sets(rows, nodes, k))
+    nodes = cut_lineage(sketched.filter("prefix IS NOT NULL").dropDuplicates(["node"]))
+    tails = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
+    heads = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("prefix_b"))
 
     # Groups: each node against the node of fewest rare tokens with the same min-hash.
-    homes = nodes.select("node", "n", "rare", "prefix", F.posexplode("homes").alias("seed", "home"))
+    homes = nodes.select("node", "n", "rare", F.posexplode("homes").alias("seed", "home"))
     leaders = homes.groupBy("seed", "home").agg(F.min(F.struct("rare", "n", "node"))["node"].alias("leader"), F.count("*").alias("members"))
     led = homes.join(leaders.filter("members > 1"), ["seed", "home"]).filter("leader != node")
-    led = led.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
-    heads = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("prefix_b"))
-    near = cut_lineage(_verified(_promising(led.join(heads, "b"), percent), sets, percent))
-    grouped = nodes.join(components(near), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    grouped = cut_lineage(grouped.select("node", "n", "prefix", "group"))
+    led = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    near = cut_lineage(_verified(_promising(led.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent))
+    grouped = nodes.join(components(near), "node", "left").withColumn("group", F.coalesce("root", "node"))
 
     # The matrix, and the bound of each node against the groups that hold tokens of its prefix.
-    tokens = grouped.select("node", "n", "group", F.posexplode("prefix").alias("place", "token"))
+    # All of it happens within the partitions of one shuffle by token.
+    tokens = grouped.select("node", "n", "group", F.posexplode("prefix").alias("place", "token")).repartition("token")
     matrix = tokens.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
@@ -238,8 +242,7 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
         F.col("node").alias("b"), F.col("other").alias("group"), F.col("group").alias("other")
     )
     pairs = ours.join(theirs, ["group", "other"]).select("a", "b")
-    tails = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
-    crossing = _verified(_promising(pairs.join(tails, "a").join(heads, "b"), percent), sets, percent)
+    crossing = _verified(_promising(pairs.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent)
     return near.union(cut_lineage(crossing))
 
 
@@ -249,8 +252,7 @@ def _node_sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     A key that stands for a node may occur with several texts; the node's own signature picks
     the right one.
     """
-    wanted = nodes.select("doc", "node", "n", "s1")
-    texts = rows.join(wanted, "doc")
+    texts = thinned(rows, "doc", nodes.select("doc")).join(nodes, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
