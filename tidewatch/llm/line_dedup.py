@@ -16,13 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, text_of
+from tidewatch.llm.common import fresh, text_of, thinned
 from tidewatch.session import cut_lineage
 
 PERCENT = 80
-#: Slots of the table of word counts, and of the bitmap of lines whose words are fetched.
+#: Slots of the table of word counts.
 SLOTS = 1 << 16
-BITMAP_WORDS = 1 << 15
 #: White space besides the space that parts words.
 BLANKS = "\t\x0b\f\r\n"
 NEWLINE = "\n"
@@ -167,23 +166,11 @@ def _later(docs: DataFrame, units: DataFrame, pairs: DataFrame, percent: int) ->
 def _unit_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(first, words)``: the distinct words of the line at each wanted place.
 
-    A bitmap of fixed size thins the lines out before they are shuffled; it only lets some through
-    that the join then drops. Texts of one key that differ may give several lines for one place.
+    Texts of one key that differ may give several lines for one place.
     """
-    bit = F.pmod(F.xxhash64(F.col("first")), F.lit(BITMAP_WORDS * 32)).cast("int")
-    set_bits = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32").cast("int").alias("slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")
-    )
-    table = [0] * BITMAP_WORDS
-    for row in set_bits.collect():  # BITMAP_WORDS rows at most
-        table[row["slot"]] = row["bits"]
-    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
     first = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
-    lines = _lines(docs).select(first.alias("first"), "body").withColumn("bit", bit)
-    held = F.get(known, F.expr("cast(bit div 32 as int)"))
-    hit = F.call_function("shiftrightunsigned", held, F.col("bit") % 32).bitwiseAND(F.lit(1)) == 1
-    passed = lines.filter(hit).select("first", "body").join(wanted.select("first").distinct(), "first")
-    return passed.select("first", F.array_distinct(_words(F.col("body"))).alias("words"))
+    lines = _lines(docs).select(first.alias("first"), "body")
+    return thinned(lines, "first", wanted.select("first")).select("first", F.array_distinct(_words(F.col("body"))).alias("words"))
 
 
 def dedup(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
