@@ -164,7 +164,7 @@ def weigh(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 total = np.bincount(owner, weights=ratio[found] - margin, minlength=len(counts))
                 part = batch.slice(first, len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.round(total, 6)), pa.array(counts.astype(np.int64))],
+                    [*part.columns, pa.array(np.round(total.astype(np.float64), 6)), pa.array(counts.astype(np.int64))],
                     names=[*part.schema.names, "log_weight", "features"],
                 )
 
