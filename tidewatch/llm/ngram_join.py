@@ -2,7 +2,8 @@
 
 1. Every text becomes a set of hashed shingles. Equal sets are one *node*.
 2. Tokens have one order: rare ones by hash, then those in many texts by hash. A node's *prefix*
-   holds its first tokens, enough that two sets within the threshold share ``SHARED`` of them.
+   holds its first tokens, enough that two sets within the threshold share some of them
+   (``shared_least``).
 3. Nodes with the same min-hash are compared with the node of fewest rare tokens among them.
    Links found so merge nodes into *groups* of similar texts.
 4. The matrix stores the union of the prefixes of each group, one row per token and group, with
@@ -29,7 +30,7 @@ from tidewatch.llm.common import fresh, thinned
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
-#: Prefix tokens that two linked sets share at least.
+#: Prefix tokens that two linked sets share at least, where small sets have as many in common.
 SHARED = 3
 #: Independent min-hashes that bring similar texts together.
 SEEDS = 3
@@ -92,13 +93,18 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 1 << 30
 
 
+def shared_least(percent: int) -> int:
+    """Prefix tokens that linked different sets share: SHARED, or all that the smallest must."""
+    return min(SHARED, -(-percent * least_size(percent) // 100))
+
+
 def sketches(rows: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
     """``(doc, n, s1, s2, rare, homes, prefix)`` of ``(doc, text)``.
 
     ``s1`` and ``s2`` identify a set, ``rare`` counts its tokens that are not frequent, ``homes``
     are its min-hashes; sets too small to link to a different one have no homes and no prefix.
     """
-    smallest = least_size(percent)
+    smallest, shared = least_size(percent), shared_least(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = grams.U
@@ -118,7 +124,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
                     rare = n - int(known.sum())
                 else:
                     order, rare = tokens, n
-                length = min(n - -(-percent * n // 100) + SHARED, n)
+                length = min(n - -(-percent * n // 100) + shared, n)
                 homes = [int(grams.mix(tokens + u(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))).min().astype(np.int64)) for j in range(SEEDS)]
                 out.append((n, s1, s2, rare, homes, order[:length].view(np.int64)))
             n, s1, s2, rare, homes, prefix = zip(*out, strict=True) if out else ((),) * 6
@@ -165,7 +171,7 @@ def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     Tokens before the first shared one are lost to both. Of the node whose prefix ends first in
     the common order, only tokens behind the prefix can be shared beyond the shared prefix.
     """
-    pairs = pairs.withColumn("common", F.array_intersect("prefix_a", "prefix_b")).filter(F.size("common") >= SHARED)
+    pairs = pairs.withColumn("common", F.array_intersect("prefix_a", "prefix_b")).filter(F.size("common") >= shared_least(percent))
     first = F.element_at("common", 1)
     left_a = F.col("n_a") - F.array_position("prefix_a", first) + 1
     left_b = F.col("n_b") - F.array_position("prefix_b", first) + 1
@@ -231,7 +237,7 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
     )
     smallest = F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / 100))
     fits = (
-        (F.col("overlap") >= SHARED)
+        (F.col("overlap") >= shared_least(percent))
         & (F.col("most") * 100 >= F.col("n") * percent)
         & (F.col("n") * 100 >= F.col("least") * percent)
         & (F.col("n") - F.col("place") >= _needed(F.col("n"), smallest, percent))
