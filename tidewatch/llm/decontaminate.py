@@ -23,7 +23,7 @@ from tidewatch.llm.common import fresh, without
 
 Q = 12
 WINDOW = 100
-STRIDE = 50
+STRIDE = 25
 #: Edits allowed per byte of a window.
 EDIT_SHARE = 0.06
 #: Bytes of benchmark text that one pass over the documents looks for.
