@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Cell texts that count as missing.
 MISSING_TOKENS = [
@@ -39,6 +40,21 @@ TRUE_TEXTS = ["True", "TRUE", "true"]
 MISSING_CATEGORY = "MISSING"
 
 
+def null_if_nan(number: Column) -> Column:
+    """A floating number without NaN, which typed tables use for missing values."""
+    return F.when(~F.isnan(number), number)
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """A typed column in which NaN, too, is NULL."""
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return null_if_nan(F.col(f"`{name}`")) if floating else F.col(f"`{name}`")
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    return present(df, name).isNull()
+
+
 def null_if_missing(raw: Column) -> Column:
     return F.when(~raw.isin(MISSING_TOKENS), raw)
 

@@ -91,20 +91,13 @@ def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_
     return ranked.select(*keys, "feature", F.expr(f"array_distinct({interpolated})").alias("edges"))
 
 
-# Up to this many bins the edges are compared one by one, which compiles to plain code.
-COMPILED_BINS = 100
-
-
-def bin_number(value: str, edges: str, bins: int = DEFAULT_BINS) -> Column:
+def bin_number(value: str, edges: str) -> Column:
     """1-based bin of a value; NULL when a constant reference leaves it outside its only bin.
 
     Bins are half-open, the outer ones reach to infinity. A constant reference has the single
     closed bin of half a unit either side.
     """
-    if bins <= COMPILED_BINS:
-        below = F.expr(" + ".join(f"if(get({edges}, {j}) <= {value}, 1, 0)" for j in range(bins + 1)))
-    else:
-        below = F.expr(f"size(filter({edges}, e -> e <= {value}))")
+    below = F.expr(f"size(filter({edges}, e -> e <= {value}))")
     inner = F.least(F.greatest(below, F.lit(1)), F.size(edges) - 1)
     constant = F.when(F.abs(F.col(value) - F.get(F.col(edges), F.lit(0))) <= 0.5, F.lit(1))
     return F.when(F.size(edges) == 1, constant).otherwise(inner)
@@ -115,7 +108,7 @@ def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = (), bins: i
     values = _numeric(totals).select(*keys, "feature", "num", "ref_n", "cur_n")
     binned = join_on_groups(values, as_small_side(edges, not keys), [*keys, "feature"])
     return (
-        binned.withColumn("bin", bin_number("num", "edges", bins))
+        binned.withColumn("bin", bin_number("num", "edges"))
         .where("bin IS NOT NULL")
         .groupBy(*keys, "feature", "bin")
         .agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
@@ -192,10 +185,12 @@ def drift_from_frequencies(
     limits: DriftThresholds = DriftThresholds(),
     bins: int = DEFAULT_BINS,
     strict: bool = False,
+    method: str = "auto",
 ) -> DataFrame:
     """One row per (keys, feature): type, measures, severity, or the reason it has none.
 
-    ``missing_n`` is the number of missing current cells, found in the same pass.
+    ``missing_n`` is the number of missing current cells, found in the same pass. ``method`` is
+    that of ``ks_p_value``.
     """
     keys = list(keys)
     totals = value_totals(freq, keys)
@@ -207,7 +202,7 @@ def drift_from_frequencies(
     # One pass over the values: everything is summed per bin, then the few bins per feature.
     per_bin = (
         join_on_groups(totals, edges, per_feature, "left")
-        .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number("num", "edges", bins)))
+        .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number("num", "edges")))
         .groupBy(*per_feature, "bin")
         .agg(
             F.bool_and(numeric).alias("numeric"),
@@ -240,7 +235,7 @@ def drift_from_frequencies(
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
     # Explicitly spread: the few rows here carry the exact p-values, the only Python work.
     joined = measured.repartition(freq.sparkSession.sparkContext.defaultParallelism, *per_feature)
-    p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"))
+    p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), method)
     scored = joined.withColumn("ks_p_value", p_value)
     severity = F.when(numeric, numeric_severity(F.col("psi"), F.col("ks_p_value"), limits)).otherwise(
         categorical_severity(F.col("tvd"), limits)
@@ -265,9 +260,10 @@ def feature_drift(
     limits: DriftThresholds = DriftThresholds(),
     bins: int = DEFAULT_BINS,
     strict: bool = False,
+    method: str = "auto",
 ) -> DataFrame:
     """Drift of every feature the two typed tables share."""
-    return drift_from_frequencies(frequency_table(reference, current, keys), list(keys), limits, bins, strict)
+    return drift_from_frequencies(frequency_table(reference, current, keys), list(keys), limits, bins, strict, method)
 
 
 def drift_summary(drift: DataFrame, keys: list[str] = ()) -> DataFrame:

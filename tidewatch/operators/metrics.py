@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import null_if_nan
 from tidewatch.operators.cumulative import join_on_groups
 from tidewatch.session import cut_lineage
 
@@ -28,7 +29,7 @@ def label_counts(
 ) -> DataFrame:
     """Rows per (keys, true, predicted) with confidence sums."""
     names = df.columns
-    conf = F.col(CONF).cast("double") if CONF in names else F.lit(None).cast("double")
+    conf = null_if_nan(F.col(CONF).cast("double")) if CONF in names else F.lit(None).cast("double")
     true = F.col(TRUE).cast("string") if TRUE in names else F.lit(None).cast("string")
     positive = F.col(POSITIVE).cast("string") if POSITIVE in names else F.lit(None).cast("string")
     rows = df.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.text import MISSING_CATEGORY, to_number
+from tidewatch.functions.text import MISSING_CATEGORY, is_missing, present, to_number
 from tidewatch.functions.typing import BOOL, FLOAT64, INT64, OBJECT, type_counts, type_name, typed_text
 from tidewatch.operators.cumulative import join_on_groups
 from tidewatch.session import as_small_side
@@ -158,7 +158,7 @@ def _declared_type(data_type: T.DataType, missing: Column) -> Column:
 
 def declared_types(df: DataFrame) -> DataFrame:
     """Types and missing counts of a typed table, in one pass without unpivoting its rows."""
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    counted = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns])
     cells = [
         v
         for i, field in enumerate(df.schema)
@@ -174,7 +174,10 @@ def columns_by_kind(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, range and deviation of typed numeric columns: one aggregate, no shuffle of rows."""
+    """Count, mean, range and deviation of typed numeric columns: one aggregate, no shuffle of rows.
+
+    NaN is missing, like NULL.
+    """
     columns = columns if columns is not None else columns_by_kind(df)[0]
     measures = {
         "count": F.count,
@@ -183,7 +186,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         "maximum": lambda c: F.max(c).cast("double"),
         "standard_deviation": _deviation,
     }
-    whole = df.agg(*[f(F.col(c)).alias(f"{c}.{m}") for c in columns for m, f in measures.items()])
+    whole = df.agg(*[f(present(df, c)).alias(f"{c}.{m}") for c in columns for m, f in measures.items()])
     cells = [v for c in columns for v in (F.lit(c), *[F.col(f"`{c}.{m}`") for m in measures])]
     return whole.select(F.stack(F.lit(len(columns)), *cells).alias("column", *measures))
 

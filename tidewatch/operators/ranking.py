@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import null_if_nan
 from tidewatch.operators.cumulative import CHUNK, chunked, join_on_groups
 from tidewatch.operators.metrics import CONF, POSITIVE, PRED, TRUE, label_totals
 from tidewatch.session import as_small_side, cut_lineage
@@ -41,7 +42,7 @@ def score_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     names = df.columns
     given = F.col(POSITIVE) if POSITIVE in names else F.lit(None)
     true = F.col(TRUE) if TRUE in names else F.lit(None)
-    conf = F.col(CONF) if CONF in names else F.lit(None)
+    conf = null_if_nan(F.col(CONF).cast("double")) if CONF in names else F.lit(None)
     return cut_lineage(
         df.groupBy(
             *keys,

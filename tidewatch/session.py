@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a side may have to be broadcast. Rows on such sides are a few
-# dozen bytes wide, so this keeps a broadcast in the low tens of megabytes.
+# Largest number of rows and of bytes (values as text) a side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app_name: str = "tidewatch", master: str | None = None, **conf) -> SparkSession:
@@ -25,6 +26,7 @@ def build_session(app_name: str = "tidewatch", master: str | None = None, **conf
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -38,7 +40,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
             shared = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
         context.setCheckpointDir(shared)
@@ -66,10 +68,12 @@ def as_small_side(df: DataFrame, bounded: bool = False, limit: int = BROADCAST_R
 
     ``bounded`` says that its row count is limited by the schema and the number of shuffle
     partitions (no key columns), so it is broadcast as it is. Otherwise it is computed and
-    counted first; above ``limit`` rows the join is left to the optimizer, a shuffle join
-    whose hot partitions adaptive execution splits.
+    measured first; above ``limit`` rows or BROADCAST_BYTES the join is left to the optimizer,
+    a shuffle join whose hot partitions adaptive execution splits.
     """
     if bounded:
         return F.broadcast(df)
     computed = cut_lineage(df)
-    return F.broadcast(computed) if computed.count() <= limit else computed
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in computed.columns])))
+    size = computed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(computed) if size["n"] <= limit and size["bytes"] <= BROADCAST_BYTES else computed

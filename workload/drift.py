@@ -8,7 +8,7 @@ from tidewatch.functions.statistics import ks_p_value
 from tidewatch.operators import drift
 from tidewatch.operators.frequency import frequency_table
 from workload import query, r9, table
-from workload.proxies import EVENT_SPLIT, FEATURES, NUMBERS, ORDER_SPLIT, SPLIT, before, split_lineitem
+from workload.proxies import BATCH_SQL, EVENT_SPLIT, FEATURES, NUMBERS, ORDER_SPLIT, SPLIT, batch_of, before, split_lineitem
 
 # --- SQL building blocks ------------------------------------------------------------------
 
@@ -259,7 +259,7 @@ def ks_pvalue_exact(spark, sf_dir):
     """Small samples per event type; the lattice recursion has no practical SQL form."""
     sides = _split_events(spark, sf_dir, "event_type", "value")
     rows = drift.ks_statistic(_totals(sides, ["event_type"]), ["event_type"])
-    p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"))
+    p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), "exact")
     return rows.select("event_type", "ref_n", "cur_n", r9(p_value, "ks_p_value"))
 
 
@@ -349,13 +349,14 @@ def drift_detected(spark, sf_dir):
 
 @query(
     "drift_by_batch",
-    f"""WITH keyed AS (SELECT *, l_suppkey % 2 AS batch FROM lineitem),
+    f"""WITH keyed AS (SELECT *, {BATCH_SQL} AS batch FROM lineitem),
     {observed("keyed", ITEM_REF, columns(FEATURES), "batch, ")}, {drift_ctes("batch, ")}
     SELECT batch, {SHOWN} FROM drift""",
 )
 def drift_by_batch(spark, sf_dir):
-    sides = split_lineitem(spark, sf_dir, FEATURES, {"batch": F.col("l_suppkey") % 2})
-    return drift_rows(drift.feature_drift(*sides, ["batch"]), ["batch"])
+    """Eight batches, one of which holds two fifths of the rows."""
+    sides = split_lineitem(spark, sf_dir, FEATURES, {"batch": batch_of()})
+    return drift_rows(drift.feature_drift(*sides, ["batch"], method="asymptotic"), ["batch"])
 
 
 @query(

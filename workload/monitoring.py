@@ -11,7 +11,7 @@ from tidewatch.session import cut_lineage
 from workload import query, r9, table
 from workload.drift import ITEM_REF, SHIFTED, columns, drift_ctes, observed, summary_sql
 from workload.metrics import auc_sql, class_ctes
-from workload.proxies import BINARY_LOG, FEATURES, SPLIT, before, binary_log, feature_map
+from workload.proxies import BATCH_SQL, BINARY_LOG, FEATURES, SPLIT, batch_of, before, binary_log, feature_map
 
 # --- SQL building blocks ------------------------------------------------------------------
 
@@ -90,13 +90,13 @@ REPORT_SQL = """sample_count, round(accuracy, 9) AS accuracy, round(precision, 9
   health_score, status, risk_level, retraining_recommended, finding_codes, summary_text"""
 COMPONENT_SQL = "performance_score, drift_score, data_quality_score, confidence_score, class_balance_score"
 
-BATCHED_LOG = BINARY_LOG + ", batched AS (SELECT *, l_suppkey % 2 AS batch FROM binary_log)"
+BATCHED_LOG = BINARY_LOG + f", batched AS (SELECT *, {BATCH_SQL} AS batch FROM binary_log)"
 PLAIN_CHECK = f"WITH {BINARY_LOG}, {check_ctes(columns(FEATURES))}"
 SHIFTED_CHECK = f"WITH {BATCHED_LOG}, {check_ctes(SHIFTED, 'batch, ', 'batched')}"
 
 
 def _sides(spark, sf_dir, columns, keys=()):
-    log = binary_log(spark, sf_dir).withColumn("batch", F.col("l_suppkey") % 2)
+    log = binary_log(spark, sf_dir).withColumn("batch", batch_of())
     early = before("l_shipdate", SPLIT)
     labels = ["true_label", "predicted_label", "confidence"]
     return log.where(early).select(*keys, *columns), log.where(~early).select(*keys, *columns, *labels)
@@ -149,9 +149,9 @@ def health_check_by_batch(spark, sf_dir):
     return _report(_shifted_check(spark, sf_dir), ["batch"])
 
 
-def stored_tables(spark, sf_dir, columns, batches=2):
-    """lineitem as stored tables: projects, models, datasets and batches by supplier."""
-    log = binary_log(spark, sf_dir).withColumn("part", F.col("l_suppkey") % batches)
+def stored_tables(spark, sf_dir, columns):
+    """lineitem as stored tables: a project, model, dataset and batch for each of eight batches."""
+    log = binary_log(spark, sf_dir).withColumn("part", batch_of())
     early = before("l_shipdate", SPLIT)
     features = feature_map(columns).alias("features")
     parts = log.select("part").distinct()
@@ -175,17 +175,19 @@ def stored_tables(spark, sf_dir, columns, batches=2):
 
 @query(
     "health_check_bulk",
-    f"""WITH {BINARY_LOG}, batched AS (SELECT *, l_suppkey % 2 AS batch FROM binary_log),
+    f"""WITH {BATCHED_LOG},
     {check_ctes(columns(FEATURES), 'batch, ', 'batched')}
     SELECT batch AS check_id, 'completed' AS job_status, health_score, status, risk_level,
       retraining_recommended::VARCHAR AS retraining_recommended, round(f1, 9) AS f1, round(roc_auc, 9) AS roc_auc, drifted_features, NULL::VARCHAR AS error_message FROM report
     UNION ALL
-    SELECT DISTINCT l_suppkey % 2 + 2, 'failed', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-      CASE WHEN l_suppkey % 2 = 0 THEN 'The selected model version does not belong to the selected project.'
-        ELSE 'Dataset with ID 99 was not found.' END FROM lineitem""",
+    SELECT DISTINCT batch + 100, 'failed', NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE batch % 4
+        WHEN 0 THEN 'The selected model version does not belong to the selected project.'
+        WHEN 1 THEN 'Dataset with ID 999 was not found.'
+        WHEN 2 THEN 'The baseline dataset does not belong to the selected project.'
+        ELSE 'The prediction batch does not belong to the selected project.' END FROM batched""",
 )
 def health_check_bulk(spark, sf_dir):
-    """Stored-form checks: two good requests, one with a foreign model, one without baseline."""
+    """Stored-form checks of eight batches, and as many requests that break one rule each."""
     tables = stored_tables(spark, sf_dir, FEATURES)
     part = F.col("id")
     good = tables["projects"].select(
@@ -195,12 +197,13 @@ def health_check_bulk(spark, sf_dir):
         (part + 20).alias("baseline_dataset_id"),
         (part + 30).alias("prediction_batch_id"),
     )
+    rule, other = F.col("project_id") % 4, (F.col("project_id") + 1) % 8
     bad = good.select(
-        (F.col("check_id") + 2).alias("check_id"),
+        (F.col("check_id") + 100).alias("check_id"),
         "project_id",
-        F.when(F.col("project_id") == 0, 11).otherwise(F.col("model_version_id")).alias("model_version_id"),
-        F.when(F.col("project_id") == 1, 99).otherwise(F.col("baseline_dataset_id")).alias("baseline_dataset_id"),
-        "prediction_batch_id",
+        F.when(rule == 0, other + 10).otherwise(F.col("model_version_id")).alias("model_version_id"),
+        F.when(rule == 1, 999).when(rule == 2, other + 20).otherwise(F.col("baseline_dataset_id")).alias("baseline_dataset_id"),
+        F.when(rule == 3, other + 30).otherwise(F.col("prediction_batch_id")).alias("prediction_batch_id"),
     )
     results = cut_lineage(plans.run_health_checks(good.unionByName(bad), **tables))
     outcome = plans.job_results(results).drop("health_check_id", "diagnosis_report_id")

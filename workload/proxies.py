@@ -19,6 +19,14 @@ def before(column: str, day: str) -> Column:
     return F.col(column) < F.lit(day).cast("timestamp_ntz")
 
 
+def batch_of() -> Column:
+    """Batches 0 to 7 of lineitem; batch 0 holds two fifths of the rows."""
+    return F.when(F.col("l_orderkey") % 10 < 3, 0).otherwise(F.col("l_suppkey") % 8).cast("bigint")
+
+
+BATCH_SQL = "CASE WHEN l_orderkey % 10 < 3 THEN 0 ELSE l_suppkey % 8 END"
+
+
 def binary_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a log: the true label is the line status, about a fifth is mispredicted."""
     shipped = F.col("l_linestatus") == "F"
