@@ -84,7 +84,7 @@ def test_against_numpy(spark, seed):
 def test_edges_match_numpy_quantiles(spark):
     rng = np.random.default_rng(7)
     ref = rng.exponential(3, 333)
-    totals = drift.value_totals(frequency_table(numbers(spark, ref), numbers(spark, ref[:50])))
+    totals = drift.numeric_totals(frequency_table(numbers(spark, ref), numbers(spark, ref[:50])))
     edges = only(drift.quantile_edges(totals))["edges"]
     assert edges == list(np.unique(np.quantile(ref, np.linspace(0, 1, 11))))
 
@@ -104,7 +104,7 @@ def test_many_chunks_give_the_same_result(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        totals = drift.value_totals(frequency_table(numbers(spark, ref), numbers(spark, cur)))
+        totals = drift.numeric_totals(frequency_table(numbers(spark, ref), numbers(spark, cur)))
         assert totals.where("all_ref_n <> 3000 OR all_cur_n <> 2000").count() == 0
         last = totals.orderBy(F.col("num").desc()).first()
         assert (last["cum_ref_n"], last["cum_cur_n"]) == (3000, 2000)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.statistics import ks_p_value
 from tidewatch.operators.cumulative import join_on_groups, running_totals
 from tidewatch.operators.frequency import CATEGORICAL, NUMERIC, frequency_table
-from tidewatch.session import as_small_side
+from tidewatch.session import as_small_side, cut_lineage
 
 # The floor of a bin's share and the number of quantile bins.
 SHARE_FLOOR = 1e-6
@@ -37,21 +37,28 @@ class DriftThresholds:
     categorical_critical: float = 0.25
 
 
-def value_totals(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """The frequency table with running and group totals of both sides."""
-    return running_totals(freq, [*keys, "feature"], ["num", "txt"], ["ref_n", "cur_n"], not keys)
+def numeric_totals(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The numbers of the frequency table with running and group totals of both sides.
+
+    Categories need no order, so they take no part in the sort.
+    """
+    numbers = freq.where("txt IS NULL").drop("txt")
+    return running_totals(numbers, [*keys, "feature"], ["num"], ["ref_n", "cur_n"], not keys)
 
 
-def _numeric(totals: DataFrame) -> DataFrame:
-    return totals.where("txt IS NULL")
+def category_totals(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The categories of the frequency table with the totals of both sides of their feature."""
+    words = freq.where("txt IS NOT NULL").drop("num")
+    groups = [*keys, "feature"]
+    whole = words.groupBy(*groups).agg(F.sum("ref_n").alias("all_ref_n"), F.sum("cur_n").alias("all_cur_n"))
+    return join_on_groups(words, as_small_side(whole, not keys), groups)
 
 
 def ks_statistic(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Largest gap between the two empirical distribution functions, per numeric feature."""
     gap = F.abs(F.try_divide("cum_ref_n", "all_ref_n") - F.try_divide("cum_cur_n", "all_cur_n"))
     return (
-        _numeric(totals)
-        .groupBy(*keys, "feature")
+        totals.groupBy(*keys, "feature")
         .agg(
             F.max(gap).alias("ks_statistic"),
             F.max("all_ref_n").alias("ref_n"),
@@ -73,8 +80,7 @@ def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_
         return f"max(CASE WHEN cum_ref_n - ref_n <= {rank} AND {rank} < cum_ref_n THEN num END)"
 
     ranked = (
-        _numeric(totals)
-        .where("ref_n > 0")
+        totals.where("ref_n > 0")
         .groupBy(*keys, "feature")
         .agg(
             F.max("all_ref_n").alias("all_ref_n"),
@@ -105,7 +111,7 @@ def bin_number(value: str, edges: str) -> Column:
 
 def histogram(totals: DataFrame, edges: DataFrame, keys: list[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
     """Reference and current counts per occupied bin of each numeric feature."""
-    values = _numeric(totals).select(*keys, "feature", "num", "ref_n", "cur_n")
+    values = totals.select(*keys, "feature", "num", "ref_n", "cur_n")
     binned = join_on_groups(values, as_small_side(edges, not keys), [*keys, "feature"])
     return (
         binned.withColumn("bin", bin_number("num", "edges"))
@@ -140,11 +146,12 @@ def psi(bins: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def category_differences(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
+def category_differences(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Share of every category on both sides and their absolute difference."""
+    totals = category_totals(freq, keys)
     ref = F.try_divide("ref_n", "all_ref_n")
     cur = F.try_divide("cur_n", "all_cur_n")
-    return totals.where("txt IS NOT NULL").select(
+    return totals.select(
         *keys,
         "feature",
         F.col("txt").alias("category"),
@@ -154,10 +161,10 @@ def category_differences(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def total_variation(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
+def total_variation(freq: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Half the summed share differences, per categorical feature."""
     return (
-        category_differences(totals, keys)
+        category_differences(freq, keys)
         .groupBy(*keys, "feature")
         .agg((F.sum("abs_difference") * F.lit(0.5)).alias("tvd"))
     )
@@ -193,44 +200,61 @@ def drift_from_frequencies(
     that of ``ks_p_value``.
     """
     keys = list(keys)
-    totals = value_totals(freq, keys)
     per_feature = [*keys, "feature"]
+    freq = cut_lineage(freq)
+    totals = numeric_totals(freq, keys)
     edges = as_small_side(quantile_edges(totals, keys, bins), not keys)
-    numeric = F.col("txt").isNull()
     gap = F.abs(F.try_divide("cum_ref_n", "all_ref_n") - F.try_divide("cum_cur_n", "all_cur_n"))
-    difference = F.abs(F.try_divide("ref_n", "all_ref_n") - F.try_divide("cur_n", "all_cur_n"))
-    # One pass over the values: everything is summed per bin, then the few bins per feature.
+    # One pass over the numbers: everything is summed per bin, then the few bins per feature.
     per_bin = (
         join_on_groups(totals, edges, per_feature, "left")
         .withColumn("bin", F.when(F.col("edges").isNotNull(), bin_number("num", "edges")))
         .groupBy(*per_feature, "bin")
         .agg(
-            F.bool_and(numeric).alias("numeric"),
-            F.sum("gap_n").alias("gap_n"),
-            F.sum("ref_n").alias("ref_n"),
-            F.sum("cur_n").alias("cur_n"),
-            F.max(F.when(numeric, gap)).alias("gap"),
-            F.sum(F.when(~numeric, difference)).alias("difference"),
+            *[F.sum(c).alias(c) for c in ("gap_n", "ref_n", "cur_n")],
+            F.max(gap).alias("gap"),
             F.max("all_ref_n").alias("all_ref_n"),
             F.max("all_cur_n").alias("all_cur_n"),
         )
     )
     inside = F.col("bin").isNotNull()
-    measured = (
+    numbers = (
         per_bin.groupBy(*per_feature)
         .agg(
-            F.bool_and("numeric").alias("numeric"),
             F.sum("gap_n").alias("missing_n"),
             F.max("gap").alias("ks_statistic"),
-            (F.sum("difference") * F.lit(0.5)).alias("tvd"),
             F.max("all_ref_n").alias("ref_n"),
             F.max("all_cur_n").alias("cur_n"),
             F.sum(F.when(inside, F.col("ref_n"))).alias("ref_all"),
             F.sum(F.when(inside, F.col("cur_n"))).alias("cur_all"),
             F.collect_list(F.when(inside, F.struct("bin", "ref_n", "cur_n"))).alias("bins"),
         )
-        .withColumn("psi", F.when(F.col("numeric"), _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all"))))
+        .select(
+            *per_feature,
+            F.lit(True).alias("numeric"),
+            "missing_n",
+            "ks_statistic",
+            F.lit(None).cast("double").alias("tvd"),
+            "ref_n",
+            "cur_n",
+            _psi_of(F.col("bins"), F.col("ref_all"), F.col("cur_all")).alias("psi"),
+        )
+    )
+    difference = F.abs(F.try_divide("ref_n", "all_ref_n") - F.try_divide("cur_n", "all_cur_n"))
+    words = (
+        category_totals(freq, keys)
+        .groupBy(*per_feature)
+        .agg(
+            F.lit(False).alias("numeric"),
+            F.sum("gap_n").alias("missing_n"),
+            F.lit(None).cast("double").alias("ks_statistic"),
+            (F.sum(difference) * F.lit(0.5)).alias("tvd"),
+            F.max("all_ref_n").alias("ref_n"),
+            F.max("all_cur_n").alias("cur_n"),
+            F.lit(None).cast("double").alias("psi"),
+        )
     )
+    measured = numbers.unionByName(words)
     numeric = F.col("numeric")
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
     # Explicitly spread: the few rows here carry the exact p-values, the only Python work.

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.jobs import QUEUED, finish_events, job_states, queue_checks, start_events
+from tidewatch.operators.drift import DriftThresholds
+from tidewatch.operators.jobs import FAILED, JOB_TYPE, QUEUED, RUNNING, finish_events, job_event, job_states, queue_checks, start_events
+from tidewatch.operators.metrics import LOW_CONFIDENCE
 from tidewatch.plans.health_check import (
+    CheckRun,
+    detail_table,
     diagnosis_report_table,
     health_check_table,
     job_results,
     of_owners,
-    run_health_checks,
+    run_checks,
 )
+from tidewatch.plans.ingest import NO_PROJECT
 from tidewatch.session import as_small_side, cut_lineage
 from tidewatch.sources.tables import Store
 
@@ -27,12 +32,14 @@ def _stored_rows(store: Store, table: str, owner: str, registry: DataFrame, want
     return of_owners(store.read(table), ["load_id", owner], places)
 
 
-def run_stored(store: Store, requests: DataFrame) -> DataFrame:
+def run_stored(
+    store: Store, requests: DataFrame, limits: DriftThresholds = DriftThresholds(), low_confidence: float = LOW_CONFIDENCE
+) -> CheckRun:
     """Run requests against the store; folders of other loads are not read."""
     datasets, batches = store.read("datasets"), store.read("prediction_batches")
     baselines = requests.select(F.col("baseline_dataset_id").alias("dataset_id"))
     checked = requests.select(F.col("prediction_batch_id").alias("batch_id"))
-    return run_health_checks(
+    return run_checks(
         requests,
         store.read("projects"),
         store.read("model_versions"),
@@ -40,18 +47,29 @@ def run_stored(store: Store, requests: DataFrame) -> DataFrame:
         batches,
         _stored_rows(store, "dataset_rows", "dataset_id", datasets, baselines),
         _stored_rows(store, "predictions", "batch_id", batches, checked),
+        limits,
+        low_confidence,
     )
 
 
-def queue_jobs(store: Store, requests: DataFrame, at: Column) -> None:
-    """Queue requests (check_id, project_id and the three ids) as jobs."""
-    store.append("job_events", queue_checks(requests.withColumnRenamed("check_id", "job_id"), at))
+def queue_jobs(store: Store, requests: DataFrame, at: Column) -> DataFrame:
+    """Queue requests (check_id, project_id and the three ids) as jobs; returns the refused ones.
+
+    A request for an unknown project is refused before a job exists. A request whose job exists
+    is left as it is, so queueing the same requests again changes nothing.
+    """
+    projects = store.read("projects").select(F.col("id").alias("project_id"), F.lit(True).alias("has_project"))
+    judged = cut_lineage(requests.join(projects, "project_id", "left"))
+    jobs = judged.where("has_project").drop("has_project").withColumnRenamed("check_id", "job_id")
+    store.append_once("job_events", queue_checks(jobs, at), "job_id")
+    message = F.format_string(NO_PROJECT, F.col("project_id").cast("string"))
+    return judged.where("has_project IS NULL").select("check_id", "project_id", message.alias("error"))
 
 
-def queued_requests(store: Store) -> DataFrame:
-    """Requests of the jobs that are still queued."""
+def open_requests(store: Store) -> DataFrame:
+    """Requests of the jobs that wait, or that a run began and did not end."""
     events = store.read("job_events")
-    waiting = job_states(events).where(F.col("status") == QUEUED).select("job_id")
+    waiting = job_states(events).where(F.col("status").isin(QUEUED, RUNNING)).select("job_id")
     return (
         events.where("payload IS NOT NULL")
         .join(waiting, "job_id", "left_semi")
@@ -61,24 +79,43 @@ def queued_requests(store: Store) -> DataFrame:
     )
 
 
-def run_queued(store: Store, at: Column) -> DataFrame:
-    """Run all queued jobs; returns the outcome per job.
+def run_queued(
+    store: Store, at: Column, limits: DriftThresholds = DriftThresholds(), low_confidence: float = LOW_CONFIDENCE
+) -> DataFrame:
+    """Run all open jobs; returns the outcome per job. One run at a time works on a store.
 
-    A failing job becomes ``failed`` with its message; the others go on.
+    A failing check becomes ``failed`` with its message; the others go on. If the run itself
+    fails, its jobs become ``failed`` with the error, which is raised again. Jobs of a run that
+    died without a word are still ``running`` and are taken up by the next one; what it had
+    stored is not stored again, because every table takes a check's rows once.
     """
-    requests = cut_lineage(queued_requests(store))
+    requests = cut_lineage(open_requests(store))
     jobs = requests.withColumnRenamed("check_id", "job_id")
     store.append("job_events", start_events(jobs, at))
-    results = cut_lineage(run_stored(store, requests))
-    outcome = job_results(results)
-    store.append("health_checks", health_check_table(results, at))
-    store.append("diagnosis_reports", diagnosis_report_table(results, at))
-    finished = finish_events(outcome, at).join(jobs.select("job_id", "project_id"), "job_id", "left")
+    try:
+        return _run(store, requests, at, limits, low_confidence)
+    except Exception as error:
+        reason = F.lit(f"{type(error).__name__}: {error}"[:2000])
+        failed = jobs.select("job_id", "project_id", F.lit(JOB_TYPE).alias("job_type"), *job_event(FAILED, at, reason))
+        store.append("job_events", failed)
+        raise
+
+
+def _run(store: Store, requests: DataFrame, at: Column, limits: DriftThresholds, low_confidence: float) -> DataFrame:
+    run = run_stored(store, requests, limits, low_confidence)
+    details = {"features": run.features, "categories": run.categories, "classes": run.classes, "confusion": run.confusion}
+    # Details first: a check is listed once all of its details are stored.
+    for name, rows in details.items():
+        store.append_once(f"check_{name}", detail_table(rows, at), "health_check_id")
+    store.append_once("health_checks", health_check_table(run.results, at), "id")
+    store.append_once("diagnosis_reports", diagnosis_report_table(run.results, at), "id")
+    outcome = job_results(run.results)
+    finished = finish_events(outcome, at).join(requests.select(F.col("check_id").alias("job_id"), "project_id"), "job_id", "left")
     store.append("job_events", finished)
     return outcome
 
 
-def run_and_store(store: Store, requests: DataFrame, at: Column) -> DataFrame:
-    """Queue requests and run everything that is queued."""
+def run_and_store(store: Store, requests: DataFrame, at: Column, **settings) -> DataFrame:
+    """Queue requests and run everything that is open."""
     queue_jobs(store, requests, at)
-    return run_queued(store, at)
+    return run_queued(store, at, **settings)

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import MISSING_CATEGORY
 from tidewatch.functions.typing import FLOAT64, NUMERIC_TYPES, OBJECT, type_counts, type_name, typed_number, typed_text
 from tidewatch.operators.cumulative import join_on_groups
-from tidewatch.operators.drift import DriftThresholds, drift_from_frequencies, drift_summary, feature_drift
+from tidewatch.operators.drift import DriftThresholds, category_differences, drift_from_frequencies, drift_summary, feature_drift
 from tidewatch.operators.frequency import CATEGORICAL, NUMERIC, count_values
 from tidewatch.operators.health import component_scores, diagnosis, health_score
-from tidewatch.operators.metrics import CONF, LOW_CONFIDENCE, POSITIVE, PRED, TRUE, metric_bundle
+from tidewatch.operators.metrics import (
+    CONF,
+    LOW_CONFIDENCE,
+    POSITIVE,
+    PRED,
+    TRUE,
+    confusion_counts,
+    label_totals,
+    metric_bundle,
+    per_class_metrics,
+)
 from tidewatch.operators.missing import missing_cells
 from tidewatch.operators.ranking import auc_from_counts, score_counts
 from tidewatch.session import as_small_side, cut_lineage
@@ -67,7 +79,7 @@ VERDICT = [
 ]
 
 
-def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
+def _metrics(counted: DataFrame, keys: list[str], low_confidence: float = LOW_CONFIDENCE) -> DataFrame:
     """Metric bundle and AUC per key from one written count table."""
     score, n = F.col("score"), F.col("n")
     counts = counted.groupBy(*keys, TRUE, PRED, POSITIVE).agg(
@@ -76,7 +88,7 @@ def _metrics(counted: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(score * n).alias("conf_sum"),
         F.min(score).alias("conf_min"),
         F.max(score).alias("conf_max"),
-        F.sum(F.when(score < LOW_CONFIDENCE, n).otherwise(0)).alias("low_n"),
+        F.sum(F.when(score < low_confidence, n).otherwise(0)).alias("low_n"),
         F.sum(F.when((score < 0) | (score > 1), n).otherwise(0)).alias("out_of_range_n"),
     )
     # One row per key: written, so that the final plan stays small.
@@ -93,6 +105,7 @@ def check_tables(
     keys: list[str] = (),
     target: str | None = None,
     limits: DriftThresholds = DriftThresholds(),
+    low_confidence: float = LOW_CONFIDENCE,
 ) -> DataFrame:
     """Health check of a typed prediction table against a typed reference table, per key.
 
@@ -105,7 +118,7 @@ def check_tables(
     if target:
         reference = reference.drop(target)
     drift = feature_drift(reference, predictions.select(*keys, *features), keys, limits)
-    metrics = _metrics(score_counts(predictions, keys), keys)
+    metrics = _metrics(score_counts(predictions, keys), keys, low_confidence)
     joined = join_on_groups(metrics, cut_lineage(drift_summary(drift, keys)), keys, "left")
     # The drift pass has counted the gaps of the shared features; only others are read again.
     others = [f for f in features if f not in reference.columns]
@@ -263,7 +276,28 @@ def _check_frequencies(values: DataFrame, types: DataFrame, checks: DataFrame) -
     return count_values(cells, ["check_id"])
 
 
-def run_health_checks(
+@dataclass
+class CheckRun:
+    """What a run of checks found: a row per request, and the details behind the finished ones.
+
+    ``features`` has a row per check and feature, ``categories`` one per category of a
+    categorical feature, ``classes`` one per label of the checked batch, ``confusion`` one per
+    occupied cell.
+    """
+
+    results: DataFrame
+    features: DataFrame
+    categories: DataFrame
+    classes: DataFrame
+    confusion: DataFrame
+
+
+def run_health_checks(*tables: DataFrame, **named) -> DataFrame:
+    """The ``results`` of ``run_checks``: one row per request."""
+    return run_checks(*tables, **named).results
+
+
+def run_checks(
     requests: DataFrame,
     projects: DataFrame,
     model_versions: DataFrame,
@@ -272,7 +306,8 @@ def run_health_checks(
     baseline_rows: DataFrame,
     predictions: DataFrame,
     limits: DriftThresholds = DriftThresholds(),
-) -> DataFrame:
+    low_confidence: float = LOW_CONFIDENCE,
+) -> CheckRun:
     """Run every requested check; one row per request, failed ones with ``error_message``.
 
     ``baseline_rows`` has dataset_id and features, ``predictions`` batch_id, true_label,
@@ -292,7 +327,8 @@ def run_health_checks(
         .withColumn("dtype", F.when(F.col("side") == "ref", type_name(FLOAT64)).otherwise(type_name(OBJECT)))
     )
     types = cut_lineage(types)
-    drift = drift_from_frequencies(_check_frequencies(values, types, valid), ["check_id"], limits)
+    freq = cut_lineage(_check_frequencies(values, types, valid))
+    drift = cut_lineage(drift_from_frequencies(freq, ["check_id"], limits))
     summary = cut_lineage(drift_summary(drift, ["check_id"]).drop("missing_n"))
     missing = (
         types.where("side = 'cur'")
@@ -305,9 +341,8 @@ def run_health_checks(
         valid.groupBy(F.col("prediction_batch_id").alias("batch_id")).agg(F.max(POSITIVE).alias(POSITIVE))
     )
     labels = of_owners(predictions.select("batch_id", TRUE, PRED, CONF), ["batch_id"], batches, "inner")
-    metrics = _metrics(score_counts(labels, ["batch_id"]), ["batch_id"]).withColumnRenamed(
-        "batch_id", "prediction_batch_id"
-    )
+    counted = score_counts(labels, ["batch_id"])
+    metrics = _metrics(counted, ["batch_id"], low_confidence).withColumnRenamed("batch_id", "prediction_batch_id")
     joined = (
         valid.join(baselines.withColumn("has_baseline", F.lit(True)), "baseline_dataset_id", "left")
         .join(metrics, "prediction_batch_id", "left")
@@ -333,11 +368,42 @@ def run_health_checks(
     done = scored.withColumn("error_message", failed).select(
         "check_id", *[F.when(F.col("error_message").isNull(), F.col(c)).alias(c) for c in results], "error_message"
     )
-    return (
+    results = cut_lineage(
         resolved.join(done, "check_id", "left")
         .withColumn("error_message", F.coalesce("request_error", "error_message"))
         .drop("request_error", "target_column", POSITIVE)
     )
+    finished = results.where("error_message IS NULL").select("check_id", F.col("prediction_batch_id").alias("batch_id"))
+    of_check = finished.select("check_id")
+    per_batch = _class_details(counted, metrics.select(F.col("prediction_batch_id").alias("batch_id"), "fully_labeled"))
+    return CheckRun(
+        results,
+        drift.drop("missing_n", "error").join(of_check, "check_id", "left_semi"),
+        category_differences(freq, ["check_id"]).join(of_check, "check_id", "left_semi"),
+        finished.join(per_batch, "batch_id").drop("batch_id"),
+        finished.join(confusion_counts(_label_counts(counted), ["batch_id"]), "batch_id").drop("batch_id"),
+    )
+
+
+def _label_counts(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("batch_id", TRUE, PRED).agg(F.sum("n").alias("n"))
+
+
+def _class_details(counted: DataFrame, labeled: DataFrame) -> DataFrame:
+    """Support, shares and quality per batch and label; quality needs every true label."""
+    totals = label_totals(_label_counts(counted), ["batch_id"])
+    whole = totals.groupBy("batch_id").agg(F.sum("support").alias("true_n"), F.sum("predicted").alias("predicted_n"))
+    rows = per_class_metrics(totals, ["batch_id"]).join(whole, "batch_id").join(labeled, "batch_id")
+    known = F.col("fully_labeled")
+    return rows.select(
+        "batch_id",
+        "label",
+        "support",
+        "predicted",
+        F.when(known, F.col("support") / F.col("true_n")).alias("true_share"),
+        (F.col("predicted") / F.col("predicted_n")).alias("predicted_share"),
+        *[F.when(known, F.col(c)).alias(c) for c in ("precision", "recall", "f1")],
+    )
 
 
 def health_check_table(results: DataFrame, created_at: Column) -> DataFrame:
@@ -359,6 +425,11 @@ def health_check_table(results: DataFrame, created_at: Column) -> DataFrame:
     )
 
 
+def detail_table(details: DataFrame, created_at: Column) -> DataFrame:
+    """Rows of a detail table of ``CheckRun`` as they are stored."""
+    return details.withColumnRenamed("check_id", "health_check_id").withColumn("created_at", created_at)
+
+
 def diagnosis_report_table(results: DataFrame, created_at: Column) -> DataFrame:
     """Successful results as rows of the ``diagnosis_reports`` registry."""
     ok = results.where("error_message IS NULL")

@@ -20,10 +20,10 @@ from tidewatch.plans.health_check import RESERVED_COLUMNS
 from tidewatch.session import as_small_side, cut_lineage
 from tidewatch.sources.files import (
     EMPTY_FILE,
-    MAX_FILE_BYTES,
     NO_ROWS,
     ONLY_CSV,
     UNREADABLE,
+    file_contents,
     list_files,
     plain_path,
     read_rows,
@@ -48,13 +48,14 @@ class Load:
 
     accepted: DataFrame
     rejected: DataFrame
+    #: Ids of stored batches that refused uploads repeat.
+    known: DataFrame | None = None
 
 
-def _manifest(spark: SparkSession, uploads: DataFrame, max_bytes: int) -> DataFrame:
-    """Uploads with the facts of their files. The paths are the load's file listing."""
+def _manifest(spark: SparkSession, uploads: DataFrame, files: str | list[str], max_bytes: int | None) -> DataFrame:
+    """Uploads with the facts of their files, met by path."""
     uploads = uploads.withColumn("path", plain_path(F.col("path")))
-    paths = sorted({row["path"] for row in uploads.select("path").distinct().collect()})
-    listed = uploads.join(list_files(spark, paths, max_bytes), "path", "left")
+    listed = uploads.join(list_files(spark, files, max_bytes), "path", "left")
     # A file without content is not listed.
     name = F.coalesce("file_name", F.element_at(F.split("path", "/"), -1))
     unlisted = F.when(F.col("bytes").isNull(), F.when(F.lower(name).endswith(".csv"), EMPTY_FILE).otherwise(ONLY_CSV))
@@ -66,14 +67,10 @@ def _load_id(accepted: DataFrame) -> Column:
     return F.lit(accepted.agg(F.coalesce(F.bit_xor(F.xxhash64("id")), F.lit(0).cast("long"))).first()[0])
 
 
-def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column) -> None:
+def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column, files: str | list[str], max_bytes: int | None) -> None:
     """Keep the bytes of accepted files under their stored name; a file goes from task to table."""
     wanted = as_small_side(accepted.select("path", "id").join(stored.select("id", "file_path"), "id"))
-    paths = [row["path"] for row in wanted.select("path").distinct().collect()]
-    if not paths:
-        return
-    files = store.spark.read.format("binaryFile").load(paths).withColumn("path", plain_path(F.col("path")))
-    named = files.join(wanted, "path").withColumn("project_id", F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint"))
+    named = file_contents(store.spark, files, max_bytes).join(wanted, "path").withColumn("project_id", F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint"))
     store.append(
         "raw_files",
         named.select("project_id", "file_path", F.sha2("content", 256).alias("content_hash"), "content", at.alias("stored_at")),
@@ -103,16 +100,20 @@ def batch_metadata(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ingest_predictions(
-    store: Store, uploads: DataFrame, uploaded_at: Column, max_bytes: int = MAX_FILE_BYTES
+    store: Store, uploads: DataFrame, uploaded_at: Column, files: str | list[str], max_bytes: int | None = None
 ) -> Load:
-    """Load prediction logs: ``uploads`` has path, project_id and model_version_id."""
+    """Load prediction logs: ``uploads`` has path, project_id and model_version_id.
+
+    ``files`` is the folder or glob that holds the uploads, or a list of paths that the caller
+    bounds; rows of other files in it are parsed and dropped.
+    """
     spark = store.spark
     projects = store.read("projects").select(F.col("id").alias("project_id"), F.lit(True).alias("has_project"))
     models = store.read("model_versions").select(
         F.col("id").alias("model_version_id"), F.col("project_id").alias("model_project")
     )
-    manifest = cut_lineage(_manifest(spark, uploads, max_bytes))
-    rows = read_rows(spark, manifest)
+    manifest = cut_lineage(_manifest(spark, uploads, files, max_bytes))
+    rows = read_rows(spark, manifest, files, max_bytes)
     cell = F.col("cells")
     shape = prediction_checks(
         rows.select(
@@ -186,17 +187,24 @@ def ingest_predictions(
     ).withColumns({"load_id": load_id, "created_at": uploaded_at})
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
-    _store_raw(store, accepted, batches, uploaded_at)
+    _store_raw(store, accepted, batches, uploaded_at, files, max_bytes)
     store.append("prediction_batches", batches)
-    return Load(batches, decided.where("error IS NOT NULL").select("path", "project_id", "model_version_id", "error"))
+    rejected = decided.where("error IS NOT NULL")
+    repeated = rejected.where(F.col("error") == KNOWN_LOG).select(F.xxhash64(*identity).alias("id")).distinct()
+    return Load(batches, rejected.select("path", "project_id", "model_version_id", "error"), repeated)
+
 
+def ingest_datasets(
+    store: Store, uploads: DataFrame, created_at: Column, files: str | list[str], max_bytes: int | None = None
+) -> Load:
+    """Load dataset files: ``uploads`` has path, project_id, dataset_type and version.
 
-def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_bytes: int = MAX_FILE_BYTES) -> Load:
-    """Load dataset files: ``uploads`` has path, project_id, dataset_type and version."""
+    ``files`` is as in ``ingest_predictions``.
+    """
     spark = store.spark
     projects = store.read("projects").select(F.col("id").alias("project_id"), "target_column", F.lit(True).alias("has_project"))
-    manifest = cut_lineage(_manifest(spark, uploads, max_bytes))
-    rows = read_rows(spark, manifest)
+    manifest = cut_lineage(_manifest(spark, uploads, files, max_bytes))
+    rows = read_rows(spark, manifest, files, max_bytes)
     shape = rows.groupBy("path").agg(
         F.bool_or("malformed").alias("malformed"),
         F.max(F.map_keys("cells")).alias("columns"),
@@ -261,6 +269,6 @@ def ingest_datasets(store: Store, uploads: DataFrame, created_at: Column, max_by
     )
     store.append("dataset_profiles", profiles)
     store.append("dataset_classes", classes)
-    _store_raw(store, accepted, datasets, created_at)
+    _store_raw(store, accepted, datasets, created_at, files, max_bytes)
     store.append("datasets", datasets)
     return Load(datasets, decided.where("error IS NOT NULL").select("path", *identity, "error"))

@@ -175,6 +175,11 @@ class Monitor:
             raise NotFound(f"Diagnosis report for health check {health_check_id} was not found.")
         return report
 
+    def check_details(self, health_check_id: int, kind: str) -> DataFrame:
+        """``features``, ``categories``, ``classes`` or ``confusion`` cells of a check."""
+        self._one("health_checks", "Health check", health_check_id)
+        return where_equal(self.store.read(f"check_{kind}"), health_check_id=health_check_id)
+
     def dashboards(self) -> DataFrame:
         """One row per project."""
         read = self.store.read

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import null_if_missing
-from tidewatch.session import cut_lineage
+from tidewatch.session import as_small_side, cut_lineage
 
-# Largest accepted file and the messages of the file rules, in order.
-MAX_FILE_BYTES = 10 * 1024 * 1024
+# The usual upload limit and the messages of the file rules, in order.
+UPLOAD_LIMIT = 10 * 1024 * 1024
 ONLY_CSV = "Only CSV files are supported."
 EMPTY_FILE = "The uploaded CSV file is empty."
 TOO_LARGE = "The uploaded CSV exceeds the 10 MB size limit."
 UNREADABLE = "The uploaded file is not a valid readable CSV."
 NO_ROWS = "The CSV must contain at least one data row."
 
+# Bytes in which the header line ends.
+HEADER_BYTES = 1 << 20
+# Stands for nothing a file holds.
+NO_CELL = "\x00"
+
 ROW_SCHEMA = "path STRING, row_id BIGINT, malformed BOOLEAN, cells MAP<STRING, STRING>"
 
 
@@ -27,85 +30,111 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
 
 
-def list_files(spark: SparkSession, paths: list[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row per file: name, size, content hash, header line and the first broken file rule.
+def _files(spark: SparkSession, files: str | list[str]):
+    """A reader over a folder, a glob, or a list of paths that the caller bounds."""
+    return spark.read.option("recursiveFileLookup", True), files
+
+
+def file_contents(spark: SparkSession, files: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """Path, length and bytes of the files; the size limit is judged by the listing alone."""
+    reader, place = _files(spark, files)
+    found = reader.format("binaryFile").load(place)
+    found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    return found.withColumn("path", plain_path(F.col("path")))
+
+
+def list_files(spark: SparkSession, files: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """One row per file: name, size, content hash, first line and the first broken file rule.
 
-    Content is only hashed within the size limit, file by file, inside the tasks. The result
-    is written once because both the fingerprint guard and the reader use it.
+    Bytes are hashed as they are, file by file, inside the tasks; only the first bytes are decoded.
+    ``max_bytes`` is for callers who want to refuse larger files (``UPLOAD_LIMIT`` is the usual
+    choice); by default no file is too large. The result is written once because both the
+    fingerprint guard and the reader use it.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    fits = F.col("length") <= max_bytes
-    text = F.decode(F.col("content"), "UTF-8")
-    name = F.element_at(F.split(plain_path(F.col("path")), "/"), -1)
-    listed = files.select(
-        plain_path(F.col("path")).alias("path"),
-        name.alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.when(fits, F.sha2("content", 256)).alias("content_hash"),
-        F.when(fits, F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1)).alias("header"),
+    reader, place = _files(spark, files)
+    listed = reader.format("binaryFile").load(place).select(plain_path(F.col("path")).alias("path"), F.col("length").alias("bytes"))
+    text = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
+    hashed = file_contents(spark, files, max_bytes).select(
+        "path",
+        F.sha2("content", 256).alias("content_hash"),
+        F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1).alias("header"),
     )
+    if max_bytes is None:
+        listed = file_contents(spark, files).select(
+            "path",
+            F.col("length").alias("bytes"),
+            F.sha2("content", 256).alias("content_hash"),
+            F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1).alias("header"),
+        )
+    else:
+        listed = listed.join(hashed, "path", "left")
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = listed.select("path", name.alias("file_name"), "bytes", "content_hash", "header")
+    too_large = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
     problem = (
         F.when(~F.lower("file_name").endswith(".csv"), ONLY_CSV)
         .when(F.col("bytes") == 0, EMPTY_FILE)
-        .when(F.col("bytes") > max_bytes, TOO_LARGE)
+        .when(too_large, TOO_LARGE)
         .when(F.trim("header") == "", UNREADABLE)
     )
     return cut_lineage(listed.withColumn("file_error", problem))
 
 
-def header_names(header: str) -> list[str]:
-    """Column names of a header line; repeated names get ``.1``, ``.2``, blank ones a position."""
-    names: list[str] = []
-    seen: dict[str, int] = {}
-    for position, name in enumerate(next(csv.reader([header]), [])):
-        name = name or f"Unnamed: {position}"
-        count = seen.get(name, 0)
-        seen[name] = count + 1
-        names.append(f"{name}.{count}" if count else name)
-    return names
+def _names(header: Column) -> Column:
+    """Column names of a parsed header row; repeated ones get ``.1``, ``.2``, blank ones a position."""
+    named = F.transform(
+        header, lambda x, i: F.when(F.coalesce(x, F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(x)
+    )
+
+    def numbered(x: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(named, F.lit(1), i), lambda y: y == x))
+        return F.when(before > 0, F.concat(x, F.lit("."), before.cast("string"))).otherwise(x)
+
+    return F.transform(named, numbered)
 
 
-def read_rows(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_rows(spark: SparkSession, manifest: DataFrame, files: str | list[str], max_bytes: int | None = None) -> DataFrame:
     """Rows of the accepted files: path, row_id, malformed flag and the cells as a map.
 
-    Files are read as text, one scan per distinct header line; only headers and paths, the
-    same things a file listing holds, pass through the driver.
+    One scan parses all files by position, whatever their headers; the header row of a file is
+    its first row, and rows meet it by path. Only the largest number of columns reaches the
+    driver. The parsed rows are written once, so that nothing is parsed again.
     """
-    groups = (
-        manifest.where("file_error IS NULL")
-        .groupBy("header")
-        .agg(F.collect_set("path").alias("paths"))
-        .collect()
-    )
-    parts = [_read_group(spark, header_names(g["header"] or ""), g["paths"]) for g in groups]
-    if not parts:
+    accepted = manifest.where("file_error IS NULL")
+    most = accepted.agg(F.max(F.size(F.split("header", ",")))).first()[0]
+    if most is None:
         return spark.createDataFrame([], ROW_SCHEMA)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _read_group(spark: SparkSession, names: list[str], paths: list[str]) -> DataFrame:
-    fields = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "bad_line"]])
+    fields = [f"c{i}" for i in range(most + 1)]
+    reader, place = _files(spark, files)
     lines = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
+        reader.schema(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+        .option("header", False)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("columnNameOfCorruptRecord", "bad_line")
-        .csv(paths)
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
+        # An empty cell stays a text, so that it differs from a cell that a line does not have.
+        .option("nullValue", NO_CELL)
+        .csv(place)
     )
-    # Too few fields leave the last ones empty, which is allowed; too many make a line unreadable.
-    malformed = F.col("bad_line").isNotNull() & F.col(fields[-1]).isNotNull() if fields else F.lit(False)
-    cells = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[null_if_missing(F.col(f)) for f in fields])
+    if max_bytes is not None:
+        lines = lines.where(F.col("_metadata.file_size") <= max_bytes)
+    cells = F.array(*fields)
+    width = F.coalesce(F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    parsed = cut_lineage(
+        lines.select(
+            plain_path(F.col("_metadata.file_path")).alias("path"),
+            F.monotonically_increasing_id().alias("row_id"),
+            F.slice(cells, F.lit(1), width).alias("cells"),
+        )
     )
-    return lines.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.monotonically_increasing_id().alias("row_id"),
-        malformed.alias("malformed"),
-        cells.alias("cells"),
+    firsts = parsed.groupBy("path").agg(F.min("row_id").alias("row_id"))
+    headers = parsed.join(firsts, ["path", "row_id"]).join(accepted.select("path").distinct(), "path")
+    first_name = F.regexp_replace(F.get("cells", F.lit(0)), "^\uFEFF", "")
+    header = F.transform("cells", lambda x, i: F.when(i == 0, first_name).otherwise(x))
+    headers = headers.select("path", F.col("row_id").alias("header_row"), _names(header).alias("names"))
+    rows = parsed.join(as_small_side(headers), "path").where("row_id > header_row")
+    # Too few cells leave the last ones empty, which is allowed; too many make a line unreadable.
+    padded = F.transform("names", lambda _, i: null_if_missing(F.get("cells", i)))
+    return rows.select(
+        "path", "row_id", (F.size("cells") > F.size("names")).alias("malformed"), F.map_from_arrays("names", padded).alias("cells")
     )

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 # Table schemas.
 SCHEMAS = {
     "projects": (
@@ -59,6 +61,21 @@ SCHEMAS = {
         "findings ARRAY<STRUCT<code: STRING, severity: STRING, message: STRING>>, recommendations ARRAY<STRING>, "
         "created_at TIMESTAMP"
     ),
+    "check_features": (
+        "health_check_id BIGINT, feature STRING, feature_type STRING, psi DOUBLE, ks_statistic DOUBLE, "
+        "ks_p_value DOUBLE, tvd DOUBLE, severity STRING, created_at TIMESTAMP"
+    ),
+    "check_categories": (
+        "health_check_id BIGINT, feature STRING, category STRING, ref_share DOUBLE, cur_share DOUBLE, "
+        "abs_difference DOUBLE, created_at TIMESTAMP"
+    ),
+    "check_classes": (
+        "health_check_id BIGINT, label STRING, support BIGINT, predicted BIGINT, true_share DOUBLE, "
+        "predicted_share DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, created_at TIMESTAMP"
+    ),
+    "check_confusion": (
+        "health_check_id BIGINT, true_label STRING, predicted_label STRING, n BIGINT, created_at TIMESTAMP"
+    ),
     "raw_files": (
         "project_id BIGINT, file_path STRING, content_hash STRING, content BINARY, stored_at TIMESTAMP"
     ),
@@ -97,6 +114,10 @@ REFERENCES = {
         "prediction_batches": "prediction_batch_id",
     },
     "diagnosis_reports": {"health_checks": "health_check_id"},
+    "check_features": {"health_checks": "health_check_id"},
+    "check_categories": {"health_checks": "health_check_id"},
+    "check_classes": {"health_checks": "health_check_id"},
+    "check_confusion": {"health_checks": "health_check_id"},
     "job_events": {"projects": "project_id"},
 }
 
@@ -181,6 +202,12 @@ class Store:
         writer = self._shaped(table, rows).write.mode("append")
         writer.partitionBy(*PARTITIONS.get(table, [])).parquet(self.path(table))
 
+    def append_once(self, table: str, rows: DataFrame, key: str) -> None:
+        """Append the rows whose ``key`` the table does not have yet, so that a repeat adds nothing."""
+        stored = self._stored(table)
+        new = rows if stored is None else rows.join(stored.select(key).distinct(), key, "left_anti").select(*rows.columns)
+        self.append(table, cut_lineage(new))
+
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Write rows of a partitioned table so that repeating the write changes nothing."""
         by = PARTITIONS[table]

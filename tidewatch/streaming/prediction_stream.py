@@ -29,8 +29,11 @@ def stream_predictions(
     """Load every new log under ``folder`` and run its health check, then stop.
 
     ``route`` adds project_id and model_version_id to a table of paths; ``requests`` turns
-    accepted batches into check requests. A repeated micro-batch stores nothing twice: the
-    content guard refuses files it has seen and row partitions are overwritten.
+    stored batches into check requests. A repeated micro-batch stores nothing twice: the content
+    guard refuses files it has seen and row partitions are overwritten. Checks are asked for all
+    stored batches of the micro-batch, those that an earlier attempt stored included; jobs that
+    exist are not queued again and open ones are run. A micro-batch has at most
+    ``files_per_batch`` files, whose paths pass through the driver.
     """
     files = (
         store.spark.readStream.format("binaryFile")
@@ -42,8 +45,11 @@ def stream_predictions(
 
     def process(batch: DataFrame, _: int) -> None:
         at = stamp()
-        load = ingest_predictions(store, route(batch.select(plain_path(F.col("path")).alias("path"))), at)
-        run_and_store(store, requests(load.accepted), at)
+        uploads = batch.select(plain_path(F.col("path")).alias("path"))
+        places = [row["path"] for row in batch.select("path").collect()]
+        load = ingest_predictions(store, route(uploads), at, places)
+        ids = load.accepted.select("id").union(load.known)
+        run_and_store(store, requests(store.read("prediction_batches").join(ids, "id", "left_semi")), at)
 
     return (
         files.select("path")

@@ -149,7 +149,7 @@ def _split_events(spark, sf_dir, *names):
 
 
 def _totals(sides, keys=()):
-    return drift.value_totals(frequency_table(*sides, list(keys)), list(keys))
+    return drift.numeric_totals(frequency_table(*sides, list(keys)), list(keys))
 
 
 def _psi(sides, keys=()):
@@ -280,7 +280,7 @@ def _order_categories(spark, sf_dir):
 
 @query("tvd_categorical", f"WITH {CATEGORY_OBS}, {drift_ctes()} SELECT feature, round(tvd, 9) AS tvd FROM tvd")
 def tvd_categorical(spark, sf_dir):
-    return drift.total_variation(_totals(_order_categories(spark, sf_dir))).select("feature", r9("tvd"))
+    return drift.total_variation(frequency_table(*_order_categories(spark, sf_dir))).select("feature", r9("tvd"))
 
 
 @query(
@@ -290,7 +290,7 @@ def tvd_categorical(spark, sf_dir):
       round(abs(cs - rs), 9) AS abs_difference FROM category""",
 )
 def tvd_category_differences(spark, sf_dir):
-    rows = drift.category_differences(_totals(_order_categories(spark, sf_dir)))
+    rows = drift.category_differences(frequency_table(*_order_categories(spark, sf_dir)))
     return rows.select("feature", "category", r9("ref_share"), r9("cur_share"), r9("abs_difference"))
 
 
@@ -302,7 +302,7 @@ def tvd_category_differences(spark, sf_dir):
 def tvd_many_categories(spark, sf_dir):
     """Categories without a bound: customer keys as text."""
     sides = [s.withColumn("o_custkey", F.col("o_custkey").cast("string")) for s in _split_orders(spark, sf_dir, "o_custkey")]
-    return drift.total_variation(_totals(sides)).select("feature", r9("tvd"))
+    return drift.total_variation(frequency_table(*sides)).select("feature", r9("tvd"))
 
 
 @query("feature_drift", f"WITH {ITEM_OBS}, {drift_ctes()} SELECT {SHOWN} FROM drift")

@@ -13,7 +13,7 @@ from tidewatch.sources.files import list_files, plain_path, read_rows
 from tidewatch.sources.tables import Store
 from tidewatch.streaming.prediction_stream import stream_predictions
 from workload import query, r9, table
-from workload.proxies import EVENT_SPLIT, before
+
 
 def stamp():
     """The load time of every run."""
@@ -78,14 +78,14 @@ def validate_confidence(spark, sf_dir):
 @query(
     "validate_timestamps",
     f"""WITH {EVENT_TEXTS} SELECT event_type,
-    count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMEstamp()) IS NULL) AS invalid_timestamps,
+    count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMESTAMP) IS NULL) AS invalid_timestamps,
     CASE WHEN count(*) FILTER (predicted_label IS NULL) > 0
         THEN 'The ''predicted_label'' column cannot contain missing values.'
       WHEN count(*) FILTER (confidence IS NOT NULL AND try_cast(confidence AS DOUBLE) IS NULL) > 0
         THEN 'Confidence values must be numeric.'
       WHEN count(*) FILTER (try_cast(confidence AS DOUBLE) NOT BETWEEN 0 AND 1) > 0
         THEN 'Confidence values must be between 0 and 1.'
-      WHEN count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMEstamp()) IS NULL) > 0
+      WHEN count(*) FILTER (timestamp IS NOT NULL AND try_cast(timestamp AS TIMESTAMP) IS NULL) > 0
         THEN 'One or more timestamp values are invalid.' END AS error
     FROM texts GROUP BY ALL""",
 )
@@ -156,10 +156,6 @@ def _listed_paths(spark, folder):
     return files.load(folder).select(plain_path(F.col("path")).alias("path"))
 
 
-def _path_list(spark, folder):
-    return [row["path"] for row in _listed_paths(spark, folder).collect()]
-
-
 @query(
     "csv_roundtrip",
     """SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars FROM documents""",
@@ -169,7 +165,7 @@ def csv_roundtrip(spark, sf_dir):
     folder = shared_folder(spark, "documents")
     _write_csv(table(spark, sf_dir, "documents"), folder, rows_per_file=2_000)
     cell = F.col("cells")
-    rows = read_rows(spark, list_files(spark, _path_list(spark, folder), max_bytes=1 << 30))
+    rows = read_rows(spark, list_files(spark, folder), folder)
     return rows.select(
         cell["doc_id"].cast("bigint").alias("doc_id"),
         F.sha2(cell["text"], 256).alias("text_hash"),
@@ -179,11 +175,16 @@ def csv_roundtrip(spark, sf_dir):
     )
 
 
+def project_of(event_type):
+    """A project of its own for each event type."""
+    return F.crc32(event_type.cast("binary"))
+
+
 def _registry_store(spark, sf_dir):
     """A store with one project and one model per event type."""
     store = Store(spark, shared_folder(spark, "store"))
     types = table(spark, sf_dir, "events").select("event_type").distinct()
-    projects = types.select(F.length("event_type").cast("bigint").alias("id")).distinct()
+    projects = types.select(project_of(F.col("event_type")).alias("id"))
     store.append(
         "projects", projects.withColumns({"target_column": F.lit("outcome"), "positive_class": F.lit("1")})
     )
@@ -192,11 +193,11 @@ def _registry_store(spark, sf_dir):
 
 
 def _event_logs(spark, sf_dir):
-    """Events from the split day as logs: half the labels are wrong for large values."""
+    """Events as logs: half the labels are wrong for large values."""
     events = table(spark, sf_dir, "events")
     label = (F.col("event_id") % 2).cast("string")
     wrong = F.col("value") > 30
-    return events.where(~before("ts", EVENT_SPLIT)).select(
+    return events.select(
         "event_type",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.col("value").alias("amount"),
@@ -208,8 +209,8 @@ def _event_logs(spark, sf_dir):
 
 
 def _event_baselines(spark, sf_dir):
-    """Events before the split day as training tables with the target ``outcome``."""
-    return table(spark, sf_dir, "events").where(before("ts", EVENT_SPLIT)).select(
+    """Events as training tables with the target ``outcome``."""
+    return table(spark, sf_dir, "events").select(
         "event_type",
         F.col("value").alias("amount"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
@@ -220,29 +221,29 @@ def _event_baselines(spark, sf_dir):
 def _routed(paths):
     """Project and model of a file from its folder name."""
     kind = F.regexp_extract("path", "event_type=([^/]+)", 1)
-    project = F.length(kind).cast("bigint")
+    project = project_of(kind)
     return paths.select("path", project.alias("project_id"), (project + 100).alias("model_version_id"))
 
 
 @query(
     "ingest_predictions",
-    f"""SELECT event_type, count(*) AS row_count, true AS is_labeled, 'processed' AS status, true AS refused_again
-    FROM events WHERE ts >= TIMEstamp() '{EVENT_SPLIT}' GROUP BY event_type""",
+    """SELECT event_type, count(*) AS row_count, true AS is_labeled, 'processed' AS status, true AS refused_again
+    FROM events GROUP BY event_type""",
 )
 def load_predictions(spark, sf_dir):
     """Logs per event type are loaded, then offered again and refused."""
     store, folder = _registry_store(spark, sf_dir), shared_folder(spark, "logs")
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
     uploads = _routed(_listed_paths(spark, folder))
-    ingest_predictions(store, uploads, stamp())
-    again = ingest_predictions(store, uploads, stamp())
+    ingest_predictions(store, uploads, stamp(), folder)
+    again = ingest_predictions(store, uploads, stamp(), folder)
     kind = F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type")
     stored = store.read("predictions").join(
         store.read("prediction_batches").select(F.col("id").alias("batch_id"), "content_hash", "is_labeled", "status"),
         "batch_id",
     )
     named = stored.join(
-        list_files(spark, _path_list(spark, folder)).select("path", "content_hash"), "content_hash"
+        list_files(spark, folder).select("path", "content_hash"), "content_hash"
     ).groupBy(kind).agg(
         F.count(F.lit(1)).alias("row_count"), F.bool_and("is_labeled").alias("is_labeled"), F.max("status").alias("status")
     )
@@ -252,10 +253,10 @@ def load_predictions(spark, sf_dir):
 
 @query(
     "ingest_datasets",
-    f"""SELECT event_type, count(*) AS row_count, 3::BIGINT AS column_count,
+    """SELECT event_type, count(*) AS row_count, 3::BIGINT AS column_count,
       sha256('amount:float64|k:int64|outcome:int64') AS schema_hash,
       count(*) FILTER (event_id % 2 = 1) AS class_1, round(sum(value), 4) AS amount_total
-    FROM events WHERE ts < TIMEstamp() '{EVENT_SPLIT}' GROUP BY event_type""",
+    FROM events GROUP BY event_type""",
 )
 def load_datasets(spark, sf_dir):
     """Training tables per event type, with profiles; the file name is the version."""
@@ -264,11 +265,11 @@ def load_datasets(spark, sf_dir):
     kind = F.regexp_extract("path", "event_type=([^/]+)", 1)
     uploads = _listed_paths(spark, folder).select(
         "path",
-        F.length(kind).cast("bigint").alias("project_id"),
+        project_of(kind).alias("project_id"),
         F.lit("training").alias("dataset_type"),
         F.concat_ws("-", kind, F.element_at(F.split("path", "/"), -1)).alias("version"),
     )
-    ingest_datasets(store, uploads, stamp())
+    ingest_datasets(store, uploads, stamp(), folder)
     amount = F.col("numeric_summary")["amount"]
     classes = store.read("dataset_classes").where("class = '1'").select("dataset_id", F.col("n").alias("class_1"))
     return (
@@ -318,9 +319,9 @@ def parquet_sink(spark, sf_dir):
 
 
 def _store_with_baselines(spark, sf_dir):
-    """A store whose projects have their early events as baseline rows."""
+    """A store whose projects have their events as baseline rows."""
     store = _registry_store(spark, sf_dir)
-    project = F.length("event_type").cast("bigint")
+    project = project_of(F.col("event_type"))
     features = F.create_map(
         F.lit("amount"), F.col("amount").cast("string"), F.lit("k"), F.col("k").cast("string"), F.lit("outcome"), F.col("outcome")
     )
@@ -347,7 +348,10 @@ def _requests(batches):
     )
 
 
-@query("stream_equals_batch")
+@query(
+    "stream_equals_batch",
+    "SELECT event_type, true AS equal, 2::BIGINT AS feature_rows FROM events GROUP BY event_type",
+)
 def stream_equals_batch(spark, sf_dir):
     """Logs arrive as a file stream; every check must equal the batch run over the same files."""
     folder = shared_folder(spark, "stream")
@@ -358,8 +362,8 @@ def stream_equals_batch(spark, sf_dir):
     )
     stream.awaitTermination()
     batch = _store_with_baselines(spark, sf_dir)
-    load = ingest_predictions(batch, _routed(_listed_paths(spark, folder)), stamp())
-    outcome = job_results(run_stored(batch, _requests(load.accepted)))
+    load = ingest_predictions(batch, _routed(_listed_paths(spark, folder)), stamp(), folder)
+    outcome = job_results(run_stored(batch, _requests(load.accepted)).results)
     shown = ["health_score", "status", "risk_level", "retraining_recommended"]
     from_stream = streamed.read("health_checks").join(
         streamed.read("diagnosis_reports").select("health_check_id", "risk_level", "retraining_recommended"),
@@ -367,22 +371,32 @@ def stream_equals_batch(spark, sf_dir):
     )
     left = from_stream.select("id", F.struct(*shown).alias("streamed"))
     right = outcome.select(F.col("check_id").alias("id"), F.struct(*shown).alias("batched"))
-    both = left.join(right, "id", "full")
-    return both.select(
-        "id", F.col("streamed.health_score").alias("health_score"), F.col("streamed").eqNullSafe(F.col("batched")).alias("equal")
+    both = left.join(right, "id", "full").select("id", F.col("streamed").eqNullSafe(F.col("batched")).alias("equal"))
+    owners = streamed.read("prediction_batches").select("id", "project_id")
+    details = streamed.read("check_features").groupBy(F.col("health_check_id").alias("id")).agg(F.count(F.lit(1)).alias("feature_rows"))
+    names = table(spark, sf_dir, "events").select("event_type", project_of(F.col("event_type")).alias("project_id")).distinct()
+    return both.join(owners, "id", "left").join(details, "id", "left").join(names, "project_id", "left").groupBy("event_type").agg(
+        F.bool_and("equal").alias("equal"), F.max("feature_rows").alias("feature_rows")
     )
 
 
-@query("bulk_check_jobs")
+@query(
+    "bulk_check_jobs",
+    """SELECT event_type, status, error_message
+    FROM (SELECT DISTINCT event_type FROM events),
+      (VALUES ('completed', NULL), ('failed', 'Prediction batch with ID -1 was not found.')) AS s(status, error_message)""",
+)
 def bulk_check_jobs(spark, sf_dir):
     """Loaded logs are checked in one run; job events end in completed or failed."""
     from tidewatch.operators.jobs import job_states
 
     store, folder = _store_with_baselines(spark, sf_dir), shared_folder(spark, "logs")
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
-    load = ingest_predictions(store, _routed(_listed_paths(spark, folder)), stamp())
+    load = ingest_predictions(store, _routed(_listed_paths(spark, folder)), stamp(), folder)
     requests = _requests(load.accepted)
-    broken = requests.select((F.col("check_id") + 1).alias("check_id"), *requests.columns[1:4], F.lit(-1).alias("prediction_batch_id"))
+    broken = requests.select((F.col("check_id") + 1).alias("check_id"), *requests.columns[1:4], F.lit(-1).cast("long").alias("prediction_batch_id"))
     run_and_store(store, requests.unionByName(broken), stamp())
-    states = job_states(store.read("job_events"))
-    return states.groupBy("status", "error_message").agg(F.count(F.lit(1)).alias("jobs"))
+    jobs = store.read("job_events").groupBy("job_id").agg(F.max("project_id").alias("project_id"))
+    names = table(spark, sf_dir, "events").select("event_type", project_of(F.col("event_type")).alias("project_id")).distinct()
+    states = job_states(store.read("job_events")).join(jobs, "job_id").join(names, "project_id")
+    return states.select("event_type", "status", "error_message").distinct()

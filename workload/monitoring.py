@@ -173,6 +173,80 @@ def stored_tables(spark, sf_dir, columns):
     }
 
 
+def _own_requests(tables):
+    """A check of each batch against the baseline of its project."""
+    part = F.col("id")
+    return tables["projects"].select(
+        part.alias("check_id"),
+        part.alias("project_id"),
+        (part + 10).alias("model_version_id"),
+        (part + 20).alias("baseline_dataset_id"),
+        (part + 30).alias("prediction_batch_id"),
+    )
+
+
+def _check_run(spark, sf_dir):
+    tables = stored_tables(spark, sf_dir, FEATURES)
+    return plans.run_checks(_own_requests(tables), **tables)
+
+
+BATCH_DRIFT = f"WITH {BATCHED_LOG}, {observed('batched', ITEM_REF, columns(FEATURES), 'batch, ')}, {drift_ctes('batch, ')}"
+
+
+@query(
+    "check_features",
+    f"""{BATCH_DRIFT} SELECT batch AS check_id, feature, round(psi, 9) AS psi, round(d, 9) AS ks_statistic,
+      NULL::DOUBLE AS tvd FROM psi JOIN ks USING (batch, feature)
+    UNION ALL SELECT batch, feature, NULL, NULL, round(tvd, 9) FROM tvd""",
+)
+def check_features(spark, sf_dir):
+    """Per-feature drift of eight stored checks."""
+    rows = _check_run(spark, sf_dir).features
+    return rows.select("check_id", "feature", r9("psi"), r9("ks_statistic"), r9("tvd"))
+
+
+@query(
+    "check_categories",
+    f"""{BATCH_DRIFT} SELECT batch AS check_id, feature, txt AS category, round(rs, 9) AS ref_share,
+      round(cs, 9) AS cur_share, round(abs(cs - rs), 9) AS abs_difference FROM category""",
+)
+def check_categories(spark, sf_dir):
+    """Both distributions of the categorical features of eight stored checks."""
+    rows = _check_run(spark, sf_dir).categories
+    return rows.select("check_id", "feature", "category", r9("ref_share"), r9("cur_share"), r9("abs_difference"))
+
+
+@query(
+    "check_classes",
+    f"""WITH {BATCHED_LOG}, log AS (SELECT * FROM batched WHERE NOT ({ITEM_REF})),
+    labels AS (SELECT batch, true_label AS label FROM log UNION SELECT batch, predicted_label FROM log),
+    counted AS (
+      SELECT b.batch, b.label, count(*) FILTER (l.true_label = b.label) AS support,
+        count(*) FILTER (l.predicted_label = b.label) AS predicted,
+        count(*) FILTER (l.true_label = b.label AND l.predicted_label = b.label) AS hits, count(*) AS n
+      FROM labels b JOIN log l USING (batch) GROUP BY ALL)
+    SELECT batch AS check_id, label, support, predicted, round(support / n, 9) AS true_share,
+      round(predicted / n, 9) AS predicted_share, round(coalesce(hits / nullif(predicted, 0), 0), 9) AS precision,
+      round(coalesce(hits / nullif(support, 0), 0), 9) AS recall,
+      round(coalesce(2 * hits / nullif(support + predicted, 0), 0), 9) AS f1 FROM counted""",
+)
+def check_classes(spark, sf_dir):
+    """Per-class measures and both class distributions of eight stored checks."""
+    rows = _check_run(spark, sf_dir).classes
+    shown = [r9(c) for c in ("true_share", "predicted_share", "precision", "recall", "f1")]
+    return rows.select("check_id", "label", "support", "predicted", *shown)
+
+
+@query(
+    "check_confusion",
+    f"""WITH {BATCHED_LOG} SELECT batch AS check_id, true_label, predicted_label, count(*) AS n
+    FROM batched WHERE NOT ({ITEM_REF}) GROUP BY ALL""",
+)
+def check_confusion(spark, sf_dir):
+    """Occupied confusion cells of eight stored checks."""
+    return _check_run(spark, sf_dir).confusion
+
+
 @query(
     "health_check_bulk",
     f"""WITH {BATCHED_LOG},
@@ -189,14 +263,7 @@ def stored_tables(spark, sf_dir, columns):
 def health_check_bulk(spark, sf_dir):
     """Stored-form checks of eight batches, and as many requests that break one rule each."""
     tables = stored_tables(spark, sf_dir, FEATURES)
-    part = F.col("id")
-    good = tables["projects"].select(
-        part.alias("check_id"),
-        part.alias("project_id"),
-        (part + 10).alias("model_version_id"),
-        (part + 20).alias("baseline_dataset_id"),
-        (part + 30).alias("prediction_batch_id"),
-    )
+    good = _own_requests(tables)
     rule, other = F.col("project_id") % 4, (F.col("project_id") + 1) % 8
     bad = good.select(
         (F.col("check_id") + 100).alias("check_id"),
@@ -205,7 +272,7 @@ def health_check_bulk(spark, sf_dir):
         F.when(rule == 1, 999).when(rule == 2, other + 20).otherwise(F.col("baseline_dataset_id")).alias("baseline_dataset_id"),
         F.when(rule == 3, other + 30).otherwise(F.col("prediction_batch_id")).alias("prediction_batch_id"),
     )
-    results = cut_lineage(plans.run_health_checks(good.unionByName(bad), **tables))
+    results = plans.run_health_checks(good.unionByName(bad), **tables)
     outcome = plans.job_results(results).drop("health_check_id", "diagnosis_report_id")
     extra = results.select(
         "check_id", r9("f1"), r9("roc_auc"), F.array_join("drifted_features", ", ").alias("drifted_features")
