@@ -11,8 +11,6 @@ in three units or more. A large cluster of variants so costs about one pair per
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,30 +19,34 @@ from tidewatch.session import cut_lineage
 
 PERCENT = 80
 #: Slots of the table of word counts.
-SLOTS = 1 << 16
+SLOTS = 1 << 20
 #: White space besides the space that parts words.
 BLANKS = "\t\x0b\f\r\n"
 NEWLINE = "\n"
 
 
-def word_counts(texts: DataFrame, text: str = "text") -> list[int]:
-    """How often words of each slot occur in all texts; one number per slot."""
-    words = texts.select(F.explode(_words(F.col(text))).alias("word"))
-    slots = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
-    counts = [0] * SLOTS
-    for row in slots.groupBy("slot").agg(F.count("*").alias("uses")).collect():  # SLOTS rows at most
-        counts[row["slot"]] = row["uses"]
-    return counts
-
+def word_grades(texts: DataFrame, text: str = "text") -> str:
+    """The rarity table: per slot the magnitude of its number of words in all texts, 0 to 127.
 
-def _coded(words: Column, counts: list[int]) -> Column:
-    """Distinct words as sorted numbers: the count's magnitude above 56 bits of the word's hash."""
-    grades = ",".join(str(int(4 * math.log2(c + 1))) for c in counts)
-    table = F.split(F.lit(grades), ",").cast("array<long>")
+    A table of SLOTS small numbers whatever the input, as text; it comes in a few hundred rows.
+    """
+    words = texts.select(F.explode(_words(F.col(text))).alias("word"))
+    uses = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).groupBy("slot").agg(F.count("*").alias("uses"))
+    every = texts.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("uses"))
+    whole = uses.union(every).groupBy("slot").agg(F.sum("uses").alias("uses"))
+    graded = whole.select("slot", F.least(F.floor(4 * F.log2(F.col("uses") + 1)), F.lit(127)).cast("string").alias("grade"))
+    parts = graded.groupBy(F.shiftright("slot", 12).alias("part")).agg(F.array_sort(F.collect_list(F.struct("slot", "grade"))).alias("grades"))
+    rows = parts.select("part", F.array_join(F.transform("grades", lambda g: g["grade"]), ",").alias("grades")).collect()
+    return ",".join(r["grades"] for r in sorted(rows, key=lambda r: r["part"]))
+
+
+def _coded(words: Column, grades: str) -> Column:
+    """Distinct words as sorted numbers: the grade of the word's slot above 56 bits of its hash."""
+    table = F.split(F.lit(grades), ",").cast("array<tinyint>")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     codes = F.transform(
         hashes,
-        lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long")), 56).bitwiseOR(
+        lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(
             F.shiftrightunsigned(h, 8)
         ),
     )
@@ -65,10 +67,25 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _fits(percent: int) -> Column:
-    """Size and place filters of a pair that shares a word at ``place_a`` and ``place_b``."""
+    """Filters of a pair that shares a word at ``place_a`` and ``place_b``: sizes, places, marks.
+
+    A mark has one of 64 bits set for each word of a prefix, so each bit that only one side has
+    is a word of its prefix that the other lacks. Of the unit whose prefix ends first in the
+    common order, only words behind the prefix can be shared beyond the shared prefix.
+    """
     n_a, n_b = F.col("n_a"), F.col("n_b")
     left = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
-    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (left * (100 + percent) >= (n_a + n_b) * percent)
+    shared = F.expr("least(p_a - bit_count(mark_a & ~mark_b), p_b - bit_count(mark_b & ~mark_a))")
+    most = F.least(left, shared + F.greatest(n_a - F.col("p_a"), n_b - F.col("p_b")))
+    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+
+
+def _side(places: DataFrame, x: str) -> DataFrame:
+    return places.select("word", *[F.col(c).alias(f"{n}_{x}" if n else x) for c, n in SIDE.items()])
+
+
+#: Columns of a posting and their names on a side of a pair.
+SIDE = {"unit": "", "n": "n", "place": "place", "mark": "mark", "p": "p"}
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,8 +101,8 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
     docs = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("doc"), text_of(f"`{text}`").alias("text"))
-    counts = word_counts(docs)
-    codes = _lines(docs).select("doc", "twin", "line", _coded(_words(F.col("body")), counts).alias("codes"))
+    grades = word_grades(docs)
+    codes = _lines(docs).select("doc", "twin", "line", _coded(_words(F.col("body")), grades).alias("codes"))
     n = F.size("codes")
     length = n - F.expr(f"({percent} * size(codes) + 99) div 100") + 1
     prefix = F.transform(F.slice("codes", F.lit(1), length.cast("int")), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -111,21 +128,19 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
 
 def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """``(unit, n)`` of units that match a unit with an earlier first place."""
-    place = units.select("unit", "n", F.floor(F.col("first") / F.lit(1 << 32)).cast("long").alias("doc"), F.posexplode("prefix").alias("place", "word"))
+    mark = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))))
+    doc = F.floor(F.col("first") / F.lit(1 << 32)).cast("long").alias("doc")
+    marked = units.select("unit", "n", doc, mark.alias("mark"), F.size("prefix").alias("p"), "prefix")
+    place = marked.select("unit", "n", "doc", "mark", "p", F.posexplode("prefix").alias("place", "word"))
     places = place.repartition("word")
     words = places.groupBy("word").agg(F.min("doc").alias("doc"), F.count("*").alias("uses")).filter("uses > 1")
-    ours = places.select("word", F.col("unit").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    heads = places.join(words.select("word", "doc"), ["word", "doc"]).select(
-        "word", F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")
-    )
-    pairs = ours.join(heads, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
+    heads = _side(places.join(words.select("word", "doc"), ["word", "doc"]), "b")
+    pairs = _side(places, "a").join(heads, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
     early = _later(docs, units, pairs, percent)
 
     shared = cut_lineage(places.join(words.filter("uses > 2").select("word"), "word"))
     rest = shared.join(early, ["unit", "n"], "left_anti")
-    ours = rest.select("word", F.col("unit").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    others = shared.select("word", F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    more = ours.join(others, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
+    more = _side(rest, "a").join(_side(shared, "b"), "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
     return early.union(_later(docs, units, more, percent)).distinct()
 
 
