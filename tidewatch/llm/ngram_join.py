@@ -36,13 +36,13 @@ SHARED = 3
 SEEDS = 3
 #: A token is frequent from this share of all texts on (and at least FREQUENT_LEAST texts). Only
 #: the token order depends on it, not the result; there are at most mean set size / share of them.
-FREQUENT_SHARE = 0.0005
-FREQUENT_LEAST = 20
+FREQUENT_SHARE = 0.0001
+FREQUENT_LEAST = 10
 #: Stands for a NULL key inside.
 NO_KEY = -(2**63)
 #: Shingles counted at a time, and local repeats from which a token is reported.
-COUNT_BLOCK = 1 << 21
-COUNT_LEAST = 4
+COUNT_BLOCK = 1 << 22
+COUNT_LEAST = 3
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
