@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 from tidewatch.operators import metrics, ranking
 from tidewatch.plans.health_check import check_tables
 
+# The ten rows of the demo prediction log.
 DEMO = [
-    ("25", 48.50, 4, "Month-to-month", 4, "1", "1", 0.91),
-    ("43", 78.20, 25, "One year", 1, "0", "0", 0.88),
-    ("37", 67.40, 13, "Month-to-month", 3, "1", "1", 0.82),
-    ("59", 91.25, 50, "Two year", 0, "0", "0", 0.95),
-    ("30", 58.10, 7, "Month-to-month", 5, "1", "1", 0.79),
-    ("48", 74.90, 38, "One year", 1, "0", "0", 0.87),
-    ("34", 63.80, 11, "Month-to-month", 2, "1", "0", 0.56),
-    ("52", 86.15, 44, "Two year", 0, "0", "0", 0.93),
-    ("28", 52.20, 5, "Month-to-month", 4, "1", "1", 0.84),
-    ("45", 77.60, 32, "One year", 1, "0", "0", 0.89),
+    (25, 48.50, 4, "Month-to-month", 4, "1", "1", 0.91),
+    (43, 78.20, 25, "One year", 1, "0", "0", 0.88),
+    (37, 67.40, 13, "Month-to-month", 3, "1", "1", 0.82),
+    (59, 91.25, 50, "Two year", 0, "0", "0", 0.95),
+    (30, 58.10, 7, "Month-to-month", 5, "1", "1", 0.79),
+    (48, 74.90, 38, "One year", 1, "0", "0", 0.87),
+    (34, 63.80, 11, "Month-to-month", 2, "1", "0", 0.56),
+    (52, 86.15, 44, "Two year", 0, "0", "0", 0.93),
+    (28, 52.20, 5, "Month-to-month", 4, "1", "1", 0.84),
+    (45, 77.60, 32, "One year", 1, "0", "0", 0.89),
 ]
 SCHEMA = (
-    "age string, monthly_charges double, tenure_months int, contract_type string, support_calls int, "
+    "age int, monthly_charges double, tenure_months int, contract_type string, support_calls int, "
     "true_label string, predicted_label string, confidence double"
 )
 
 
 def demo(spark):
-    return spark.createDataFrame(DEMO, SCHEMA).withColumn("age", F.col("age").cast("int"))
+    return spark.createDataFrame(DEMO, SCHEMA)
 
 
 def log(spark, rows, columns="true_label string, predicted_label string, confidence double"):

@@ -59,10 +59,11 @@ def test_life_of_a_project(spark, tmp_path):
         store,
         spark.createDataFrame([(base, project["id"], "training", "v1")], "path string, project_id long, dataset_type string, version string"),
         at(5),
+        base,
     )
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(log).select("path")
     batch = ingest.ingest_predictions(
-        store, files.select("path", F.lit(project["id"]).alias("project_id"), F.lit(model["id"]).alias("model_version_id")), at(6)
+        store, files.select("path", F.lit(project["id"]).alias("project_id"), F.lit(model["id"]).alias("model_version_id")), at(6), log
     ).accepted.first()
     assert (batch["row_count"], batch["is_labeled"]) == (120, True)
     assert monitor.batch_predictions(batch["id"]).count() == 120

@@ -9,9 +9,11 @@ from tidewatch.functions import text
 from tidewatch.operators import profile, registry
 from tidewatch.operators.jobs import job_states
 from tidewatch.plans import ingest, training
-from tidewatch.plans.bulk import run_and_store
-from tidewatch.sources.files import header_names, list_files, read_rows
+from tidewatch.plans.bulk import queue_jobs, run_and_store, run_queued
+from tidewatch.sources import files
+from tidewatch.sources.files import list_files, read_rows
 from tidewatch.sources.tables import Store
+from tidewatch.streaming.prediction_stream import stream_predictions
 
 def stamp():
     return F.lit("2026-07-01 00:00:00").cast("timestamp")
@@ -58,8 +60,10 @@ def test_column_types(spark):
     assert types(spark, [(None,), (None,)], "object") == {"c0": "object"}
 
 
-def test_repeated_headers():
-    assert header_names('f,f,"a,b",,f') == ["f", "f.1", "a,b", "Unnamed: 3", "f.2"]
+def test_repeated_headers(spark, tmp_path):
+    path = write(str(tmp_path), "names.csv", '\ufefff,f,"a,b",,f\n1,2,3,4,5\n')
+    (row,) = read_rows(spark, list_files(spark, path), path).collect()
+    assert row["cells"] == {"f": "1", "f.1": "2", "a,b": "3", "Unnamed: 3": "4", "f.2": "5"}
 
 
 def test_profile_of_single_row(spark):
@@ -161,7 +165,7 @@ def test_refused_logs(spark, store, tmp_path):
         write(folder, "large.csv", "predicted_label\n" + "1\n" * 3000): (1, 10, "The uploaded CSV exceeds the 10 MB size limit."),
     }
     frame = spark.createDataFrame([(p, v[0], v[1]) for p, v in uploads.items()], "path string, project_id long, model_version_id long")
-    load = ingest.ingest_predictions(store, frame, stamp(), max_bytes=4000)
+    load = ingest.ingest_predictions(store, frame, stamp(), folder, max_bytes=4000)
     refused = {r["path"]: r["error"] for r in load.rejected.collect()}
     assert refused == {p: v[2] for p, v in uploads.items() if v[2]}
     batch = store.read("prediction_batches").collect()
@@ -172,7 +176,7 @@ def test_refused_logs(spark, store, tmp_path):
     assert [r["confidence"] for r in rows] == [0.91, 0.88, None]
     assert rows[0]["features"] == {"age": "25", "contract": "Month, to month"}
     assert rows[2]["features"]["age"] is None
-    again = ingest.ingest_predictions(store, frame.limit(1), stamp())
+    again = ingest.ingest_predictions(store, frame.limit(1), stamp(), folder)
     assert again.accepted.count() == 0 and store.read("predictions").count() == 3
 
 
@@ -183,7 +187,7 @@ def test_load_dataset(spark, store, tmp_path):
         [(good, 1, "training", "v1"), (bad, 1, "training", "v2"), (good, 1, "other", "v3")],
         "path string, project_id long, dataset_type string, version string",
     )
-    load = ingest.ingest_datasets(store, frame, stamp())
+    load = ingest.ingest_datasets(store, frame, stamp(), str(tmp_path))
     assert sorted(r["error"] for r in load.rejected.collect()) == [
         "Target column 'churn' was not found in the CSV.", "Unknown dataset type.",
     ]
@@ -195,13 +199,13 @@ def test_load_dataset(spark, store, tmp_path):
     assert seen["numeric_summary"]["age"]["mean"] == 35.0 and "plan" not in seen["numeric_summary"]
     assert seen["categorical_summary"]["plan"]["most_frequent"] == "b"
     assert {r["class"]: r["n"] for r in store.read("dataset_classes").collect()} == {"0": 1, "1": 2}
-    again = ingest.ingest_datasets(store, frame.limit(1), stamp())
+    again = ingest.ingest_datasets(store, frame.limit(1), stamp(), good)
     assert again.rejected.first()["error"] == "Dataset type 'training' version 'v1' already exists in project 1."
 
 
 def test_different_headers_in_one_load(spark, tmp_path):
     paths = [write(str(tmp_path), "a.csv", "x,y\n1,2\n"), write(str(tmp_path), "b.csv", 'y,z\n3,"4\n5"\n')]
-    rows = read_rows(spark, list_files(spark, paths)).collect()
+    rows = read_rows(spark, list_files(spark, paths), paths).collect()
     assert sorted(sorted(r["cells"].items()) for r in rows) == [[("x", "1"), ("y", "2")], [("y", "3"), ("z", "4\n5")]]
 
 
@@ -211,10 +215,10 @@ def test_stored_checks(spark, store, tmp_path):
     logged = [f"{20 + i % 30},,{i % 2},{i % 2},0.{80 + i % 20}" for i in range(50)]
     log = write(str(tmp_path), "log.csv", "age,plan,true_label,predicted_label,confidence\n" + "\n".join(logged) + "\n")
     data = ingest.ingest_datasets(
-        store, spark.createDataFrame([(base, 1, "training", "v1")], "path string, project_id long, dataset_type string, version string"), stamp()
+        store, spark.createDataFrame([(base, 1, "training", "v1")], "path string, project_id long, dataset_type string, version string"), stamp(), base
     ).accepted.first()
     batch = ingest.ingest_predictions(
-        store, spark.createDataFrame([(log, 1, 10)], "path string, project_id long, model_version_id long"), stamp()
+        store, spark.createDataFrame([(log, 1, 10)], "path string, project_id long, model_version_id long"), stamp(), log
     ).accepted.first()
     requests = spark.createDataFrame(
         [(1, 1, 10, data["id"], batch["id"]), (2, 2, 20, data["id"], batch["id"]), (3, 1, 77, data["id"], batch["id"])],
@@ -251,7 +255,117 @@ def test_repeated_load_stores_rows_once(spark, store, tmp_path):
 
     log = write(str(tmp_path / "logs"), "log.csv", LOG)
     frame = spark.createDataFrame([(log, 1, 10)], "path string, project_id long, model_version_id long")
-    first = ingest.ingest_predictions(Forgetful(spark, store.root), frame, stamp()).accepted.first()
-    second = ingest.ingest_predictions(store, frame, stamp()).accepted.first()
+    first = ingest.ingest_predictions(Forgetful(spark, store.root), frame, stamp(), log).accepted.first()
+    second = ingest.ingest_predictions(store, frame, stamp(), log).accepted.first()
     assert (first["id"], first["load_id"]) == (second["id"], second["load_id"])
     assert store.read("predictions").count() == 3
+
+
+def test_one_csv_scan_whatever_the_headers(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        write(str(tmp_path), f"{i}.csv", ",".join(f"c{j}" for j in range(i + 1)) + "\n" + ",".join("1" * (i + 1)) + "\n")
+    manifest, plans, cut = list_files(spark, str(tmp_path)), [], files.cut_lineage
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df)
+
+    monkeypatch.setattr(files, "cut_lineage", watched)
+    rows = read_rows(spark, manifest, str(tmp_path))
+    assert sorted(len(r["cells"]) for r in rows.collect()) == [1, 2, 3, 4, 5]
+    assert [p.split("== Physical Plan ==")[1].count("FileScan csv") for p in plans] == [1]
+    assert "FileScan csv" not in rows._jdf.queryExecution().toString()
+
+
+def test_no_paths_on_the_driver():
+    for module in (files, ingest):
+        with open(module.__file__, encoding="utf-8") as source:
+            assert ".collect()" not in source.read()
+
+
+class Dies(Store):
+    """Ends like a killed process at one write, once."""
+
+    at, error = None, KeyboardInterrupt
+
+    def append(self, table, rows):
+        if Dies.at and table == Dies.at[0] and (Dies.at[1] is None or Dies.at[1] in rows.columns):
+            Dies.at = None
+            raise self.error("gone")
+        super().append(table, rows)
+
+
+class Breaks(Dies):
+    error = RuntimeError
+
+
+def prepared(spark, store, tmp_path, checks=(1, 2)):
+    rows = [f"{20 + i % 30},{'a' if i % 2 else 'b'},{i % 2}" for i in range(60)]
+    base = write(str(tmp_path / "base"), "train.csv", "age,plan,churn\n" + "\n".join(rows) + "\n")
+    log = write(str(tmp_path / "log"), "log.csv", "age,plan,true_label,predicted_label,confidence\n" + "40,a,1,1,0.9\n30,b,0,0,0.8\n" * 20)
+    data = ingest.ingest_datasets(
+        store, spark.createDataFrame([(base, 1, "training", "v1")], "path string, project_id long, dataset_type string, version string"), stamp(), base
+    ).accepted.first()
+    batch = ingest.ingest_predictions(
+        store, spark.createDataFrame([(log, 1, 10)], "path string, project_id long, model_version_id long"), stamp(), log
+    ).accepted.first()
+    return spark.createDataFrame(
+        [(c, 1, 10, data["id"], batch["id"]) for c in checks],
+        "check_id long, project_id long, model_version_id long, baseline_dataset_id long, prediction_batch_id long",
+    )
+
+
+@pytest.mark.parametrize("point", [("check_classes", None), ("diagnosis_reports", None), ("job_events", "result")])
+def test_a_run_that_dies_is_taken_up(spark, store, tmp_path, point):
+    requests, fragile = prepared(spark, store, tmp_path), Dies(spark, store.root)
+    queue_jobs(store, requests, stamp())
+    Dies.at = point
+    with pytest.raises(KeyboardInterrupt):
+        run_queued(fragile, stamp())
+    assert {r["status"] for r in job_states(store.read("job_events")).collect()} == {"running"}
+    run_queued(fragile, stamp())
+    assert {(r["job_id"], r["status"]) for r in job_states(store.read("job_events")).collect()} == {(1, "completed"), (2, "completed")}
+    for table, key in (("health_checks", "id"), ("diagnosis_reports", "id")):
+        assert sorted(r[key] for r in store.read(table).collect()) == [1, 2]
+    assert store.read("check_features").groupBy("health_check_id", "feature").count().where("count > 1").count() == 0
+    assert store.read("check_features").count() == 4 and store.read("check_classes").count() == 4
+    queue_jobs(store, requests, stamp())
+    assert run_queued(store, stamp()).count() == 0
+
+
+def test_a_run_that_fails_marks_its_jobs(spark, store, tmp_path):
+    requests = prepared(spark, store, tmp_path)
+    unknown = requests.limit(1).selectExpr("9 AS check_id", "77 AS project_id", "model_version_id", "baseline_dataset_id", "prediction_batch_id")
+    refused = queue_jobs(store, requests.union(unknown), stamp()).collect()
+    assert [(r["check_id"], r["error"]) for r in refused] == [(9, "Project with ID 77 was not found.")]
+    Breaks.at = Dies.at = ("health_checks", None)
+    with pytest.raises(RuntimeError, match="gone"):
+        run_queued(Breaks(spark, store.root), stamp())
+    states = job_states(store.read("job_events")).collect()
+    assert {(r["job_id"], r["status"], r["error_message"]) for r in states} == {(1, "failed", "RuntimeError: gone"), (2, "failed", "RuntimeError: gone")}
+
+
+def test_a_stream_that_dies_loses_no_check(spark, store, tmp_path):
+    requests = prepared(spark, store, tmp_path, (1,)).first()
+    folder = str(tmp_path / "arriving")
+    for i in range(3):
+        write(folder, f"{i}.csv", f"age,plan,true_label,predicted_label,confidence\n{30 + i},a,1,1,0.9\n40,b,0,0,0.8\n")
+    failures = [True]
+
+    def asked(batches):
+        if failures.pop() if failures else False:
+            raise RuntimeError("gone between loading and checking")
+        return batches.select(
+            F.col("id").alias("check_id"), "project_id", "model_version_id",
+            F.lit(requests["baseline_dataset_id"]).alias("baseline_dataset_id"), F.col("id").alias("prediction_batch_id"),
+        )
+
+    def start():
+        routed = lambda paths: paths.withColumns({"project_id": F.lit(1), "model_version_id": F.lit(10)})
+        stream_predictions(store, folder, str(tmp_path / "progress"), routed, asked, stamp).awaitTermination()
+
+    with pytest.raises(Exception, match="gone between"):
+        start()
+    assert store.read("prediction_batches").count() == 4 and store.read("health_checks").count() == 0
+    start()
+    assert store.read("health_checks").count() == 3 and store.read("prediction_batches").count() == 4

@@ -46,38 +46,36 @@ def file_contents(spark: SparkSession, files: str | list[str], max_bytes: int |
 def list_files(spark: SparkSession, files: str | list[str], max_bytes: int | None = None) -> DataFrame:
     """One row per file: name, size, content hash, first line and the first broken file rule.
 
-    Bytes are hashed as they are, file by file, inside the tasks; only the first bytes are decoded.
+    Bytes are hashed as they are, file by file, inside the tasks; only the first bytes are searched for the header.
     ``max_bytes`` is for callers who want to refuse larger files (``UPLOAD_LIMIT`` is the usual
     choice); by default no file is too large. The result is written once because both the
     fingerprint guard and the reader use it.
     """
-    reader, place = _files(spark, files)
-    listed = reader.format("binaryFile").load(place).select(plain_path(F.col("path")).alias("path"), F.col("length").alias("bytes"))
-    text = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    hashed = file_contents(spark, files, max_bytes).select(
+    begin = F.make_valid_utf8(F.substring("content", 1, HEADER_BYTES).cast("string"))
+    facts = file_contents(spark, files, max_bytes).select(
         "path",
+        F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("content_hash"),
-        F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1).alias("header"),
+        F.regexp_extract(begin, r"^[\r\n\uFEFF]*([^\r\n]*)", 1).alias("header"),
+        F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"),
     )
     if max_bytes is None:
-        listed = file_contents(spark, files).select(
-            "path",
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("content_hash"),
-            F.regexp_extract(text, r"^[\r\n\uFEFF]*([^\r\n]*)", 1).alias("header"),
-        )
+        listed = facts
     else:
-        listed = listed.join(hashed, "path", "left")
+        # Files over the limit are known from the listing; their content is not read.
+        reader, place = _files(spark, files)
+        every = reader.format("binaryFile").load(place).select(plain_path(F.col("path")).alias("path"), F.col("length").alias("bytes"))
+        listed = every.join(facts.drop("bytes"), "path", "left")
     name = F.element_at(F.split("path", "/"), -1)
-    listed = listed.select("path", name.alias("file_name"), "bytes", "content_hash", "header")
+    listed = listed.select("path", name.alias("file_name"), "bytes", "content_hash", "header", "is_text")
     too_large = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
     problem = (
         F.when(~F.lower("file_name").endswith(".csv"), ONLY_CSV)
         .when(F.col("bytes") == 0, EMPTY_FILE)
         .when(too_large, TOO_LARGE)
-        .when(F.trim("header") == "", UNREADABLE)
+        .when((F.trim("header") == "") | ~F.col("is_text"), UNREADABLE)
     )
-    return cut_lineage(listed.withColumn("file_error", problem))
+    return cut_lineage(listed.withColumn("file_error", problem).drop("is_text"))
 
 
 def _names(header: Column) -> Column:
