@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import shared_folder
+
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has (Spark ignores case in names)."""
@@ -50,3 +56,37 @@ def thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     held = F.get(known, F.shiftright(own, 5))
     hit = F.call_function("shiftrightunsigned", held, own.bitwiseAND(F.lit(31))).bitwiseAND(F.lit(1)) == 1
     return rows.filter(hit).join(wanted.select(F.col(name).alias(key)).distinct(), key)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: a checkpoint in columns.
+
+    Far smaller on disk than a checkpoint of rows where columns compress or repeat.
+    """
+    place = shared_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
+
+    Spark's cleaner acts when the driver collects its garbage, which it otherwise does too seldom
+    to keep the disk use of several large steps from adding up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of bounded size for the actions inside, where a row is wide."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

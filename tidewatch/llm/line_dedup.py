@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, text_of, thinned
+from tidewatch.llm.common import fresh, release, staged, text_of, thinned
 from tidewatch.session import cut_lineage
 
 PERCENT = 80
@@ -85,7 +85,7 @@ def _side(places: DataFrame, x: str) -> DataFrame:
 
 
 #: Columns of a posting and their names on a side of a pair.
-SIDE = {"unit": "", "n": "n", "place": "place", "mark": "mark", "p": "p"}
+SIDE = {"unit": "", "n": "n", "doc": "doc", "place": "place", "mark": "mark", "p": "p"}
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,14 +107,17 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
     length = n - F.expr(f"({percent} * size(codes) + 99) div 100") + 1
     prefix = F.transform(F.slice("codes", F.lit(1), length.cast("int")), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     able = n * (100 - percent) >= percent
-    lines = cut_lineage(
+    spark = docs.sparkSession
+    lines = staged(
         codes.select(
             "doc", "twin", "line", n.alias("n"), F.xxhash64("codes").alias("unit"), F.when(able, prefix).alias("prefix")
-        )
+        ),
+        "lines",
     )
     at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
     units = lines.filter("n > 0").groupBy("unit", "n", "prefix").agg(F.min(at.cast("decimal(38,0)")).alias("first"))
-    units = cut_lineage(units)
+    units = staged(units, "units")
+    release(spark)
     matched = _matched(docs, units.filter("prefix IS NOT NULL"), percent)
     judged = units.select("unit", "n", "first").join(matched.withColumn("late", F.lit(True)), ["unit", "n"], "left")
     # The first place of a unit stays unless the unit matches an earlier one; all others go.
@@ -131,17 +134,23 @@ def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     mark = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))))
     doc = F.floor(F.col("first") / F.lit(1 << 32)).cast("long").alias("doc")
     marked = units.select("unit", "n", doc, mark.alias("mark"), F.size("prefix").alias("p"), "prefix")
-    place = marked.select("unit", "n", "doc", "mark", "p", F.posexplode("prefix").alias("place", "word"))
-    places = place.repartition("word")
-    words = places.groupBy("word").agg(F.min("doc").alias("doc"), F.count("*").alias("uses")).filter("uses > 1")
-    heads = _side(places.join(words.select("word", "doc"), ["word", "doc"]), "b")
-    pairs = _side(places, "a").join(heads, "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
-    early = _later(docs, units, pairs, percent)
-
-    shared = cut_lineage(places.join(words.filter("uses > 2").select("word"), "word"))
-    rest = shared.join(early, ["unit", "n"], "left_anti")
-    more = _side(rest, "a").join(_side(shared, "b"), "word").filter(_differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
-    return early.union(_later(docs, units, more, percent)).distinct()
+    spread = lambda some: some.select("unit", "n", "doc", "mark", "p", F.posexplode("prefix").alias("place", "word"))
+    words = spread(marked).groupBy("word").agg(F.min("doc").alias("head_doc"), F.count("*").alias("uses")).filter("uses > 1")
+    words = staged(words, "words")
+    # Both sides read one shuffle by word: it has the same columns for either.
+    places = spread(marked).repartition("word")
+    heads = places.join(words, "word").filter("doc = head_doc")
+    pairs = _side(places, "a").join(_side(heads, "b"), "word").filter((F.col("doc_b") <= F.col("doc_a")) & _differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
+    early = _later(docs, units, cut_lineage(pairs), percent)
+    release(docs.sparkSession)
+
+    # What a word's earliest units left undecided meets its other units.
+    rest = spread(marked.join(early, ["unit", "n"], "left_anti")).repartition("word")
+    several = words.filter("uses > 2").select("word")
+    more = _side(rest, "a").join(_side(places.join(several, "word"), "b"), "word").filter(_differ() & _fits(percent))
+    later = _later(docs, units, cut_lineage(more.select("a", "n_a", "b", "n_b").distinct()), percent)
+    release(docs.sparkSession)
+    return early.union(later).distinct()
 
 
 def _differ() -> Column:
