@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import fresh, thinned
+from tidewatch.llm.common import fresh, release, small_batches, staged, thinned
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
@@ -157,12 +157,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, perce
                 near.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
+    spark = rows.sparkSession
     pairs = cut_lineage(pairs)
+    release(spark)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = cut_lineage(_node_sets(rows, nodes.select("node", "doc", "n", "s1").join(wanted, "node"), k))
+    with small_batches(spark):
+        sets = cut_lineage(_node_sets(rows, nodes.select("node", "doc", "n", "s1").join(wanted, "node"), k))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, near boolean").filter("near").select("a", "b")
+    compared = both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, near boolean")
+    with small_batches(spark):
+        return cut_lineage(compared.filter("near").select("a", "b"))
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
@@ -193,11 +198,13 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     if not 1 <= percent <= 100 or k < 1:
         raise ValueError("percent must be 1 to 100 and k at least 1")
     rows = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("doc"), F.col(f"`{text}`").alias("text"))
-    sketched = cut_lineage(
-        sketches(rows, frequent_tokens(rows.select("text"), k), k, percent).withColumn(
-            "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))
+    with small_batches(documents.sparkSession):
+        sketched = staged(
+            sketches(rows, frequent_tokens(rows.select("text"), k), k, percent).withColumn(
+                "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))
+            ),
+            "sketches",
         )
-    )
     links = _links(rows, sketched, k, percent)
     found = components(links)
     light = sketched.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias("doc"), "n", "node")
@@ -213,7 +220,8 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
 def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs ``(a, b)`` of nodes that connect every class."""
     # One row per node that may link to a different one; a key stands for its text.
-    nodes = cut_lineage(sketched.filter("prefix IS NOT NULL").dropDuplicates(["node"]))
+    nodes = staged(sketched.filter("prefix IS NOT NULL").dropDuplicates(["node"]), "nodes")
+    release(rows.sparkSession)
     tails = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
     heads = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("prefix_b"))
 
@@ -222,7 +230,7 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
     leaders = homes.groupBy("seed", "home").agg(F.min(F.struct("rare", "n", "node"))["node"].alias("leader"), F.count("*").alias("members"))
     led = homes.join(leaders.filter("members > 1"), ["seed", "home"]).filter("leader != node")
     led = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    near = cut_lineage(_verified(_promising(led.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent))
+    near = _verified(_promising(led.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent)
     grouped = nodes.join(components(near), "node", "left").withColumn("group", F.coalesce("root", "node"))
 
     # The matrix, and the bound of each node against the groups that hold tokens of its prefix.
@@ -249,7 +257,7 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
     )
     pairs = ours.join(theirs, ["group", "other"]).select("a", "b")
     crossing = _verified(_promising(pairs.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent)
-    return near.union(cut_lineage(crossing))
+    return near.union(crossing)
 
 
 def _node_sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
