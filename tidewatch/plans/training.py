@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups, running_totals
@@ -43,19 +44,17 @@ def class_allocation(classes: DataFrame, test_share: float = TEST_SHARE) -> Data
     The test set has ceil(share * rows) rows; classes get the floor of their part and the
     rest goes to the largest remainders (then the smallest label).
     """
-    everything = Window.partitionBy()
-    quota = F.col("n") * F.col("test_total") / F.col("total")
-    by_remainder = Window.orderBy((F.col("quota") - F.floor("quota")).desc(), F.col("label"))
-    sized = (
-        classes.withColumn("total", F.sum("n").over(everything))
-        .withColumn("test_total", F.ceil(F.col("total") * F.lit(test_share)))
-        .withColumn("quota", quota)
-        .withColumn("base", F.floor("quota"))
-        .withColumn("left_over", F.col("test_total") - F.sum("base").over(everything))
-        .withColumn("place", F.row_number().over(by_remainder))
-    )
-    test = F.col("base") + F.when(F.col("place") <= F.col("left_over"), 1).otherwise(0)
-    return sized.select("label", "n", test.alias("test_n"), (F.col("n") - test).alias("train_n"))
+    classes = cut_lineage(classes)
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    test_total = math.ceil(total * test_share)
+    quota = F.col("n") * F.lit(test_total) / F.lit(max(total, 1))
+    sized = classes.withColumns({"quota": quota, "base": F.floor(quota), "one": F.lit(1).cast("long")})
+    left_over = test_total - (sized.agg(F.sum("base")).first()[0] or 0)
+    # Places by running totals, so that any number of classes is ranked without one task.
+    sized = sized.withColumn("lack", F.floor("quota") - F.col("quota"))
+    placed = running_totals(sized, [], ["lack", "label"], ["one"], few_groups=True)
+    test = F.col("base") + F.when(F.col("cum_one") <= left_over, 1).otherwise(0)
+    return placed.select("label", "n", test.alias("test_n"), (F.col("n") - test).alias("train_n"))
 
 
 def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -101,10 +100,9 @@ def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE,
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:
     """Weight per class: rows / (classes * rows of the class)."""
-    counted = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    classes = Window.partitionBy()
-    total, kinds = F.sum("n").over(classes), F.count(F.lit(1)).over(classes)
-    return counted.select("label", "n", (total / (kinds * F.col("n"))).alias("weight"))
+    counted = cut_lineage(df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    whole = counted.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).first()
+    return counted.select("label", "n", (F.lit(whole["total"]) / (F.lit(whole["kinds"]) * F.col("n"))).alias("weight"))
 
 
 @dataclass
@@ -128,17 +126,30 @@ class TrainedModel:
         )
 
 
-def train_forest(train: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> TrainedModel:
-    """One-hot categories (unseen ones ignored), numbers as they are, weighted random forest."""
-    features = [c for c in train.columns if c != target]
-    numeric, categorical = columns_by_kind(train.select(*features))
+def train_forest(
+    train: DataFrame,
+    target: str,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    seed: int = SEED,
+    categories: list[str] | None = None,
+) -> TrainedModel:
+    """One-hot categories (unseen ones ignored), numbers as they are, weighted random forest.
+
+    ``categories`` names the columns to encode; their values form a vocabulary that the driver
+    holds, so columns like ids or free text do not belong there and are left out when not named.
+    By default all columns that are not numbers are encoded.
+    """
+    numeric, others = columns_by_kind(train.select(*[c for c in train.columns if c != target]))
+    categorical = others if categories is None else [c for c in others if c in categories]
+    features = [c for c in train.columns if c in (*numeric, *categorical)]
     weights = as_small_side(balanced_weights(train, target))
     weighted = join_on_groups(
         train.withColumn("label", F.col(target)), weights.select("label", "weight"), ["label"]
     ).drop("label").withColumn(target, F.col(target).cast("string"))
     # Labels in sorted order, so index 1 is the last of two labels.
     indexer = StringIndexer(inputCol=target, outputCol="label_index", stringOrderType="alphabetAsc")
-    label_model: StringIndexerModel = indexer.setHandleInvalid("keep").fit(weighted)
+    label_model: StringIndexerModel = indexer.setHandleInvalid("error").fit(weighted)
     stages = [label_model]
     if categorical:
         indexed = [f"{c}_index" for c in categorical]
@@ -165,6 +176,22 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return join_on_groups(metrics, roc_auc(predictions), [])
 
 
+def model_metadata(model: TrainedModel, scores: DataFrame, project_id: int, name: str, version: str, train_rows: int) -> DataFrame:
+    """A row to register as a model version: algorithm, measures and sizes of a trained model."""
+    measures = ["sample_count", "accuracy", "precision", "recall", "f1", "roc_auc"]
+    pairs = [v for m in measures for v in (F.lit(m), F.col(m).cast("double"))]
+    sizes = {"train_rows": train_rows, "feature_count": len(model.features), "class_count": len(model.labels)}
+    pairs += [v for n, size in sizes.items() for v in (F.lit(n), F.lit(float(size)))]
+    return scores.select(
+        F.lit(project_id).cast("bigint").alias("project_id"),
+        F.lit(name).alias("name"),
+        F.lit(version).alias("version"),
+        F.lit("random_forest").alias("algorithm"),
+        F.lit("spark").alias("framework"),
+        F.create_map(*pairs).alias("metrics"),
+    )
+
+
 def prediction_log(predictions: DataFrame, at: Column) -> DataFrame:
     """Predictions as a log: timestamp first, then features, labels and confidence."""
     others = [c for c in predictions.columns if c not in ("true_label", "predicted_label", "confidence")]

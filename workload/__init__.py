@@ -37,4 +37,4 @@ def r9(column: Column | str, name: str | None = None) -> Column:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from workload import drift, ingest, metrics, monitoring, profiles, registry, training  # noqa: F401
+    from workload import api, drift, ingest, metrics, monitoring, profiles, registry, training  # noqa: F401

@@ -254,9 +254,27 @@ def ks_pvalue_large_samples(spark, sf_dir):
     return rows.select("feature", F.round(p_value, 6).alias("ks_p_value"))
 
 
-@query("ks_pvalue_exact")
+# Orderings of both samples walk a lattice; ``r[i + 1]`` is the share of the ways to (i, s - i)
+# that have left the band. Steps are ints, so the band is exact.
+EXACT_SQL = f"""WITH RECURSIVE {EVENT_OBS}, {drift_ctes('event_type, ')},
+sizes AS (
+  SELECT event_type, n, m, m // gcd(n, m) AS up, n // gcd(n, m) AS across, round(d * (m // gcd(n, m)) * n)::BIGINT AS gap FROM ks),
+walk AS (
+  SELECT event_type, n, m, up, across, gap, 0::BIGINT AS s,
+    list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END) AS r FROM sizes
+  UNION ALL
+  SELECT event_type, n, m, up, across, gap, s + 1,
+    list_transform(list_zip(range(0, n + 1), r, list_prepend(1::DOUBLE, r[:n])), lambda c:
+      CASE WHEN abs(c[1] * up - (s + 1 - c[1]) * across) >= gap THEN 1::DOUBLE
+        ELSE (CASE WHEN c[1] > 0 THEN c[3] * c[1] ELSE 0 END + c[2] * greatest(s + 1 - c[1], 0)) / (s + 1) END)
+  FROM walk WHERE s < n + m)
+SELECT event_type, n AS ref_n, m AS cur_n, round(CASE WHEN gap = 0 THEN 1 ELSE least(1, greatest(0, r[n + 1])) END, 9) AS ks_p_value
+FROM walk WHERE s = n + m"""
+
+
+@query("ks_pvalue_exact", EXACT_SQL)
 def ks_pvalue_exact(spark, sf_dir):
-    """Small samples per event type; the lattice recursion has no practical SQL form."""
+    """The exact distribution per event type, whatever the sample sizes."""
     sides = _split_events(spark, sf_dir, "event_type", "value")
     rows = drift.ks_statistic(_totals(sides, ["event_type"]), ["event_type"])
     p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), "exact")

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups
 from tidewatch.plans import training
+from tidewatch.plans.monitor import Monitor
+from tidewatch.session import cut_lineage, shared_folder
+from tidewatch.sources.tables import Store
 from workload import query, r9, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
@@ -79,16 +82,33 @@ def training_table_check(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("train_forest")
+@query(
+    "train_forest",
+    """SELECT ceil(count(*) * 0.3)::BIGINT AS logged, true AS accurate, true AS ranked, true AS confident, 2::BIGINT AS labels,
+      count(*) - ceil(count(*) * 0.3)::BIGINT AS train_rows, 'random_forest' AS algorithm, true AS metrics_stored
+    FROM lineitem""",
+)
 def train_forest(spark, sf_dir):
-    """Split, train, predict and evaluate; a forest has no SQL form."""
-    split = training.stratified_split(_items(spark, sf_dir), "target")
-    model = training.train_forest(split.where(~F.col("is_test")).drop("is_test"), "target")
-    predictions = model.predict(split.where("is_test").drop("is_test"))
+    """What holds for any good forest: sizes, floors of its measures, and its registered metadata."""
+    store = Store(spark, shared_folder(spark, "models"))
+    store.append("projects", spark.range(1, 2).select("id", F.lit("target").alias("target_column")))
+    split = cut_lineage(training.stratified_split(_items(spark, sf_dir), "target"))
+    train = split.where(~F.col("is_test")).drop("is_test")
+    model = training.train_forest(train, "target")
+    predictions = cut_lineage(model.predict(split.where("is_test").drop("is_test")))
+    scores = cut_lineage(training.evaluate(predictions))
+    version = training.model_metadata(model, scores, 1, "forest", "1", train.count())
+    Monitor(store).register_model_versions(version, F.lit("2024-02-01").cast("timestamp"))
+    stored = store.read("model_versions").select("algorithm", "metrics")
     log = training.prediction_log(predictions, F.lit("2024-02-01").cast("timestamp"))
     sizes = log.agg(
         F.count(F.lit(1)).alias("logged"),
-        F.min("confidence").alias("lowest"),
-        F.max("confidence").alias("highest"),
+        F.bool_and(F.col("confidence").between(0, 1)).alias("confident"),
+        F.countDistinct("predicted_label").alias("labels"),
+    )
+    floors = scores.select((F.col("accuracy") > 0.8).alias("accurate"), (F.col("roc_auc") > 0.8).alias("ranked"), "accuracy")
+    kept = stored.select("algorithm", F.col("metrics")["train_rows"].cast("bigint").alias("train_rows"), F.col("metrics")["accuracy"].alias("kept"))
+    joined = join_on_groups(join_on_groups(sizes, floors, []), kept, [])
+    return joined.select(
+        "logged", "accurate", "ranked", "confident", "labels", "train_rows", "algorithm", (F.col("kept") == F.col("accuracy")).alias("metrics_stored")
     )
-    return join_on_groups(training.evaluate(predictions), sizes, [])
