@@ -251,6 +251,8 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
         & (F.col("n") - F.col("place") >= _needed(F.col("n"), smallest, percent))
     )
     opened = cut_lineage(bound.filter(fits).select("node", "group", "other"))
+    del met, bound
+    release(rows.sparkSession)
     ours = opened.filter(F.col("group") < F.col("other")).select(F.col("node").alias("a"), "group", "other")
     theirs = opened.filter(F.col("group") > F.col("other")).select(
         F.col("node").alias("b"), F.col("other").alias("group"), F.col("group").alias("other")
