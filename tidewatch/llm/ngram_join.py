@@ -232,14 +232,19 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
     led = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     near = _verified(_promising(led.join(tails, "a").join(heads, "b"), percent), rows, nodes, k, percent)
     grouped = nodes.join(components(near), "node", "left").withColumn("group", F.coalesce("root", "node"))
+    grouped = staged(grouped.select("node", "n", "prefix", "group"), "groups")
+    release(rows.sparkSession)
 
     # The matrix, and the bound of each node against the groups that hold tokens of its prefix.
-    # All of it happens within the partitions of one shuffle by token.
+    # All of it happens within the partitions of one shuffle by token; the matrix keeps a member
+    # and a place, so that both sides of the join read the same columns of that shuffle.
     tokens = grouped.select("node", "n", "group", F.posexplode("prefix").alias("place", "token")).repartition("token")
-    matrix = tokens.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = tokens.groupBy("token", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("member"), F.min("place").alias("front")
+    )
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
-    met = tokens.join(matrix, "token").filter("group != other")
+    met = tokens.join(matrix, "token").filter("group != other AND node != member AND front >= 0")
     bound = met.groupBy("node", "n", "group", "other").agg(
         F.count("*").alias("overlap"), F.min("place").alias("place"), F.min("least").alias("least"), F.max("most").alias("most")
     )
