@@ -31,10 +31,8 @@ def listing_total(listing: DataFrame) -> DataFrame:
 
 
 def latest_per_group(df: DataFrame, group: list[str], stamp: str = "created_at", id_column: str = "id") -> DataFrame:
-    """The newest row of each group by a partial aggregate, so a hot group is no hot task."""
-    rest = [c for c in df.columns if c not in group]
-    newest = F.max_by(F.struct(*rest), F.struct(stamp, id_column))
-    return df.groupBy(*group).agg(newest.alias("newest")).select(*group, "newest.*")
+    """The newest row of each group; each task keeps its own newest first, so a hot group is no hot task."""
+    return newest_per_group(df, group, 1, stamp, id_column).drop("rank").select(*group, *[c for c in df.columns if c not in group])
 
 
 def newest_per_group(
@@ -51,14 +49,9 @@ def orphans(children: DataFrame, parents: DataFrame, foreign_key: str, parent_ke
 
 
 def first_of_each(df: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
-    """One row per identity, the first in ``order``; copies collapse before the shuffle."""
-    rest = [c for c in df.columns if c not in identity]
-    return (
-        df.groupBy(*identity)
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first"))
-        .select(*identity, "first.*")
-        .select(*df.columns)
-    )
+    """One row per identity, the first in ``order``; each task keeps its own firsts before the shuffle."""
+    place = Window.partitionBy(*identity).orderBy(*order)
+    return df.withColumn("place_no", F.row_number().over(place)).where("place_no = 1").select(*df.columns)
 
 
 def accept_new(incoming: DataFrame, existing: DataFrame, identity: list[str], order: list[str]) -> DataFrame:

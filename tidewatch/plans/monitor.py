@@ -15,7 +15,7 @@ from tidewatch.operators.registry import (
     oldest_first,
     where_equal,
 )
-from tidewatch.plans.ingest import Load
+from tidewatch.plans.ingest import NO_PROJECT, Load
 from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import MODEL_LENGTHS, PROBLEM_TYPES, PROJECT_LENGTHS, SCHEMAS, Store
 
@@ -24,6 +24,12 @@ METRIC_PRIORITY = "f1"
 REGISTERED = "registered"
 JOB_LIMITS = (1, 100, 500)
 
+# Messages of refused registrations.
+BAD_LENGTH = " has an invalid length."
+UNKNOWN_PROBLEM = "Unknown problem type."
+KNOWN_PROJECT = "Project with name '%s' already exists."
+KNOWN_MODEL = "Model '%s' version '%s' already exists in project %s."
+
 
 class NotFound(LookupError):
     """A looked-up row does not exist."""
@@ -82,10 +88,10 @@ class Monitor:
     def register_projects(self, projects: DataFrame, at: Column) -> Load:
         rows = _with_defaults(self.store, "projects", projects, {"metric_priority": F.lit(METRIC_PRIORITY)})
         field = length_violations(PROJECT_LENGTHS)
-        problem = F.when(field.isNotNull(), F.concat(field, F.lit(" has an invalid length."))).when(
-            ~F.coalesce(F.col("problem_type").isin(PROBLEM_TYPES), F.lit(False)), "Unknown problem type."
+        problem = F.when(field.isNotNull(), F.concat(field, F.lit(BAD_LENGTH))).when(
+            ~F.coalesce(F.col("problem_type").isin(PROBLEM_TYPES), F.lit(False)), UNKNOWN_PROBLEM
         )
-        taken = F.format_string("Project with name '%s' already exists.", "name")
+        taken = F.format_string(KNOWN_PROJECT, "name")
         return _register(self.store, "projects", rows, ["name"], problem, taken, at)
 
     def register_model_versions(self, models: DataFrame, at: Column) -> Load:
@@ -94,11 +100,9 @@ class Monitor:
         field = length_violations(MODEL_LENGTHS)
         problem = F.when(
             F.col("has_project").isNull(),
-            F.format_string("Project with ID %s was not found.", F.col("project_id").cast("string")),
-        ).when(field.isNotNull(), F.concat(field, F.lit(" has an invalid length.")))
-        taken = F.format_string(
-            "Model '%s' version '%s' already exists in project %s.", "name", "version", F.col("project_id").cast("string")
-        )
+            F.format_string(NO_PROJECT, F.col("project_id").cast("string")),
+        ).when(field.isNotNull(), F.concat(field, F.lit(BAD_LENGTH)))
+        taken = F.format_string(KNOWN_MODEL, "name", "version", F.col("project_id").cast("string"))
         identity = ["project_id", "name", "version"]
         return _register(
             self.store, "model_versions", rows.join(projects, "project_id", "left"), identity, problem, taken, at

@@ -159,7 +159,8 @@ def stored_tables(spark, sf_dir, columns):
         "projects": parts.select(
             F.col("part").alias("id"), F.lit("unused").alias("target_column"), F.lit(None).cast("string").alias("positive_class")
         ),
-        "model_versions": parts.select((F.col("part") + 10).alias("id"), F.col("part").alias("project_id")),
+        # Each project has a second model, which made no predictions.
+        "model_versions": parts.select(F.explode(F.array(F.col("part") + 10, F.col("part") + 50)).alias("id"), F.col("part").alias("project_id")),
         "datasets": parts.select((F.col("part") + 20).alias("id"), F.col("part").alias("project_id")),
         "prediction_batches": parts.select(
             (F.col("part") + 30).alias("id"),
@@ -258,7 +259,9 @@ def check_confusion(spark, sf_dir):
         WHEN 0 THEN 'The selected model version does not belong to the selected project.'
         WHEN 1 THEN 'Dataset with ID 999 was not found.'
         WHEN 2 THEN 'The baseline dataset does not belong to the selected project.'
-        ELSE 'The prediction batch does not belong to the selected project.' END FROM batched""",
+        ELSE 'The prediction batch does not belong to the selected project.' END FROM batched
+    UNION ALL SELECT DISTINCT batch + 200, 'failed', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+      'The prediction batch was not generated by the selected model version.' FROM batched""",
 )
 def health_check_bulk(spark, sf_dir):
     """Stored-form checks of eight batches, and as many requests that break one rule each."""
@@ -272,7 +275,8 @@ def health_check_bulk(spark, sf_dir):
         F.when(rule == 1, 999).when(rule == 2, other + 20).otherwise(F.col("baseline_dataset_id")).alias("baseline_dataset_id"),
         F.when(rule == 3, other + 30).otherwise(F.col("prediction_batch_id")).alias("prediction_batch_id"),
     )
-    results = plans.run_health_checks(good.unionByName(bad), **tables)
+    unused = good.withColumns({"check_id": F.col("check_id") + 200, "model_version_id": F.col("project_id") + 50})
+    results = plans.run_health_checks(good.unionByName(bad).unionByName(unused), **tables)
     outcome = plans.job_results(results).drop("health_check_id", "diagnosis_report_id")
     extra = results.select(
         "check_id", r9("f1"), r9("roc_auc"), F.array_join("drifted_features", ", ").alias("drifted_features")
