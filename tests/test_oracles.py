@@ -1,5 +1,7 @@
 """Every registered query against its SQL oracle, on the whole test tables."""
 
+import sys
+
 import pytest
 
 import workload
@@ -33,3 +35,12 @@ def test_entry_runs(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 1 and 0 <= rows[0]["health_score"] <= 100
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_entry_without_the_optional_folder(monkeypatch):
+    import __spark_entry__ as contract
+
+    monkeypatch.setitem(sys.modules, "tidewatch.llm.queries", None)
+    names = set(contract.queries())
+    assert "health_check" in names and not names & {"pipeline", "op6_sharding"}
+    assert set(contract.oracle_sql()) <= names
