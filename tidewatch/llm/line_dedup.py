@@ -137,18 +137,24 @@ def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     spread = lambda some: some.select("unit", "n", "doc", "mark", "p", F.posexplode("prefix").alias("place", "word"))
     words = spread(marked).groupBy("word").agg(F.min("doc").alias("head_doc"), F.count("*").alias("uses")).filter("uses > 1")
     words = staged(words, "words")
+    release(docs.sparkSession)
     # Both sides read one shuffle by word: it has the same columns for either.
     places = spread(marked).repartition("word")
     heads = places.join(words, "word").filter("doc = head_doc")
-    pairs = _side(places, "a").join(_side(heads, "b"), "word").filter((F.col("doc_b") <= F.col("doc_a")) & _differ() & _fits(percent)).select("a", "n_a", "b", "n_b").distinct()
-    early = _later(docs, units, cut_lineage(pairs), percent)
+    pairs = _side(places, "a").join(_side(heads, "b"), "word").filter((F.col("doc_b") <= F.col("doc_a")) & _differ() & _fits(percent))
+    # The name is bound anew, so that nothing holds the finished step's shuffles.
+    pairs = cut_lineage(pairs.select("a", "n_a", "b", "n_b").distinct())
+    release(docs.sparkSession)
+    early = _later(docs, units, pairs, percent)
     release(docs.sparkSession)
 
     # What a word's earliest units left undecided meets its other units.
     rest = spread(marked.join(early, ["unit", "n"], "left_anti")).repartition("word")
     several = words.filter("uses > 2").select("word")
     more = _side(rest, "a").join(_side(places.join(several, "word"), "b"), "word").filter(_differ() & _fits(percent))
-    later = _later(docs, units, cut_lineage(more.select("a", "n_a", "b", "n_b").distinct()), percent)
+    more = cut_lineage(more.select("a", "n_a", "b", "n_b").distinct())
+    release(docs.sparkSession)
+    later = _later(docs, units, more, percent)
     release(docs.sparkSession)
     return early.union(later).distinct()
 
