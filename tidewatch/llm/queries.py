@@ -126,7 +126,46 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_url_rules")
+@query(
+    "op7_url_rules",
+    r"""
+    WITH parts AS (
+        SELECT page_id,
+               translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)
+    ), ruled AS (
+        SELECT *, CASE
+                WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+            list_filter(list_reverse(string_split(host, '.')), lambda x: x != '') AS hs,
+            list_filter(string_split(path, '/'), lambda x: x != '') AS ps
+        FROM parts
+    ), tokened AS (
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+            list_sort(list_distinct(list_concat(
+                list_transform(CASE WHEN len(hs) < 4 THEN hs ELSE list_append(hs[:3], array_to_string(hs[4:], '.')) END, lambda x, i: 'h' || (i - 1) || ':' || x),
+                list_transform(CASE WHEN len(ps) < 3 THEN ps ELSE list_append(ps[:2], array_to_string(ps[3:], '/')) END, lambda x, i: 'p' || (i - 1) || ':' || x)))) AS tokens
+        FROM ruled
+    ), combos AS (
+        SELECT page_id, said, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS picked
+        FROM (SELECT page_id, said, tokens, unnest(range(1, 1 << len(tokens))) AS mask FROM tokened)
+    ), mined AS (
+        SELECT picked, said, n, n / alone AS confidence
+        FROM (SELECT picked, said, count(*) AS n, sum(count(*)) OVER (PARTITION BY picked) AS alone
+              FROM combos WHERE said IS NOT NULL GROUP BY picked, said)
+        WHERE n >= 0.01 * (SELECT count(*) FROM tokened WHERE said IS NOT NULL) AND n / alone >= 0.8
+    ), best AS (
+        SELECT c.page_id, arg_max(m.said, (m.confidence, m.n, m.said = 'block')) AS verdict
+        FROM combos c JOIN mined m ON m.picked = c.picked WHERE c.said IS NULL GROUP BY c.page_id
+    )
+    SELECT page_id, host, path, rule, coalesce(said, verdict, 'allow') AS verdict
+    FROM tokened LEFT JOIN best USING (page_id)
+    """,
+)
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the list and the mined rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
