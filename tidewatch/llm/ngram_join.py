@@ -7,8 +7,9 @@
 3. Nodes with the same min-hash are compared with the node of fewest rare tokens among them.
    Links found so merge nodes into *groups* of similar texts.
 4. The matrix stores the union of the prefixes of each group, one row per token and group, with
-   the least and largest set size. Joined with the prefixes of the other nodes it bounds the
-   overlap of a node with any member of a group: tokens before the first shared one are lost.
+   the least and largest set size and the most tokens a member has from there on. Joined with the
+   prefixes of the other nodes it bounds the overlap of a node with any member of a group: tokens
+   before the first shared one are lost to both.
 5. Only where the bound reaches the threshold in both directions are the members compared, again
    by prefixes first and then exactly. The links of steps 3 and 5 give the classes.
 
@@ -236,27 +237,26 @@ def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFr
     release(rows.sparkSession)
 
     # The matrix, and the bound of each node against the groups that hold tokens of its prefix.
-    # All of it happens within the partitions of one shuffle by token; the matrix keeps a member
-    # and a place, so that both sides of the join read the same columns of that shuffle.
+    # All of it happens within the partitions of one shuffle by token; the matrix keeps a member,
+    # so that both sides of the join read the same columns of that shuffle.
     tokens = grouped.select("node", "n", "group", F.posexplode("prefix").alias("place", "token")).repartition("token")
     matrix = tokens.groupBy("token", "group").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("member"), F.min("place").alias("front")
-    )
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
-    matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
-    met = tokens.join(matrix, "token").filter("group != other AND node != member AND front >= 0")
-    bound = met.groupBy("node", "n", "group", "other").agg(
-        F.count("*").alias("overlap"), F.min("place").alias("place"), F.min("least").alias("least"), F.max("most").alias("most")
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.max(F.col("n") - F.col("place")).alias("reach"),
+        F.min("node").alias("member"),
     )
+    matrix = matrix.withColumnRenamed("group", "other")
+    # The first token that two linked sets share leaves each of them enough tokens from there on.
     smallest = F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / 100))
     fits = (
-        (F.col("overlap") >= shared_least(percent))
-        & (F.col("most") * 100 >= F.col("n") * percent)
+        (F.col("most") * 100 >= F.col("n") * percent)
         & (F.col("n") * 100 >= F.col("least") * percent)
-        & (F.col("n") - F.col("place") >= _needed(F.col("n"), smallest, percent))
+        & (F.least(F.col("n") - F.col("place"), F.col("reach")) >= _needed(F.col("n"), smallest, percent))
     )
-    opened = cut_lineage(bound.filter(fits).select("node", "group", "other"))
-    del met, bound
+    met = tokens.join(matrix, "token").filter(F.expr("group != other AND node != member") & fits)
+    opened = cut_lineage(met.select("node", "group", "other").distinct())
+    del met
     release(rows.sparkSession)
     ours = opened.filter(F.col("group") < F.col("other")).select(F.col("node").alias("a"), "group", "other")
     theirs = opened.filter(F.col("group") > F.col("other")).select(
