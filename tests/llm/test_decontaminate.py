@@ -98,3 +98,44 @@ def test_odd_tables_and_passes(spark, monkeypatch, size):
     assert decontaminate.clean(rows, bench).count() == 2 and decontaminate.clean(rows, bench).columns == rows.columns
     assert decontaminate.flag(rows.limit(0), bench).collect() == []
     assert decontaminate.clean(rows, bench.limit(0)).count() == 4
+
+
+def benchmark_items(spark):
+    return [(str(r["item_id"]), r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+
+
+def share_found(items, change):
+    index = decontaminate.index_of(items)
+    made = [f"unlike words before. {change(text)} and unlike words behind" for _, text in items]
+    found = found_in(made, index)
+    return sum(any(x[0] == name for x in found.get(row, [])) for row, (name, _) in enumerate(items)) / len(items)
+
+
+def replaced(text, every, rng):
+    words = text.split(" ")
+    chosen = [max(range(len(words)), key=lambda i: len(words[i]))] if not every else range(every // 2, len(words), every)
+    for i in chosen:
+        words[i] = "".join(rng.choice("bcdfgklmuvwxz") for _ in words[i])
+    return " ".join(words)
+
+
+def test_planted_changes(spark):
+    # Plants are made from the items' words alone, without the operator's windows.
+    items, rng = benchmark_items(spark), random.Random(6)
+    assert share_found(items, lambda t: t.replace(" ", "  ")) == 1.0
+    assert share_found(items, lambda t: t.replace(" ", " \n\t ")) == 1.0
+    assert share_found(items, lambda t: replaced(t, 10, rng)) >= 0.95
+    short = [x for x in items if len(x[1]) <= 130]
+    assert share_found(short, lambda t: replaced(t, 0, rng)) >= 0.9
+    assert share_found(items, lambda t: t.encode()[7:71].decode(errors="ignore")) == 1.0
+
+
+def test_spans_in_respaced_text_and_short_items():
+    item = "the quick brown fox jumps over the lazy dog while seven wizards mix potions"
+    text = f"é  x   {item.replace(' ', '  ')}  y cat"
+    index = decontaminate.index_of([("1", item), ("2", "cat"), ("3", "c"), ("4", " "), ("5", "dogs")])
+    found = {x[0]: x[1:] for x in found_in(["", text, "ca", "t"], index)[1]}
+    raw = text.encode()
+    assert set(found) == {"1", "2", "3"} and found["1"][0] == 0
+    assert raw[found["1"][1] :][: found["1"][2]].decode() == item.replace(" ", "  ")
+    assert raw[found["2"][1] :][: found["2"][2]] == b"cat"

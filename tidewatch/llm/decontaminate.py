@@ -1,10 +1,11 @@
 """Benchmark passages in documents, found by the q-gram lemma and verified by alignment.
 
-Items are cut into overlapping windows. A stretch of text within ``k`` edits of a window of ``w``
-bytes shares at least ``w - q + 1 - k * q`` of its q-grams, all near one diagonal (place in the
-text less place in the window). Documents are scanned once against an index of the q-grams;
-shared ones are counted per window in overlapping bands of diagonals, bands that reach the bound
-are kept, and a banded edit-distance alignment decides.
+Items are cut into overlapping windows of two lengths: long ones leave room for replaced words,
+short ones find pieces of an item. A stretch of text within ``k`` edits of a window of ``w`` bytes
+shares at least ``w - q + 1 - k * q`` of its q-grams, on diagonals (place in the text less place
+in the item) that differ by at most ``k``. Documents are scanned once against an index of the
+items' q-grams; shared ones that lie alone are dropped, the rest are counted per window in
+overlapping bands of diagonals, and bands that reach the bound are aligned bit-parallel.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from pyspark.sql import types as T
 from tidewatch.llm import grams
 from tidewatch.llm.common import fresh, without
 
-Q = 12
-WINDOW = 100
-STRIDE = 25
-#: Edits allowed per byte of a window.
-EDIT_SHARE = 0.06
+Q = 6
+#: Length and stride of the windows, and edits allowed per byte. A long window, or an item that
+#: is shorter, may also lose its longest word.
+LONG = (128, 32, 0.13)
+PIECE = (48, 12, 0.105)
+#: Q-grams that a stretch within the budget shares at least, however short the window.
+SHARED = 3
 #: Bytes of benchmark text that one pass over the documents looks for.
 PASS_BYTES = 1 << 20
-#: Positions of a text whose shared q-grams are counted at a time.
-SLAB = 16_384
-#: Lower-cased A-Z; all white space is one kind.
+#: Shared q-grams handled at a time, and alignments.
+SLAB = 1 << 20
+ALIGNED = 4_096
+#: Lower-cased A-Z; all white space is one kind, and a run of it one sign (``folded``).
 FOLD = grams.LOWER.copy()
 FOLD[grams.SPACE] = 32
 FILTER_BITS = 20
@@ -47,75 +51,147 @@ LEAK = T.StructType(
 
 @dataclass(frozen=True)
 class Index:
-    """Windows of the items and the places of their q-grams, sorted by hash."""
+    """Windows of the items, and the places of q-grams in all items joined, sorted by hash."""
 
     items: list[str]
     window_item: np.ndarray
     windows: list[bytes]
     edits: np.ndarray
     bound: np.ndarray
+    #: Distinct hashes, and where each one's places begin (one entry more).
     hashes: np.ndarray
-    window: np.ndarray
+    firsts: np.ndarray
     place: np.ndarray
-
-
-def budget(length: int) -> int:
-    """Edits allowed in a window; none where the bound would otherwise be empty."""
-    edits = int(EDIT_SHARE * length)
-    return edits if length - Q + 1 - edits * Q > 0 else 0
+    #: Where each window begins among all bytes, and windows by byte: those that hold its q-gram.
+    begin: np.ndarray
+    holders: np.ndarray
+    holder_firsts: np.ndarray
+    #: Items shorter than a q-gram: by length, their bytes as numbers (sorted) and their items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def budget(window: bytes, long: bool) -> int:
+    """Edits allowed in a window, so many that SHARED q-grams must remain."""
+    edits = int(LONG[2] * len(window)) if long else int(PIECE[2] * len(window))
+    if long:
+        edits = max(edits, max(map(len, window.split())))
+    return max(min(edits, (len(window) - Q + 1 - SHARED) // Q), 0)
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes folded, each run of white space inside a text as one space; their offsets and places."""
+    signs = FOLD[data]
+    kept = np.ones(len(signs), dtype=bool)
+    if len(signs):
+        blank = signs == 32
+        kept[1:] = ~(blank[1:] & blank[:-1])
+        kept[offsets[:-1][offsets[:-1] < len(signs)]] = True
+    places = np.flatnonzero(kept)
+    return signs[places], np.searchsorted(places, offsets), places
+
+
+def numbers(data: np.ndarray, length: int) -> np.ndarray:
+    """Every stretch of ``length`` bytes as a number."""
+    out = np.zeros(max(len(data) - length + 1, 0), dtype=np.int64)
+    for i in range(length):
+        out = out * 256 + data[i : i + len(out)]
+    return out
 
 
 def index_of(items: list[tuple[str, str | None]]) -> Index:
-    """Index of ``(name, text)``. Items shorter than a q-gram, empty or NULL have no window."""
-    names, window_item, windows = [], [], []
+    """Index of ``(name, text)``. Empty and NULL items are never found."""
+    names, bodies, window_item, windows, window_begin, allowed = [], [], [], [], [], []
+    short: dict[int, list[tuple[int, int]]] = {}
+    size = 0
     for name, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
-        body = FOLD[np.frombuffer((text or "").strip().encode(), dtype=np.uint8)].tobytes()
-        if len(body) < Q:
+        raw = np.frombuffer((text or "").strip().encode(), dtype=np.uint8)
+        body = folded(raw, np.array([0, len(raw)]))[0].tobytes()
+        if not body:
             continue
-        starts = list(range(0, max(len(body) - WINDOW, 0), STRIDE)) + [max(len(body) - WINDOW, 0)]
-        for start in starts:
-            window_item.append(len(names))
-            windows.append(body[start : start + WINDOW])
+        if len(body) < Q:
+            short.setdefault(len(body), []).append((int.from_bytes(body, "big"), len(names)))
+        else:
+            for width, stride, _ in (LONG, PIECE) if len(body) > PIECE[0] else (LONG,):
+                last = max(len(body) - width, 0)
+                for start in [*range(0, last, stride), last]:
+                    window_item.append(len(names))
+                    windows.append(body[start : start + width])
+                    window_begin.append(size + start)
+                    allowed.append(budget(windows[-1], width == LONG[0]))
         names.append(name)
+        bodies.append(body)
+        size += len(body)
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
-    edits = np.array([budget(int(n)) for n in lengths], dtype=np.int64)
-    data = np.frombuffer(b"".join(windows), dtype=np.uint8)
-    begin = np.cumsum(lengths) - lengths
-    count = np.maximum(lengths - Q + 1, 0)
+    edits = np.array(allowed, dtype=np.int64)
+    begin = np.array(window_begin, dtype=np.int64)
+    # Q-grams of each window by place; a place that no window holds is not indexed.
+    count = lengths - Q + 1
     window = np.repeat(np.arange(len(windows)), count)
-    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[window] + place if len(windows) else np.zeros(0, dtype=np.int64)
-    hashes = grams.stretch(grams.running(data), at, at + Q)
-    order = np.lexsort((place, window, hashes))
-    bound = np.maximum(lengths - Q + 1 - edits * Q, 1)
-    return Index(names, np.array(window_item, dtype=np.int64), windows, edits, bound, hashes[order], window[order], place[order])
-
-
-def banded_distance(window: bytes, region: bytes, low: int, high: int) -> tuple[int, int]:
-    """Least edits between the window and a stretch of the region, and where the stretch ends.
-
-    Only cells whose diagonal (place in the region less place in the window) lies in
-    ``low … high`` are filled; the stretch may begin on any of these diagonals.
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    holders = window[np.argsort(at, kind="stable")]
+    holder_firsts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=size))])
+    place = np.flatnonzero(np.diff(holder_firsts))
+    hashes = grams.stretch(grams.running(np.frombuffer(b"".join(bodies), dtype=np.uint8)), place, place + Q)
+    order = np.lexsort((place, hashes))
+    distinct, firsts = np.unique(hashes[order], return_index=True)
+    bound = lengths - Q + 1 - edits * Q
+    codes = {n: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(pairs), strict=True)) for n, pairs in short.items()}
+    return Index(
+        names, np.array(window_item, dtype=np.int64), windows, edits, bound, distinct, np.append(firsts, len(place)),
+        place[order], begin, holders, holder_firsts, codes,
+    )
+
+
+def distances(patterns: list[bytes], regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each pattern and a stretch of its region, and the first end of one.
+
+    Myers' bit-parallel columns, for all pairs at once; a pattern takes one word per 64 bytes.
     """
-    text = np.frombuffer(region, dtype=np.uint8)
-    width = high - low + 1
-    steps = np.arange(width)
-    far = len(window) + len(region) + 1
-    column = low + steps
-    row = np.where((column >= 0) & (column <= len(text)), 0, far)
-    for i, sign in enumerate(window):
-        # Cell s of row i + 1 stands before place low + s + i + 1 of the region.
-        at = low + steps + i
-        inside = (at >= 0) & (at < len(text))
-        differs = np.where(inside, text[np.clip(at, 0, max(len(text) - 1, 0))] != sign, True)
-        new = np.where(inside, row + differs, far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        valid = (at + 1 >= 0) & (at + 1 <= len(text))
-        new = np.where(valid, new, far)
-        row = np.minimum.accumulate(new - steps) + steps
-        row = np.where(valid, row, far)
-    best = int(row.argmin())
-    return int(row[best]), low + best + len(window)
+    n, width = regions.shape
+    lengths = np.array([len(p) for p in patterns], dtype=np.int64)
+    words = int(-(-lengths.max() // 64))
+    rows, one = np.arange(n), np.uint64(1)
+    signs = np.frombuffer(b"".join(p.ljust(words * 64, b"\xff") for p in patterns), dtype=np.uint8).reshape(n, -1)
+    equal = np.zeros((words, n, 256), dtype=np.uint64)
+    for i in range(words * 64):
+        equal[i // 64, rows, signs[:, i]] |= one << np.uint64(i % 64)
+    equal[:, :, 255] = 0
+    top = (lengths - 1) % 64
+    last = (lengths - 1) // 64
+    up = np.full((words, n), np.uint64(2**64 - 1))
+    down = np.zeros((words, n), dtype=np.uint64)
+    score, best, end = lengths.copy(), lengths.copy(), np.zeros(n, dtype=np.int64)
+    for j in range(width):
+        more = less = np.zeros(n, dtype=np.uint64)
+        for w in range(words):
+            eq, pv, mv = equal[w, rows, regions[:, j]], up[w], down[w]
+            xv = eq | mv
+            eq = eq | less
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            ends = last == w
+            step = ((ph >> top.astype(np.uint64)) & one).astype(np.int64) - ((mh >> top.astype(np.uint64)) & one).astype(np.int64)
+            score = score + np.where(ends, step, 0)
+            high_more, high_less = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = (ph << one) | more, (mh << one) | less
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+            more, less = high_more, high_less
+        better = score < best
+        best = np.where(better, score, best)
+        end = np.where(better, j + 1, end)
+    return best, end
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1]]))
+    return values[at], np.diff(np.append(at, len(values)))
+
+
+def spread(firsts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``firsts[i] … firsts[i] + count[i] - 1`` of every ``i``, in order."""
+    return np.arange(int(count.sum())) + np.repeat(firsts - (np.cumsum(count) - count), count)
 
 
 class Finder:
@@ -125,100 +201,167 @@ class Finder:
         self.index = index
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[(grams.mix(index.hashes) >> grams.U(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.least = int(index.bound.min()) if len(index.bound) else 1
-        self.span = int(max((len(w) for w in index.windows), default=0) + (index.edits.max() if len(index.edits) else 0))
+        self.lengths = np.array([len(w) for w in index.windows], dtype=np.int64)
+        self.most = int(index.edits.max()) if len(index.edits) else 0
+        #: Places within which the q-grams of one match lie; texts are set apart by more.
+        self.span = int(self.lengths.max()) + self.most if len(index.edits) else 0
+        self.apart = 2 * self.span + 2 * self.most + 2
+        # Cells wide enough that a match lies in two by two of them.
+        self.cell = max(self.most, 1).bit_length(), max(self.span, 1).bit_length()
+        self.cell = self.cell[0], max(self.cell)
+        # The least bound of the windows that hold a place.
+        self.least = np.ones(len(index.holder_firsts), dtype=np.int64)
+        held = np.flatnonzero(np.diff(index.holder_firsts))
+        if len(held):
+            self.least[held] = np.minimum.reduceat(index.bound[index.holders], index.holder_firsts[held])
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[str, int, int, int]]]:
         """Leaks ``(item, edits, start, length)`` by the number of the text in the block."""
-        if len(data) < Q or not self.index.windows:
-            return {}
-        folded = FOLD[data]
-        sums = grams.running(folded)
-        hashes = (sums[Q:] - sums[:-Q]) * grams.powers(grams.UNBASE, len(data) - Q + 1)
-        known = self.filter[(grams.mix(hashes) >> grams.U(64 - FILTER_BITS)).astype(np.int64)]
-        at = np.flatnonzero(known)
-        # A region holds at least ``least`` shared q-grams within ``span`` places.
-        if len(at) < self.least:
-            return {}
-        close = at[self.least - 1 :] - at[: len(at) - self.least + 1] <= self.span
-        marks = np.zeros(len(at) + 1, dtype=np.int64)
-        begins = np.flatnonzero(close)
-        np.add.at(marks, begins, 1)
-        np.add.at(marks, begins + self.least, -1)
-        at = at[np.cumsum(marks[:-1]) > 0]
-        owner = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + Q <= offsets[owner + 1]
-        at, owner = at[inside], owner[inside]
-        found = {}
-        edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(at) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            text = int(owner[a])
-            begin, end = int(offsets[text]), int(offsets[text + 1])
-            leaks = self._text(folded[begin:end], at[a:b] - begin, hashes[at[a:b]])
-            if leaks:
-                found[text] = leaks
+        body, limits, places = folded(data, offsets)
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        self._short(body, limits, best)
+        if len(body) >= Q and self.index.windows:
+            self._long(body, limits, best)
+        found: dict[int, list[tuple[str, int, int, int]]] = {}
+        for (text, item), (_, edits, begin, end) in sorted(best.items()):
+            first, after = int(places[begin]), int(places[end - 1]) + 1
+            found.setdefault(text, []).append((self.index.items[item], edits, first - int(offsets[text]), after - first))
         return found
 
-    def _text(self, body: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> list[tuple[str, int, int, int]]:
-        best: dict[int, tuple[int, int, int]] = {}
-        if len(at) < self.least:
-            return []
-        reach = 2 * self.span
+    def _short(self, body: np.ndarray, limits: np.ndarray, best: dict) -> None:
+        for length, (codes, items) in self.index.short.items():
+            made = numbers(body, length)
+            at = np.flatnonzero(np.isin(made, codes))
+            text = np.searchsorted(limits, at, side="right") - 1
+            inside = at + length <= limits[text + 1]
+            at, text = at[inside], text[inside]
+            _, first = np.unique(np.stack([text, made[at]], axis=1), axis=0, return_index=True)
+            for i in first.tolist():
+                a, b = (int(np.searchsorted(codes, made[at[i]], side=side)) for side in ("left", "right"))
+                for item in items[a:b].tolist():
+                    best[int(text[i]), item] = (-length, 0, int(at[i]), int(at[i]) + length)
+
+    def _long(self, body: np.ndarray, limits: np.ndarray, best: dict) -> None:
+        index = self.index
+        sums = grams.running(body)
+        hashes = (sums[Q:] - sums[:-Q]) * grams.powers(grams.UNBASE, len(body) - Q + 1)
+        at = np.flatnonzero(self.filter[(grams.mix(hashes) >> grams.U(64 - FILTER_BITS)).astype(np.int64)])
+        gram = np.minimum(np.searchsorted(index.hashes, hashes[at]), len(index.hashes) - 1)
+        text = np.searchsorted(limits, at, side="right") - 1
+        kept = (index.hashes[gram] == hashes[at]) & (at + Q <= limits[text + 1])
+        at, gram, text = at[kept], gram[kept], text[kept]
+        spot = at + text * self.apart
+        count = index.firsts[gram + 1] - index.firsts[gram]
+        sizes = np.concatenate([[0], np.cumsum(count)])
+        starts = limits[:-1] + np.arange(len(limits) - 1) * self.apart
         first = 0
-        while first < len(at):
-            # A slab of positions; the next one starts a region's reach before this one's end.
-            stop = int(np.searchsorted(at, at[first] + SLAB, side="right"))
-            self._slab(body, at[first:stop], hashes[first:stop], best)
-            if stop >= len(at):
+        while first < len(spot):
+            # The next slab starts a match's reach before this one's end.
+            again = int(np.searchsorted(spot, spot[first] + 2 * self.apart, side="right"))
+            stop = max(int(np.searchsorted(sizes, sizes[first] + SLAB)), min(again, len(spot)))
+            places = spread(index.firsts[gram[first:stop]], count[first:stop])
+            self._slab(body, limits, starts, np.repeat(spot[first:stop], count[first:stop]), index.place[places], best)
+            if stop >= len(spot):
                 break
-            first = max(int(np.searchsorted(at, at[first] + SLAB - reach)), first + 1)
-        return [(self.index.items[item], *found) for item, found in sorted(best.items())]
+            first = max(int(np.searchsorted(spot, spot[stop - 1] - self.apart)), first + 1)
 
-    def _slab(self, body: np.ndarray, at: np.ndarray, hashes: np.ndarray, best: dict[int, tuple[int, int, int]]) -> None:
+    def _slab(self, body: np.ndarray, limits: np.ndarray, starts: np.ndarray, spot: np.ndarray, place: np.ndarray, best: dict) -> None:
         index = self.index
-        left = np.searchsorted(index.hashes, hashes, side="left")
-        count = np.searchsorted(index.hashes, hashes, side="right") - left
-        total = int(count.sum())
-        if total < self.least:
+        kept = self._crowded(spot - spot[0], place)
+        spot, place = spot[kept], place[kept]
+        if not len(spot):
+            return
+        # Band j covers diagonals (most + 1) * j … (most + 1) * (j + 2) - 1; in one of them all
+        # q-grams of a match lie. Those that have too few others near them cannot belong to one.
+        base = int(spot[0])
+        band = (spot - place - base + len(index.holder_firsts)) // (self.most + 1)
+        room = int(spot[-1]) - base + self.span + 1
+        key = band * room + (spot - base)
+        key = np.concatenate([key, key - room])
+        order = np.argsort(key)
+        key = key[order]
+        entry = order % len(spot)
+        ahead = np.arange(len(key)) + self.least[place[entry]] - 1
+        close = ahead < len(key)
+        close[close] = key[ahead[close]] - key[close] <= self.span
+        begins = np.flatnonzero(close)
+        if not len(begins):
             return
-        entry = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-        window, place = index.window[entry], index.place[entry]
-        diagonal = np.repeat(at, count) - place
-        # Band j of a window covers diagonals (2k + 1) * j … (2k + 1) * (j + 2) - 1.
-        size = 2 * index.edits[window] + 1
-        band = (diagonal + WINDOW) // size
-        slots = len(body) + 2 * WINDOW + 2
-        key = np.concatenate([window * slots + band, window * slots + band - (band > 0)])
-        pairs = np.unique(key * WINDOW + np.concatenate([place, place]))
-        bands, shared = np.unique(pairs // WINDOW, return_counts=True)
-        kept = shared >= index.bound[bands // slots]
-        bands, shared = bands[kept], shared[kept]
-        for chosen in np.lexsort((bands, -shared)):
-            window_no, band_no = divmod(int(bands[chosen]), slots)
-            item = int(index.window_item[window_no])
-            if item in best:
-                continue
-            edits, pattern = int(index.edits[window_no]), index.windows[window_no]
-            low = (2 * edits + 1) * band_no - WINDOW
-            high = low + 2 * (2 * edits + 1) - 1
-            begin = max(low - edits, 0)
-            region = body[begin : max(high + len(pattern) + edits, 0)].tobytes()
-            exact = region.find(pattern)
-            if exact >= 0:
-                best[item] = (0, begin + exact, len(pattern))
-                continue
-            distance, end = banded_distance(pattern, region, low - edits - begin, high + edits - begin)
-            if distance <= edits:
-                start = max(begin + end - len(pattern), 0)
-                best[item] = (distance, start, begin + end - start)
+        marks = np.bincount(begins, minlength=len(key) + 1)
+        marks = marks - np.bincount(np.searchsorted(key, key[begins] + self.span, side="right"), minlength=len(key) + 1)
+        chosen = np.zeros(len(spot), dtype=bool)
+        chosen[entry[np.cumsum(marks[:-1]) > 0]] = True
+        spot, place = spot[chosen], place[chosen]
+        # The same per window with its own band, each place of the window counted once.
+        count = index.holder_firsts[place + 1] - index.holder_firsts[place]
+        window = index.holders[spread(index.holder_firsts[place], count)]
+        within = np.repeat(place, count) - index.begin[window]
+        diagonal = np.repeat(spot, count) - base - within + self.span
+        band = diagonal // (index.edits[window] + 1)
+        slots = room + 2 * self.span + 2
+        widest = LONG[0]
+        key = ((window * slots + band) * widest + within)
+        pairs, _ = distinct(np.concatenate([key, key[band > 0] - widest]))
+        bands, shared = distinct(pairs // widest)
+        window, band = np.divmod(bands, slots)
+        kept = shared >= index.bound[window]
+        window, band = window[kept], band[kept]
+        low = band * (index.edits[window] + 1) - self.span + base
+        text = np.clip(np.searchsorted(starts, low + self.lengths[window] // 2, side="right") - 1, 0, len(starts) - 1)
+        low = low - text * self.apart
+        for words in (1, 2):
+            of_size = np.flatnonzero((self.lengths[window] > 64) == (words == 2))
+            for i in range(0, len(of_size), ALIGNED):
+                part = of_size[i : i + ALIGNED]
+                self._align(body, limits, window[part], low[part], text[part], best)
+
+    def _crowded(self, spot: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which shared q-grams lie in two by two cells (of text places and diagonals) that hold enough."""
+        fine, coarse = self.cell
+        ratio = 1 << (coarse - fine)
+        row = spot >> coarse
+        # Diagonals count from the first one that the row can have.
+        wide = (len(self.least) >> fine) + 3 * ratio + 4
+        cell = row * wide + ((spot - place + len(self.least)) >> fine) - row * ratio + ratio + 1
+        high = int(row[-1]) + 1
+        held = np.zeros((high + 2, wide), dtype=np.int32)
+        held[1:-1] = np.bincount(cell, minlength=high * wide).reshape(high, wide)
+        pairs = held.copy()
+        pairs[:, :-1] += held[:, 1:]
+        # Boxes begin at a row and a diagonal; the next row counts its diagonals from ``ratio`` later.
+        boxes = pairs.copy()
+        boxes[:-1, ratio:] += pairs[1:, :-ratio]
+        most = boxes.copy()
+        most[1:, :-ratio] = np.maximum(most[1:, :-ratio], boxes[:-1, ratio:])
+        best = most.copy()
+        best[:, 1:] = np.maximum(best[:, 1:], most[:, :-1])
+        return best[1:-1].reshape(-1)[cell] >= self.least[place]
+
+    def _align(self, body: np.ndarray, limits: np.ndarray, window: np.ndarray, low: np.ndarray, text: np.ndarray, best: dict) -> None:
+        edits, lengths = self.index.edits[window], self.lengths[window]
+        begin = low - edits
+        # Two bands of diagonals, the window's length, and the edits either side.
+        places = begin[:, None] + np.arange(int((lengths + 4 * edits + 2).max()))
+        inside = (places >= limits[text][:, None]) & (places < limits[text + 1][:, None])
+        regions = np.where(inside, body[np.clip(places, 0, len(body) - 1)], np.uint8(254))
+        least, end = distances([self.index.windows[w] for w in window.tolist()], regions)
+        for i in np.flatnonzero(least <= edits).tolist():
+            row = int(text[i])
+            after = min(max(int(begin[i] + end[i]), int(limits[row]) + 1), int(limits[row + 1]))
+            start = max(after - int(lengths[i]), int(limits[row]))
+            found = (-int(lengths[i]), int(least[i]), start, after)
+            at = (row, int(self.index.window_item[window[i]]))
+            if at not in best or found < best[at]:
+                best[at] = found
 
 
 def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", leaks: str = "leaks") -> DataFrame:
     """``documents`` with ``leaks``: per item found, its name, edits, first byte and length.
 
     Names are the item ids as text. An item counts as found if a window of it (the whole item, if
-    shorter) lies in the text within the edit budget; of its windows the one with the most shared
-    q-grams that passes is reported. A-Z is folded, every white space byte equals a space. NULL
+    shorter) lies in the text within the edit budget; of its windows the longest that passes is
+    reported, then the one of fewest edits. A-Z is folded, a run of white space equals a space.
+    Items shorter than a q-gram count as found wherever they occur verbatim. NULL
     and empty texts have no leaks; a column named ``leaks`` is replaced. Items are looked for in
     passes of about PASS_BYTES, so a larger benchmark costs more scans, not more memory.
     """
