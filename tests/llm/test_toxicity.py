@@ -89,3 +89,14 @@ def test_odd_tables(spark):
     assert {r["held_out"] for r in out if r["doc_id"] is None} == {False}
     nobody = toxicity.fit(rows, labels.filter("toxic > 5"))
     assert all(r["predicted"] == 0 for r in toxicity.score(rows, nobody).collect())
+
+
+def test_long_disguises_are_read_as_a_whole(trigrams):
+    spaced = toxicity.restored_text(" ".join("thestupididiot" * 5), trigrams)
+    assert spaced == "thestupididiot" * 5
+    assert toxicity.restored_text("st" + "u" * 60 + "pid", trigrams) == "stupid"
+    joined = toxicity.restored_text("_".join(["s.t.u.p.i.d"] * 30), trigrams)
+    assert joined.count("stupid") == 30
+    # Far longer than one settled part.
+    token = "1d10t.m0r0n-" * 400
+    assert toxicity.viterbi(token, trigrams).count("idiot") == 400

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ KEEP_COST = 3.0
 GAP_COST = 0.2
 GAP_KEPT_COST = 2.0
 RUN_COST = 0.5
-#: Tokens longer than this many characters are read in pieces of that length.
-PIECE = 48
+#: Tokens of at most this many characters are remembered.
+REMEMBERED = 48
+#: Steps after which the part of a reading that is settled is put aside.
+SETTLE = 32
 #: Classes of characters in the model: 0 is the edge of a word.
 CLASSES = 64
 #: Labelled rows of either class used at most, taken in order of a hash of their key.
@@ -141,9 +144,17 @@ def _class_of(sign: str) -> int:
 
 
 def viterbi(token: str, trigrams: np.ndarray) -> str:
-    """The reading of a lower-cased token with the least cost (then the alphabetically first)."""
+    """The reading of a lower-cased token with the least cost (then the alphabetically first).
+
+    States are pairs of classes; what the readings of all of them begin with is settled, so that
+    only the rest is carried through a long token.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(token):
+    settled = []
+    for step, readings in enumerate(lattice(token)):
+        if step % SETTLE == SETTLE - 1:
+            settled.append(commonprefix([text for _, text in states.values()]))
+            states = {pair: (cost, text[len(settled[-1]) :]) for pair, (cost, text) in states.items()}
         found: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for reading, price in readings:
@@ -160,7 +171,7 @@ def viterbi(token: str, trigrams: np.ndarray) -> str:
                     found[(x, y)] = (total, text + reading)
         states = found
     ends = [(cost - (trigrams[(a * CLASSES + b) * CLASSES] if b else 0.0), text) for (a, b), (cost, text) in states.items()]
-    return min(ends)[1]
+    return "".join([*settled, min(ends)[1]])
 
 
 class Restorer:
@@ -174,8 +185,8 @@ class Restorer:
     def token(self, token: str) -> str:
         found = self.known.get(token)
         if found is None:
-            found = "".join(viterbi(token[i : i + PIECE], self.trigrams) for i in range(0, len(token), PIECE))
-            if len(self.known) < self.remembered:
+            found = viterbi(token, self.trigrams)
+            if len(token) <= REMEMBERED and len(self.known) < self.remembered:
                 self.known[token] = found
         return found
 
