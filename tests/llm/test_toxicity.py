@@ -100,3 +100,37 @@ def test_long_disguises_are_read_as_a_whole(trigrams):
     # Far longer than one settled part.
     token = "1d10t.m0r0n-" * 400
     assert toxicity.viterbi(token, trigrams).count("idiot") == 400
+
+
+@pytest.mark.parametrize(
+    ("text", "restored"),
+    [
+        ("an idi07", "an idiot"),
+        ("you idio7", "you idiot"),
+        ("id-iot", "idiot"),
+        ("a st_upid one", "a stupid one"),
+        ("i.d-i.o-t", "idiot"),
+        ("m*o*r-on", "moron"),
+        ("s  t  u  p  i  d", "stupid"),
+        ("s\tt\tu\tp\ti\td", "stupid"),
+        ("s\nt\nu\np\ni\nd", "stupid"),
+        ("t h e  s t u p i d  i d i o t", "the stupid idiot"),
+        ("s t  u p i d", "stupid"),
+        ("s t\tu p\ni d", "stupid"),
+        ("...", "..."),
+        ("the end...", "the end..."),
+    ],
+)
+def test_more_disguises(trigrams, text, restored):
+    assert toxicity.restored_text(text, trigrams) == restored
+
+
+def test_every_token_with_two_readings_is_a_suspect():
+    signs = "ai7$.-_!é,"
+    tokens = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product(signs, repeat=n)] + ["Ééé", "xÉÉé", "哈哈哈", "éaé", "a$$"]
+    for token in tokens:
+        low = toxicity.grams.LOWER[np.frombuffer(f"b c {token} d".encode(), dtype=np.uint8)]
+        starts, ends = toxicity.suspects(low, np.array([0, len(low)]))
+        wanted = any(c.isalpha() for c in token) and any(len(x) > 1 for x in toxicity.lattice(token.lower()))
+        if len(token) > 1 and wanted:
+            assert any(low[a:b].tobytes().decode().lower() == token.lower() for a, b in zip(starts, ends, strict=True)), token

@@ -1,15 +1,17 @@
 """Toxicity of texts whose words may be disguised: restore by a noisy channel, then score.
 
-A token that may be disguised (look-alike signs inside letters, letters repeated three times or
-more, single letters set apart) becomes a lattice of readings: a sign may stand for a letter, a
-run of one letter for one or two of it, a separator for nothing. The Viterbi path under a
-character trigram model of the whole corpus and the channel's costs is the restored token. Any
-other token has one path only and stays as it is. Restored texts are scored by character n-grams
+A token that may be disguised (letters with look-alike signs or with separators between, letters
+repeated three times or more, single letters set apart by white space) becomes a lattice of
+readings: a sign may stand for a letter, a run of one letter for one or two of it, a separator for
+nothing. The Viterbi path under a character trigram model of the whole corpus and the channel's
+costs is the restored token. Any other token has one path only and stays as it is. Restored texts are scored by character n-grams
 whose share of toxic documents was learned from labels, through a logistic curve.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +33,9 @@ LOOKALIKE = {
     "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "(": "c",
 }
 SEPARATORS = " .-_*~"
+#: Stands for white space between single letters that is wider than most of it there: as likely
+#: the end of a word as not.
+WIDE = "\n"
 #: Costs in nats: reading a sign as a letter, keeping it as it is, dropping a separator, keeping
 #: one between letters, and taking a run of three or more for one letter or two.
 SIGN_COST = 1.0
@@ -115,7 +120,8 @@ def log_trigrams(uses: np.ndarray) -> np.ndarray:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings with costs for each run of equal characters of a lower-cased token."""
     out: list[list[tuple[str, float]]] = []
-    spaced = len(token) > 2 and len(set(token[1::2])) == 1 and token[1] in SEPARATORS
+    gaps = set(token[1::2]) - {WIDE}
+    spaced = len(token) > 2 and len(gaps) == 1 and gaps <= set(SEPARATORS)
     at = 0
     while at < len(token):
         sign, end = token[at], at
@@ -130,6 +136,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                     readings.append((letter * 2, SIGN_COST))
         elif sign.isalpha() and length > 2:
             readings = [(sign, RUN_COST), (sign * 2, RUN_COST)]
+        elif sign == WIDE:
+            readings = [(" ", GAP_COST), ("", GAP_COST)]
         elif sign in SEPARATORS and inside:
             readings = [("", GAP_COST)] if spaced else [(sign * length, GAP_KEPT_COST), ("", GAP_COST)]
         else:
@@ -203,31 +211,44 @@ GAP[[ord(c) for c in SEPARATORS if c != " "]] = True
 def suspects(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of what may be disguised in lower-cased texts, in order.
 
-    Tokens with a sign before a letter, a letter three times or more in a row, or letters set
-    apart by one repeated separator; and runs of three or more single characters between spaces.
+    Tokens whose lattice has more than one reading: letters with a sign, a separator inside, or a
+    letter three times or more in a row; and runs of three or more single characters.
     """
     starts, ends, counts = grams.split((~grams.SPACE[low]).astype(np.uint8), offsets)
     if not len(starts):
         return starts, ends
-    flagged = np.zeros(len(starts), dtype=bool)
-    solid = LETTER[low] | SIGN[low]
 
-    def flag(mask: np.ndarray, span: int) -> None:
-        at = np.flatnonzero(mask)
+    def tokens_of(at: np.ndarray, span: int = 1) -> np.ndarray:
+        """The tokens that hold all ``span`` bytes from each place on."""
         token = np.searchsorted(starts, at, side="right") - 1
-        flagged[token[at + span <= ends[token]]] = True
+        held = np.zeros(len(starts), dtype=bool)
+        held[token[(token >= 0) & (at + span <= ends[token])]] = True
+        return held
 
-    if len(low) > 1:
-        flag(SIGN[low[:-1]] & LETTER[low[1:]], 2)
+    letters = np.concatenate([[0], np.cumsum(LETTER[low])])
+    worded = letters[ends] > letters[starts]
+    flagged = tokens_of(np.flatnonzero(SIGN[low]))
     if len(low) > 2:
-        flag((low[:-2] == low[1:-1]) & (low[:-2] == low[2:]) & LETTER[low[:-2]] & (low[:-2] < 128), 3)
-    if len(low) > 4:
-        flag(solid[:-4] & GAP[low[1:-3]] & solid[2:-2] & (low[3:-1] == low[1:-3]) & solid[4:], 5)
-    # Runs of single characters, each one space after the last, inside one text.
+        # A run of one separator begins behind another byte of the token and ends before one.
+        changes = np.flatnonzero(low[1:] != low[:-1])
+        begins = tokens_of(changes[GAP[low[changes + 1]]], 2)
+        flagged |= begins & tokens_of(changes[GAP[low[changes]]], 2)
+    # Letters of one to four bytes; capitals of the Latin-1 block equal their small letters.
+    even = low.copy()
+    even[1:][low[:-1] == 0xC3] |= 0x20
+    for width, least, most in ((1, 97, 122), (2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF7)):
+        at = np.flatnonzero((low >= least) & (low <= most))
+        at = at[at + 3 * width <= len(low)]
+        for i in range(width):
+            at = at[(even[at + i] == even[at + i + width]) & (even[at + i] == even[at + i + 2 * width])]
+        flagged |= tokens_of(at, 3 * width)
+    flagged &= worded
+    # Runs of single characters with white space between, inside one text.
     owner = np.repeat(np.arange(len(counts)), counts)
-    single = (ends - starts == 1) & solid[starts]
-    joined = single[1:] & single[:-1] & (starts[1:] == ends[:-1] + 1) & (owner[1:] == owner[:-1])
-    joined &= low[np.minimum(ends[:-1], len(low) - 1)] == 32
+    heads = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+    solid = LETTER[low[starts]] | SIGN[low[starts]]
+    single = (heads[ends] - heads[starts] == 1) & solid
+    joined = single[1:] & single[:-1] & (owner[1:] == owner[:-1])
     edges = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
     first, last = edges[::2], edges[1::2]
     long = last - first >= 2
@@ -241,13 +262,26 @@ def suspects(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_start[order], span_end[order]
 
 
+BLANKS = re.compile("[ \t\n\v\f\r]+")
+
+
+def evenly_spaced(token: str) -> str:
+    """A run of single characters with white space as one space, or WIDE if wider than the commonest."""
+    gaps = BLANKS.findall(token)
+    if not gaps:
+        return token
+    uses = Counter(gaps)
+    usual = min(uses, key=lambda gap: (-uses[gap], len(gap), gap))
+    return BLANKS.sub(lambda found: " " if len(found[0]) <= len(usual) else WIDE, token)
+
+
 def restore(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts, A-Z lower-cased, with what may be disguised restored."""
     low = grams.LOWER[data]
     starts, ends = suspects(low, offsets)
     parts, gains, done = [], [], 0
     for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        token = low[start:end].tobytes().decode("utf-8").lower()
+        token = evenly_spaced(low[start:end].tobytes().decode("utf-8").lower())
         found = restorer.token(token).encode() if any(c.isalpha() for c in token) else None
         if found is None:
             gains.append(0)
