@@ -102,3 +102,12 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(300), 0), **dict.fromkeys((1000, 1001, 1002), 1000), 5000: 5000}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_per_class_of_clashing_and_repeated_rows(spark):
+    x, y, z, w = ("".join(f"{c}{i} " for i in range(30)) for c in "xyzw")
+    rows = [(3, x), (3, x), (5, x + "more"), (5, y), (None, z), (None, z), (None, x), (7, z + "more"), (None, w), (None, w), (8, ""), (8, ""), (None, None)]
+    rows += [(9, "a b c d e f A B"), (9, "A B C D E F A B")]
+    kept = ngram_join.one_per_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = [(3, x), (5, y), (7, z + "more"), (None, x), (None, z), (None, w), (8, ""), (8, ""), (None, None), (9, "A B C D E F A B")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(expected, key=repr)

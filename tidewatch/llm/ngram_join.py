@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm import grams
 from tidewatch.llm.common import fresh, release, small_batches, staged, thinned
@@ -99,6 +100,15 @@ def shared_least(percent: int) -> int:
     return min(SHARED, -(-percent * least_size(percent) // 100))
 
 
+def signature(tokens: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums that identify a set of shingles."""
+    u, n = grams.U, len(tokens)
+    if not n:
+        return 0, 0, 0
+    s1 = int(grams.mix(tokens * u(0x9FB21C651E98DF25) + u(n)).sum(dtype=np.uint64).astype(np.int64))
+    return n, s1, int(grams.mix(tokens ^ u(0xD1342543DE82EF95)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def sketches(rows: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
     """``(doc, n, s1, s2, rare, homes, prefix)`` of ``(doc, text)``.
 
@@ -113,8 +123,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
             out: list[tuple] = []
             for tokens in _sets(batch.column("text"), k):
                 n = len(tokens)
-                s1 = int(grams.mix(tokens * u(0x9FB21C651E98DF25) + u(n)).sum(dtype=np.uint64).astype(np.int64)) if n else 0
-                s2 = int(grams.mix(tokens ^ u(0xD1342543DE82EF95)).sum(dtype=np.uint64).astype(np.int64)) if n else 0
+                _, s1, s2 = signature(tokens)
                 if n < smallest:
                     out.append((n, s1, s2, n, None, None))
                     continue
@@ -196,6 +205,17 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     Repeated rows are rows of the result each; NULL keys get the least key of their class. Other
     columns are ignored. Keys must be whole numbers.
     """
+    named = _classed(documents, k, percent, key, text)
+    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component_id"))
+    return named.join(least, "root", "left").select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc").alias("component_id"),
+    )
+
+
+def _classed(documents: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """``(node, doc, n, root)`` of each row: its set, key, size and class; NULL without words."""
     if not 1 <= percent <= 100 or k < 1:
         raise ValueError("percent must be 1 to 100 and k at least 1")
     rows = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -209,13 +229,7 @@ def classes(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc
     links = _links(rows, sketched, k, percent)
     found = components(links)
     light = sketched.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias("doc"), "n", "node")
-    named = light.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component_id"))
-    return named.join(least, "root", "left").select(
-        F.col("doc").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc").alias("component_id"),
-    )
+    return light.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _links(rows: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
@@ -293,11 +307,37 @@ def _node_sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def one_per_class(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one row of each class: the one with the least key.
 
-    Rows without words are all kept. Of rows with the same least key one is kept per class; rows
-    whose key is NULL are kept, because nothing names them.
+    Rows without words are all kept. No key stands for a NULL one, so a class keeps one row of
+    NULL key besides. Of rows with the same least key the least set signature stays, and of equal
+    sets the row whose columns, the text first, come first as JSON. Only the rows of such a key
+    and set are shuffled whole for it.
     """
-    (mark,) = fresh(documents, "mark")
-    found = classes(documents, k, percent, key, text).filter("doc_id IS NOT NULL AND n_shingles > 0")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(mark)).distinct()
-    rest = documents.join(gone, F.col(f"`{key}`") == F.col(mark), "left_anti")
-    return rest
+    mark, order = fresh(documents, "mark", "order")
+    named = cut_lineage(_classed(documents, k, percent, key, text).filter("node IS NOT NULL").select("doc", "node", "root"))
+    held = named.groupBy("root", "doc", "node").agg(F.count("*").alias("copies")).withColumn("unnamed", F.expr("doc IS NULL"))
+    best = held.groupBy("root", "unnamed").agg(F.min(F.struct("doc", "node")).alias("best"))
+    held = held.join(best, ["root", "unnamed"]).withColumn("stays", F.expr("node = best.node AND doc <=> best.doc"))
+    # Rows that go, and those of which one goes on: both by key and set.
+    turns = held.filter("NOT stays OR copies > 1").select("doc", "node", "stays")
+    signed = _signed(documents, k, text, mark)
+    met = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("doc")) & (F.col(mark) == F.col("node"))
+    sole = signed.join(turns, met, "left_anti").drop(mark)
+    several = signed.join(turns.filter("stays").drop("stays"), met, "left_semi")
+    first = Window.partitionBy(mark).orderBy(F.col(f"`{text}`"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
+    one = several.withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1).drop(mark, order)
+    return sole.unionByName(one)
+
+
+def _signed(documents: DataFrame, k: int, text: str, name: str) -> DataFrame:
+    """``documents`` with the node of each row's set, NULL without words."""
+    added = fresh(documents, "n", "s1", "s2")
+    schema = T.StructType([*documents.schema.fields, *[T.StructField(c, T.LongType()) for c in added]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [signature(tokens) for tokens in _sets(batch.column(text), k)]
+            columns = [pa.array(c, pa.int64()) for c in (zip(*signs, strict=True) if signs else ((),) * 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
+
+    size = F.col(added[0])
+    return documents.mapInArrow(run, schema).withColumn(name, F.when(size > 0, F.xxhash64(*added))).drop(*added)
