@@ -3,8 +3,9 @@
 Texts become bags of hashed word unigrams and bigrams. Two generative models are counted: the
 target from documents labelled good, the raw one from all documents. A text's importance weight
 is the log ratio of the two models over its features; a margin per feature, fitted on the
-labelled sample, is taken off. Adding Gumbel noise and keeping the k highest keys draws k texts
-without replacement in proportion to their weights.
+labelled sample, is taken off. Scaled Gumbel noise is added and the k highest keys are kept, k
+being the number of texts of weight 0 or more. At TEMPERATURE 1 this draws k texts without
+replacement in proportion to their weights; at the value set here it is in effect a threshold.
 """
 
 from __future__ import annotations
