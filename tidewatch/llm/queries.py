@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, knn_join, license_scan, line_dedup, ngram_join, quality, sharding, toxicity, url_rules
+from tidewatch.llm import (
+    byte_bpe,
+    decontaminate,
+    knn_join,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    periodic_runs,
+    quality,
+    sharding,
+    toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +232,51 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.inherit(scanned, folder).select(
         "doc_id", "own_license", "cosine", "license_line", "license_file", "license", "license_from"
     )
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; a text whose key's checksum ends in 0 repeats a stretch up to its end.
+
+    Of its n words those from ``a = g % n`` on become the first ``p`` of them over and over, with ``g``
+    a tenth of the checksum and ``p = 1 + (n - a) div (3 + g % 8)``.
+    """
+    words = F.expr("filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w != '')")
+    repeated = F.expr(
+        "array_join(transform(sequence(0, n - 1), i -> get(words, CAST(IF(i < a, i, a + (i - a) % p) AS INT))), ' ')"
+    )
+    keyed = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    split = (
+        keyed.withColumn("words", F.when(chosen, words))
+        .withColumn("n", F.size("words"))
+        .withColumn("g", F.expr("h div 10"))
+        .withColumn("a", F.expr("IF(n > 0, g % n, 0)"))
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    )
+    return split.select("doc_id", F.when(F.col("words").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs after a tenth of the documents was made periodic."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.collapse(with_planted_runs(documents)).drop("text")
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS back, -r.period AS small)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    digests = found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return digests.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.small")).alias("period"),
+        F.expr("1000 * best.length div -best.small").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
