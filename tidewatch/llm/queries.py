@@ -240,12 +240,12 @@ def with_planted_runs(documents: DataFrame) -> DataFrame:
     Of its n words those from ``a = g % n`` on become the first ``p`` of them over and over, with ``g``
     a tenth of the checksum and ``p = 1 + (n - a) div (3 + g % 8)``.
     """
-    words = F.expr("filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w != '')")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
     repeated = F.expr(
         "array_join(transform(sequence(0, n - 1), i -> get(words, CAST(IF(i < a, i, a + (i - a) % p) AS INT))), ' ')"
     )
     keyed = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
-    chosen = (F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    chosen = (F.col("h") % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     split = (
         keyed.withColumn("words", F.when(chosen, words))
         .withColumn("n", F.size("words"))
