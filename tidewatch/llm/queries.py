@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     byte_bpe,
+    conversation_repair,
     decontaminate,
     knn_join,
     license_scan,
@@ -280,3 +281,35 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "runs_sha256",
         "collapsed_sha256",
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with rows dropped, emptied, cut, repeated or given to the user by checksum."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    act = F.crc32(F.concat(cell("conv_id"), F.lit(":"), cell("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", cell("role").alias("role"), cell("text").alias("text"), act.alias("act"))
+    text = F.when(F.col("act") == 1, "").when(F.col("act") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    kept = rows.filter("act != 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("act") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.when(F.col("act") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return kept.drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the cheapest repair of every damaged conversation."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    audits, _ = conversation_repair.repair(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(audits, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
