@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         second = first.join(ends, "a").select(F.col("x").alias("a"), F.col("to").alias("b"))
         open_edges = cut_lineage(second.filter("a != b").distinct())
     # Local minima may not be least: the last label is an end, so take the least node per label.
-    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    # Written first, so that both sides of the join are plain shuffles and a hot root can be split.
+    least = cut_lineage(labels.groupBy("root").agg(F.min("node").alias("least")))
     return labels.join(least, "root").select("node", F.col("least").alias("root"))
 
 

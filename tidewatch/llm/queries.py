@@ -19,6 +19,7 @@ from tidewatch.llm import (
     periodic_runs,
     quality,
     sharding,
+    superminhash,
     toxicity,
     url_rules,
 )
@@ -313,3 +314,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op13_superminhash")
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 3-word shingles at a similarity of 0.85."""
+    return superminhash.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
