@@ -67,14 +67,30 @@ def ks_statistic(totals: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
 
 
+def quantile_positions(bins: int = DEFAULT_BINS) -> list[float]:
+    """Levels of the quantiles that part a reference into bins."""
+    return [j * (1.0 / bins) for j in range(bins)] + [1.0]
+
+
+def interpolated_edges(ranked: DataFrame, groups: list[str], bins: int = DEFAULT_BINS) -> DataFrame:
+    """Distinct quantiles between the values ``below`` and ``above`` each position of ``all_ref_n`` rows."""
+    positions = ", ".join(f"(all_ref_n - 1) * {level!r}D" for level in quantile_positions(bins))
+    interpolated = f"""
+        transform(array({positions}), (p, j) ->
+          CASE WHEN above[j] = below[j] THEN below[j]
+               WHEN p - floor(p) < 0.5D THEN below[j] + (above[j] - below[j]) * (p - floor(p))
+               ELSE above[j] - (above[j] - below[j]) * (1D - (p - floor(p))) END)
+    """
+    return ranked.select(*groups, F.expr(f"array_distinct({interpolated})").alias("edges"))
+
+
 def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
     """Distinct linearly interpolated quantiles of the reference, per numeric feature.
 
     A quantile lies between the values at two ranks; a row of the running totals covers the
     ranks from ``cum - n`` to ``cum - 1``, so one aggregation finds all of them.
     """
-    levels = [j * (1.0 / bins) for j in range(bins)] + [1.0]
-    positions = [f"(all_ref_n - 1) * {level!r}D" for level in levels]
+    positions = [f"(all_ref_n - 1) * {level!r}D" for level in quantile_positions(bins)]
 
     def value_at(rank: str) -> str:
         return f"max(CASE WHEN cum_ref_n - ref_n <= {rank} AND {rank} < cum_ref_n THEN num END)"
@@ -88,13 +104,7 @@ def quantile_edges(totals: DataFrame, keys: list[str] = (), bins: int = DEFAULT_
             F.expr(f"array({', '.join(value_at(f'ceil({p})') for p in positions)})").alias("above"),
         )
     )
-    interpolated = f"""
-        transform(array({', '.join(positions)}), (p, j) ->
-          CASE WHEN above[j] = below[j] THEN below[j]
-               WHEN p - floor(p) < 0.5D THEN below[j] + (above[j] - below[j]) * (p - floor(p))
-               ELSE above[j] - (above[j] - below[j]) * (1D - (p - floor(p))) END)
-    """
-    return ranked.select(*keys, "feature", F.expr(f"array_distinct({interpolated})").alias("edges"))
+    return interpolated_edges(ranked, [*keys, "feature"], bins)
 
 
 def bin_number(value: str, edges: str) -> Column:
@@ -134,6 +144,16 @@ def _psi_of(bins: Column, ref_all: Column, cur_all: Column) -> Column:
     return F.when((ref_all > 0) & (cur_all > 0), F.aggregate(F.sort_array(bins), F.lit(0.0), add))
 
 
+def bins_psi(ref: Column, cur: Column) -> Column:
+    """PSI of two arrays of rows per bin, in the same order of bins."""
+    bins = F.transform(F.arrays_zip(ref.alias("ref_n"), cur.alias("cur_n")), lambda b, i: F.struct(i.alias("bin"), b["ref_n"].alias("ref_n"), b["cur_n"].alias("cur_n")))
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0).cast("long"), lambda whole, n: whole + n)
+
+    return _psi_of(bins, total(ref), total(cur))
+
+
 def psi(bins: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Population stability index per feature; NULL when no current value falls into a bin."""
     gathered = bins.groupBy(*keys, "feature").agg(
@@ -254,11 +274,17 @@ def drift_from_frequencies(
             F.lit(None).cast("double").alias("psi"),
         )
     )
-    measured = numbers.unionByName(words)
+    return judged(numbers.unionByName(words), per_feature, limits, strict, method)
+
+
+def judged(
+    measured: DataFrame, per_feature: list[str], limits: DriftThresholds = DriftThresholds(), strict: bool = False, method: str = "auto"
+) -> DataFrame:
+    """Type, measures, severity or error of each feature, from its measures and row counts."""
     numeric = F.col("numeric")
     empty = (F.col("ref_n") == 0) | (F.col("cur_n") == 0)
     # Explicitly spread: the few rows here carry the exact p-values, the only Python work.
-    joined = measured.repartition(freq.sparkSession.sparkContext.defaultParallelism, *per_feature)
+    joined = measured.repartition(measured.sparkSession.sparkContext.defaultParallelism, *per_feature)
     p_value = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), method)
     scored = joined.withColumn("ks_p_value", p_value)
     severity = F.when(numeric, numeric_severity(F.col("psi"), F.col("ks_p_value"), limits)).otherwise(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.baseline import BaselineIndex, baseline_index
 from tidewatch.operators.drift import DriftThresholds
 from tidewatch.operators.jobs import FAILED, JOB_TYPE, QUEUED, RUNNING, finish_events, job_event, job_states, queue_checks, start_events
 from tidewatch.operators.metrics import LOW_CONFIDENCE
@@ -32,6 +33,29 @@ def _stored_rows(store: Store, table: str, owner: str, registry: DataFrame, want
     return of_owners(store.read(table), ["load_id", owner], places)
 
 
+def stored_index(store: Store, datasets: DataFrame, wanted: DataFrame) -> BaselineIndex:
+    """The index of the wanted baselines (``dataset_id``) as it was kept when they were loaded.
+
+    Slices are read in their buckets, so a join with them moves only the other side. Datasets
+    whose rows were stored without an index are indexed from their rows.
+    """
+    listed = datasets.select(F.col("id").alias("dataset_id"), "load_id")
+    places = as_small_side(wanted.distinct().join(listed, "dataset_id").select("load_id", "dataset_id"))
+    of_load = ["load_id", "dataset_id"]
+    features = cut_lineage(of_owners(store.read("baseline_features"), of_load, places).drop("load_id"))
+    ends = places.agg(*[f(c).alias(f"{n}_{c}") for c in of_load for n, f in (("low", F.min), ("high", F.max))]).first()
+    slices = store.read_buckets("baseline_slices")
+    for c in of_load:
+        slices = slices.where(F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]))
+    categories = of_owners(store.read("baseline_categories"), of_load, places)
+    index = BaselineIndex(features, slices.drop("load_id"), categories.drop("load_id"))
+    unindexed = places.join(features.select("dataset_id").distinct(), "dataset_id", "left_anti")
+    if unindexed.isEmpty():
+        return index
+    rows = of_owners(store.read("dataset_rows"), of_load, as_small_side(unindexed.select(*of_load)))
+    return index.union(baseline_index(rows.select("dataset_id", "features")))
+
+
 def run_stored(
     store: Store, requests: DataFrame, limits: DriftThresholds = DriftThresholds(), low_confidence: float = LOW_CONFIDENCE
 ) -> CheckRun:
@@ -45,7 +69,7 @@ def run_stored(
         store.read("model_versions"),
         datasets,
         batches,
-        _stored_rows(store, "dataset_rows", "dataset_id", datasets, baselines),
+        stored_index(store, datasets, baselines),
         _stored_rows(store, "predictions", "batch_id", batches, checked),
         limits,
         low_confidence,

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import MISSING_CATEGORY
-from tidewatch.functions.typing import FLOAT64, NUMERIC_TYPES, OBJECT, type_counts, type_name, typed_number, typed_text
+from tidewatch.operators.baseline import (
+    CUR,
+    REF,
+    BaselineIndex,
+    categorical_measures,
+    category_counts,
+    category_shares,
+    index_of,
+    number_counts,
+    numeric_measures,
+    packed,
+    shared_features,
+    value_counts,
+    value_types,
+)
 from tidewatch.operators.cumulative import join_on_groups
-from tidewatch.operators.drift import DriftThresholds, category_differences, drift_from_frequencies, drift_summary, feature_drift
-from tidewatch.operators.frequency import CATEGORICAL, NUMERIC, count_values
+from tidewatch.operators.drift import DriftThresholds, drift_summary, feature_drift, judged
+from tidewatch.operators.frequency import CATEGORICAL, NUMERIC
 from tidewatch.operators.health import component_scores, diagnosis, health_score
 from tidewatch.operators.metrics import (
     CONF,
@@ -92,7 +108,7 @@ def _metrics(counted: DataFrame, keys: list[str], low_confidence: float = LOW_CO
         F.sum(F.when((score < 0) | (score > 1), n).otherwise(0)).alias("out_of_range_n"),
     )
     # One row per key: written, so that the final plan stays small.
-    return cut_lineage(join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left"))
+    return as_small_side(join_on_groups(metric_bundle(counts, keys), auc_from_counts(counted, keys), keys, "left"))
 
 
 def _scored(joined: DataFrame) -> DataFrame:
@@ -219,63 +235,6 @@ def of_owners(rows: DataFrame, columns: list[str], owners: DataFrame, how: str =
     return rows.join(owners, columns, how)
 
 
-def _owned_values(rows: DataFrame, owner: str, wanted: DataFrame, column: str, side: str) -> DataFrame:
-    """Distinct feature values with their row counts, for the wanted owners only."""
-    owners = as_small_side(wanted.select(F.col(column).alias(owner)).distinct())
-    cells = of_owners(rows.select(owner, "features"), [owner], owners)
-    return (
-        cells.select(F.col(owner).alias("owner"), F.explode("features").alias("feature", "raw"))
-        .groupBy("owner", "feature", "raw")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("side", F.lit(side))
-    )
-
-
-def _check_frequencies(values: DataFrame, types: DataFrame, checks: DataFrame) -> DataFrame:
-    """Frequency table per check: the owners' value counts, expanded to the checks using them.
-
-    Rows were counted per owner first, so a baseline shared by many checks is multiplied as
-    distinct values, never as rows.
-    """
-    ref_types = types.where("side = 'ref'").select(
-        F.col("owner").alias("baseline_dataset_id"), "feature", F.col("dtype").alias("ref_dtype")
-    )
-    cur_types = types.where("side = 'cur'").select(
-        F.col("owner").alias("prediction_batch_id"), "feature", F.col("dtype").alias("cur_dtype")
-    )
-    numeric = F.col("ref_dtype").isin(NUMERIC_TYPES) & F.col("cur_dtype").isin(NUMERIC_TYPES)
-    shared = (
-        checks.join(ref_types, "baseline_dataset_id")
-        .where("target_column IS NULL OR feature <> target_column")
-        .join(cur_types, ["prediction_batch_id", "feature"])
-        .withColumn("kind", F.when(numeric, NUMERIC).otherwise(CATEGORICAL))
-    )
-    sides = shared.select(
-        "check_id",
-        "feature",
-        "kind",
-        F.inline(
-            F.array(
-                F.struct(F.lit("ref").alias("side"), F.col("baseline_dataset_id").alias("owner"), F.col("ref_dtype").alias("dtype")),
-                F.struct(F.lit("cur").alias("side"), F.col("prediction_batch_id").alias("owner"), F.col("cur_dtype").alias("dtype")),
-            )
-        ),
-    )
-    used = values.join(as_small_side(sides), ["side", "owner", "feature"])
-    raw, dtype = F.col("raw"), F.col("dtype")
-    is_number = F.col("kind") == NUMERIC
-    cells = used.select(
-        "check_id",
-        "feature",
-        F.when(is_number, typed_number(raw, dtype)).alias("num"),
-        F.when(~is_number, F.coalesce(typed_text(raw, dtype), F.lit(MISSING_CATEGORY))).alias("txt"),
-        F.when(F.col("side") == "ref", F.col("n")).otherwise(0).alias("ref_n"),
-        F.when(F.col("side") == "cur", F.col("n")).otherwise(0).alias("cur_n"),
-        F.lit(0).cast("long").alias("gap_n"),
-    )
-    return count_values(cells, ["check_id"])
-
-
 @dataclass
 class CheckRun:
     """What a run of checks found: a row per request, and the details behind the finished ones.
@@ -303,7 +262,7 @@ def run_checks(
     model_versions: DataFrame,
     datasets: DataFrame,
     prediction_batches: DataFrame,
-    baseline_rows: DataFrame,
+    baseline_rows: DataFrame | BaselineIndex,
     predictions: DataFrame,
     limits: DriftThresholds = DriftThresholds(),
     low_confidence: float = LOW_CONFIDENCE,
@@ -311,38 +270,46 @@ def run_checks(
     """Run every requested check; one row per request, failed ones with ``error_message``.
 
     ``baseline_rows`` has dataset_id and features, ``predictions`` batch_id, true_label,
-    predicted_label, confidence and features; features are maps from name to text.
+    predicted_label, confidence and features; features are maps from name to text. In place of its
+    rows the index of the baselines may be given. Checks of the same batch and baseline are
+    measured once.
     """
     resolved = cut_lineage(resolve_requests(requests, projects, model_versions, datasets, prediction_batches))
     valid = resolved.where("request_error IS NULL")
-
-    values = cut_lineage(
-        _owned_values(baseline_rows, "dataset_id", valid, "baseline_dataset_id", "ref").unionByName(
-            _owned_values(predictions, "batch_id", valid, "prediction_batch_id", "cur")
-        )
-    )
-    types = (
-        values.groupBy("side", "owner", "feature")
-        .agg(*type_counts(F.col("raw"), F.col("n")))
-        .withColumn("dtype", F.when(F.col("side") == "ref", type_name(FLOAT64)).otherwise(type_name(OBJECT)))
+    of_pair = ["dataset_id", "batch_id"]
+    checks = valid.select(
+        "check_id", F.col("baseline_dataset_id").alias("dataset_id"), F.col("prediction_batch_id").alias("batch_id"), "target_column"
     )
-    types = cut_lineage(types)
-    freq = cut_lineage(_check_frequencies(values, types, valid))
-    drift = cut_lineage(drift_from_frequencies(freq, ["check_id"], limits))
-    summary = cut_lineage(drift_summary(drift, ["check_id"]).drop("missing_n"))
-    missing = (
-        types.where("side = 'cur'")
-        .groupBy(F.col("owner").alias("prediction_batch_id"))
-        .agg((F.sum("missing") / F.sum("cells")).alias("missing_rate"))
+    labels = _beside(resolved.sparkSession, lambda: _labels(valid, predictions, low_confidence))
+    wanted = as_small_side(checks.select("dataset_id").distinct())
+    tested = as_small_side(checks.select("batch_id").distinct())
+    values = value_counts(of_owners(predictions.select("batch_id", "features"), ["batch_id"], tested), "batch_id", CUR)
+    indexed = isinstance(baseline_rows, BaselineIndex)
+    if not indexed:
+        rows = of_owners(baseline_rows.select("dataset_id", "features"), ["dataset_id"], wanted)
+        values = values.unionByName(value_counts(rows, "dataset_id", REF))
+    values = cut_lineage(values)
+    types = as_small_side(value_types(values))
+    stretches = packed(number_counts(values, types))
+    index = baseline_rows if indexed else index_of(values, types, stretches)
+    known = as_small_side(index.features.join(wanted, "dataset_id", "left_semi")) if indexed else index.features
+    shared = as_small_side(shared_features(checks.drop("check_id").distinct(), known, types))
+    numeric, worded = (shared.where(F.col("kind") == k) for k in (NUMERIC, CATEGORICAL))
+    word_kinds = as_small_side(
+        worded.select(F.lit(CUR).alias("side"), F.col("batch_id").alias("owner"), "feature", F.col("cur_dtype").alias("dtype")).distinct()
     )
-    baselines = types.where("side = 'ref'").select(F.col("owner").alias("baseline_dataset_id")).distinct()
-
-    batches = as_small_side(
-        valid.groupBy(F.col("prediction_batch_id").alias("batch_id")).agg(F.max(POSITIVE).alias(POSITIVE))
-    )
-    labels = of_owners(predictions.select("batch_id", TRUE, PRED, CONF), ["batch_id"], batches, "inner")
-    counted = score_counts(labels, ["batch_id"])
-    metrics = _metrics(counted, ["batch_id"], low_confidence).withColumnRenamed("batch_id", "prediction_batch_id")
+    words = cut_lineage(category_counts(values, word_kinds))
+    # Baselines' categories are read for features that are compared as categories.
+    of_words = index.categories.join(as_small_side(worded.select("dataset_id", "feature").distinct()), ["dataset_id", "feature"], "left_semi")
+    measured = numeric_measures(stretches, numeric, index.slices)
+    measured = measured.unionByName(categorical_measures(words, worded, of_words))
+    pairs = as_small_side(judged(measured, [*of_pair, "feature"], limits))
+    drift = checks.drop("target_column").join(pairs, of_pair).drop(*of_pair)
+    summary = as_small_side(drift_summary(drift, ["check_id"]).drop("missing_n"))
+    missing = types.where(F.col("side") == CUR).groupBy(F.col("owner").alias("prediction_batch_id")).agg((F.sum("missing") / F.sum("cells")).alias("missing_rate"))
+    baselines = known.select(F.col("dataset_id").alias("baseline_dataset_id")).distinct()
+
+    counted, metrics = labels()
     joined = (
         valid.join(baselines.withColumn("has_baseline", F.lit(True)), "baseline_dataset_id", "left")
         .join(metrics, "prediction_batch_id", "left")
@@ -379,12 +346,31 @@ def run_checks(
     return CheckRun(
         results,
         drift.drop("missing_n", "error").join(of_check, "check_id", "left_semi"),
-        category_differences(freq, ["check_id"]).join(of_check, "check_id", "left_semi"),
+        checks.join(of_check, "check_id", "left_semi")
+        .drop("target_column")
+        .join(category_shares(words, worded, of_words), of_pair)
+        .drop(*of_pair),
         finished.join(per_batch, "batch_id").drop("batch_id"),
         finished.join(confusion_counts(_label_counts(counted), ["batch_id"]), "batch_id").drop("batch_id"),
     )
 
 
+def _labels(valid: DataFrame, predictions: DataFrame, low_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Score counts and metrics of the checked batches."""
+    batches = as_small_side(valid.groupBy(F.col("prediction_batch_id").alias("batch_id")).agg(F.max(POSITIVE).alias(POSITIVE)))
+    rows = of_owners(predictions.select("batch_id", TRUE, PRED, CONF), ["batch_id"], batches, "inner")
+    counted = score_counts(rows, ["batch_id"])
+    return counted, _metrics(counted, ["batch_id"], low_confidence).withColumnRenamed("batch_id", "prediction_batch_id")
+
+
+def _beside(spark: SparkSession, work: Callable[[], tuple]) -> Callable[[], tuple]:
+    """Start jobs that do not depend on the following ones; the result waits for them."""
+    pool = ThreadPoolExecutor(1)
+    started = pool.submit(inheritable_thread_target(spark)(work))
+    pool.shutdown(wait=False)
+    return started.result
+
+
 def _label_counts(counted: DataFrame) -> DataFrame:
     return counted.groupBy("batch_id", TRUE, PRED).agg(F.sum("n").alias("n"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import label_text, to_number
+from tidewatch.operators.baseline import BaselineIndex, baseline_index
 from tidewatch.operators.profile import class_counts, map_cells, profile_cells, profile_maps, schema_fingerprint
 from tidewatch.operators.validation import parsed_timestamp, prediction_checks
 from tidewatch.plans.health_check import RESERVED_COLUMNS
@@ -62,9 +63,17 @@ def _manifest(spark: SparkSession, uploads: DataFrame, files: str | list[str], m
     return listed.withColumns({"file_name": name, "file_error": F.coalesce("file_error", unlisted)})
 
 
-def _load_id(accepted: DataFrame) -> Column:
+def _load_id(accepted: DataFrame) -> int:
     """The identity of a load: a hash of the set it stores, the same when it is repeated."""
-    return F.lit(accepted.agg(F.coalesce(F.bit_xor(F.xxhash64("id")), F.lit(0).cast("long"))).first()[0])
+    return accepted.agg(F.coalesce(F.bit_xor(F.xxhash64("id")), F.lit(0).cast("long"))).first()[0]
+
+
+def store_index(store: Store, index: BaselineIndex, load_id: int) -> None:
+    """Keep the index of a load's datasets beside their rows; a repeat overwrites it."""
+    load = F.lit(load_id).alias("load_id")
+    store.replace_buckets("baseline_slices", index.slices, load_id)
+    store.replace_partitions("baseline_categories", index.categories.select("*", load))
+    store.replace_partitions("baseline_features", index.features.select("*", load))
 
 
 def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column, files: str | list[str], max_bytes: int | None) -> None:
@@ -178,13 +187,13 @@ def ingest_predictions(
         "is_labeled",
         F.lit(PROCESSED).alias("status"),
         F.lit(None).cast("string").alias("error_message"),
-        load_id.alias("load_id"),
+        F.lit(load_id).alias("load_id"),
         uploaded_at.alias("uploaded_at"),
     )
     batches = cut_lineage(batches)
     typed = prediction_rows(
         rows.join(as_small_side(accepted.select("path", "project_id", F.col("id").alias("batch_id"))), "path")
-    ).withColumns({"load_id": load_id, "created_at": uploaded_at})
+    ).withColumns({"load_id": F.lit(load_id), "created_at": uploaded_at})
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
     _store_raw(store, accepted, batches, uploaded_at, files, max_bytes)
@@ -257,7 +266,7 @@ def ingest_datasets(
         "schema_hash",
         "row_count",
         F.size("columns").cast("long").alias("column_count"),
-        load_id.alias("load_id"),
+        F.lit(load_id).alias("load_id"),
         created_at.alias("created_at"),
     )
     datasets = cut_lineage(datasets)
@@ -265,8 +274,9 @@ def ingest_datasets(
     classes = class_counts(owned.withColumn("target", F.col("cells")[F.col("target_column")]), "target", ["dataset_id"])
     store.replace_partitions(
         "dataset_rows",
-        owned.select("project_id", load_id.alias("load_id"), "dataset_id", "row_id", F.col("cells").alias("features")),
+        owned.select("project_id", F.lit(load_id).alias("load_id"), "dataset_id", "row_id", F.col("cells").alias("features")),
     )
+    store_index(store, baseline_index(owned.select("dataset_id", F.col("cells").alias("features"))), load_id)
     store.append("dataset_profiles", profiles)
     store.append("dataset_classes", classes)
     _store_raw(store, accepted, datasets, created_at, files, max_bytes)

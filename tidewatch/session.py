@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest number of rows and of bytes (values as text) a side may have to be broadcast.
 BROADCAST_ROWS = 200_000
@@ -68,12 +70,23 @@ def as_small_side(df: DataFrame, bounded: bool = False, limit: int = BROADCAST_R
 
     ``bounded`` says that its row count is limited by the schema and the number of shuffle
     partitions (no key columns), so it is broadcast as it is. Otherwise it is computed and
-    measured first; above ``limit`` rows or BROADCAST_BYTES the join is left to the optimizer,
+    measured on the way; above ``limit`` rows or BROADCAST_BYTES the join is left to the optimizer,
     a shuffle join whose hot partitions adaptive execution splits.
     """
     if bounded:
         return F.broadcast(df)
-    computed = cut_lineage(df)
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in computed.columns])))
-    size = computed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(computed) if size["n"] <= limit and size["bytes"] <= BROADCAST_BYTES else computed
+    size = Observation()
+    width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema], F.lit(0))
+    computed = cut_lineage(df.observe(size, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")))
+    found = size.get
+    return F.broadcast(computed) if found["n"] <= limit and (found["bytes"] or 0) <= BROADCAST_BYTES else computed
+
+
+def _bytes(field: T.StructField) -> Column:
+    """Bytes of a value, as text where it is neither text nor of fixed size."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return F.lit(8)

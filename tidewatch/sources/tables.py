@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -36,6 +38,15 @@ SCHEMAS = {
     "dataset_rows": (
         "project_id BIGINT, load_id BIGINT, dataset_id BIGINT, row_id BIGINT, features MAP<STRING, STRING>"
     ),
+    "baseline_features": (
+        "load_id BIGINT, dataset_id BIGINT, feature STRING, dtype STRING, cells BIGINT, missing BIGINT, "
+        "numbers BIGINT, edges ARRAY<DOUBLE>, bins ARRAY<BIGINT>"
+    ),
+    "baseline_slices": (
+        "load_id BIGINT, dataset_id BIGINT, feature STRING, slice BIGINT, low DOUBLE, high DOUBLE, before BIGINT, "
+        "nums ARRAY<DOUBLE>, counts ARRAY<BIGINT>"
+    ),
+    "baseline_categories": "load_id BIGINT, dataset_id BIGINT, feature STRING, category STRING, n BIGINT",
     "prediction_batches": (
         "id BIGINT, project_id BIGINT, model_version_id BIGINT, file_name STRING, file_path STRING, "
         "content_hash STRING, row_count BIGINT, is_labeled BOOLEAN, status STRING, error_message STRING, "
@@ -92,10 +103,22 @@ PARTITIONS = {
     "dataset_rows": ["project_id", "load_id"],
     "predictions": ["project_id", "load_id"],
     "raw_files": ["project_id"],
+    "baseline_features": ["load_id"],
+    "baseline_categories": ["load_id"],
 }
 
 # Order inside a folder: the rows of a batch lie together, so file statistics find them.
-CLUSTERING = {"dataset_rows": ["dataset_id", "row_id"], "predictions": ["batch_id", "row_id"]}
+CLUSTERING = {
+    "dataset_rows": ["dataset_id", "row_id"],
+    "predictions": ["batch_id", "row_id"],
+    "baseline_features": ["dataset_id", "feature"],
+    "baseline_categories": ["dataset_id", "feature", "category"],
+}
+
+# Tables of one folder per load whose rows are dealt into buckets, so that a join on the columns
+# reads them without moving them.
+BUCKETS = {"baseline_slices": ["dataset_id", "feature", "slice"]}
+BUCKET_COUNT = 64
 
 # For each table, the columns that point to another table's id. Rows go when
 # the row they point to goes.
@@ -105,6 +128,8 @@ REFERENCES = {
     "dataset_profiles": {"datasets": "dataset_id"},
     "dataset_classes": {"datasets": "dataset_id"},
     "dataset_rows": {"datasets": "dataset_id"},
+    "baseline_features": {"datasets": "dataset_id"},
+    "baseline_categories": {"datasets": "dataset_id"},
     "prediction_batches": {"projects": "project_id", "model_versions": "model_version_id"},
     "predictions": {"prediction_batches": "batch_id"},
     "health_checks": {
@@ -217,3 +242,29 @@ class Store:
         shaped = self._shaped(table, rows).repartitionByRange(*order).sortWithinPartitions(*order)
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by).parquet(self.path(table))
+
+    def replace_buckets(self, table: str, rows: DataFrame, load_id: int) -> None:
+        """Write a load's rows of a bucketed table; repeating the write changes nothing."""
+        keys, place = BUCKETS[table], f"{self.path(table)}/load_id={load_id}"
+        shaped = self._shaped(table, rows.withColumn("load_id", F.lit(load_id))).drop("load_id")
+        # Buckets are a property of catalog tables: a name is lent to the folder while it is written.
+        name = f"tidewatch_{uuid.uuid4().hex}"
+        writer = shaped.repartition(BUCKET_COUNT, *keys).write.format("parquet").mode("overwrite")
+        try:
+            writer.bucketBy(BUCKET_COUNT, *keys).sortBy(*keys).option("path", place).saveAsTable(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def read_buckets(self, table: str) -> DataFrame:
+        """A bucketed table with all of its loads, empty if nothing was written yet."""
+        if self._stored(table) is None:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        name = f"tidewatch_{table}_{zlib.crc32(self.root.encode()):08x}_{len(self.root)}"
+        keys = ", ".join(BUCKETS[table])
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMAS[table]}) USING parquet PARTITIONED BY (load_id) "
+            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {BUCKET_COUNT} BUCKETS LOCATION '{self.path(table)}'"
+        )
+        self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name)

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scores
 from tidewatch.operators import health, missing
+from tidewatch.operators.baseline import baseline_index
 from tidewatch.plans import health_check as plans
-from tidewatch.session import cut_lineage
+from tidewatch.plans.bulk import run_stored
+from tidewatch.plans.ingest import store_index
+from tidewatch.session import cut_lineage, shared_folder
+from tidewatch.sources.tables import Store
 from workload import query, r9, table
 from workload.drift import ITEM_REF, SHIFTED, columns, drift_ctes, observed, summary_sql
 from workload.metrics import auc_sql, class_ctes
@@ -285,6 +289,66 @@ def health_check_bulk(spark, sf_dir):
     return outcome.withColumn("retraining_recommended", advice).join(extra, "check_id")
 
 
+# Early lines of all batches are one baseline; each of the eight batches is checked against it.
+ONE_BASELINE = f"""{BATCHED_LOG}, shared AS (
+  SELECT b.* EXCLUDE (batch), d.batch FROM batched b, (SELECT DISTINCT batch FROM batched) d WHERE {ITEM_REF}
+  UNION ALL SELECT * EXCLUDE (batch), batch FROM batched WHERE NOT ({ITEM_REF}))"""
+
+
+def _one_baseline(spark, sf_dir):
+    """``stored_tables`` in one project with one model and one baseline, and a request per batch."""
+    tables = stored_tables(spark, sf_dir, FEATURES)
+    one = spark.range(1).select(F.lit(1).cast("bigint").alias("id"))
+    owner = F.lit(1).cast("bigint").alias("project_id")
+    tables["projects"] = one.select("id", F.lit("unused").alias("target_column"), F.lit(None).cast("string").alias("positive_class"))
+    tables["model_versions"] = tables["datasets"] = one.select("id", owner)
+    batches = tables["prediction_batches"].select("id", owner, F.lit(1).cast("bigint").alias("model_version_id"))
+    tables["prediction_batches"] = batches
+    tables["baseline_rows"] = tables["baseline_rows"].select(F.lit(1).cast("bigint").alias("dataset_id"), "features")
+    requests = batches.select(
+        (F.col("id") - 30).alias("check_id"),
+        "project_id",
+        "model_version_id",
+        F.lit(1).cast("bigint").alias("baseline_dataset_id"),
+        F.col("id").alias("prediction_batch_id"),
+    )
+    return requests, tables
+
+
+@query(
+    "health_check_shared_baseline",
+    f"""WITH {ONE_BASELINE}, {check_ctes(columns(FEATURES), 'batch, ', 'shared')}
+    SELECT batch AS check_id, {REPORT_SQL} FROM report""",
+)
+def health_check_shared_baseline(spark, sf_dir):
+    """Eight batches against one baseline, whose rows are counted and sorted once."""
+    requests, tables = _one_baseline(spark, sf_dir)
+    return _report(plans.run_health_checks(requests, **tables), ["check_id"])
+
+
+@query(
+    "stored_baseline_index",
+    f"""WITH {ONE_BASELINE}, {observed('shared', ITEM_REF, columns(FEATURES), 'batch, ')}, {drift_ctes('batch, ')}
+    SELECT batch AS check_id, feature, round(psi, 9) AS psi, round(d, 9) AS ks_statistic, NULL::DOUBLE AS tvd
+    FROM psi JOIN ks USING (batch, feature) UNION ALL SELECT batch, feature, NULL, NULL, round(tvd, 9) FROM tvd""",
+)
+def stored_baseline_index(spark, sf_dir):
+    """The same checks from the index that a load keeps of its baseline, without the baseline's rows."""
+    requests, tables = _one_baseline(spark, sf_dir)
+    store, at = Store(spark, shared_folder(spark, "indexed")), F.lit("2024-02-01").cast("timestamp")
+    load = F.lit(1).cast("bigint").alias("load_id")
+    for name in ("projects", "model_versions"):
+        store.append(name, tables[name])
+    store.append("datasets", tables["datasets"].select("*", load))
+    store.append("prediction_batches", tables["prediction_batches"].select("*", load))
+    store_index(store, baseline_index(tables["baseline_rows"]), 1)
+    rows = tables["predictions"].select("*", F.lit(1).cast("bigint").alias("project_id"), load, F.monotonically_increasing_id().alias("row_id"))
+    none = F.lit(None).cast("timestamp").alias("prediction_timestamp")
+    store.replace_partitions("predictions", rows.select("*", none, at.alias("created_at")))
+    found = run_stored(store, requests).features
+    return found.select("check_id", "feature", r9("psi"), r9("ks_statistic"), r9("tvd"))
+
+
 @query("component_scores", f"{SHIFTED_CHECK} SELECT batch, {COMPONENT_SQL} FROM report")
 def component_scores(spark, sf_dir):
     return _shifted_check(spark, sf_dir).select("batch", *plans.COMPONENTS)
