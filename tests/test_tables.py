@@ -261,20 +261,24 @@ def test_repeated_load_stores_rows_once(spark, store, tmp_path):
     assert store.read("predictions").count() == 3
 
 
-def test_one_csv_scan_whatever_the_headers(spark, tmp_path, monkeypatch):
-    for i in range(5):
-        write(str(tmp_path), f"{i}.csv", ",".join(f"c{j}" for j in range(i + 1)) + "\n" + ",".join("1" * (i + 1)) + "\n")
-    manifest, plans, cut = list_files(spark, str(tmp_path)), [], files.cut_lineage
-
-    def watched(df):
-        plans.append(df._jdf.queryExecution().toString())
-        return cut(df)
-
-    monkeypatch.setattr(files, "cut_lineage", watched)
-    rows = read_rows(spark, manifest, str(tmp_path))
-    assert sorted(len(r["cells"]) for r in rows.collect()) == [1, 2, 3, 4, 5]
-    assert [p.split("== Physical Plan ==")[1].count("FileScan csv") for p in plans] == [1]
-    assert "FileScan csv" not in rows._jdf.queryExecution().toString()
+def test_one_parse_whatever_the_headers(spark, tmp_path, monkeypatch):
+    scans = []
+    for most in (1, 5):
+        folder = str(tmp_path / str(most))
+        for i in range(most):
+            write(folder, f"{i}.csv", ",".join(f"c{j}" for j in range(i + 1)) + "\n" + ",".join("1" * (i + 1)) + "\n")
+        manifest, plans, cut = list_files(spark, folder), [], files.cut_lineage
+
+        def watched(df, plans=plans, cut=cut):
+            plans.append(df._jdf.queryExecution().toString())
+            return cut(df)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(files, "cut_lineage", watched)
+            rows = read_rows(spark, manifest, folder)
+        assert sorted(len(r["cells"]) for r in rows.collect()) == list(range(1, most + 1))
+        scans.append([p.split("== Physical Plan ==")[1].count("FileScan") for p in plans])
+    assert scans[0] == scans[1] and len(scans[0]) == 1
 
 
 def test_no_paths_on_the_driver():

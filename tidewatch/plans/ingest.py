@@ -24,7 +24,7 @@ from tidewatch.sources.files import (
     NO_ROWS,
     ONLY_CSV,
     UNREADABLE,
-    file_contents,
+    file_ranges,
     list_files,
     plain_path,
     read_rows,
@@ -77,13 +77,11 @@ def store_index(store: Store, index: BaselineIndex, load_id: int) -> None:
 
 
 def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column, files: str | list[str], max_bytes: int | None) -> None:
-    """Keep the bytes of accepted files under their stored name; a file goes from task to table."""
-    wanted = as_small_side(accepted.select("path", "id").join(stored.select("id", "file_path"), "id"))
-    named = file_contents(store.spark, files, max_bytes).join(wanted, "path").withColumn("project_id", F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint"))
-    store.append(
-        "raw_files",
-        named.select("project_id", "file_path", F.sha2("content", 256).alias("content_hash"), "content", at.alias("stored_at")),
-    )
+    """Keep the bytes of accepted files under their stored name, in numbered ranges of bounded size."""
+    wanted = as_small_side(accepted.select("path", "id", "content_hash").join(stored.select("id", "file_path"), "id"))
+    project = F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint").alias("project_id")
+    ranges = file_ranges(store.spark, files, max_bytes).join(wanted, "path")
+    store.append("raw_files", ranges.select(project, "file_path", "content_hash", "number", "content", at.alias("stored_at")))
 
 
 def prediction_rows(rows: DataFrame, features: Column | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ SCHEMAS = {
         "health_check_id BIGINT, true_label STRING, predicted_label STRING, n BIGINT, created_at TIMESTAMP"
     ),
     "raw_files": (
-        "project_id BIGINT, file_path STRING, content_hash STRING, content BINARY, stored_at TIMESTAMP"
+        "project_id BIGINT, file_path STRING, content_hash STRING, number BIGINT, content BINARY, stored_at TIMESTAMP"
     ),
     "deletions": "table_name STRING, id BIGINT, deleted_at TIMESTAMP",
     "job_events": (
