@@ -292,12 +292,19 @@ class Dies(Store):
 
     at, error = None, KeyboardInterrupt
 
-    def append(self, table, rows):
+    def _may_die(self, table, rows):
         if Dies.at and table == Dies.at[0] and (Dies.at[1] is None or Dies.at[1] in rows.columns):
             Dies.at = None
             raise self.error("gone")
+
+    def append(self, table, rows):
+        self._may_die(table, rows)
         super().append(table, rows)
 
+    def replace_partitions(self, table, rows):
+        self._may_die(table, rows)
+        super().replace_partitions(table, rows)
+
 
 class Breaks(Dies):
     error = RuntimeError

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +117,10 @@ def run_queued(
     """
     requests = cut_lineage(open_requests(store))
     jobs = requests.withColumnRenamed("check_id", "job_id")
-    store.append("job_events", start_events(jobs, at))
+    run_id, earlier = uuid.uuid4().int >> 66, _earlier_runs(store, jobs)
+    store.append("job_events", start_events(jobs, at).withColumn("run_id", F.lit(run_id)))
     try:
-        return _run(store, requests, at, limits, low_confidence)
+        return _run(store, requests, at, limits, low_confidence, run_id, earlier)
     except Exception as error:
         reason = F.lit(f"{type(error).__name__}: {error}"[:2000])
         failed = jobs.select("job_id", "project_id", F.lit(JOB_TYPE).alias("job_type"), *job_event(FAILED, at, reason))
@@ -125,14 +128,22 @@ def run_queued(
         raise
 
 
-def _run(store: Store, requests: DataFrame, at: Column, limits: DriftThresholds, low_confidence: float) -> DataFrame:
+def _earlier_runs(store: Store, jobs: DataFrame) -> list[int]:
+    """Runs that began some of the open jobs and did not end them: as many as runs that died."""
+    begun = store.read("job_events").where("run_id IS NOT NULL").join(jobs.select("job_id"), "job_id", "left_semi")
+    return [row["run_id"] for row in begun.select("run_id").distinct().toLocalIterator()]
+
+
+def _run(
+    store: Store, requests: DataFrame, at: Column, limits: DriftThresholds, low_confidence: float, run_id: int, earlier: list[int]
+) -> DataFrame:
     run = run_stored(store, requests, limits, low_confidence)
     details = {"features": run.features, "categories": run.categories, "classes": run.classes, "confusion": run.confusion}
     # Details first: a check is listed once all of its details are stored.
     for name, rows in details.items():
-        store.append_once(f"check_{name}", detail_table(rows, at), "health_check_id")
-    store.append_once("health_checks", health_check_table(run.results, at), "id")
-    store.append_once("diagnosis_reports", diagnosis_report_table(run.results, at), "id")
+        store.store_run(f"check_{name}", detail_table(rows, at), "health_check_id", run_id, earlier)
+    store.store_run("diagnosis_reports", diagnosis_report_table(run.results, at), "id", run_id, earlier)
+    store.store_run("health_checks", health_check_table(run.results, at), "id", run_id, earlier)
     outcome = job_results(run.results)
     finished = finish_events(outcome, at).join(requests.select(F.col("check_id").alias("job_id"), "project_id"), "job_id", "left")
     store.append("job_events", finished)

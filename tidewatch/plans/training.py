@@ -9,14 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups, running_totals
 from tidewatch.operators.metrics import classification_metrics
 from tidewatch.operators.profile import columns_by_kind
 from tidewatch.operators.ranking import roc_auc
-from tidewatch.session import as_small_side, cut_lineage
+from tidewatch.session import BROADCAST_ROWS, as_small_side, cut_lineage
 
 # Split share, seed, forest size and depth.
 TEST_SHARE = 0.30
@@ -50,38 +50,65 @@ def class_allocation(classes: DataFrame, test_share: float = TEST_SHARE) -> Data
     quota = F.col("n") * F.lit(test_total) / F.lit(max(total, 1))
     sized = classes.withColumns({"quota": quota, "base": F.floor(quota), "one": F.lit(1).cast("long")})
     left_over = test_total - (sized.agg(F.sum("base")).first()[0] or 0)
-    # Places by running totals, so that any number of classes is ranked without one task.
     sized = sized.withColumn("lack", F.floor("quota") - F.col("quota"))
-    placed = running_totals(sized, [], ["lack", "label"], ["one"], few_groups=True)
+    if classes.count() <= BROADCAST_ROWS:
+        placed = sized.withColumn("cum_one", F.row_number().over(Window.partitionBy().orderBy("lack", "label")))
+    else:
+        # Places by running totals, so that any number of classes is ranked without one task.
+        placed = running_totals(sized, [], ["lack", "label"], ["one"], few_groups=True)
     test = F.col("base") + F.when(F.col("cum_one") <= left_over, 1).otherwise(0)
     return placed.select("label", "n", test.alias("test_n"), (F.col("n") - test).alias("train_n"))
 
 
+def _limits(counted: DataFrame, name: str) -> DataFrame:
+    """The slice of each label that holds its last wanted row, and the rows before that slice.
+
+    ``counted`` has label, ``name``, n and need; a label has at most 2^16 slices.
+    """
+    upto = Window.partitionBy("label").orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.sum("n").over(upto))
+    held = placed.where("upto >= need AND upto - n < need")
+    return held.select("label", F.col(name).alias("slice"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
+
+
+def _slice(bits: int) -> Column:
+    """The first ``bits`` bits of a hash, in the order of the hashes."""
+    return F.shiftright("pick", 64 - bits)
+
+
 def stratified_split(df: DataFrame, target: str, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: in every class exactly the allocated number of rows, chosen by hash order.
 
-    Running totals over the hash values of a class give the last hash that fits as a whole
-    and, if equal rows straddle the limit, how many of them to take. Rows are then flagged by
-    comparing hashes; only rows equal to a straddling one are numbered.
+    The last hash that fits is found without sorting: rows are counted by the first 16 bits of
+    their hash, then those in the slice that holds it by the next 16, then the few that are left by
+    their hash. If equal rows straddle the limit, it is known how many of them to take. Rows are then
+    flagged by comparing hashes; only rows equal to a straddling one are numbered.
     """
     columns = df.columns
     picked = df.withColumns({"label": F.col(target), "pick": F.xxhash64(F.lit(seed), *columns)})
-    counted = picked.groupBy("label", "pick").agg(F.count(F.lit(1)).alias("one"))
-    ranked = running_totals(counted, ["label"], ["pick"], ["one"])
-    classes = ranked.groupBy("label").agg(F.max("all_one").alias("n"))
-    sizes = as_small_side(class_allocation(classes, test_share))
-    before, fits = F.col("cum_one") - F.col("one"), F.col("cum_one") <= F.col("test_n")
-    straddles = ~fits & (before < F.col("test_n"))
+    rows = picked.select("label", "pick")
+    counted = cut_lineage(rows.groupBy("label", _slice(16).alias("slice")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = as_small_side(class_allocation(counted.groupBy("label").agg(F.sum("n").alias("n")), test_share))
+    needed = sizes.select("label", F.col("test_n").alias("need"))
+    held = as_small_side(_limits(join_on_groups(counted, needed, ["label"]), "slice"))
+    inside = join_on_groups(rows, held, ["label"]).where(_slice(16) == F.col("slice"))
+    finer = inside.groupBy("label", _slice(32).alias("finer"), "need").agg(F.count(F.lit(1)).alias("n"))
+    held = as_small_side(_limits(finer, "finer"))
+    inside = join_on_groups(rows, held, ["label"]).where(_slice(32) == F.col("slice"))
+    last = inside.groupBy("label", "pick", "slice", "need").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("label").orderBy("pick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = last.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+    fits, straddles = F.col("upto") <= F.col("need"), (F.col("upto") > F.col("need")) & (F.col("before") < F.col("need"))
+    # If no hash of the slice fits as a whole, the last one before the slice does.
+    below = F.shiftleft(F.max("slice"), 32) - 1
     bounds = as_small_side(
-        join_on_groups(ranked, sizes, ["label"])
-        .groupBy("label")
-        .agg(
-            F.max(F.when(fits, F.col("pick"))).alias("last_pick"),
+        ranked.groupBy("label").agg(
+            F.coalesce(F.max(F.when(fits, F.col("pick"))), below).alias("last_pick"),
             F.max(F.when(straddles, F.col("pick"))).alias("split_pick"),
-            F.max(F.when(straddles, F.col("test_n") - before)).alias("take"),
+            F.max(F.when(straddles, F.col("need") - F.col("before"))).alias("take"),
         )
     )
-    placed = join_on_groups(picked, bounds, ["label"])
+    placed = join_on_groups(picked, bounds, ["label"], "left")
     on_split = F.col("pick").eqNullSafe(F.col("split_pick"))
     whole = placed.where(~on_split).withColumn("is_test", F.coalesce(F.col("pick") <= F.col("last_pick"), F.lit(False)))
     flagged = whole.select(*columns, "is_test")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,15 +70,14 @@ def as_small_side(df: DataFrame, bounded: bool = False, limit: int = BROADCAST_R
 
     ``bounded`` says that its row count is limited by the schema and the number of shuffle
     partitions (no key columns), so it is broadcast as it is. Otherwise it is computed and
-    measured on the way; above ``limit`` rows or BROADCAST_BYTES the join is left to the optimizer,
+    measured first; above ``limit`` rows or BROADCAST_BYTES the join is left to the optimizer,
     a shuffle join whose hot partitions adaptive execution splits.
     """
     if bounded:
         return F.broadcast(df)
-    size = Observation()
     width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema], F.lit(0))
-    computed = cut_lineage(df.observe(size, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")))
-    found = size.get
+    computed = cut_lineage(df)
+    found = computed.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
     return F.broadcast(computed) if found["n"] <= limit and (found["bytes"] or 0) <= BROADCAST_BYTES else computed
 
 

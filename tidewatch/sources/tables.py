@@ -65,27 +65,27 @@ SCHEMAS = {
         "class_count: BIGINT>, drift STRUCT<feature_count: BIGINT, drifted_feature_count: BIGINT, "
         "drift_rate: DOUBLE, drifted_features: ARRAY<STRING>>, component_scores STRUCT<performance_score: DOUBLE, "
         "drift_score: DOUBLE, data_quality_score: DOUBLE, confidence_score: DOUBLE, class_balance_score: DOUBLE>, "
-        "missing_rate DOUBLE, created_at TIMESTAMP"
+        "missing_rate DOUBLE, created_at TIMESTAMP, run_id BIGINT"
     ),
     "diagnosis_reports": (
         "id BIGINT, health_check_id BIGINT, summary STRING, risk_level STRING, retraining_recommended BOOLEAN, "
         "findings ARRAY<STRUCT<code: STRING, severity: STRING, message: STRING>>, recommendations ARRAY<STRING>, "
-        "created_at TIMESTAMP"
+        "created_at TIMESTAMP, run_id BIGINT"
     ),
     "check_features": (
         "health_check_id BIGINT, feature STRING, feature_type STRING, psi DOUBLE, ks_statistic DOUBLE, "
-        "ks_p_value DOUBLE, tvd DOUBLE, severity STRING, created_at TIMESTAMP"
+        "ks_p_value DOUBLE, tvd DOUBLE, severity STRING, created_at TIMESTAMP, run_id BIGINT"
     ),
     "check_categories": (
         "health_check_id BIGINT, feature STRING, category STRING, ref_share DOUBLE, cur_share DOUBLE, "
-        "abs_difference DOUBLE, created_at TIMESTAMP"
+        "abs_difference DOUBLE, created_at TIMESTAMP, run_id BIGINT"
     ),
     "check_classes": (
         "health_check_id BIGINT, label STRING, support BIGINT, predicted BIGINT, true_share DOUBLE, "
-        "predicted_share DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, created_at TIMESTAMP"
+        "predicted_share DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, created_at TIMESTAMP, run_id BIGINT"
     ),
     "check_confusion": (
-        "health_check_id BIGINT, true_label STRING, predicted_label STRING, n BIGINT, created_at TIMESTAMP"
+        "health_check_id BIGINT, true_label STRING, predicted_label STRING, n BIGINT, created_at TIMESTAMP, run_id BIGINT"
     ),
     "raw_files": (
         "project_id BIGINT, file_path STRING, content_hash STRING, number BIGINT, content BINARY, stored_at TIMESTAMP"
@@ -93,16 +93,20 @@ SCHEMAS = {
     "deletions": "table_name STRING, id BIGINT, deleted_at TIMESTAMP",
     "job_events": (
         "job_id BIGINT, project_id BIGINT, job_type STRING, status STRING, event_at TIMESTAMP, payload STRING, "
-        "result STRING, error_message STRING"
+        "result STRING, error_message STRING, run_id BIGINT"
     ),
 }
 
+RUN_TABLES = ["health_checks", "diagnosis_reports", "check_features", "check_categories", "check_classes", "check_confusion"]
+
 # Partition columns. A load writes one folder per project, whatever the number of its files,
 # so the number of folders grows with the loads and not with the batches.
 PARTITIONS = {
     "dataset_rows": ["project_id", "load_id"],
     "predictions": ["project_id", "load_id"],
     "raw_files": ["project_id"],
+    # What a run of checks stores lies in a folder of that run.
+    **{t: ["run_id"] for t in RUN_TABLES},
     "baseline_features": ["load_id"],
     "baseline_categories": ["load_id"],
 }
@@ -113,6 +117,8 @@ CLUSTERING = {
     "predictions": ["batch_id", "row_id"],
     "baseline_features": ["dataset_id", "feature"],
     "baseline_categories": ["dataset_id", "feature", "category"],
+    "raw_files": ["file_path", "number"],
+    **{t: ["id" if t in ("health_checks", "diagnosis_reports") else "health_check_id"] for t in RUN_TABLES},
 }
 
 # Tables of one folder per load whose rows are dealt into buckets, so that a join on the columns
@@ -129,6 +135,7 @@ REFERENCES = {
     "dataset_classes": {"datasets": "dataset_id"},
     "dataset_rows": {"datasets": "dataset_id"},
     "baseline_features": {"datasets": "dataset_id"},
+    "baseline_slices": {"datasets": "dataset_id"},
     "baseline_categories": {"datasets": "dataset_id"},
     "prediction_batches": {"projects": "project_id", "model_versions": "model_version_id"},
     "predictions": {"prediction_batches": "batch_id"},
@@ -193,8 +200,7 @@ class Store:
         deleted = self._stored("deletions") if table != "deletions" else None
         if deleted is None:
             return rows
-        own = {table: "id"} if "id" in rows.columns else {}
-        for parent, key in {**own, **REFERENCES.get(table, {})}.items():
+        for parent, key in self._keys(table).items():
             gone = deleted.where(F.col("table_name") == parent).select(F.col("id").alias(key))
             rows = rows.join(gone, key, "left_anti").select(*rows.columns)
         return rows
@@ -219,6 +225,80 @@ class Store:
         marks = [g.select(F.lit(name).alias("table_name"), "id", at.alias("deleted_at")) for name, g in gone.items()]
         self.append("deletions", reduce(DataFrame.unionByName, marks))
 
+    def compact(self) -> None:
+        """Take deleted rows out of the files and forget the marks; reads then join with none.
+
+        Of partitioned tables only the folders that hold deleted rows are rewritten, of others the
+        whole table. Marks go last, so a compaction that died is repeated without harm. Nothing else
+        may write to the store meanwhile; marks that are added all the same stay.
+        """
+        marks = self._stored("deletions")
+        if marks is None:
+            return
+        marks = cut_lineage(marks)
+        for table in SCHEMAS:
+            rows = None if table == "deletions" else self._stored(table)
+            if rows is not None:
+                self._compact(table, rows, marks)
+        left = self._stored("deletions").join(marks, ["table_name", "id"], "left_anti")
+        self._exchange("deletions", cut_lineage(left))
+
+    def _keys(self, table: str) -> dict[str, str]:
+        """The columns by which a row may be deleted, by the table they point to."""
+        own = {table: "id"} if "id" in self.spark.createDataFrame([], SCHEMAS[table]).columns else {}
+        return {**own, **REFERENCES.get(table, {})}
+
+    def _compact(self, table: str, rows: DataFrame, marks: DataFrame) -> None:
+        hits = [
+            rows.join(marks.where(F.col("table_name") == parent).select(F.col("id").alias(key)), key, "left_semi").select(*rows.columns)
+            for parent, key in self._keys(table).items()
+        ]
+        if not hits:
+            return
+        by = ["load_id"] if table in BUCKETS else PARTITIONS.get(table, [])
+        folders = cut_lineage(reduce(DataFrame.union, [h.select(*by, F.lit(1).alias("hit")) for h in hits]).distinct())
+        if folders.isEmpty():
+            return
+        kept = self.read(table)
+        if not by:
+            self._exchange(table, cut_lineage(kept))
+            return
+        met = [F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+        kept = cut_lineage(kept.alias("k").join(folders.alias("f"), reduce(lambda a, b: a & b, met), "left_semi"))
+        if table in BUCKETS:
+            for row in folders.select("load_id").toLocalIterator():
+                self.replace_buckets(table, kept.where(F.col("load_id") == row["load_id"]), row["load_id"])
+            return
+        self.replace_partitions(table, kept)
+        full = kept.select(*by).distinct()
+        met = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]
+        # Folders are as many as loads; those without a row left go as a whole.
+        for row in folders.alias("f").join(full.alias("k"), reduce(lambda a, b: a & b, met), "left_anti").toLocalIterator():
+            values = ["__HIVE_DEFAULT_PARTITION__" if row[c] is None else row[c] for c in by]
+            self._remove("/".join([self.path(table), *[f"{c}={v}" for c, v in zip(by, values, strict=True)]]))
+
+    def _files(self, place: str):
+        """The file system of a place, and the place as one of its paths."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _remove(self, place: str) -> None:
+        system, path = self._files(place)
+        system.delete(path, True)
+
+    def _exchange(self, table: str, rows: DataFrame) -> None:
+        """Put ``rows`` in the place of a table, by renaming once they are written as a whole."""
+        place = self.path(table)
+        system, path = self._files(place)
+        _, fresh = self._files(f"{place}.fresh")
+        self._shaped(table, rows).write.mode("overwrite").parquet(f"{place}.fresh")
+        empty = rows.isEmpty()
+        system.delete(path, True)
+        if empty:
+            system.delete(fresh, True)
+        else:
+            system.rename(fresh, path)
+
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[table])
         return rows.to(wanted.schema)
@@ -233,6 +313,21 @@ class Store:
         new = rows if stored is None else rows.join(stored.select(key).distinct(), key, "left_anti").select(*rows.columns)
         self.append(table, cut_lineage(new))
 
+    def of_runs(self, table: str, runs: list[int]) -> DataFrame | None:
+        """Rows of a table that the given runs stored; other runs' folders are not listed for reading."""
+        stored = self._stored(table) if runs else None
+        return None if stored is None else stored.where(F.col("run_id").isin(runs))
+
+    def store_run(self, table: str, rows: DataFrame, key: str, run_id: int, earlier: list[int]) -> None:
+        """Store what a run found in its own folder, without keys that ``earlier`` runs stored.
+
+        Repeating the write overwrites the folder. Only folders of the earlier runs are read, which
+        are those that began the same jobs and did not end them.
+        """
+        stored = self.of_runs(table, earlier)
+        new = rows if stored is None else rows.join(stored.select(key).distinct(), key, "left_anti").select(*rows.columns)
+        self.replace_partitions(table, new.withColumn("run_id", F.lit(run_id)))
+
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
         """Write rows of a partitioned table so that repeating the write changes nothing."""
         by = PARTITIONS[table]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.plans.ingest import ingest_predictions
+from tidewatch.operators.profile import class_counts, map_cells, profile_cells, profile_maps
+from tidewatch.plans.ingest import ingest_datasets, ingest_predictions
 from tidewatch.plans.monitor import Monitor
 from tidewatch.plans.training import prediction_log, write_log
 from tidewatch.session import shared_folder
@@ -170,9 +171,50 @@ def delete_projects(spark, sf_dir):
 
 # --- looking up ---------------------------------------------------------------------------
 
+@query(
+    "compact_deletions",
+    """WITH kept AS (SELECT * FROM nation WHERE n_nationkey <> 7),
+    batches AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7))
+    SELECT 'projects' AS name, count(*) AS rows, 0::BIGINT AS marks FROM kept
+    UNION ALL SELECT 'model_versions', count(*), 0 FROM customer WHERE c_nationkey <> 7
+    UNION ALL SELECT 'prediction_batches', count(*), 0 FROM batches
+    UNION ALL SELECT 'predictions', count(*), 0 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM batches)
+    UNION ALL SELECT 'health_checks', count(*), 0 FROM batches
+    UNION ALL SELECT 'diagnosis_reports', count(*), 0 FROM batches""",
+)
+def compact_deletions(spark, sf_dir):
+    """Rows of a deleted project leave the files, and its marks are forgotten."""
+    monitor = _nation_store(spark, sf_dir)
+    monitor.delete_project(7, stamp())
+    monitor.store.compact()
+    marks = monitor.store.read("deletions").count()
+    names = ["projects", "model_versions", "prediction_batches", "predictions", "health_checks", "diagnosis_reports"]
+    result = None
+    for name in names:
+        counted = monitor.store.read(name).agg(F.count(F.lit(1)).alias("rows"))
+        part = counted.select(F.lit(name).alias("name"), "rows", F.lit(marks).cast("bigint").alias("marks"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 LAST = "(SELECT max(l_orderkey) FROM lineitem)"
 
 
+def _profiled_suppliers(spark, sf_dir, store):
+    """Suppliers as a dataset of project 3 with its profile."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.lit(1).cast("bigint").alias("dataset_id"),
+        F.create_map(
+            F.lit("s_suppkey"), F.col("s_suppkey").cast("string"), F.lit("s_nationkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+        ).alias("cells"),
+    )
+    profile = profile_cells(map_cells(rows, "cells", ["dataset_id"]), ["dataset_id"])
+    store.append("datasets", spark.range(1, 2).select("id", F.lit(3).cast("bigint").alias("project_id"), F.lit("v1").alias("version")))
+    store.append("dataset_profiles", profile_maps(profile, ["dataset_id"]).withColumn("created_at", stamp()))
+    nation = F.substring(F.col("cells")["s_nationkey"], 2, 9)
+    store.append("dataset_classes", class_counts(rows.withColumn("target", nation), "target", ["dataset_id"]))
+
+
 @query(
     "monitor_lookups",
     f"""SELECT 'project' AS kind, n_nationkey AS id, n_name AS value FROM nation WHERE n_nationkey = 3
@@ -180,11 +222,15 @@ LAST = "(SELECT max(l_orderkey) FROM lineitem)"
     UNION ALL SELECT 'prediction', l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey = {LAST}
     UNION ALL SELECT 'latest', o_orderkey, 'good' FROM (SELECT * FROM orders WHERE o_custkey IN
       (SELECT c_custkey FROM customer WHERE c_nationkey = 3) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
-    UNION ALL SELECT 'model', c_custkey, NULL FROM customer WHERE c_nationkey = 3""",
+    UNION ALL SELECT 'model', c_custkey, NULL FROM customer WHERE c_nationkey = 3
+    UNION ALL SELECT 'profile', 1, count(*) || ' ' || count(DISTINCT s_nationkey) FROM supplier
+    UNION ALL SELECT 'class', s_nationkey, count(*)::VARCHAR FROM supplier GROUP BY s_nationkey""",
 )
 def monitor_lookups(spark, sf_dir):
-    """Get by key, report of a check, predictions of a batch, latest check, models of a project."""
+    """Get by key, report, predictions, latest check, models; profile and classes of a dataset."""
     monitor = _nation_store(spark, sf_dir)
+    _profiled_suppliers(spark, sf_dir, monitor.store)
+    shown = F.col("numeric_summary")["s_suppkey"]["count"], F.col("categorical_summary")["s_nationkey"]["unique"]
     last = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("id")).first()["id"]
     parts = {
         "project": monitor.project(3).select("id", F.col("name").alias("value")),
@@ -192,6 +238,8 @@ def monitor_lookups(spark, sf_dir):
         "prediction": monitor.batch_predictions(last).select("row_id", "predicted_label"),
         "latest": monitor.latest_health(3).select("id", "status"),
         "model": monitor.models(3).select("id", F.lit(None).cast("string")),
+        "profile": monitor.dataset_profile(1).select("dataset_id", F.concat_ws(" ", *[c.cast("string") for c in shown])),
+        "class": monitor.dataset_classes(1).select(F.col("class").cast("bigint"), F.col("n").cast("string")),
     }
     result = None
     for kind, rows in parts.items():
@@ -205,14 +253,18 @@ def monitor_lookups(spark, sf_dir):
 
 @query("raw_files", "SELECT event_type, count(*) AS rows, true AS same_bytes FROM events GROUP BY event_type")
 def raw_files(spark, sf_dir):
-    """Loaded files are kept byte by byte."""
+    """Loaded files are kept byte by byte, in ranges that give the file's hash when put together."""
     store, folder = _registry_store(spark, sf_dir), shared_folder(spark, "logs")
     _write_csv(_event_logs(spark, sf_dir), folder, "event_type")
     ingest_predictions(store, _routed(_listed_paths(spark, folder)), stamp(), folder)
     names = table(spark, sf_dir, "events").select("event_type", project_of(F.col("event_type")).alias("project_id")).distinct()
-    lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", "")) - 1
-    kept = store.read("raw_files").withColumns({"lines": lines, "same": F.sha2("content", 256) == F.col("content_hash")})
-    return kept.join(names, "project_id").groupBy("event_type").agg(
+    lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))
+    ranges = F.array_sort(F.collect_list(F.struct("number", F.hex("content").alias("bytes"))))
+    whole = F.unhex(F.array_join(F.transform(ranges, lambda r: r["bytes"]), ""))
+    files = store.read("raw_files").groupBy("project_id", "file_path", "content_hash").agg(
+        (F.sum(lines) - 1).alias("lines"), (F.sha2(whole, 256) == F.first("content_hash")).alias("same")
+    )
+    return files.join(names, "project_id").groupBy("event_type").agg(
         F.sum("lines").cast("bigint").alias("rows"), F.bool_and("same").alias("same_bytes")
     )
 
@@ -267,15 +319,16 @@ REFUSED = ", ".join(f"('{r}', {'NULL' if m is None else chr(39) + m.replace(chr(
     FROM (VALUES {REFUSED}) AS v(rule, error)""",
 )
 def ingest_rejections(spark, sf_dir):
-    """One log of all events per rule, broken in a way that only this rule refuses."""
+    """Logs of all events per rule, each broken in a way that only this rule refuses."""
     folder, store = shared_folder(spark, "refused"), Store(spark, shared_folder(spark, "store"))
     store.append("projects", spark.range(1, 4).select("id", F.lit("y").alias("target_column")))
     store.append("model_versions", spark.range(1, 4).select("id", F.col("id").alias("project_id")))
-    events = _event_logs(spark, sf_dir).select("timestamp", "amount", "predicted_label", "confidence").coalesce(1)
-    odd = F.monotonically_increasing_id() == 7
+    # Some rows of every file are broken.
+    odd = F.col("odd")
+    events = _event_logs(spark, sf_dir).select("timestamp", "amount", "predicted_label", "confidence", (F.crc32(F.col("timestamp").cast("binary")) % 7 == 3).alias("odd"))
 
-    def write(rule, rows):
-        rows.write.option("header", True).option("escape", '"').csv(f"{folder}/{rule}")
+    def write(rule, rows, quote='"'):
+        rows.drop("odd").write.option("header", True).option("escape", '"').option("quote", quote).option("maxRecordsPerFile", 50_000).csv(f"{folder}/{rule}")
 
     for rule in ("good", "no_project", "no_model", "foreign_model"):
         write(rule, events)
@@ -285,10 +338,9 @@ def ingest_rejections(spark, sf_dir):
     write("high_confidence", events.withColumn("confidence", F.when(odd, 1.5).otherwise(F.col("confidence"))))
     write("bad_time", events.withColumn("timestamp", F.when(odd, "soon").otherwise(F.col("timestamp"))))
     write("header_only", events.limit(0))
-    wide = events.select(F.concat_ws(",", *events.columns, F.when(odd, F.lit("more"))).alias("line"))
-    head = spark.createDataFrame([(",".join(events.columns),)], "line string")
-    head.unionByName(wide).coalesce(1).write.option("quote", "").option("header", False).csv(f"{folder}/wide_line")
-    wide.write.text(f"{folder}/not_csv")
+    more = F.concat_ws(",", F.col("confidence").cast("string"), F.when(odd, F.lit("more")))
+    write("wide_line", events.withColumn("confidence", more), quote="")
+    events.select(F.concat_ws(",", *events.drop("odd").columns)).write.text(f"{folder}/not_csv")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     paths = files.select(plain_path(F.col("path")).alias("path")).where("path RLIKE '[.](csv|txt)$'")
     rule = F.element_at(F.split("path", "/"), -2)
@@ -300,4 +352,58 @@ def ingest_rejections(spark, sf_dir):
     stored = first.accepted.select(F.lit("good").alias("rule"), F.lit(None).cast("string").alias("error"), F.col("row_count").alias("rows"))
     refused = first.rejected.select(rule.alias("rule"), "error", F.lit(None).cast("bigint").alias("rows"))
     known = again.rejected.select(F.lit("known").alias("rule"), "error", F.lit(None).cast("bigint").alias("rows"))
+    return stored.unionByName(refused).unionByName(known).groupBy("rule", "error").agg(F.sum("rows").alias("rows"))
+
+
+# Rule, and the message of a dataset that breaks it; a good one has none.
+DATASET_REFUSALS = {
+    "good": None,
+    "no_project": "Project with ID -1 was not found.",
+    "unknown_type": "Unknown dataset type.",
+    "no_target": "Target column 'absent' was not found in the CSV.",
+    "header_only": "The CSV must contain at least one data row.",
+    "wide_line": "The uploaded file is not a valid readable CSV.",
+    "not_csv": "Only CSV files are supported.",
+    "known": "Dataset type 'training' version 'good' already exists in project 1.",
+}
+REFUSED_DATASETS = ", ".join(
+    f"('{r}', {'NULL' if m is None else chr(39) + m.replace(chr(39), chr(39) * 2) + chr(39)})" for r, m in DATASET_REFUSALS.items()
+)
+
+
+@query(
+    "dataset_rejections",
+    f"""SELECT rule, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM orders WHERE o_orderkey % 8 = 1) END AS rows
+    FROM (VALUES {REFUSED_DATASETS}) AS v(rule, error)""",
+)
+def dataset_rejections(spark, sf_dir):
+    """Datasets of orders per rule: no target, unknown type, known version and unreadable files."""
+    folder, store = shared_folder(spark, "datasets"), Store(spark, shared_folder(spark, "store"))
+    target = F.when(F.col("id") == 1, "o_orderstatus").otherwise("absent").alias("target_column")
+    store.append("projects", spark.range(1, 3).select("id", target))
+    rules = ["good", "no_project", "unknown_type", "no_target", "wide_line"]
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").where("o_orderkey % 8 = 1")
+    odd = F.col("o_orderkey") % 3 == 0
+    for rule in rules:
+        price = F.col("o_totalprice").cast("string")
+        wide = F.concat_ws(",", price, F.when(odd, F.lit("more"))) if rule == "wide_line" else price
+        # A dataset is one file.
+        rows = orders.withColumn("o_totalprice", wide).coalesce(1)
+        rows.write.option("header", True).option("quote", "").csv(f"{folder}/{rule}")
+    orders.limit(0).write.option("header", True).csv(f"{folder}/header_only")
+    orders.select(F.concat_ws(",", *orders.columns)).coalesce(1).write.text(f"{folder}/not_csv")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rule = F.element_at(F.split("path", "/"), -2)
+    uploads = files.select(plain_path(F.col("path")).alias("path")).where("path RLIKE '[.](csv|txt)$'").select(
+        "path",
+        F.when(rule == "no_project", -1).when(rule == "no_target", 2).otherwise(1).cast("bigint").alias("project_id"),
+        F.when(rule == "unknown_type", "holdout").otherwise("training").alias("dataset_type"),
+        rule.alias("version"),
+    )
+    first = ingest_datasets(store, uploads, stamp(), folder)
+    again = ingest_datasets(store, uploads.where(rule == "good"), stamp(), f"{folder}/good")
+    none = F.lit(None)
+    stored = first.accepted.select(F.lit("good").alias("rule"), none.cast("string").alias("error"), F.col("row_count").alias("rows"))
+    refused = first.rejected.select(F.col("version").alias("rule"), "error", none.cast("bigint").alias("rows"))
+    known = again.rejected.select(F.lit("known").alias("rule"), "error", none.cast("bigint").alias("rows"))
     return stored.unionByName(refused).unionByName(known)

@@ -161,11 +161,14 @@ def _listed_paths(spark, folder):
     """SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars FROM documents""",
 )
 def csv_roundtrip(spark, sf_dir):
-    """Whole documents, line breaks and quotes included, written as CSV and read back."""
-    folder = shared_folder(spark, "documents")
-    _write_csv(table(spark, sf_dir, "documents"), folder, rows_per_file=2_000)
+    """Whole documents, line breaks and quotes included, written as CSV and read back.
+
+    Files are read in ranges of 64 KiB, each by a task of its own.
+    """
+    folder, size = shared_folder(spark, "documents"), 1 << 16
+    _write_csv(table(spark, sf_dir, "documents"), folder, rows_per_file=1_000_000)
     cell = F.col("cells")
-    rows = read_rows(spark, list_files(spark, folder), folder)
+    rows = read_rows(spark, list_files(spark, folder, size=size), folder, size=size)
     return rows.select(
         cell["doc_id"].cast("bigint").alias("doc_id"),
         F.sha2(cell["text"], 256).alias("text_hash"),

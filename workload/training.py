@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups
+from tidewatch.operators.baseline import baseline_index
 from tidewatch.plans import training
+from tidewatch.plans.bulk import run_and_store
+from tidewatch.plans.ingest import ingest_predictions, store_index
 from tidewatch.plans.monitor import Monitor
 from tidewatch.session import cut_lineage, shared_folder
+from tidewatch.sources.files import list_files
 from tidewatch.sources.tables import Store
 from workload import query, r9, table
+from workload.proxies import feature_map
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
 
@@ -112,3 +117,42 @@ def train_forest(spark, sf_dir):
     return joined.select(
         "logged", "accurate", "ranked", "confident", "labels", "train_rows", "algorithm", (F.col("kept") == F.col("accuracy")).alias("metrics_stored")
     )
+
+
+@query(
+    "train_log_check",
+    """SELECT ceil(count(*) * 0.3)::BIGINT AS logged, true AS labeled, true AS checked, 5::BIGINT AS features, true AS accurate
+    FROM lineitem""",
+)
+def train_log_check(spark, sf_dir):
+    """A model is trained, its log written as CSV, loaded like any other and checked against the training rows."""
+    store, folder = Store(spark, shared_folder(spark, "trained")), shared_folder(spark, "log")
+    at, one = F.lit("2024-02-01").cast("timestamp"), F.lit(1).cast("bigint")
+    store.append("projects", spark.range(1, 2).select("id", F.lit("target").alias("target_column")))
+    split = cut_lineage(training.stratified_split(_items(spark, sf_dir), "target"))
+    train = split.where(~F.col("is_test")).drop("is_test")
+    model = training.train_forest(train, "target", trees=10)
+    predictions = cut_lineage(model.predict(split.where("is_test").drop("is_test")))
+    version = training.model_metadata(model, training.evaluate(predictions), 1, "forest", "1", train.count())
+    models = Monitor(store).register_model_versions(version, at).accepted.select(F.col("id").alias("model_version_id"))
+    training.write_log(training.prediction_log(predictions, at), folder)
+    files = list_files(spark, folder).where("file_error IS NULL").select("path", one.alias("project_id"))
+    load = ingest_predictions(store, files.join(F.broadcast(models)), at, folder)
+    rows = train.select(one.alias("dataset_id"), feature_map([*FEATURES, "target"]).alias("features"))
+    store.append("datasets", spark.range(1, 2).select("id", one.alias("project_id"), one.alias("load_id")))
+    store_index(store, baseline_index(rows), 1)
+    requests = load.accepted.select(
+        F.col("id").alias("check_id"), "project_id", "model_version_id", one.alias("baseline_dataset_id"), F.col("id").alias("prediction_batch_id")
+    )
+    run_and_store(store, requests, at)
+    checks = store.read("health_checks")
+    facts = checks.agg(
+        F.bool_and(F.col("metrics.accuracy") > 0.8).alias("accurate"),
+        F.max("drift.feature_count").alias("features"),
+        F.count(F.lit(1)).alias("checks"),
+    )
+    batches = store.read("prediction_batches").agg(
+        F.sum("row_count").alias("logged"), F.bool_and("is_labeled").alias("labeled"), F.count(F.lit(1)).alias("batches")
+    )
+    joined = join_on_groups(batches, facts, [])
+    return joined.select("logged", "labeled", (F.col("checks") == F.col("batches")).alias("checked"), "features", "accurate")
