@@ -134,3 +134,36 @@ def test_every_token_with_two_readings_is_a_suspect():
         wanted = any(c.isalpha() for c in token) and any(len(x) > 1 for x in toxicity.lattice(token.lower()))
         if len(token) > 1 and wanted:
             assert any(low[a:b].tobytes().decode().lower() == token.lower() for a, b in zip(starts, ends, strict=True)), token
+
+
+@pytest.mark.parametrize("gap", [0.5, 2.0, 6.0])
+def test_the_curve_ends_where_the_loss_is_flat(gap):
+    """Signs that say nearly the same and part the classes nearly or wholly: no swinging."""
+    rng = np.random.default_rng(7)
+    label = (rng.random(4000) < 0.1).astype(float)
+    base = rng.normal(size=4000) + gap * label
+    signs = np.column_stack([base, base + 0.01 * rng.normal(size=4000), 40 + 9 * base + rng.normal(size=4000), np.zeros(4000)])
+    curve = toxicity.logistic(signs, label)
+    line = curve[0] + signs @ curve[1:]
+    p = 1 / (1 + np.exp(-line))
+    assert abs((label - p).sum()) < 1e-3  # as many toxic texts are expected as there are
+    assert ((p >= 0.5) == (label == 1)).mean() > 0.89
+    assert gap < 6 or ((p >= 0.5) == (label == 1)).mean() > 0.99
+
+
+def test_only_significant_slots_count():
+    clean, toxic = np.array([0, 0, 0, 30, 400, 5]), np.array([4, 7, 22, 40, 40, 0])
+    few = toxicity.strong_slots(clean, toxic, 17_800, 2_200) > 0
+    assert few.tolist() == [False, True, True, True, False, False]
+    equal = toxicity.strong_slots(clean, toxic, 2_200, 2_200) > 0
+    assert equal.tolist() == [False, False, True, False, False, False]
+
+
+def test_decisions_do_not_hang_on_the_mixture(spark):
+    """Labels of all clean rows or of a third of them: the same decisions within two points."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    fewer = labels.filter("toxic = 1 OR doc_id % 3 = 0")
+    told = [{r["doc_id"]: r["predicted"] for r in toxicity.score(rows, toxicity.fit(rows, some), restored=None).collect()} for some in (labels, fewer)]
+    assert sum(told[0][k] == told[1][k] for k in told[0]) >= 0.98 * len(told[0])

@@ -5,7 +5,9 @@ repeated three times or more, single letters set apart by white space) becomes a
 readings: a sign may stand for a letter, a run of one letter for one or two of it, a separator for
 nothing. The Viterbi path under a character trigram model of the whole corpus and the channel's
 costs is the restored token. Any other token has one path only and stays as it is. Restored texts are scored by character n-grams
-whose share of toxic documents was learned from labels, through a logistic curve.
+whose share of toxic documents was learned from labels, through a logistic curve. The labelled rows
+keep their mixture of toxic and clean ones, n-grams must be significant, and the curve is fitted on
+rows that the n-grams were not learned from, so that 0.5 means what it says.
 """
 
 from __future__ import annotations
@@ -49,14 +51,17 @@ REMEMBERED = 48
 SETTLE = 32
 #: Classes of characters in the model: 0 is the edge of a word.
 CLASSES = 64
-#: Labelled rows of either class used at most, taken in order of a hash of their key.
-SAMPLE = 10_000
-#: Slots of the hashed n-grams, their lengths in bytes, and toxic documents that must hold one.
+#: Labelled rows used at most, of both classes as they are mixed, in order of a hash of their key.
+SAMPLE = 20_000
+#: Parts of the sample; the curve sees each part through n-grams learned from the others.
+FOLDS = 5
+#: Slots of the hashed n-grams and their lengths in bytes.
 SLOTS = 1 << 20
 LENGTHS = (4, 5, 6, 8)
-LEAST = 4
-#: Log odds from which an n-gram counts.
+#: An n-gram counts from this log odds on, and if the likelihood ratio speaks against chance: about
+#: one slot in a million reaches it if its documents are toxic as often as any others.
 STRONG = 2.0
+SURE = 24.0
 
 
 @dataclass(frozen=True)
@@ -307,14 +312,17 @@ def slots(sums: np.ndarray, length: int) -> np.ndarray:
     return ((hashes * grams.U(0xD1342543DE82EF95 + 2 * length)) >> grams.U(44)).astype(np.int64)
 
 
-def evidence(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text: logs of one plus its hits' weight, its hits, and hits per 1,000 bytes; the largest weight."""
+def evidence(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Per text: logs of one plus its hits' weight, its hits, and hits per 1,000 bytes; the largest weight.
+
+    With ``fold``, ``weights`` has a row per fold and each text is seen through its own.
+    """
     n = len(offsets) - 1
     total, most, hits = np.zeros(n), np.zeros(n), np.zeros(n)
     sums = grams.running(data)
     for length in LENGTHS:
         slot = slots(sums, length)
-        weight = weights[slot]
+        weight = weights[slot] if fold is None else weights[np.repeat(fold, np.diff(offsets))[: len(slot)], slot]
         at = np.flatnonzero(weight)
         owner = np.searchsorted(offsets, at, side="right") - 1
         inside = at + length <= offsets[owner + 1]
@@ -327,16 +335,29 @@ def evidence(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.n
 
 
 def labelled_sample(labels: DataFrame, limit: int = SAMPLE, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """``(key, toxic)`` of at most ``limit`` labelled keys per class, by hash order.
+    """``(key, toxic, fold)`` of at most ``limit`` labelled keys, by hash order whatever their class.
 
     Keys that are held out, NULL or labelled both ways are left out.
     """
     named = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"))
     named = named.filter(~held_out(F.col("key"))).filter("toxic IN (0, 1)")
     sure = named.groupBy("key").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
-    draw = F.xxhash64(F.col("key").cast("string"))
-    parts = [sure.filter(F.col("toxic") == c).orderBy(draw, "key").limit(limit).select("key", "toxic") for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    text = F.col("key").cast("string")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(FOLDS)).cast("int").alias("fold")
+    return sure.orderBy(F.xxhash64(text), "key").limit(limit).select("key", "toxic", fold)
+
+
+def strong_slots(clean: np.ndarray, toxic: np.ndarray, clean_texts: int, toxic_texts: int) -> np.ndarray:
+    """The log odds of each slot that speaks for toxicity beyond chance, 0 for the others."""
+    odds = np.log((toxic + 0.1) / (toxic_texts + 0.2)) - np.log((clean + 0.5) / (clean_texts + 1.0))
+    share = toxic_texts / max(clean_texts + toxic_texts, 1)
+    seen = clean + toxic
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (
+            np.where(toxic > 0, toxic * np.log(toxic / (seen * share)), 0.0)
+            + np.where(clean > 0, clean * np.log(clean / (seen * (1 - share))), 0.0)
+        )
+    return np.where((odds > STRONG) & (ratio > SURE), odds, 0.0)
 
 
 def held_out(key) -> F.Column:
@@ -355,17 +376,18 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     uses = np.zeros(CLASSES**3)
     uses[counted["trigram"]] = counted["uses"]
     trigrams = log_trigrams(uses)
-    # At most 2 x limit rows of a key and a flag, whatever the input.
+    # At most ``limit`` rows of a key, a flag and a fold, whatever the input.
     sample = labelled_sample(labels, limit, key)
     chosen = rows.join(F.broadcast(sample), "key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(trigrams)
-        seen = np.zeros((2, SLOTS), dtype=np.int32)
-        texts = np.zeros(2, dtype=np.int64)
+        seen = np.zeros((2 * FOLDS, SLOTS), dtype=np.int32)
+        texts = np.zeros(2 * FOLDS, dtype=np.int64)
         for batch in batches:
-            toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
-            texts += np.bincount(toxic, minlength=2)
+            kinds = np.array(batch.column("toxic").to_pylist(), dtype=np.int64) * FOLDS
+            kinds += np.array(batch.column("fold").to_pylist(), dtype=np.int64)
+            texts += np.bincount(kinds, minlength=2 * FOLDS)
             for first, data, offsets in grams.blocks(batch.column("text")):
                 data, offsets = restore(data, offsets, restorer)
                 sums = grams.running(data)
@@ -374,66 +396,88 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                     inside = np.arange(len(slot)) + length <= offsets[owner[: len(slot)] + 1]
                     pair = np.unique(owner[: len(slot)][inside] * SLOTS + slot[inside])
-                    for kind in (0, 1):
-                        of_kind = pair[toxic[first + pair // SLOTS] == kind] % SLOTS
-                        seen[kind] += np.bincount(of_kind, minlength=SLOTS).astype(np.int32)
+                    kind = kinds[first + pair // SLOTS]
+                    for part in np.unique(kind):
+                        seen[part] += np.bincount(pair[kind == part] % SLOTS, minlength=SLOTS).astype(np.int32)
         hit = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(hit, -1)), pa.array(np.append(seen[0][hit], texts[0]).astype(np.int64)), pa.array(np.append(seen[1][hit], texts[1]).astype(np.int64))],
-            names=["slot", "clean", "toxic"],
-        )
-
-    summed = chosen.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    summed = cut_lineage(summed)
-    totals = summed.filter("slot < 0").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
-    clean, toxic = totals["clean"] or 0, totals["toxic"] or 0
+        columns = [pa.array(np.append(seen[i][hit], texts[i]).astype(np.int64)) for i in range(2 * FOLDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), *columns], names=["slot", *counts])
+
+    counts = [f"{kind}{fold}" for kind in ("clean", "toxic") for fold in range(FOLDS)]
+    counted = chosen.mapInArrow(count, ", ".join(["slot long", *[f"{c} long" for c in counts]]))
+    summed = counted.groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts])
+    # Only slots that some toxic texts have reach the driver: at most SLOTS rows, whatever the input.
+    some = " + ".join(counts[FOLDS:])
+    found = summed.filter(f"slot < 0 OR {some} >= 2").toPandas().set_index("slot")
+    texts = found.loc[-1].to_numpy().reshape(2, FOLDS) if len(found) else np.zeros((2, FOLDS), dtype=np.int64)
+    clean, toxic = int(texts[0].sum()), int(texts[1].sum())
     weights = np.zeros(SLOTS)
     if not clean or not toxic:
         share = toxic / max(clean + toxic, 1)
         level = -30.0 if not toxic else (30.0 if share == 1 else np.log(share / (1 - share)))
         return Model(trigrams, weights, np.array([level, 0.0, 0.0, 0.0, 0.0]))
-    odds = F.log((F.col("toxic") + 0.1) / F.lit(toxic + 0.2)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
-    # Only the slots that speak for toxicity reach the driver: a few thousand of at most SLOTS.
-    strong = summed.filter(f"slot >= 0 AND toxic >= {LEAST}").select("slot", odds.alias("odds")).filter(f"odds > {STRONG}").toPandas()
-    weights[strong["slot"]] = strong["odds"]
-    points = _evidence_of(chosen.select("text", "toxic"), trigrams, weights).select("toxic", "signs").toPandas()
+    found = found.drop(index=-1)
+    uses = found.to_numpy().T.reshape(2, FOLDS, -1)
+    slot = found.index.to_numpy()
+    weights[slot] = strong_slots(*uses.sum(axis=1), clean, toxic)
+    unseen = np.zeros((FOLDS, SLOTS), dtype=np.float32)
+    for fold in range(FOLDS):
+        others = uses.sum(axis=1) - uses[:, fold]
+        unseen[fold, slot] = strong_slots(*others, clean - int(texts[0, fold]), toxic - int(texts[1, fold]))
+    points = _evidence_of(chosen.select("text", "toxic", "fold"), trigrams, unseen).select("toxic", "signs").toPandas()
     signs = np.array(points["signs"].to_list()).reshape(-1, 4)
     return Model(trigrams, weights, logistic(signs, points["toxic"].to_numpy(dtype=float)))
 
 
-def logistic(signs: np.ndarray, label: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Coefficients of a ridge logistic regression by Newton's method, intercept first."""
-    x = np.column_stack([np.ones(len(signs)), signs])
+def logistic(signs: np.ndarray, label: np.ndarray, penalty: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Coefficients of a ridge logistic regression, intercept first.
+
+    Newton's method on standardised signs; a step is halved until it lessens the loss, which is
+    convex, so the way to its least value does not swing even where the classes part.
+    """
+    middle, spread = signs.mean(axis=0), signs.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
+    x = np.column_stack([np.ones(len(signs)), (signs - middle) / spread])
+    ridge = penalty * np.diag([0.0, *[1.0] * signs.shape[1]])
+
+    def loss(c: np.ndarray) -> float:
+        line = x @ c
+        return float(np.logaddexp(0, line).sum() - label @ line + c @ ridge @ c / 2)
+
     curve = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
         slope = x.T @ (label - p) - ridge @ curve
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        move = np.linalg.solve(bend, slope)
-        curve = curve + np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-9:
+        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(x.shape[1])
+        move, before = np.linalg.solve(bend, slope), loss(curve)
+        while loss(curve + move) > before and np.abs(move).max() > 1e-9:
+            move = move / 2
+        curve = curve + move
+        if np.abs(move).max() < 1e-8:
             break
-    return curve
+    factors = curve[1:] / spread
+    return np.concatenate(([curve[0] - factors @ middle], factors))
 
 
 def _evidence_of(rows: DataFrame, trigrams: np.ndarray, weights: np.ndarray, text: str = "text", restored: str | None = None) -> DataFrame:
     extra = [T.StructField("signs", T.ArrayType(T.DoubleType()))]
     extra += [T.StructField(restored, T.StringType())] if restored else []
     schema = T.StructType([*rows.schema.fields, *extra])
-    # Sparse form for the way to the tasks.
-    hit = np.flatnonzero(weights)
-    hit_weights = weights[hit]
+    # Sparse form for the way to the tasks; with folds, a row of weights each.
+    table_shape, flat = weights.shape, weights.reshape(-1)
+    hit = np.flatnonzero(flat)
+    hit_weights = flat[hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(trigrams)
-        table = np.zeros(SLOTS, dtype=np.float32)
-        table[hit] = hit_weights
+        table = np.zeros(table_shape, dtype=np.float32)
+        table.reshape(-1)[hit] = hit_weights
         for batch in batches:
             for first, data, offsets in grams.blocks(batch.column(text)):
                 data, offsets = restore(data, offsets, restorer)
                 part = batch.slice(first, len(offsets) - 1)
-                signs = pa.array(evidence(data, offsets, table).tolist(), pa.list_(pa.float64()))
+                fold = part.column("fold").to_numpy() if table.ndim == 2 else None
+                signs = pa.array(evidence(data, offsets, table, fold).tolist(), pa.list_(pa.float64()))
                 columns, names = [*part.columns, signs], [*part.schema.names, "signs"]
                 if restored:
                     buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
