@@ -54,7 +54,7 @@ CLASSES = 64
 #: Labelled rows used at most, of both classes as they are mixed, in order of a hash of their key.
 SAMPLE = 20_000
 #: Parts of the sample; the curve sees each part through n-grams learned from the others.
-FOLDS = 5
+FOLDS = 3
 #: Slots of the hashed n-grams and their lengths in bytes.
 SLOTS = 1 << 20
 LENGTHS = (4, 5, 6, 8)
@@ -405,20 +405,25 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     counts = [f"{kind}{fold}" for kind in ("clean", "toxic") for fold in range(FOLDS)]
     counted = chosen.mapInArrow(count, ", ".join(["slot long", *[f"{c} long" for c in counts]]))
-    summed = counted.groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts])
-    # Only slots that some toxic texts have reach the driver: at most SLOTS rows, whatever the input.
-    some = " + ".join(counts[FOLDS:])
-    found = summed.filter(f"slot < 0 OR {some} >= 2").toPandas().set_index("slot")
-    texts = found.loc[-1].to_numpy().reshape(2, FOLDS) if len(found) else np.zeros((2, FOLDS), dtype=np.int64)
+    summed = cut_lineage(counted.groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts]))
+    whole = summed.filter("slot < 0").select(*counts).first()
+    texts = np.array(whole, dtype=np.int64).reshape(2, FOLDS) if whole else np.zeros((2, FOLDS), dtype=np.int64)
     clean, toxic = int(texts[0].sum()), int(texts[1].sum())
     weights = np.zeros(SLOTS)
     if not clean or not toxic:
         share = toxic / max(clean + toxic, 1)
         level = -30.0 if not toxic else (30.0 if share == 1 else np.log(share / (1 - share)))
         return Model(trigrams, weights, np.array([level, 0.0, 0.0, 0.0, 0.0]))
-    found = found.drop(index=-1)
-    uses = found.to_numpy().T.reshape(2, FOLDS, -1)
-    slot = found.index.to_numpy()
+    # Only slots that some toxic texts more than chance have reach the driver: fewer than the toxic
+    # texts of the sample have n-grams, whatever the input. The likelihood ratio cannot be enough
+    # below ``least`` toxic texts, whichever fold is left out.
+    others = texts.sum(axis=1, keepdims=True) - texts
+    least = SURE / (2 * np.log(1 / max(float((others[1] / np.maximum(others.sum(axis=0), 1)).min()), 1e-9)))
+    of = {kind: " + ".join(f"{kind}{fold}" for fold in range(FOLDS)) for kind in ("clean", "toxic")}
+    likelier = f"({of['toxic']}) * {clean} > ({of['clean']}) * {toxic}"
+    found = summed.filter(f"slot >= 0 AND {of['toxic']} >= {least} AND {likelier}").select("slot", *counts).toPandas()
+    uses = found[counts].to_numpy().T.reshape(2, FOLDS, -1)
+    slot = found["slot"].to_numpy()
     weights[slot] = strong_slots(*uses.sum(axis=1), clean, toxic)
     unseen = np.zeros((FOLDS, SLOTS), dtype=np.float32)
     for fold in range(FOLDS):
