@@ -78,3 +78,18 @@ def job_states(events: DataFrame, order: list[str] = ("event_at",)) -> DataFrame
             - F.unix_micros(F.col("started_at").cast("timestamp")) / F.lit(1e6),
         )
     )
+
+
+def held_leases(leases: DataFrame, now: Column) -> DataFrame:
+    """``(job_id, owner, until)`` of the leases that hold: of those that run, the one asked for first.
+
+    ``leases`` has a row per request (job_id, owner, asked_at, until). An owner's last row for a job
+    counts, so a lease is given back by a row that ends at once.
+    """
+    last = leases.groupBy("job_id", "owner").agg(
+        F.min("asked_at").alias("asked_at"), F.max_by("until", F.struct("asked_at", F.col("until").isNull())).alias("until")
+    )
+    running = last.where(F.col("until") > now)
+    return running.groupBy("job_id").agg(F.min(F.struct("asked_at", "owner", "until")).alias("first")).select(
+        "job_id", "first.owner", "first.until"
+    )

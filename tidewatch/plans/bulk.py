@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.baseline import BaselineIndex, baseline_index
 from tidewatch.operators.drift import DriftThresholds
-from tidewatch.operators.jobs import FAILED, JOB_TYPE, QUEUED, RUNNING, finish_events, job_event, job_states, queue_checks, start_events
+from tidewatch.operators.jobs import (
+    FAILED,
+    JOB_TYPE,
+    QUEUED,
+    RUNNING,
+    finish_events,
+    held_leases,
+    job_event,
+    job_states,
+    queue_checks,
+    start_events,
+)
 from tidewatch.operators.metrics import LOW_CONFIDENCE
 from tidewatch.plans.health_check import (
     CheckRun,
@@ -105,27 +118,74 @@ def open_requests(store: Store) -> DataFrame:
     )
 
 
+def _moment(seconds: float = 0.0) -> tuple[datetime, Column]:
+    at = datetime.now(UTC) + timedelta(seconds=seconds)
+    return at, F.lit(at).cast("timestamp")
+
+
+def claim(store: Store, jobs: DataFrame, owner: int, lease_seconds: float, settle_seconds: float) -> DataFrame:
+    """Those of the jobs (``job_id``) whose lease this owner won.
+
+    Every run asks for the jobs that nobody holds, waits until the requests of others can be seen,
+    and reads who asked first. A request that took longer to write than others wait is given back
+    and made anew. Clocks may differ by less than the wait.
+    """
+    while True:
+        asked, at = _moment()
+        held = held_leases(store.read("job_leases"), at).where(F.col("owner") != owner)
+        free = cut_lineage(jobs.select("job_id").join(held, "job_id", "left_anti"))
+        _, until = _moment(lease_seconds)
+        store.append("job_leases", free.select("job_id", F.lit(owner).alias("owner"), at.alias("asked_at"), until.alias("until")))
+        if datetime.now(UTC) - asked < timedelta(seconds=settle_seconds):
+            break
+        give_back(store, free, owner)
+        settle_seconds *= 2
+    time.sleep(settle_seconds)
+    _, now = _moment()
+    won = held_leases(store.read("job_leases"), now).where(F.col("owner") == owner)
+    return cut_lineage(free.join(won, "job_id", "left_semi"))
+
+
+def give_back(store: Store, jobs: DataFrame, owner: int) -> None:
+    """End this owner's leases of the jobs."""
+    _, now = _moment()
+    store.append("job_leases", jobs.select("job_id", F.lit(owner).alias("owner"), now.alias("asked_at"), now.alias("until")))
+
+
 def run_queued(
-    store: Store, at: Column, limits: DriftThresholds = DriftThresholds(), low_confidence: float = LOW_CONFIDENCE
+    store: Store,
+    at: Column,
+    limits: DriftThresholds = DriftThresholds(),
+    low_confidence: float = LOW_CONFIDENCE,
+    lease_seconds: float = 3600.0,
+    settle_seconds: float = 2.0,
 ) -> DataFrame:
-    """Run all open jobs; returns the outcome per job. One run at a time works on a store.
+    """Run all open jobs whose lease this run wins; returns the outcome per job.
 
-    A failing check becomes ``failed`` with its message; the others go on. If the run itself
-    fails, its jobs become ``failed`` with the error, which is raised again. Jobs of a run that
-    died without a word are still ``running`` and are taken up by the next one; what it had
-    stored is not stored again, because every table takes a check's rows once.
+    Any number of runs may work on a store: each takes jobs that no other one holds. A failing
+    check becomes ``failed`` with its message; the others go on. If the run itself fails, its jobs
+    become ``failed`` with the error, which is raised again. Jobs of a run that died without a word
+    are still ``running`` and are taken up once its lease has ended; what it had stored is not stored
+    again, because every table takes a check's rows once.
     """
-    requests = cut_lineage(open_requests(store))
-    jobs = requests.withColumnRenamed("check_id", "job_id")
-    run_id, earlier = uuid.uuid4().int >> 66, _earlier_runs(store, jobs)
-    store.append("job_events", start_events(jobs, at).withColumn("run_id", F.lit(run_id)))
+    run_id = uuid.uuid4().int >> 66
+    open_jobs = cut_lineage(open_requests(store))
+    won = claim(store, open_jobs.select(F.col("check_id").alias("job_id")), run_id, lease_seconds, settle_seconds)
     try:
-        return _run(store, requests, at, limits, low_confidence, run_id, earlier)
-    except Exception as error:
-        reason = F.lit(f"{type(error).__name__}: {error}"[:2000])
-        failed = jobs.select("job_id", "project_id", F.lit(JOB_TYPE).alias("job_type"), *job_event(FAILED, at, reason))
-        store.append("job_events", failed)
-        raise
+        # A job may have ended between its listing and its lease.
+        requests = cut_lineage(open_requests(store).join(won.withColumnRenamed("job_id", "check_id"), "check_id", "left_semi"))
+        jobs = requests.withColumnRenamed("check_id", "job_id")
+        earlier = _earlier_runs(store, jobs)
+        store.append("job_events", start_events(jobs, at).withColumn("run_id", F.lit(run_id)))
+        try:
+            return _run(store, requests, at, limits, low_confidence, run_id, earlier)
+        except Exception as error:
+            reason = F.lit(f"{type(error).__name__}: {error}"[:2000])
+            failed = jobs.select("job_id", "project_id", F.lit(JOB_TYPE).alias("job_type"), *job_event(FAILED, at, reason))
+            store.append("job_events", failed)
+            raise
+    finally:
+        give_back(store, won, run_id)
 
 
 def _earlier_runs(store: Store, jobs: DataFrame) -> list[int]:

@@ -76,12 +76,16 @@ def store_index(store: Store, index: BaselineIndex, load_id: int) -> None:
     store.replace_partitions("baseline_features", index.features.select("*", load))
 
 
-def _store_raw(store: Store, accepted: DataFrame, stored: DataFrame, at: Column, files: str | list[str], max_bytes: int | None) -> None:
+def _store_raw(
+    store: Store, accepted: DataFrame, stored: DataFrame, load_id: int, at: Column, files: str | list[str], max_bytes: int | None
+) -> None:
     """Keep the bytes of accepted files under their stored name, in numbered ranges of bounded size."""
     wanted = as_small_side(accepted.select("path", "id", "content_hash").join(stored.select("id", "file_path"), "id"))
     project = F.split_part("file_path", F.lit("/"), F.lit(2)).cast("bigint").alias("project_id")
     ranges = file_ranges(store.spark, files, max_bytes).join(wanted, "path")
-    store.append("raw_files", ranges.select(project, "file_path", "content_hash", "number", "content", at.alias("stored_at")))
+    load = F.lit(load_id).alias("load_id")
+    kept = ranges.select(project, load, "file_path", "content_hash", "number", "content", at.alias("stored_at"))
+    store.replace_partitions("raw_files", kept)
 
 
 def prediction_rows(rows: DataFrame, features: Column | None = None) -> DataFrame:
@@ -194,7 +198,7 @@ def ingest_predictions(
     ).withColumns({"load_id": F.lit(load_id), "created_at": uploaded_at})
     # Rows first: a batch is listed only once all of its rows are stored.
     store.replace_partitions("predictions", typed)
-    _store_raw(store, accepted, batches, uploaded_at, files, max_bytes)
+    _store_raw(store, accepted, batches, load_id, uploaded_at, files, max_bytes)
     store.append("prediction_batches", batches)
     rejected = decided.where("error IS NOT NULL")
     repeated = rejected.where(F.col("error") == KNOWN_LOG).select(F.xxhash64(*identity).alias("id")).distinct()
@@ -277,6 +281,6 @@ def ingest_datasets(
     store_index(store, baseline_index(owned.select("dataset_id", F.col("cells").alias("features"))), load_id)
     store.append("dataset_profiles", profiles)
     store.append("dataset_classes", classes)
-    _store_raw(store, accepted, datasets, created_at, files, max_bytes)
+    _store_raw(store, accepted, datasets, load_id, created_at, files, max_bytes)
     store.append("datasets", datasets)
     return Load(datasets, decided.where("error IS NOT NULL").select("path", *identity, "error"))

@@ -7,7 +7,7 @@ import zlib
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import cut_lineage
@@ -88,8 +88,10 @@ SCHEMAS = {
         "health_check_id BIGINT, true_label STRING, predicted_label STRING, n BIGINT, created_at TIMESTAMP, run_id BIGINT"
     ),
     "raw_files": (
-        "project_id BIGINT, file_path STRING, content_hash STRING, number BIGINT, content BINARY, stored_at TIMESTAMP"
+        "project_id BIGINT, load_id BIGINT, file_path STRING, content_hash STRING, number BIGINT, content BINARY, "
+        "stored_at TIMESTAMP"
     ),
+    "job_leases": "job_id BIGINT, owner BIGINT, asked_at TIMESTAMP, until TIMESTAMP",
     "deletions": "table_name STRING, id BIGINT, deleted_at TIMESTAMP",
     "job_events": (
         "job_id BIGINT, project_id BIGINT, job_type STRING, status STRING, event_at TIMESTAMP, payload STRING, "
@@ -104,7 +106,7 @@ RUN_TABLES = ["health_checks", "diagnosis_reports", "check_features", "check_cat
 PARTITIONS = {
     "dataset_rows": ["project_id", "load_id"],
     "predictions": ["project_id", "load_id"],
-    "raw_files": ["project_id"],
+    "raw_files": ["project_id", "load_id"],
     # What a run of checks stores lies in a folder of that run.
     **{t: ["run_id"] for t in RUN_TABLES},
     "baseline_features": ["load_id"],
@@ -126,6 +128,9 @@ CLUSTERING = {
 BUCKETS = {"baseline_slices": ["dataset_id", "feature", "slice"]}
 BUCKET_COUNT = 64
 
+# Name of the folders that single writes of unpartitioned tables have.
+WRITE = "write_no"
+
 # For each table, the columns that point to another table's id. Rows go when
 # the row they point to goes.
 REFERENCES = {
@@ -153,6 +158,14 @@ REFERENCES = {
     "job_events": {"projects": "project_id"},
 }
 
+# What only one row of a table may have, and the columns that say which came first.
+IDENTITIES = {
+    "projects": (["name"], ["created_at", "id"]),
+    "model_versions": (["project_id", "name", "version"], ["created_at", "id"]),
+    "datasets": (["project_id", "dataset_type", "version"], ["created_at", "load_id"]),
+    "prediction_batches": (["project_id", "model_version_id", "content_hash"], ["uploaded_at", "load_id"]),
+}
+
 # Accepted enumerations and text lengths (lowest, highest; 0 allows NULL).
 PROBLEM_TYPES = ["binary_classification", "multiclass_classification"]
 DATASET_TYPES = ["training", "validation", "testing", "production"]
@@ -186,7 +199,8 @@ class Store:
 
     def _stored(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            return rows.drop(WRITE)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -198,12 +212,24 @@ class Store:
         if rows is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
         deleted = self._stored("deletions") if table != "deletions" else None
-        if deleted is None:
+        if deleted is not None:
+            for parent, key in self._keys(table).items():
+                gone = deleted.where(F.col("table_name") == parent).select(F.col("id").alias(key))
+                rows = rows.join(gone, key, "left_anti").select(*rows.columns)
+        return self._sole(table, rows)
+
+    def _sole(self, table: str, rows: DataFrame) -> DataFrame:
+        """One row of each identity: of two loads that were started together the first one counts.
+
+        A load lists a row by one append, at its end; what a load that lost has stored is in folders
+        that no listed row points to. Rows without a whole identity are told apart by id.
+        """
+        if table not in IDENTITIES:
             return rows
-        for parent, key in self._keys(table).items():
-            gone = deleted.where(F.col("table_name") == parent).select(F.col("id").alias(key))
-            rows = rows.join(gone, key, "left_anti").select(*rows.columns)
-        return rows
+        identity, order = IDENTITIES[table]
+        named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in identity])
+        whose = Window.partitionBy(*identity, F.when(~named, F.col("id")))
+        return rows.withColumn("place_no", F.row_number().over(whose.orderBy(*order))).where("place_no = 1").drop("place_no")
 
     def delete(self, table: str, ids: DataFrame, at: Column) -> None:
         """Delete rows by ``id`` and everything that refers to them.
@@ -291,12 +317,12 @@ class Store:
         place = self.path(table)
         system, path = self._files(place)
         _, fresh = self._files(f"{place}.fresh")
-        self._shaped(table, rows).write.mode("overwrite").parquet(f"{place}.fresh")
+        system.delete(fresh, True)
         empty = rows.isEmpty()
+        if not empty:
+            self._shaped(table, rows).write.parquet(self._write_place(f"{place}.fresh"))
         system.delete(path, True)
-        if empty:
-            system.delete(fresh, True)
-        else:
+        if not empty:
             system.rename(fresh, path)
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
@@ -304,8 +330,16 @@ class Store:
         return rows.to(wanted.schema)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        writer = self._shaped(table, rows).write.mode("append")
-        writer.partitionBy(*PARTITIONS.get(table, [])).parquet(self.path(table))
+        """Add rows. Every write to an unpartitioned table has a folder of its own, so that writes
+        of several sessions at a time do not meet in one."""
+        shaped, by = self._shaped(table, rows), PARTITIONS.get(table)
+        if by:
+            shaped.write.mode("append").partitionBy(*by).parquet(self.path(table))
+        else:
+            shaped.write.parquet(self._write_place(self.path(table)))
+
+    def _write_place(self, place: str) -> str:
+        return f"{place}/{WRITE}={uuid.uuid4().hex}"
 
     def append_once(self, table: str, rows: DataFrame, key: str) -> None:
         """Append the rows whose ``key`` the table does not have yet, so that a repeat adds nothing."""
@@ -344,11 +378,16 @@ class Store:
         shaped = self._shaped(table, rows.withColumn("load_id", F.lit(load_id))).drop("load_id")
         # Buckets are a property of catalog tables: a name is lent to the folder while it is written.
         name = f"tidewatch_{uuid.uuid4().hex}"
+        # Written aside and renamed, so that the same load in two sessions leaves one whole copy.
+        aside = f"{self.path(table)}/.{name}"
         writer = shaped.repartition(BUCKET_COUNT, *keys).write.format("parquet").mode("overwrite")
         try:
-            writer.bucketBy(BUCKET_COUNT, *keys).sortBy(*keys).option("path", place).saveAsTable(name)
+            writer.bucketBy(BUCKET_COUNT, *keys).sortBy(*keys).option("path", aside).saveAsTable(name)
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        system, path = self._files(place)
+        system.delete(path, True)
+        system.rename(self._files(aside)[1], path)
 
     def read_buckets(self, table: str) -> DataFrame:
         """A bucketed table with all of its loads, empty if nothing was written yet."""
