@@ -316,7 +316,7 @@ def job_state(spark, sf_dir):
 @query(
     "job_leases",
     """WITH asked AS (SELECT user_id % 500 AS job_id, event_id % 20 AS owner, ts AS asked_at,
-        CASE WHEN event_type = 'error' THEN ts ELSE ts + to_seconds(CAST(value * 20000 AS BIGINT)) END AS until FROM events),
+        CASE WHEN event_type = 'error' THEN ts ELSE ts + to_seconds(CAST(floor(value * 20000) AS BIGINT)) END AS until FROM events),
     last AS (SELECT job_id, owner, min(asked_at) AS asked_at, arg_max(until, asked_at) AS until FROM asked GROUP BY ALL),
     running AS (SELECT * FROM last WHERE until > (SELECT max(ts) FROM events))
     SELECT job_id, owner, floor(epoch(until))::BIGINT AS until FROM running
@@ -326,7 +326,7 @@ def job_leases(spark, sf_dir):
     """Events as requests of twenty owners for jobs; errors give a lease back."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     until = F.when(F.col("event_type") == "error", F.col("ts")).otherwise(
-        F.col("ts") + F.make_interval(secs=F.lit(0)) + F.make_dt_interval(secs=(F.col("value") * 20000).cast("bigint").cast("decimal(18,6)"))
+        F.col("ts") + F.make_dt_interval(secs=(F.col("value") * 20000).cast("bigint").cast("decimal(18,6)"))
     )
     asked = events.select((F.col("user_id") % 500).alias("job_id"), (F.col("event_id") % 20).alias("owner"), F.col("ts").alias("asked_at"), until.alias("until"))
     now = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp")
