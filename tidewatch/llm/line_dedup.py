@@ -20,8 +20,8 @@ from tidewatch.session import cut_lineage
 PERCENT = 80
 #: Slots of the table of word counts.
 SLOTS = 1 << 20
-#: White space besides the space that parts words.
-BLANKS = "\t\x0b\f\r\n"
+#: White space besides the space that parts words within a line.
+BLANKS = r"[\t\x0b\f\r]"
 NEWLINE = "\n"
 
 
@@ -30,7 +30,8 @@ def word_grades(texts: DataFrame, text: str = "text") -> str:
 
     A table of SLOTS small numbers whatever the input, as text; it comes in a few hundred rows.
     """
-    words = texts.select(F.explode(_words(F.col(text))).alias("word"))
+    bodies = texts.select(F.explode(F.split(text, NEWLINE)).alias("body"))
+    words = bodies.select(F.explode(F.split(_spaced(F.col("body")), " ")).alias("word")).filter("word != ''")
     uses = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).groupBy("slot").agg(F.count("*").alias("uses"))
     every = texts.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("uses"))
     whole = uses.union(every).groupBy("slot").agg(F.sum("uses").alias("uses"))
@@ -54,11 +55,16 @@ def _coded(words: Column, grades: str) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Lower-cased words between white space. Splitting at one plain sign needs no pattern."""
-    spaced = F.lower(line)
-    for blank in BLANKS:
-        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+    """Lower-cased words between white space."""
+    return F.array_remove(F.split(_spaced(line), " "), "")
+
+
+def _spaced(line: Column) -> Column:
+    """The lower-cased line with plain spaces only, so that splitting it needs no pattern.
+
+    Few lines hold other blanks; only those are rewritten.
+    """
+    return F.lower(F.when(line.rlike(BLANKS), F.regexp_replace(line, BLANKS, " ")).otherwise(line))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def _side(places: DataFrame, x: str) -> DataFrame:
 
 
 #: Columns of a posting and their names on a side of a pair.
-SIDE = {"unit": "", "n": "n", "doc": "doc", "place": "place", "mark": "mark", "p": "p"}
+SIDE = {"seq": "", "n": "n", "place": "place", "mark": "mark", "p": "p"}
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,82 +121,84 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
         "lines",
     )
     at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
+    # Units in order of their first places: of two, the one with the lesser number comes first.
     units = lines.filter("n > 0").groupBy("unit", "n", "prefix").agg(F.min(at.cast("decimal(38,0)")).alias("first"))
-    units = staged(units, "units")
+    numbered = units.orderBy("first", "unit", "n").withColumn("seq", F.monotonically_increasing_id())
+    units = staged(numbered.withColumn("mark", _mark()), "units")
     release(spark)
     matched = _matched(docs, units.filter("prefix IS NOT NULL"), percent)
-    judged = units.select("unit", "n", "first").join(matched.withColumn("late", F.lit(True)), ["unit", "n"], "left")
+    judged = units.select("unit", "n", "first", "seq").join(matched.withColumn("late", F.lit(True)), "seq", "left")
     # The first place of a unit stays unless the unit matches an earlier one; all others go.
     judged = judged.select("unit", "n", "first", F.coalesce("late", F.lit(False)).alias("late"))
     told = lines.select("doc", "twin", "line", "n", "unit").join(judged, ["unit", "n"], "left")
     gone = F.coalesce(F.col("late") | (at.cast("decimal(38,0)") > F.col("first")), F.lit(False))
     return told.groupBy("doc", "twin").agg(
-        F.countDistinct("line").alias("lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line")))).alias("gone")
+        (F.max("line") + 1).cast("long").alias("lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line")))).alias("gone")
     )
 
 
+def _mark() -> Column:
+    """One of 64 bits set for each word of the prefix."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))
+    return F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
+
+
+def _spread(units: DataFrame) -> DataFrame:
+    """One posting per unit and word of its prefix."""
+    return units.select("seq", "n", "mark", F.size("prefix").alias("p"), F.posexplode("prefix").alias("place", "word"))
+
+
 def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """``(unit, n)`` of units that match a unit with an earlier first place."""
-    mark = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))))
-    doc = F.floor(F.col("first") / F.lit(1 << 32)).cast("long").alias("doc")
-    marked = units.select("unit", "n", doc, mark.alias("mark"), F.size("prefix").alias("p"), "prefix")
-    spread = lambda some: some.select("unit", "n", "doc", "mark", "p", F.posexplode("prefix").alias("place", "word"))
-    words = spread(marked).groupBy("word").agg(F.min("doc").alias("head_doc"), F.count("*").alias("uses")).filter("uses > 1")
+    """``seq`` of units that match an earlier unit."""
+    # The words' first units and numbers of uses; words of one unit match nothing.
+    words = units.select("seq", F.explode("prefix").alias("word"))
+    words = words.groupBy("word").agg(F.min("seq").alias("head"), F.count("*").alias("uses")).filter("uses > 1")
     words = staged(words, "words")
     release(docs.sparkSession)
-    # Both sides read one shuffle by word: it has the same columns for either.
-    places = spread(marked).repartition("word")
-    heads = places.join(words, "word").filter("doc = head_doc")
-    pairs = _side(places, "a").join(_side(heads, "b"), "word").filter((F.col("doc_b") <= F.col("doc_a")) & _differ() & _fits(percent))
+    # Only a word's first unit needs to be sent again, with the words that it heads.
+    heads = _spread(units).join(words.select("word", F.col("head").alias("seq")), ["word", "seq"])
+    pairs = _side(_spread(units), "a").join(_side(heads, "b"), "word").filter((F.col("b") < F.col("a")) & _fits(percent))
     # The name is bound anew, so that nothing holds the finished step's shuffles.
-    pairs = cut_lineage(pairs.select("a", "n_a", "b", "n_b").distinct())
+    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     release(docs.sparkSession)
     early = _later(docs, units, pairs, percent)
     release(docs.sparkSession)
 
-    # What a word's earliest units left undecided meets its other units.
-    rest = spread(marked.join(early, ["unit", "n"], "left_anti")).repartition("word")
+    # What a word's first unit left undecided meets its other units.
+    rest = _spread(units.join(early, "seq", "left_anti"))
     several = words.filter("uses > 2").select("word")
-    more = _side(rest, "a").join(_side(places.join(several, "word"), "b"), "word").filter(_differ() & _fits(percent))
-    more = cut_lineage(more.select("a", "n_a", "b", "n_b").distinct())
+    places = _spread(units).join(several, "word")
+    more = _side(rest, "a").join(_side(places, "b"), "word").filter((F.col("b") < F.col("a")) & _fits(percent))
+    more = staged(more.select("a", "b").distinct(), "more")
     release(docs.sparkSession)
     later = _later(docs, units, more, percent)
     release(docs.sparkSession)
     return early.union(later).distinct()
 
 
-def _differ() -> Column:
-    return (F.col("a") != F.col("b")) | (F.col("n_a") != F.col("n_b"))
-
-
 def _later(docs: DataFrame, units: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later unit ``(unit, n)`` of each pair whose words are within the threshold.
+    """``seq`` of the later unit ``a`` of each pair ``(a, b)`` whose words are within the threshold.
 
     Before words are fetched the prefixes bound the overlap: of the unit whose prefix ends first
     in the common order, only words behind the prefix can be shared beyond the shared prefix.
     """
     sides = [
-        units.select(F.col("unit").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"), F.col("prefix").alias(f"prefix_{x}"))
-        for x in ("a", "b")
+        units.select(F.col("seq").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "first", "prefix")]) for x in ("a", "b")
     ]
-    placed = pairs.join(sides[0], ["a", "n_a"]).join(sides[1], ["b", "n_b"])
+    placed = pairs.join(sides[0], "a").join(sides[1], "b")
     behind = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
     bound = F.size(F.array_intersect("prefix_a", "prefix_b")) + behind
     placed = placed.filter(bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    before = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("a") < F.col("b")))
-    early = F.struct(F.col("first_a").alias("first"), F.col("a").alias("unit"), F.col("n_a").alias("n"))
-    late = F.struct(F.col("first_b").alias("first"), F.col("b").alias("unit"), F.col("n_b").alias("n"))
-    ordered = placed.select(F.when(before, early).otherwise(late).alias("x"), F.when(before, late).otherwise(early).alias("y")).distinct()
-    ordered = cut_lineage(ordered)
-    wanted = ordered.select("x.*").union(ordered.select("y.*")).distinct()
-    words = _unit_words(docs, wanted)
-    joined = ordered.join(words.select(F.col("first").alias("x_first"), F.col("words").alias("x_words")), F.col("x.first") == F.col("x_first"))
-    joined = joined.join(words.select(F.col("first").alias("y_first"), F.col("words").alias("y_words")), F.col("y.first") == F.col("y_first"))
-    shared = F.size(F.array_intersect("x_words", "y_words"))
-    union = F.size("x_words") + F.size("y_words") - shared
-    same_size = (F.size("x_words") == F.col("x.n")) & (F.size("y_words") == F.col("y.n"))
+    placed = staged(placed.select("a", "n_a", "first_a", "n_b", "first_b"), "placed")
+    words = _unit_words(docs, placed.select("first_a").union(placed.select("first_b")).distinct())
+    joined = placed
+    for x in ("a", "b"):
+        joined = joined.join(words.select(F.col("first").alias(f"first_{x}"), F.col("words").alias(f"words_{x}")), f"first_{x}")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    union = F.size("words_a") + F.size("words_b") - shared
+    same_size = (F.size("words_a") == F.col("n_a")) & (F.size("words_b") == F.col("n_b"))
     near = joined.filter(same_size & (shared * 100 >= union * percent))
-    return cut_lineage(near.select("y.unit", "y.n").distinct())
+    return cut_lineage(near.select(F.col("a").alias("seq")).distinct())
 
 
 def _unit_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,7 +208,7 @@ def _unit_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     first = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
     lines = _lines(docs).select(first.alias("first"), "body")
-    return thinned(lines, "first", wanted.select("first")).select("first", F.array_distinct(_words(F.col("body"))).alias("words"))
+    return thinned(lines, "first", wanted.toDF("first")).select("first", F.array_distinct(_words(F.col("body"))).alias("words"))
 
 
 def dedup(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
