@@ -73,25 +73,31 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _fits(percent: int) -> Column:
-    """Filters of a pair that shares a word at ``place_a`` and ``place_b``: sizes, places, marks.
+    """Filters of a pair that shares a word: order, sizes, places of the word, marks.
 
     A mark has one of 64 bits set for each word of a prefix, so each bit that only one side has
     is a word of its prefix that the other lacks. Of the unit whose prefix ends first in the
     common order, only words behind the prefix can be shared beyond the shared prefix.
     """
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    left = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
-    shared = F.expr("least(p_a - bit_count(mark_a & ~mark_b), p_b - bit_count(mark_b & ~mark_a))")
-    most = F.least(left, shared + F.greatest(n_a - F.col("p_a"), n_b - F.col("p_b")))
-    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+    n_a, n_b = (F.shiftright(f"spot_{x}", 32) for x in ("a", "b"))
+    place_a, place_b = (F.col(f"spot_{x}").bitwiseAND(F.lit(0xFFFFFFFF)) for x in ("a", "b"))
+    p_a, p_b = (_prefix_length(n, percent) for n in (n_a, n_b))
+    left = F.least(n_a - place_a, n_b - place_b)
+    lacks = [F.bit_count(F.col(f"mark_{x}").bitwiseAND(F.bitwise_not(f"mark_{y}"))) for x, y in ("ab", "ba")]
+    most = F.least(left, F.least(p_a - lacks[0], p_b - lacks[1]) + F.greatest(n_a - p_a, n_b - p_b))
+    sizes = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+    # The sign of ``a`` says that it is decided already (``_postings``).
+    later = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b")) < F.col("a")
+    return later & sizes & (most * (100 + percent) >= (n_a + n_b) * percent)
 
 
-def _side(places: DataFrame, x: str) -> DataFrame:
-    return places.select("word", *[F.col(c).alias(f"{n}_{x}" if n else x) for c, n in SIDE.items()])
+def _prefix_length(n: Column, percent: int) -> Column:
+    """Words of a prefix: two sets of the wanted similarity cannot miss each other's."""
+    return n - F.floor((n * percent + 99) / 100) + 1
 
 
-#: Columns of a posting and their names on a side of a pair.
-SIDE = {"seq": "", "n": "n", "place": "place", "mark": "mark", "p": "p"}
+def _side(postings: DataFrame, x: str) -> DataFrame:
+    return postings.select("word", F.col("seq").alias(x), F.col("spot").alias(f"spot_{x}"), F.col("mark").alias(f"mark_{x}"))
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +116,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
     grades = word_grades(docs)
     codes = _lines(docs).select("doc", "twin", "line", _coded(_words(F.col("body")), grades).alias("codes"))
     n = F.size("codes")
-    length = n - F.expr(f"({percent} * size(codes) + 99) div 100") + 1
+    length = _prefix_length(n, percent)
     prefix = F.transform(F.slice("codes", F.lit(1), length.cast("int")), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     able = n * (100 - percent) >= percent
     spark = docs.sparkSession
@@ -143,9 +149,15 @@ def _mark() -> Column:
     return F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
 
 
-def _spread(units: DataFrame) -> DataFrame:
-    """One posting per unit and word of its prefix."""
-    return units.select("seq", "n", "mark", F.size("prefix").alias("p"), F.posexplode("prefix").alias("place", "word"))
+def _postings(units: DataFrame) -> DataFrame:
+    """One posting per unit and word of its prefix: ``(word, seq, spot, mark)``.
+
+    ``spot`` holds the unit's size above the word's place. They are few and narrow columns, since
+    this is the largest shuffle.
+    """
+    spread = units.select("seq", "n", "mark", F.posexplode("prefix").alias("place", "word"))
+    spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    return spread.select("word", "seq", spot.alias("spot"), "mark")
 
 
 def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -156,20 +168,22 @@ def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     words = staged(words, "words")
     release(docs.sparkSession)
     # Only a word's first unit needs to be sent again, with the words that it heads.
-    heads = _spread(units).join(words.select("word", F.col("head").alias("seq")), ["word", "seq"])
-    pairs = _side(_spread(units), "a").join(_side(heads, "b"), "word").filter((F.col("b") < F.col("a")) & _fits(percent))
+    heads = _postings(units).join(words.select("word", F.col("head").alias("seq")), ["word", "seq"])
+    pairs = _side(_postings(units), "a").join(_side(heads, "b"), "word").filter(_fits(percent))
     # The name is bound anew, so that nothing holds the finished step's shuffles.
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     release(docs.sparkSession)
     early = _later(docs, units, pairs, percent)
     release(docs.sparkSession)
 
-    # What a word's first unit left undecided meets its other units.
-    rest = _spread(units.join(early, "seq", "left_anti"))
-    several = words.filter("uses > 2").select("word")
-    places = _spread(units).join(several, "word")
-    more = _side(rest, "a").join(_side(places, "b"), "word").filter((F.col("b") < F.col("a")) & _fits(percent))
-    more = staged(more.select("a", "b").distinct(), "more")
+    # What a word's first unit left undecided meets all of its earlier units. Decided units have
+    # negative numbers, so that both sides can read one shuffle.
+    told = units.join(early.withColumn("done", F.lit(True)), "seq", "left")
+    told = told.withColumn("seq", F.when(F.col("done"), -F.col("seq") - 1).otherwise(F.col("seq")))
+    places = _postings(told).repartition("word")
+    more = _side(places, "a").join(_side(places, "b"), "word").filter(_fits(percent))
+    earlier = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b"))
+    more = staged(more.select("a", earlier.alias("b")).distinct(), "more")
     release(docs.sparkSession)
     later = _later(docs, units, more, percent)
     release(docs.sparkSession)
