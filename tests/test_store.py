@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_tables import prepared, stamp, store, write  # noqa: F401
 from tidewatch.plans import ingest
 from tidewatch.plans.bulk import claim, give_back, queue_jobs, run_and_store, run_queued
+from tidewatch.sources import tables
 from tidewatch.sources.tables import Store
 
 
@@ -39,6 +40,24 @@ def test_compaction_rewrites_only_folders_with_deleted_rows(spark, tmp_path):
     assert made.read("projects").count() == 2
 
 
+def test_compaction_brings_no_folder_to_one_task(spark, tmp_path, monkeypatch):
+    made = _filled(spark, tmp_path / "store")
+    reports = spark.range(1000).select("id", (F.col("id") % 4).alias("health_check_id"), F.lit(None).cast("long").alias("run_id"))
+    made.replace_partitions("diagnosis_reports", reports)
+    made.delete("diagnosis_reports", spark.range(3), stamp())
+    plans = []
+    real = tables.cut_lineage
+    monkeypatch.setattr(tables, "cut_lineage", lambda df: plans.append((df.columns, plan(df))) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made.compact()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = [text for columns, text in plans if "health_check_id" in columns]
+    assert kept and all("SortMergeJoin [coalesce(run_id" not in text for text in kept)
+    assert made.read("diagnosis_reports").count() == 997
+
+
 def test_compaction_that_died_is_repeated(spark, tmp_path, monkeypatch):
     made = _filled(spark, tmp_path / "store")
     made.delete("projects", spark.createDataFrame([(2,)], "id long"), stamp())
