@@ -53,6 +53,32 @@ def test_records_do_not_depend_on_ranges(spark, tmp_path, monkeypatch, size):
         assert found == records, path
 
 
+def test_ranges_of_long_files_reach_the_parser_without_their_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "long.csv").write_text("a,b\n" + "".join(f"{i},x\n" for i in range(500)))
+    (tmp_path / "short.csv").write_text("a,b\n1,y\n")
+    manifest, taken = list_files(spark, str(tmp_path), size=100), []
+    real = files._parse
+
+    def seen(size):
+        run = real(size)
+
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    held = [len(c or b"") for c in batch.column("content").to_pylist()]
+                    assert sum(held) < 100, held
+                    yield batch
+
+            yield from run(each())
+
+        taken.append(size)
+        return checked
+
+    monkeypatch.setattr(files, "_parse", seen)
+    rows = read_records(spark, str(tmp_path), manifest, size=100)
+    assert rows.count() == 503 and taken == [100]
+
+
 def test_spans_of_stray_quotes():
     assert quoted_spans(b'a"b,c"d\n', b"", False)[1] is False
     assert quoted_spans(b'a"",b\n', b"", False)[1] is False
