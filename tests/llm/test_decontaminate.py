@@ -139,3 +139,25 @@ def test_spans_in_respaced_text_and_short_items():
     assert set(found) == {"1", "2", "3"} and found["1"][0] == 0
     assert raw[found["1"][1] :][: found["1"][2]].decode() == item.replace(" ", "  ")
     assert raw[found["2"][1] :][: found["2"][2]] == b"cat"
+
+
+def test_slabs_of_a_block_are_aligned_together(monkeypatch):
+    # Each call of ``distances`` takes some 200 steps however few its pairs are, so slabs share them.
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(40))) for i in range(20)]
+    texts = [edited(" ".join(rng.choice(words) for _ in range(30)) + f" {items[i][1]}", 8, rng) for i in range(20)]
+    index = decontaminate.index_of(items)
+    whole = found_in(texts, index)
+    calls, distances = [], decontaminate.distances
+    monkeypatch.setattr(decontaminate, "distances", lambda *x: calls.append(1) or distances(*x))
+    monkeypatch.setattr(decontaminate, "SLAB", 1 << 12)
+    assert found_in(texts, index) == whole and len(whole) == 20
+    assert len(calls) <= 2
+
+
+def test_hashes_with_the_same_first_bits(monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 3)
+    item = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix bold potions at dawn today"
+    found = found_in([f"well {item} so", "nothing of the kind", item[:60]], decontaminate.index_of([("1", item)]))
+    assert set(found) == {0, 2} and found[0][0][1] == 0

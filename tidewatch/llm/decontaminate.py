@@ -32,7 +32,7 @@ SHARED = 3
 #: Bytes of benchmark text that one pass over the documents looks for.
 PASS_BYTES = 1 << 20
 #: Shared q-grams handled at a time, and alignments.
-SLAB = 1 << 20
+SLAB = 1 << 18
 ALIGNED = 4_096
 #: Lower-cased A-Z; all white space is one kind, and a run of it one sign (``folded``).
 FOLD = grams.LOWER.copy()
@@ -199,8 +199,12 @@ class Finder:
 
     def __init__(self, index: Index):
         self.index = index
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[(grams.mix(index.hashes) >> grams.U(64 - FILTER_BITS)).astype(np.int64)] = True
+        # By the first bits of a hash: the first hash that begins so (one entry more), and whether any does.
+        slot = (index.hashes >> grams.U(64 - FILTER_BITS)).astype(np.int64)
+        held = np.bincount(slot, minlength=1 << FILTER_BITS)
+        self.slots = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+        self.filter = held > 0
+        self.chain = int(held.max())
         self.lengths = np.array([len(w) for w in index.windows], dtype=np.int64)
         self.most = int(index.edits.max()) if len(index.edits) else 0
         #: Places within which the q-grams of one match lie; texts are set apart by more.
@@ -214,6 +218,10 @@ class Finder:
         held = np.flatnonzero(np.diff(index.holder_firsts))
         if len(held):
             self.least[held] = np.minimum.reduceat(index.bound[index.holders], index.holder_firsts[held])
+        # A cell need not count beyond the largest bound; four such counts fit a byte.
+        self.full = max(int(self.least.max()), 1)
+        self.counter = np.uint8 if self.full <= 63 else np.int32
+        self.enough = self.least.astype(self.counter)
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[str, int, int, int]]]:
         """Leaks ``(item, edits, start, length)`` by the number of the text in the block."""
@@ -245,32 +253,55 @@ class Finder:
         index = self.index
         sums = grams.running(body)
         hashes = (sums[Q:] - sums[:-Q]) * grams.powers(grams.UNBASE, len(body) - Q + 1)
-        at = np.flatnonzero(self.filter[(grams.mix(hashes) >> grams.U(64 - FILTER_BITS)).astype(np.int64)])
-        gram = np.minimum(np.searchsorted(index.hashes, hashes[at]), len(index.hashes) - 1)
-        text = np.searchsorted(limits, at, side="right") - 1
-        kept = (index.hashes[gram] == hashes[at]) & (at + Q <= limits[text + 1])
+        slot = (hashes >> grams.U(64 - FILTER_BITS)).astype(np.int64)
+        at = np.flatnonzero(self.filter[slot])
+        at, gram = self._grams(at, slot[at], hashes[at])
+        text = np.repeat(np.arange(len(limits) - 1), np.diff(np.searchsorted(at, limits)))
+        kept = at + Q <= limits[text + 1]
         at, gram, text = at[kept], gram[kept], text[kept]
         spot = at + text * self.apart
         count = index.firsts[gram + 1] - index.firsts[gram]
         sizes = np.concatenate([[0], np.cumsum(count)])
         starts = limits[:-1] + np.arange(len(limits) - 1) * self.apart
-        first = 0
+        first, close = 0, []
         while first < len(spot):
             # The next slab starts a match's reach before this one's end.
             again = int(np.searchsorted(spot, spot[first] + 2 * self.apart, side="right"))
             stop = max(int(np.searchsorted(sizes, sizes[first] + SLAB)), min(again, len(spot)))
             places = spread(index.firsts[gram[first:stop]], count[first:stop])
-            self._slab(body, limits, starts, np.repeat(spot[first:stop], count[first:stop]), index.place[places], best)
+            close.append(self._slab(starts, np.repeat(spot[first:stop], count[first:stop]), index.place[places]))
             if stop >= len(spot):
                 break
             first = max(int(np.searchsorted(spot, spot[stop - 1] - self.apart)), first + 1)
+        if not close:
+            return
+        # Aligned together, since the steps of an alignment cost little more for many.
+        window, low, text = (np.concatenate(x) for x in zip(*close, strict=True))
+        for words in (1, 2):
+            of_size = np.flatnonzero((self.lengths[window] > 64) == (words == 2))
+            for i in range(0, len(of_size), ALIGNED):
+                part = of_size[i : i + ALIGNED]
+                self._align(body, limits, window[part], low[part], text[part], best)
 
-    def _slab(self, body: np.ndarray, limits: np.ndarray, starts: np.ndarray, spot: np.ndarray, place: np.ndarray, best: dict) -> None:
-        index = self.index
-        kept = self._crowded(spot - spot[0], place)
+    def _grams(self, at: np.ndarray, slot: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places whose hash is indexed, and the hash's number; ``slot`` has its first bits."""
+        known = self.index.hashes
+        gram = self.slots[slot].astype(np.int64)
+        right = known[gram] == hashes
+        for _ in range(1, self.chain):
+            rest = np.flatnonzero(~right)
+            rest = rest[gram[rest] + 1 < self.slots[slot[rest] + 1]]
+            gram[rest] += 1
+            right[rest] = known[gram[rest]] == hashes[rest]
+        return at[right], gram[right]
+
+    def _slab(self, starts: np.ndarray, spot: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands to align: the window, where it would begin in the text, and the text."""
+        index, none = self.index, (np.zeros(0, dtype=np.int64),) * 3
+        kept = np.flatnonzero(self._crowded(spot - spot[0], place))
         spot, place = spot[kept], place[kept]
         if not len(spot):
-            return
+            return none
         # Band j covers diagonals (most + 1) * j … (most + 1) * (j + 2) - 1; in one of them all
         # q-grams of a match lie. Those that have too few others near them cannot belong to one.
         base = int(spot[0])
@@ -280,13 +311,13 @@ class Finder:
         key = np.concatenate([key, key - room])
         order = np.argsort(key)
         key = key[order]
-        entry = order % len(spot)
+        entry = np.where(order < len(spot), order, order - len(spot))
         ahead = np.arange(len(key)) + self.least[place[entry]] - 1
         close = ahead < len(key)
         close[close] = key[ahead[close]] - key[close] <= self.span
         begins = np.flatnonzero(close)
         if not len(begins):
-            return
+            return none
         marks = np.bincount(begins, minlength=len(key) + 1)
         marks = marks - np.bincount(np.searchsorted(key, key[begins] + self.span, side="right"), minlength=len(key) + 1)
         chosen = np.zeros(len(spot), dtype=bool)
@@ -308,12 +339,7 @@ class Finder:
         window, band = window[kept], band[kept]
         low = band * (index.edits[window] + 1) - self.span + base
         text = np.clip(np.searchsorted(starts, low + self.lengths[window] // 2, side="right") - 1, 0, len(starts) - 1)
-        low = low - text * self.apart
-        for words in (1, 2):
-            of_size = np.flatnonzero((self.lengths[window] > 64) == (words == 2))
-            for i in range(0, len(of_size), ALIGNED):
-                part = of_size[i : i + ALIGNED]
-                self._align(body, limits, window[part], low[part], text[part], best)
+        return window, low - text * self.apart, text
 
     def _crowded(self, spot: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which shared q-grams lie in two by two cells (of text places and diagonals) that hold enough."""
@@ -322,20 +348,25 @@ class Finder:
         row = spot >> coarse
         # Diagonals count from the first one that the row can have.
         wide = (len(self.least) >> fine) + 3 * ratio + 4
-        cell = row * wide + ((spot - place + len(self.least)) >> fine) - row * ratio + ratio + 1
         high = int(row[-1]) + 1
-        held = np.zeros((high + 2, wide), dtype=np.int32)
-        held[1:-1] = np.bincount(cell, minlength=high * wide).reshape(high, wide)
+        cell = spot - place
+        cell += len(self.least)
+        cell >>= fine
+        row *= wide - ratio
+        cell += row
+        cell += ratio + 1
+        held = np.zeros((high + 2, wide), dtype=self.counter)
+        held[1:-1] = np.minimum(np.bincount(cell, minlength=high * wide), self.full).reshape(high, wide)
         pairs = held.copy()
         pairs[:, :-1] += held[:, 1:]
         # Boxes begin at a row and a diagonal; the next row counts its diagonals from ``ratio`` later.
         boxes = pairs.copy()
         boxes[:-1, ratio:] += pairs[1:, :-ratio]
         most = boxes.copy()
-        most[1:, :-ratio] = np.maximum(most[1:, :-ratio], boxes[:-1, ratio:])
+        np.maximum(most[1:, :-ratio], boxes[:-1, ratio:], out=most[1:, :-ratio])
         best = most.copy()
-        best[:, 1:] = np.maximum(best[:, 1:], most[:, :-1])
-        return best[1:-1].reshape(-1)[cell] >= self.least[place]
+        np.maximum(best[:, 1:], most[:, :-1], out=best[:, 1:])
+        return best[1:-1].reshape(-1)[cell] >= self.enough[place]
 
     def _align(self, body: np.ndarray, limits: np.ndarray, window: np.ndarray, low: np.ndarray, text: np.ndarray, best: dict) -> None:
         edits, lengths = self.index.edits[window], self.lengths[window]
