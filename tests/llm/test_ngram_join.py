@@ -111,3 +111,21 @@ def test_one_per_class_of_clashing_and_repeated_rows(spark):
     kept = ngram_join.one_per_class(spark.createDataFrame(rows, "doc_id long, text string"))
     expected = [(3, x), (5, y), (7, z + "more"), (None, x), (None, z), (None, w), (8, ""), (8, ""), (None, None), (9, "A B C D E F A B")]
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_frequent_tokens_in_few_texts_of_each_task(spark, monkeypatch):
+    texts = [(f"a b c {i} {i + 1} x y z" if i % 2 else f"a b c w{i} v{i}",) for i in range(24)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, 12), "text string")
+    found = ngram_join.frequent_tokens(frame, 3)
+    assert len(found) == 1
+    # x y z is in twelve texts, one of each task, and a b c in two of each.
+    monkeypatch.setattr(ngram_join, "FREQUENT_MOST", 0)
+    assert len(ngram_join.frequent_tokens(frame, 3)) == 0
+    assert len(ngram_join.frequent_tokens(frame.limit(0), 3)) == 0
+
+
+def test_most_frequent_tokens_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT_MOST", 2)
+    texts = [("a b c d",)] * 64 + [("e f g h i",)] * 16
+    found = ngram_join.frequent_tokens(spark.createDataFrame(texts, "text string").coalesce(1), 3)
+    assert len(found) == 2

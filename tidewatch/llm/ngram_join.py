@@ -36,15 +36,17 @@ from tidewatch.session import cut_lineage
 SHARED = 3
 #: Independent min-hashes that bring similar texts together.
 SEEDS = 3
-#: A token is frequent from this share of all texts on (and at least FREQUENT_LEAST texts). Only
-#: the token order depends on it, not the result; there are at most mean set size / share of them.
-FREQUENT_SHARE = 0.0001
+#: A token is frequent from this number of texts on, or from the least power of GRADES-th roots of 2
+#: above which there are no more than FREQUENT_MOST. Only the token order depends on it, not the
+#: result. A number that grew with the corpus would let the rare tokens' pairs grow with its square.
 FREQUENT_LEAST = 10
+FREQUENT_MOST = 1 << 20
+GRADES = 8
 #: Stands for a NULL key inside.
 NO_KEY = -(2**63)
 #: Shingles counted at a time, and local repeats from which a token is reported.
 COUNT_BLOCK = 1 << 22
-COUNT_LEAST = 3
+COUNT_LEAST = 2
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -84,9 +86,16 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
         if held:
             yield report()
 
-    total = texts.count()
     summed = texts.mapInArrow(count, "token long, uses long").groupBy("token").agg(F.sum("uses").alias("uses"))
-    often = summed.filter(F.col("uses") >= max(FREQUENT_LEAST, FREQUENT_SHARE * total)).select("token").toPandas()
+    summed = summed.filter(F.col("uses") >= FREQUENT_LEAST).select("token", F.floor(GRADES * F.log2("uses")).alias("grade"))
+    summed = cut_lineage(summed)
+    held, least = 0, 1 << 30
+    for row in sorted(summed.groupBy("grade").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += row["n"]
+        if held > FREQUENT_MOST:
+            break
+        least = row["grade"]
+    often = summed.filter(F.col("grade") >= least).select("token").toPandas()
     return np.sort(often["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
