@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import baseline
 from tidewatch.operators.baseline import BaselineIndex, as_of, baseline_index, number_counts, packed, value_counts, value_types
+from tidewatch.plans import health_check
 from tidewatch.plans.health_check import run_checks
 from tidewatch.plans.ingest import store_index
 from tidewatch.sources.tables import Store
@@ -193,3 +195,27 @@ def test_stored_slices_are_not_moved(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert store.read("baseline_features").count() == index.features.count()
+
+
+def test_arrays_reach_python_in_small_batches(spark, monkeypatch):
+    # A row of the comparison has four arrays of a slice, so a batch of the usual size takes far more.
+    base, logs, _, _ = _stored(spark, random.Random(4), [1], [1])
+    seen, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, judged = spark.conf.get(name), health_check.judged
+
+    def noted(*args):
+        seen.append(spark.conf.get(name))
+        return judged(*args)
+
+    monkeypatch.setattr(health_check, "judged", noted)
+    run = run_checks(_requests(spark, [(1, 1)]), **_registries(spark, [1], [1]), baseline_rows=base, predictions=logs)
+    assert run.results.count() == 1
+    assert seen == ["8m"] and spark.conf.get(name) == before
+
+
+def test_groups_of_a_batch_are_found_without_a_row_at_a_time():
+    sides, owners, features = ["cur"] * 5 + ["ref"] * 4, [None, None, 1, 1, 2, 2, 2, 3, 3], ["a", "a", "a", "b", "b", "b", "b", "b", None]
+    columns = [pa.array(sides), pa.array(owners, pa.int64()), pa.array(features)]
+    batch = pa.RecordBatch.from_arrays(columns, names=baseline.GROUP)
+    assert baseline._group_bounds(batch) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 7), (7, 8), (8, 9)]
+    assert baseline._group_bounds(batch.slice(0, 0)) == [] and baseline._group_bounds(batch.slice(4, 1)) == [(0, 1)]

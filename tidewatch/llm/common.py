@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import shared_folder
+from tidewatch.session import shared_folder, small_batches  # noqa: F401
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -76,17 +74,3 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of bounded size for the actions inside, where a row is wide."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {name: spark.conf.get(name) for name in wanted}
-    try:
-        for name, value in wanted.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)

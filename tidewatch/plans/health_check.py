@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.baseline import (
+    BATCH,
     CUR,
     REF,
     BaselineIndex,
@@ -42,7 +43,7 @@ from tidewatch.operators.metrics import (
 )
 from tidewatch.operators.missing import missing_cells
 from tidewatch.operators.ranking import auc_from_counts, score_counts
-from tidewatch.session import as_small_side, cut_lineage
+from tidewatch.session import as_small_side, cut_lineage, small_batches
 
 # Columns of a prediction log that are not features.
 RESERVED_COLUMNS = ["timestamp", "true_label", "predicted_label", "confidence"]
@@ -303,7 +304,8 @@ def run_checks(
     of_words = index.categories.join(as_small_side(worded.select("dataset_id", "feature").distinct()), ["dataset_id", "feature"], "left_semi")
     measured = numeric_measures(stretches, numeric, index.slices)
     measured = measured.unionByName(categorical_measures(words, worded, of_words))
-    pairs = as_small_side(judged(measured, [*of_pair, "feature"], limits))
+    with small_batches(resolved.sparkSession, *BATCH):
+        pairs = as_small_side(judged(measured, [*of_pair, "feature"], limits))
     drift = checks.drop("target_column").join(pairs, of_pair).drop(*of_pair)
     summary = as_small_side(drift_summary(drift, ["check_id"]).drop("missing_n"))
     missing = types.where(F.col("side") == CUR).groupBy(F.col("owner").alias("prediction_batch_id")).agg((F.sum("missing") / F.sum("cells")).alias("missing_rate"))
