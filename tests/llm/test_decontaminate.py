@@ -161,3 +161,16 @@ def test_hashes_with_the_same_first_bits(monkeypatch):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix bold potions at dawn today"
     found = found_in([f"well {item} so", "nothing of the kind", item[:60]], decontaminate.index_of([("1", item)]))
     assert set(found) == {0, 2} and found[0][0][1] == 0
+
+
+def test_few_bands_of_texts_that_only_share_words(monkeypatch):
+    """Q-grams farther apart than a window reaches do not count together, so few are sorted per window."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(3, 8))) for _ in range(60)]
+    items = [(str(i), " ".join(r.choices(words, k=40))) for i in range(30)]
+    text = " ".join(r.choices(words, k=20_000)).encode()
+    keys, plain = [], decontaminate.distinct
+    monkeypatch.setattr(decontaminate, "distinct", lambda values: (keys.append(len(values)), plain(values))[1])
+    finder = decontaminate.Finder(decontaminate.index_of(items))
+    assert not finder.block(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    assert sum(keys) < 20 * len(text)

@@ -152,33 +152,49 @@ def distances(patterns: list[bytes], regions: np.ndarray) -> tuple[np.ndarray, n
     words = int(-(-lengths.max() // 64))
     rows, one = np.arange(n), np.uint64(1)
     signs = np.frombuffer(b"".join(p.ljust(words * 64, b"\xff") for p in patterns), dtype=np.uint8).reshape(n, -1)
-    equal = np.zeros((words, n, 256), dtype=np.uint64)
+    # Bytes that no pattern has share the last code, which equals nothing.
+    kinds = np.flatnonzero(np.bincount(signs.reshape(-1), minlength=256)[:255])
+    code = np.full(256, len(kinds), dtype=np.int64)
+    code[kinds] = np.arange(len(kinds))
+    alphabet = len(kinds) + 1
+    equal = np.zeros((words, n, alphabet), dtype=np.uint64)
     for i in range(words * 64):
-        equal[i // 64, rows, signs[:, i]] |= one << np.uint64(i % 64)
-    equal[:, :, 255] = 0
-    top = (lengths - 1) % 64
+        equal[i // 64, rows, code[signs[:, i]]] |= one << np.uint64(i % 64)
+    equal[:, :, -1] = 0
+    equal = equal.reshape(words, -1)
+    columns = code[regions.T] + rows * alphabet
+    top = ((lengths - 1) % 64).astype(np.uint64)
     last = (lengths - 1) // 64
+    ending = [last == w for w in range(words)]
     up = np.full((words, n), np.uint64(2**64 - 1))
     down = np.zeros((words, n), dtype=np.uint64)
     score, best, end = lengths.copy(), lengths.copy(), np.zeros(n, dtype=np.int64)
     for j in range(width):
-        more = less = np.zeros(n, dtype=np.uint64)
+        more = less = None
         for w in range(words):
-            eq, pv, mv = equal[w, rows, regions[:, j]], up[w], down[w]
+            eq, pv, mv = equal[w].take(columns[j]), up[w], down[w]
             xv = eq | mv
-            eq = eq | less
+            if less is not None:
+                eq |= less
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
-            ends = last == w
-            step = ((ph >> top.astype(np.uint64)) & one).astype(np.int64) - ((mh >> top.astype(np.uint64)) & one).astype(np.int64)
-            score = score + np.where(ends, step, 0)
-            high_more, high_less = ph >> np.uint64(63), mh >> np.uint64(63)
-            ph, mh = (ph << one) | more, (mh << one) | less
+            if ending[w].any():
+                step = ((ph >> top) & one).view(np.int64) - ((mh >> top) & one).view(np.int64)
+                score += step if words == 1 else np.where(ending[w], step, 0)
+            if w + 1 < words:
+                high_more, high_less = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph <<= one
+            mh <<= one
+            if more is not None:
+                ph |= more
+                mh |= less
             up[w], down[w] = mh | ~(xv | ph), ph & xv
-            more, less = high_more, high_less
+            if w + 1 < words:
+                more, less = high_more, high_less
         better = score < best
-        best = np.where(better, score, best)
-        end = np.where(better, j + 1, end)
+        if better.any():
+            best = np.where(better, score, best)
+            end = np.where(better, j + 1, end)
     return best, end
 
 
@@ -194,11 +210,37 @@ def spread(firsts: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) + np.repeat(firsts - (np.cumsum(count) - count), count)
 
 
+@dataclass(frozen=True)
+class Kind:
+    """Windows of similar size: the most edits, the reach of a match, windows by byte, the least bound there."""
+
+    most: int
+    span: int
+    holders: np.ndarray
+    firsts: np.ndarray
+    held: np.ndarray
+    least: np.ndarray
+
+
+def kind_of(index: Index, lengths: np.ndarray, chosen: np.ndarray) -> Kind:
+    """The kind that the ``chosen`` windows, some at least, make up."""
+    most = int(index.edits[chosen].max())
+    own = chosen[index.holders]
+    firsts = np.concatenate([[0], np.cumsum(own)])[index.holder_firsts]
+    holders = index.holders[own]
+    held = np.diff(firsts) > 0
+    least = np.ones(len(firsts), dtype=np.int64)
+    least[np.flatnonzero(held)] = np.minimum.reduceat(index.bound[holders], firsts[:-1][held])
+    return Kind(most, int(lengths[chosen].max()) + most, holders, firsts, held, least)
+
+
 class Finder:
     """Finds the items of an index in texts."""
 
     def __init__(self, index: Index):
         self.index = index
+        # Numbers within a slab take half the room, where all of them fit.
+        self.small = np.int32 if len(index.holder_firsts) < 1 << 30 else np.int64
         # By the first bits of a hash: the first hash that begins so (one entry more), and whether any does.
         slot = (index.hashes >> grams.U(64 - FILTER_BITS)).astype(np.int64)
         held = np.bincount(slot, minlength=1 << FILTER_BITS)
@@ -218,8 +260,12 @@ class Finder:
         held = np.flatnonzero(np.diff(index.holder_firsts))
         if len(held):
             self.least[held] = np.minimum.reduceat(index.bound[index.holders], index.holder_firsts[held])
+        # Narrow windows are told by narrow bands and stretches, which the wide ones would blur.
+        narrow = (self.lengths <= PIECE[0]) & (index.edits <= int(PIECE[2] * PIECE[0]))
+        self.kinds = [kind_of(index, self.lengths, chosen) for chosen in (narrow, ~narrow) if chosen.any()]
         # A cell need not count beyond the largest bound; four such counts fit a byte.
-        self.full = max(int(self.least.max()), 1)
+        self.full = max([1, *(int(kind.least.max()) for kind in self.kinds)])
+        self.place = index.place.astype(self.small)
         self.counter = np.uint8 if self.full <= 63 else np.int32
         self.enough = self.least.astype(self.counter)
 
@@ -269,7 +315,10 @@ class Finder:
             again = int(np.searchsorted(spot, spot[first] + 2 * self.apart, side="right"))
             stop = max(int(np.searchsorted(sizes, sizes[first] + SLAB)), min(again, len(spot)))
             places = spread(index.firsts[gram[first:stop]], count[first:stop])
-            close.append(self._slab(starts, np.repeat(spot[first:stop], count[first:stop]), index.place[places]))
+            near = spot[first:stop] - spot[first]
+            if near[-1] < 1 << 30:
+                near = near.astype(self.small)
+            close.append(self._slab(starts, int(spot[first]), np.repeat(near, count[first:stop]), self.place.take(places)))
             if stop >= len(spot):
                 break
             first = max(int(np.searchsorted(spot, spot[stop - 1] - self.apart)), first + 1)
@@ -295,37 +344,55 @@ class Finder:
             right[rest] = known[gram[rest]] == hashes[rest]
         return at[right], gram[right]
 
-    def _slab(self, starts: np.ndarray, spot: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bands to align: the window, where it would begin in the text, and the text."""
+    def _slab(self, starts: np.ndarray, first: int, spot: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands to align: the window, where it would begin in the text, and the text.
+
+        ``spot`` counts from ``first``.
+        """
+        near = self._near(spot, place)
+        kept = np.flatnonzero(near >= self.enough.take(place))
+        spot, place, near = spot.take(kept).astype(np.int64) + first, place.take(kept).astype(np.int64), near.take(kept)
+        parts = []
+        for kind in self.kinds:
+            held = np.flatnonzero(kind.held.take(place) & (near >= kind.least.take(place)))
+            parts.append(self._bands(kind, starts, spot.take(held), place.take(held)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _bands(self, kind: Kind, starts: np.ndarray, spot: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for windows of one kind, from the shared q-grams that they hold."""
         index, none = self.index, (np.zeros(0, dtype=np.int64),) * 3
-        kept = np.flatnonzero(self._crowded(spot - spot[0], place))
-        spot, place = spot[kept], place[kept]
         if not len(spot):
             return none
         # Band j covers diagonals (most + 1) * j … (most + 1) * (j + 2) - 1; in one of them all
         # q-grams of a match lie. Those that have too few others near them cannot belong to one.
         base = int(spot[0])
-        band = (spot - place - base + len(index.holder_firsts)) // (self.most + 1)
-        room = int(spot[-1]) - base + self.span + 1
+        band = (spot - place - base + len(index.holder_firsts)) // (kind.most + 1)
+        room = int(spot[-1]) - base + kind.span + 1
+        bits = max(len(spot) - 1, 1).bit_length()
         key = band * room + (spot - base)
-        key = np.concatenate([key, key - room])
-        order = np.argsort(key)
-        key = key[order]
-        entry = np.where(order < len(spot), order, order - len(spot))
-        ahead = np.arange(len(key)) + self.least[place[entry]] - 1
+        if (int(key.max()) + 1) >> (62 - bits):
+            order = np.argsort(np.concatenate([key, key - room]), kind="stable")
+            entry = np.where(order < len(spot), order, order - len(spot))
+            key = np.where(order < len(spot), key[entry], key[entry] - room)
+        else:
+            # Key and entry in one number sort faster than by their order.
+            both = (key << bits) + np.arange(len(spot))
+            both = np.sort(np.concatenate([both, both - (room << bits)]))
+            key, entry = both >> bits, both & ((1 << bits) - 1)
+        ahead = np.arange(len(key)) + kind.least[place[entry]] - 1
         close = ahead < len(key)
-        close[close] = key[ahead[close]] - key[close] <= self.span
+        close &= key[np.minimum(ahead, len(key) - 1)] - key <= kind.span
         begins = np.flatnonzero(close)
         if not len(begins):
             return none
         marks = np.bincount(begins, minlength=len(key) + 1)
-        marks = marks - np.bincount(np.searchsorted(key, key[begins] + self.span, side="right"), minlength=len(key) + 1)
+        marks = marks - np.bincount(np.searchsorted(key, key[begins] + kind.span, side="right"), minlength=len(key) + 1)
         chosen = np.zeros(len(spot), dtype=bool)
         chosen[entry[np.cumsum(marks[:-1]) > 0]] = True
         spot, place = spot[chosen], place[chosen]
         # The same per window with its own band, each place of the window counted once.
-        count = index.holder_firsts[place + 1] - index.holder_firsts[place]
-        window = index.holders[spread(index.holder_firsts[place], count)]
+        count = kind.firsts[place + 1] - kind.firsts[place]
+        window = kind.holders[spread(kind.firsts[place], count)]
         within = np.repeat(place, count) - index.begin[window]
         diagonal = np.repeat(spot, count) - base - within + self.span
         band = diagonal // (index.edits[window] + 1)
@@ -341,20 +408,26 @@ class Finder:
         text = np.clip(np.searchsorted(starts, low + self.lengths[window] // 2, side="right") - 1, 0, len(starts) - 1)
         return window, low - text * self.apart, text
 
-    def _crowded(self, spot: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which shared q-grams lie in two by two cells (of text places and diagonals) that hold enough."""
+    def _near(self, spot: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How many the fullest two by two cells (of text places and diagonals) around each shared q-gram hold.
+
+        A cell counts up to ``full``.
+        """
         fine, coarse = self.cell
         ratio = 1 << (coarse - fine)
         row = spot >> coarse
         # Diagonals count from the first one that the row can have.
         wide = (len(self.least) >> fine) + 3 * ratio + 4
         high = int(row[-1]) + 1
+        if high * wide >= 1 << 31:
+            spot, row = spot.astype(np.int64), row.astype(np.int64)
         cell = spot - place
         cell += len(self.least)
         cell >>= fine
         row *= wide - ratio
         cell += row
         cell += ratio + 1
+        cell = cell.astype(np.int64, copy=False)
         held = np.zeros((high + 2, wide), dtype=self.counter)
         held[1:-1] = np.minimum(np.bincount(cell, minlength=high * wide), self.full).reshape(high, wide)
         pairs = held.copy()
@@ -366,7 +439,7 @@ class Finder:
         np.maximum(most[1:, :-ratio], boxes[:-1, ratio:], out=most[1:, :-ratio])
         best = most.copy()
         np.maximum(best[:, 1:], most[:, :-1], out=best[:, 1:])
-        return best[1:-1].reshape(-1)[cell] >= self.enough[place]
+        return best[1:-1].reshape(-1).take(cell)
 
     def _align(self, body: np.ndarray, limits: np.ndarray, window: np.ndarray, low: np.ndarray, text: np.ndarray, best: dict) -> None:
         edits, lengths = self.index.edits[window], self.lengths[window]
