@@ -1,4 +1,5 @@
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -168,3 +169,18 @@ def test_decisions_do_not_hang_on_the_mixture(spark):
     fewer = labels.filter("toxic = 1 OR doc_id % 3 = 0")
     told = [{r["doc_id"]: r["predicted"] for r in toxicity.score(rows, toxicity.fit(rows, some), restored=None).collect()} for some in (labels, fewer)]
     assert sum(told[0][k] == told[1][k] for k in told[0]) >= 0.96 * len(told[0])
+
+
+def test_slots_are_not_kept_and_come_in_pieces(spark, monkeypatch, tmp_path):
+    """Fitting writes no files and sends no batch of a million slots; NULL texts count as texts."""
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else f"plain text number {i}" + " you idiot" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    whole = toxicity.fit(rows, labels)
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    held = sum(len(files) for _, _, files in os.walk(before.removeprefix("file:"))) if before else 0
+    monkeypatch.setattr(toxicity, "SENT", 100)
+    again = toxicity.fit(rows, labels)
+    after = context.getCheckpointDir()
+    assert (sum(len(files) for _, _, files in os.walk(after.removeprefix("file:"))) if after else 0) == held
+    assert np.array_equal(whole.weights, again.weights) and np.allclose(whole.curve, again.curve)

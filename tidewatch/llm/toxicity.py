@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from tidewatch.llm import grams
 from tidewatch.llm.common import without
-from tidewatch.session import cut_lineage
 
 #: Letters that a sign may stand for. Fixed values.
 LOOKALIKE = {
@@ -58,6 +57,8 @@ FOLDS = 3
 #: Slots of the hashed n-grams and their lengths in bytes.
 SLOTS = 1 << 20
 LENGTHS = (4, 5, 6, 8)
+#: Rows of slot counts that a task sends at a time.
+SENT = 1 << 16
 #: An n-gram counts from this log odds on, and if the likelihood ratio speaks against chance: about
 #: one slot in a million reaches it if its documents are toxic as often as any others.
 STRONG = 2.0
@@ -383,11 +384,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(trigrams)
         seen = np.zeros((2 * FOLDS, SLOTS), dtype=np.int32)
-        texts = np.zeros(2 * FOLDS, dtype=np.int64)
         for batch in batches:
             kinds = np.array(batch.column("toxic").to_pylist(), dtype=np.int64) * FOLDS
             kinds += np.array(batch.column("fold").to_pylist(), dtype=np.int64)
-            texts += np.bincount(kinds, minlength=2 * FOLDS)
             for first, data, offsets in grams.blocks(batch.column("text")):
                 data, offsets = restore(data, offsets, restorer)
                 sums = grams.running(data)
@@ -400,14 +399,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     for part in np.unique(kind):
                         seen[part] += np.bincount(pair[kind == part] % SLOTS, minlength=SLOTS).astype(np.int32)
         hit = np.flatnonzero(seen.any(axis=0))
-        columns = [pa.array(np.append(seen[i][hit], texts[i]).astype(np.int64)) for i in range(2 * FOLDS)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), *columns], names=["slot", *counts])
+        for first in range(0, len(hit), SENT):
+            part = hit[first : first + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(row[part].astype(np.int64)) for row in seen)], names=["slot", *counts])
 
     counts = [f"{kind}{fold}" for kind in ("clean", "toxic") for fold in range(FOLDS)]
     counted = chosen.mapInArrow(count, ", ".join(["slot long", *[f"{c} long" for c in counts]]))
-    summed = cut_lineage(counted.groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts]))
-    whole = summed.filter("slot < 0").select(*counts).first()
-    texts = np.array(whole, dtype=np.int64).reshape(2, FOLDS) if whole else np.zeros((2, FOLDS), dtype=np.int64)
+    # The texts are counted by themselves, so that the slots are read once and need not be kept.
+    summed = counted.groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts])
+    texts = np.zeros((2, FOLDS), dtype=np.int64)
+    for row in chosen.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        texts[row["toxic"], row["fold"]] = row["n"]
     clean, toxic = int(texts[0].sum()), int(texts[1].sum())
     weights = np.zeros(SLOTS)
     if not clean or not toxic:
@@ -421,7 +423,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     least = SURE / (2 * np.log(1 / max(float((others[1] / np.maximum(others.sum(axis=0), 1)).min()), 1e-9)))
     of = {kind: " + ".join(f"{kind}{fold}" for fold in range(FOLDS)) for kind in ("clean", "toxic")}
     likelier = f"({of['toxic']}) * {clean} > ({of['clean']}) * {toxic}"
-    found = summed.filter(f"slot >= 0 AND {of['toxic']} >= {least} AND {likelier}").select("slot", *counts).toPandas()
+    found = summed.filter(f"{of['toxic']} >= {least} AND {likelier}").select("slot", *counts).toPandas()
     uses = found[counts].to_numpy().T.reshape(2, FOLDS, -1)
     slot = found["slot"].to_numpy()
     weights[slot] = strong_slots(*uses.sum(axis=1), clean, toxic)
