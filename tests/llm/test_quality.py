@@ -66,3 +66,27 @@ def test_odd_tables(spark):
     kept = quality.select(rows, labels)
     assert kept.count() == 4 and {"good", "key", "one"} < set(kept.columns)
     assert quality.select(rows, labels, k=0).count() == 0
+
+
+def test_ranking_sends_no_text_back_and_blocks_are_small(spark, monkeypatch):
+    """Memory of a Python worker: few texts at a time, and the ranking has no use for them."""
+    docs = spark.createDataFrame([(i, f"word{i} other{i % 7} text") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    plain = quality.running_totals
+    monkeypatch.setattr(quality, "running_totals", lambda df, *a, **b: (seen.append(quality_conf(df)), plain(df, *a, **b))[1])
+    kept = quality.select(docs, labels)
+    rows, fields = seen[0]
+    assert rows <= 1_000 and "text" not in fields
+    model = quality.fit(docs, labels)
+    whole, thin = (quality.keyed(docs, model, whole=w) for w in (True, False))
+    assert thin.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(whole.drop("text").collect()) == sorted(thin.collect())
+    assert kept.columns == whole.columns and quality.BLOCK < quality.grams.BLOCK
+
+
+def quality_conf(df):
+    """Rows of an Arrow batch now, and the columns that Python gives back."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    returned = next(line for line in plan.splitlines() if "MapInArrow" in line).split("[", 1)[1]
+    return int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), returned

@@ -34,10 +34,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the 0 … n - 1, kept for blocks of the usual size."""
+    """``base`` to the 0 … n - 1, kept up to a few blocks and no longer than was needed so far."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = max(n, BLOCK + 1)
+        size = 1 << max(n, 1).bit_length() if n <= BLOCK else max(n, BLOCK + 1)
         made = np.empty(size, dtype=np.uint64)
         made[0] = 1
         done = 1
@@ -60,8 +60,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, offsets)`` of runs of rows of about BLOCK bytes; NULL is empty."""
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, offsets)`` of runs of rows of about ``size`` bytes; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if isinstance(column, pa.ChunkedArray):
@@ -75,7 +75,7 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + BLOCK, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), n)
         yield first, whole[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

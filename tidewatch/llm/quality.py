@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import without
+from tidewatch.llm.common import fresh, small_batches, without
 from tidewatch.operators.cumulative import running_totals
 
 BUCKETS = 10_007
+#: Bytes of text whose features are made at a time; their arrays take some fifty bytes per byte.
+BLOCK = 1 << 17
 #: Labelled rows of either class used at most, taken in order of a hash of their key.
 SAMPLE = 10_000
 SEED = 5
@@ -85,7 +87,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             good = np.array([x == 1 for x in batch.column("good").to_pylist()])
-            for first, data, offsets in grams.blocks(batch.column("text")):
+            for first, data, offsets in grams.blocks(batch.column("text"), BLOCK):
                 found, counts = features(data, offsets)
                 raw += np.bincount(found, minlength=BUCKETS)
                 chosen = np.repeat(good[first : first + len(counts)], counts)
@@ -116,7 +118,7 @@ def _judged(raw: np.ndarray, target: np.ndarray):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.array(batch.column("good").to_pylist(), dtype=np.int64)
-            for first, data, offsets in grams.blocks(batch.column("text")):
+            for first, data, offsets in grams.blocks(batch.column("text"), BLOCK):
                 found, counts = features(data, offsets)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 label = good[first : first + len(counts)]
@@ -146,42 +148,49 @@ def _margin(mean: np.ndarray, good: np.ndarray) -> float:
     return float(edges[np.argmin(4 * lost + (1 - caught))])
 
 
-def weigh(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def weigh(rows: DataFrame, model: Model, text: str = "text", whole: bool = True) -> DataFrame:
     """``rows`` with ``log_weight`` (log ratio less the margin, summed) and ``features``.
 
-    NULL and empty texts have no features and weight 0. Columns so named are replaced.
+    NULL and empty texts have no features and weight 0. Columns so named are replaced. Without
+    ``whole`` the texts do not come back from Python.
     """
     kept = rows.select(*without(rows, "log_weight", "features"))
-    schema = T.StructType(
-        [*kept.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("features", T.LongType())]
-    )
+    fields = [f for f in kept.schema.fields if whole or f.name != text]
+    schema = T.StructType([*fields, T.StructField("log_weight", T.DoubleType()), T.StructField("features", T.LongType())])
+    returned = [f.name for f in fields]
     ratio, margin = model.ratio, model.margin
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in grams.blocks(batch.column(text)):
+            for first, data, offsets in grams.blocks(batch.column(text), BLOCK):
                 found, counts = features(data, offsets)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 total = np.bincount(owner, weights=ratio[found] - margin, minlength=len(counts))
                 part = batch.slice(first, len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.round(total.astype(np.float64), 6)), pa.array(counts.astype(np.int64))],
-                    names=[*part.schema.names, "log_weight", "features"],
+                    [
+                        *[c for c, n in zip(part.columns, part.schema.names, strict=True) if whole or n != text],
+                        pa.array(np.round(total.astype(np.float64), 6)),
+                        pa.array(counts.astype(np.int64)),
+                    ],
+                    names=[*returned, "log_weight", "features"],
                 )
 
     return kept.mapInArrow(score, schema)
 
 
-def keyed(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text", seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+def keyed(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, whole: bool = True) -> DataFrame:
     """``rows`` with ``log_weight``, ``features`` and ``sort_key`` (weight plus Gumbel noise).
 
-    The noise depends on the seed, the key and the text alone, so equal rows share it.
+    The noise depends on the seed, the key and the text alone, so equal rows share it. Without
+    ``whole`` the texts are left out.
     """
+    (noise_name,) = fresh(rows, "noise")
     dice = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
     uniform = (F.shiftrightunsigned(dice, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     noise = -F.log(-F.log(uniform))
-    weighed = weigh(rows.select(*without(rows, "sort_key")), model, text)
-    return weighed.withColumn("sort_key", F.col("log_weight") + F.lit(temperature) * noise)
+    weighed = weigh(rows.withColumn(noise_name, noise).select(*without(rows, "sort_key"), noise_name), model, text, whole)
+    return weighed.withColumn("sort_key", F.col("log_weight") + F.lit(temperature) * F.col(noise_name)).drop(noise_name)
 
 
 def select(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
@@ -193,12 +202,16 @@ def select(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     The k-th key is found by running counts over range-partitioned keys; only that one number
     reaches the driver.
     """
-    model = fit(documents, labels, key, text)
+    thin = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    # Python holds few texts at a time, and for the ranking none comes back.
+    with small_batches(documents.sparkSession):
+        model = fit(documents, labels, key, text)
+        ranks = keyed(thin, model, "key", "text", seed, temperature, whole=False)
+        keys = ranks.select(F.col("log_weight").alias("weight"), (-F.col("sort_key")).alias("low"), F.lit(1).cast("long").alias("one"))
+        ranked = running_totals(keys, [], ["low", "weight"], ["one"], few_groups=True)
+        wanted = ranked.filter("weight >= 0").count() if k is None else k
+        edge = ranked.filter(F.col("cum_one") <= wanted).agg(F.max("low").alias("low")).first()["low"]
     rated = keyed(documents, model, key, text, seed, temperature)
-    keys = rated.select(F.col("log_weight").alias("weight"), (-F.col("sort_key")).alias("low"), F.lit(1).cast("long").alias("one"))
-    ranked = running_totals(keys, [], ["low", "weight"], ["one"], few_groups=True)
-    wanted = ranked.filter("weight >= 0").count() if k is None else k
-    edge = ranked.filter(F.col("cum_one") <= wanted).agg(F.max("low").alias("low")).first()["low"]
     if edge is None:
         return rated.limit(0)
     return rated.filter(-F.col("sort_key") <= edge)
