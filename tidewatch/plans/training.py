@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.cumulative import join_on_groups, running_totals
+from tidewatch.operators.forest import Forest, bin_bounds, grow_forest
 from tidewatch.operators.metrics import classification_metrics
 from tidewatch.operators.profile import columns_by_kind
 from tidewatch.operators.ranking import roc_auc
@@ -134,25 +133,35 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 @dataclass
 class TrainedModel:
-    """A fitted pipeline with the label order it predicts in."""
+    """A fitted forest, the pipeline that turns its inputs into codes, and the label order it predicts in."""
 
     pipeline: PipelineModel
+    forest: Forest
     labels: list[str]
     target: str
     features: list[str]
+    numeric: list[str]
+    codes: list[str]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add predicted_label and confidence, the probability of the second label."""
-        scored = self.pipeline.transform(df.withColumn(self.target, F.col(self.target).cast("string")))
+        coded = _coded(self.pipeline, df.withColumn(self.target, F.col(self.target).cast("string")), self.numeric, self.codes)
+        scored = coded.withColumn("scored", self.forest.predict([F.col(c) for c in self.codes]))
         names = F.array(*[F.lit(label) for label in self.labels])
         return scored.select(
             *self.features,
             F.col(self.target).alias("true_label"),
-            F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted_label"),
-            vector_to_array("probability")[1].alias("confidence"),
+            F.element_at(names, F.col("scored.prediction").cast("int") + 1).alias("predicted_label"),
+            F.col("scored.second").alias("confidence"),
         )
 
 
+def _coded(pipeline: PipelineModel, df: DataFrame, numeric: list[str], codes: list[str]) -> DataFrame:
+    """``df`` with its codes; a missing number takes the last bin."""
+    filled = df.withColumns({f"{c}_filled": F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric})
+    return pipeline.transform(filled).withColumns({c: F.col(c).cast("int") for c in codes})
+
+
 def train_forest(
     train: DataFrame,
     target: str,
@@ -161,7 +170,7 @@ def train_forest(
     seed: int = SEED,
     categories: list[str] | None = None,
 ) -> TrainedModel:
-    """One-hot categories (unseen ones ignored), numbers as they are, weighted random forest.
+    """Each known category a feature (unseen ones have none), numbers in bins, weighted random forest.
 
     ``categories`` names the columns to encode; their values form a vocabulary that the driver
     holds, so columns like ids or free text do not belong there and are left out when not named.
@@ -170,31 +179,28 @@ def train_forest(
     numeric, others = columns_by_kind(train.select(*[c for c in train.columns if c != target]))
     categorical = others if categories is None else [c for c in others if c in categories]
     features = [c for c in train.columns if c in (*numeric, *categorical)]
-    weights = as_small_side(balanced_weights(train, target))
-    weighted = join_on_groups(
-        train.withColumn("label", F.col(target)), weights.select("label", "weight"), ["label"]
-    ).drop("label").withColumn(target, F.col(target).cast("string"))
+    weights = {str(r["label"]): r["weight"] for r in balanced_weights(train.withColumn(target, F.col(target).cast("string")), target).collect()}
+    labeled = train.withColumn(target, F.col(target).cast("string"))
     # Labels in sorted order, so index 1 is the last of two labels.
     indexer = StringIndexer(inputCol=target, outputCol="label_index", stringOrderType="alphabetAsc")
-    label_model: StringIndexerModel = indexer.setHandleInvalid("error").fit(weighted)
-    stages = [label_model]
+    label_model: StringIndexerModel = indexer.setHandleInvalid("error").fit(labeled)
+    stages, kinds, bounds = [label_model], [], bin_bounds(train, numeric)
+    if numeric:
+        splits = [[-math.inf, *(cuts or [0.0]), math.inf] for cuts in bounds]
+        names = {"inputCols": [f"{c}_filled" for c in numeric], "outputCols": [f"{c}_code" for c in numeric]}
+        stages.append(Bucketizer(splitsArray=splits, handleInvalid="keep", **names))
+        kinds += [0] * len(numeric)
     if categorical:
-        indexed = [f"{c}_index" for c in categorical]
-        encoded = [f"{c}_onehot" for c in categorical]
-        stages += [
-            StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-        ]
-    else:
-        encoded = []
-    stages += [
-        VectorAssembler(inputCols=[*numeric, *encoded], outputCol="inputs", handleInvalid="keep"),
-        RandomForestClassifier(
-            featuresCol="inputs", labelCol="label_index", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
-        ),
-    ]
-    fitted = Pipeline(stages=stages).fit(weighted)
-    return TrainedModel(fitted, list(label_model.labels), target, features)
+        indexed = StringIndexer(inputCols=categorical, outputCols=[f"{c}_code" for c in categorical], handleInvalid="keep").fit(labeled)
+        stages.append(indexed)
+        kinds += [len(known) for known in indexed.labelsArray]
+    pipeline = PipelineModel(stages)
+    codes = [f"{c}_code" for c in (*numeric, *categorical)]
+    rows = _coded(pipeline, labeled, numeric, codes).withColumn("label_index", F.col("label_index").cast("int"))
+    bins = max([len(cuts or [0.0]) + 2 for cuts in bounds], default=2)
+    labels = list(label_model.labels)
+    forest = grow_forest(rows.select(*codes, "label_index"), codes, "label_index", kinds, bins, [weights[x] for x in labels], trees, depth, seed)
+    return TrainedModel(pipeline, forest, labels, target, features, numeric, codes)
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:
