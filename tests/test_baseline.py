@@ -219,3 +219,25 @@ def test_groups_of_a_batch_are_found_without_a_row_at_a_time():
     batch = pa.RecordBatch.from_arrays(columns, names=baseline.GROUP)
     assert baseline._group_bounds(batch) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 7), (7, 8), (8, 9)]
     assert baseline._group_bounds(batch.slice(0, 0)) == [] and baseline._group_bounds(batch.slice(4, 1)) == [(0, 1)]
+
+
+def test_numbered_groups_give_the_same_stretches(spark):
+    """Names are left out of the sort and come back with the stretches."""
+    cells = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("word")), F.array((F.col("id") % 700).cast("string"), (F.col("id") / 8).cast("string"), F.lit("x")))
+    values = value_counts(spark.range(3000).select((F.col("id") % 3).alias("dataset_id"), cells.alias("features")), "dataset_id", baseline.REF)
+    types = value_types(values).localCheckpoint()
+    shown = ["side", "owner", "feature", "slice", "before", "all_n", "low", "high", "rows", "nums", "counts", "next_low"]
+    groups = baseline.numeric_groups(types)
+    assert groups.count() == 6
+    numbers = number_counts(values, groups)
+    assert numbers.columns == ["group", "num", "n"]
+
+    def joined(stretches):
+        """Values in order; where stretches end depends on the tasks' ranges."""
+        out = {}
+        for r in stretches.select(*shown).orderBy("side", "owner", "feature", "slice").collect():
+            out.setdefault((r["side"], r["owner"], r["feature"], r["all_n"]), []).extend(zip(r["nums"], r["counts"]))
+        return out
+
+    found = joined(packed(numbers, 64, groups))
+    assert found == joined(packed(number_counts(values, types), 64)) and len(found) == 6

@@ -19,10 +19,9 @@ from tidewatch.operators.baseline import (
     category_counts,
     category_shares,
     index_of,
-    number_counts,
     numeric_measures,
-    packed,
     shared_features,
+    stretches_of,
     value_counts,
     value_types,
 )
@@ -291,7 +290,7 @@ def run_checks(
         values = values.unionByName(value_counts(rows, "dataset_id", REF))
     values = cut_lineage(values)
     types = as_small_side(value_types(values))
-    stretches = packed(number_counts(values, types))
+    stretches = stretches_of(values, types)
     index = baseline_rows if indexed else index_of(values, types, stretches)
     known = as_small_side(index.features.join(wanted, "dataset_id", "left_semi")) if indexed else index.features
     shared = as_small_side(shared_features(checks.drop("check_id").distinct(), known, types))
