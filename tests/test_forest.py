@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.forest import bin_bounds, grow_forest
@@ -40,14 +41,17 @@ def test_bootstrap_draws_each_row_apart(spark):
 
 def test_missing_numbers_and_unseen_categories(spark):
     rows = spark.range(6_000).select(
-        F.when(F.col("id") % 4 > 0, (F.col("id") % 50).cast("double")).alias("x"),
+        (F.col("id") % 50).cast("double").alias("x"),
         F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("c"),
     )
-    labeled = rows.withColumn("y", F.when(F.col("x").isNull() | (F.col("c") == "c3"), "yes").otherwise("no"))
+    labeled = rows.withColumn("y", F.when((F.col("x") > 30) | (F.col("c") == "c3"), "yes").otherwise("no"))
     model = training.train_forest(labeled, "y", trees=40)
     assert (model.labels, model.features) == (["no", "yes"], ["x", "c"])
     found = model.predict(labeled)
     assert found.columns == ["x", "c", "true_label", "predicted_label", "confidence"]
     assert found.where("true_label = predicted_label").count() > 5_700
-    odd = spark.createDataFrame([(None, "never seen", "no"), (float("nan"), None, "no")], labeled.schema)
-    assert [r["predicted_label"] for r in model.predict(odd).collect()] == ["yes", "yes"]
+    odd = spark.createDataFrame([(None, "never seen", "no"), (float("nan"), None, "no"), (1.0, None, "no")], labeled.schema)
+    assert [r["predicted_label"] for r in model.predict(odd).collect()] == ["yes", "yes", "no"]
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="missing or infinite number in 'x'"):
+            training.train_forest(labeled.unionByName(spark.createDataFrame([(bad, "c1", "no")], labeled.schema)), "y", trees=2)

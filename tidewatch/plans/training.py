@@ -156,6 +156,17 @@ class TrainedModel:
         )
 
 
+def _complete(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """``df``, failing where a number is missing or infinite."""
+
+    def checked(name: str) -> Column:
+        value = F.col(name).cast("double")
+        odd = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(math.inf))
+        return F.when(odd, F.raise_error(F.lit(f"Training rows hold a missing or infinite number in '{name}'."))).otherwise(value)
+
+    return df.withColumns({c: checked(c) for c in numeric})
+
+
 def _coded(pipeline: PipelineModel, df: DataFrame, numeric: list[str], codes: list[str]) -> DataFrame:
     """``df`` with its codes; a missing number takes the last bin."""
     filled = df.withColumns({f"{c}_filled": F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric})
@@ -174,7 +185,8 @@ def train_forest(
 
     ``categories`` names the columns to encode; their values form a vocabulary that the driver
     holds, so columns like ids or free text do not belong there and are left out when not named.
-    By default all columns that are not numbers are encoded.
+    By default all columns that are not numbers are encoded. Numbers must be finite in training rows;
+    when predicting, a missing one goes right at every split.
     """
     numeric, others = columns_by_kind(train.select(*[c for c in train.columns if c != target]))
     categorical = others if categories is None else [c for c in others if c in categories]
@@ -196,7 +208,7 @@ def train_forest(
         kinds += [len(known) for known in indexed.labelsArray]
     pipeline = PipelineModel(stages)
     codes = [f"{c}_code" for c in (*numeric, *categorical)]
-    rows = _coded(pipeline, labeled, numeric, codes).withColumn("label_index", F.col("label_index").cast("int"))
+    rows = _coded(pipeline, _complete(labeled, numeric), numeric, codes).withColumn("label_index", F.col("label_index").cast("int"))
     bins = max([len(cuts or [0.0]) + 2 for cuts in bounds], default=2)
     labels = list(label_model.labels)
     forest = grow_forest(rows.select(*codes, "label_index"), codes, "label_index", kinds, bins, [weights[x] for x in labels], trees, depth, seed)
