@@ -90,3 +90,27 @@ def quality_conf(df):
     plan = df._jdf.queryExecution().analyzed().toString()
     returned = next(line for line in plan.splitlines() if "MapInArrow" in line).split("[", 1)[1]
     return int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), returned
+
+
+def test_workers_give_free_memory_back():
+    """What a task allocated and freed is not kept for the worker's later tasks."""
+    from pathlib import Path
+
+    from tidewatch.llm.common import tidy
+
+    def own():
+        found = re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+        return int(found[0]) / 1024
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes(50_000) for _ in range(2_000)]
+            # The last piece lies above the others, so the heap cannot shrink by itself.
+            top = bytes(50_000)
+            del held
+            kept.append(top)
+            yield batch
+
+    kept, before = [], own()
+    assert list(tidy(run)(iter(["a", "b"]))) == ["a", "b"] and run.__name__ == tidy(run).__name__
+    assert own() - before < 60

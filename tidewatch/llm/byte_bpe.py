@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import fresh, text_of, without
+from tidewatch.llm.common import fresh, text_of, tidy, without
 
 #: Characters of a chunk, and characters that a chunk shares with the next one.
 CHUNK = 32_768
@@ -93,7 +93,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, function)
                     names=[*part.schema.names, target],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode(
@@ -140,7 +140,7 @@ def _long_texts(texts: DataFrame, ranks: str, pattern: str, chunk: int, overlap:
                 [batch.column("sign"), batch.column("no"), *lists], names=["sign", "no", "heads", "tails"]
             )
 
-    marked = chunks.mapInArrow(mark, "sign string, no int, heads array<int>, tails array<int>")
+    marked = chunks.mapInArrow(tidy(mark), "sign string, no int, heads array<int>, tails array<int>")
     order = Window.partitionBy("sign").orderBy("no")
     before = F.lag("tails").over(order)
     cuts = marked.select(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import fresh, without
+from tidewatch.llm.common import fresh, tidy, without
 
 Q = 6
 #: Length and stride of the windows, and edits allowed per byte. A long window, or an item that
@@ -496,7 +496,7 @@ def _scan(documents: DataFrame, index: Index, text: str, leaks: str) -> DataFram
             columns = [pa.array(known, kind) if n == leaks else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:

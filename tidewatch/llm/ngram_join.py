@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import fresh, release, small_batches, staged, thinned
+from tidewatch.llm.common import fresh, release, small_batches, staged, thinned, tidy
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
@@ -86,7 +86,7 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
         if held:
             yield report()
 
-    summed = texts.mapInArrow(count, "token long, uses long").groupBy("token").agg(F.sum("uses").alias("uses"))
+    summed = texts.mapInArrow(tidy(count), "token long, uses long").groupBy("token").agg(F.sum("uses").alias("uses"))
     summed = summed.filter(F.col("uses") >= FREQUENT_LEAST).select("token", F.floor(GRADES * F.log2("uses")).alias("grade"))
     summed = cut_lineage(summed)
     held, least = 0, 1 << 30
@@ -153,7 +153,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
                 names=["doc", "n", "s1", "s2", "rare", "homes", "prefix"],
             )
 
-    return rows.mapInArrow(run, "doc long, n long, s1 long, s2 long, rare long, homes array<long>, prefix array<long>")
+    return rows.mapInArrow(tidy(run), "doc long, n long, s1 long, s2 long, rare long, homes array<long>, prefix array<long>")
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, perce
         sets = cut_lineage(_node_sets(rows, nodes.select("node", "doc", "n", "s1").join(wanted, "node"), k))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b")
-    compared = both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, near boolean")
+    compared = both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long, near boolean")
     with small_batches(spark):
         return cut_lineage(compared.filter("near").select("a", "b"))
 
@@ -310,7 +310,7 @@ def _node_sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 found = pa.RecordBatch.from_arrays([part.column("node"), pa.array(made, pa.binary())], names=["node", "tokens"])
                 yield found.filter(pa.array(fits))
 
-    return texts.select("text", "node", "n", "s1").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return texts.select("text", "node", "n", "s1").mapInArrow(tidy(run), "node long, tokens binary").dropDuplicates(["node"])
 
 
 def one_per_class(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,4 +349,4 @@ def _signed(documents: DataFrame, k: int, text: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
     size = F.col(added[0])
-    return documents.mapInArrow(run, schema).withColumn(name, F.when(size > 0, F.xxhash64(*added))).drop(*added)
+    return documents.mapInArrow(tidy(run), schema).withColumn(name, F.when(size > 0, F.xxhash64(*added))).drop(*added)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm import grams
-from tidewatch.llm.common import fresh, small_batches, without
+from tidewatch.llm.common import fresh, small_batches, tidy, without
 from tidewatch.operators.cumulative import running_totals
 
 BUCKETS = 10_007
@@ -95,7 +95,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         hit = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(raw[hit]), pa.array(target[hit])], names=["bucket", "raw", "target"])
 
-    counted = marked.mapInArrow(count, "bucket long, raw long, target long")
+    counted = marked.mapInArrow(tidy(count), "bucket long, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[sums["bucket"]] += sums["raw"]
@@ -104,7 +104,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return Model(np.zeros(BUCKETS), -1.0)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     chosen = rows.join(F.broadcast(sample), "key").select("text", "good")
-    points = chosen.mapInArrow(_judged(raw, target), "good int, mean double").toPandas()
+    points = chosen.mapInArrow(tidy(_judged(raw, target)), "good int, mean double").toPandas()
     return Model(ratio, _margin(points["mean"].to_numpy(), points["good"].to_numpy()))
 
 
@@ -176,7 +176,7 @@ def weigh(rows: DataFrame, model: Model, text: str = "text", whole: bool = True)
                     names=[*returned, "log_weight", "features"],
                 )
 
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(tidy(score), schema)
 
 
 def keyed(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, whole: bool = True) -> DataFrame:
