@@ -74,9 +74,11 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
 
     Spark's cleaner acts when the driver collects its garbage, which it otherwise does too seldom
-    to keep the disk use of several large steps from adding up.
+    to keep the disk use of several large steps from adding up. Free memory of the driver's Python
+    goes back to the system as well.
     """
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
