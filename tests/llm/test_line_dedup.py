@@ -77,3 +77,32 @@ def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "a b c d e\na b c d f")], "doc_id long, text string")
     plan = line_dedup.repeated_lines(frame)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("percent", [67, 75, 80, 90])
+def test_prefix_outlasts_every_allowed_difference(percent):
+    for n in range(1, 150):
+        allowed = [(lost, 100 * (n - lost) // percent - n) for lost in range(n + 1) if 100 * (n - lost) >= percent * n]
+        assert line_dedup._prefix_words(n, percent) - 1 > max(2 * lost + added for lost, added in allowed)
+
+
+def test_chance_neighbours_are_not_staged(spark, monkeypatch):
+    """Lines of a small vocabulary share words with all others, but few are like another one."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    lines = [" ".join(rng.sample(vocabulary, 40)) for _ in range(800)]
+    lines += [line.replace(" ", " again ", 1) for line in lines[:50]]
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(85)]
+    counts, staged = {}, line_dedup.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", watched)
+    monkeypatch.setattr(line_dedup, "SLICED", 100, raising=False)
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc"]: r["gone"] for r in found} == brute(rows, 80)
+    assert sum(len(r["gone"]) for r in found) == 50
+    assert counts["units"] == 850 and counts["placed"] < 100 and counts["more"] < 100

@@ -1,16 +1,20 @@
 """Removal of lines that repeat an earlier line, by an exact set-similarity join of their words.
 
-Words of a line are ordered by rarity, so two lines within the threshold share a word among their
-first few (the prefix). Lines meet on prefix words; sizes and the places of the shared word rule
-most pairs out, the rest are compared word by word. Of each similar pair the later line goes.
+Words of a line are ordered by rarity, and the first ones are its prefix. Within the threshold few
+words differ, so two lines share two words that are neighbours in both prefixes (or, at thresholds
+where prefixes would outgrow the lines, one word). Lines meet on these signatures; sizes and the
+parities of all words rule most pairs out, the rest are compared word by word. Of each similar
+pair the later line goes.
 
 Equal word sets are one *unit* with one first place. Units first meet only the earliest unit of
-each word; what matches is decided, and only the undecided then meet all units that share a word
-in three units or more. A large cluster of variants so costs about one pair per variant.
+each signature; what matches is decided, and only the undecided then meet all units that share a
+signature in three units or more. A large cluster of variants so costs about one pair per variant.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,11 @@ from tidewatch.session import cut_lineage
 PERCENT = 80
 #: Slots of the table of word counts.
 SLOTS = 1 << 20
+#: Parts in which signatures meet, if the prefixes have more than so many words.
+SLICES = 3
+SLICED = 1_000_000
+#: Columns of a unit's parities, of 64 words' places each.
+MARKS = ("mark_0", "mark_1")
 #: White space besides the space that parts words within a line.
 BLANKS = r"[\t\x0b\f\r]"
 NEWLINE = "\n"
@@ -64,7 +73,8 @@ def _spaced(line: Column) -> Column:
 
     Few lines hold other blanks; only those are rewritten.
     """
-    return F.lower(F.when(line.rlike(BLANKS), F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+    odd = reduce(lambda x, y: x | y, [line.contains(b) for b in "\t\x0b\f\r"])
+    return F.lower(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -72,32 +82,56 @@ def _lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc", F.xxhash64("text").alias("twin"), F.posexplode(F.split("text", NEWLINE)).alias("line", "body"))
 
 
-def _fits(percent: int) -> Column:
-    """Filters of a pair that shares a word: order, sizes, places of the word, marks.
+def _paired(percent: int) -> bool:
+    """Whether neighbours of a prefix can be the signatures of all sizes that may match another size."""
+    return percent > 50 and all(_prefix_words(n, percent) <= n for n in range(1, 400) if n * (100 - percent) >= percent)
+
+
+def _prefix_words(n, percent: int):
+    """Words of a prefix for signatures of two neighbours.
 
-    A mark has one of 64 bits set for each word of a prefix, so each bit that only one side has
-    is a word of its prefix that the other lacks. Of the unit whose prefix ends first in the
-    common order, only words behind the prefix can be shared beyond the shared prefix.
+    A word that the other set lacks parts two neighbours from each other, one that it has besides
+    may part one. Within the threshold ``lost`` words, all of this set, part the most.
     """
-    n_a, n_b = (F.shiftright(f"spot_{x}", 32) for x in ("a", "b"))
-    place_a, place_b = (F.col(f"spot_{x}").bitwiseAND(F.lit(0xFFFFFFFF)) for x in ("a", "b"))
-    p_a, p_b = (_prefix_length(n, percent) for n in (n_a, n_b))
-    left = F.least(n_a - place_a, n_b - place_b)
-    lacks = [F.bit_count(F.col(f"mark_{x}").bitwiseAND(F.bitwise_not(f"mark_{y}"))) for x, y in ("ab", "ba")]
-    most = F.least(left, F.least(p_a - lacks[0], p_b - lacks[1]) + F.greatest(n_a - p_a, n_b - p_b))
-    sizes = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
-    # The sign of ``a`` says that it is decided already (``_postings``).
-    later = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b")) < F.col("a")
-    return later & sizes & (most * (100 + percent) >= (n_a + n_b) * percent)
+    lost = (n * (100 - percent) - n * (100 - percent) % 100) / 100
+    parted = lost * (2 * percent - 100) + n * (100 - percent)
+    return (parted - parted % percent) / percent + 2
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
-    """Words of a prefix: two sets of the wanted similarity cannot miss each other's."""
-    return n - F.floor((n * percent + 99) / 100) + 1
+    """Words of a prefix: two sets of the wanted similarity cannot miss each other's signatures."""
+    return (_prefix_words(n, percent) if _paired(percent) else n - F.floor((n * percent + 99) / 100) + 1).cast("int")
+
+
+def _signatures(percent: int) -> Column:
+    """Of a prefix its pairs of neighbours in the common order, or its words.
+
+    Of two sets, take the one whose prefix ends first: what it shares of the prefix is in the
+    other's prefix too, and neighbours that nothing parts are neighbours there.
+    """
+    if not _paired(percent):
+        return F.transform("prefix", lambda w: w.cast("long"))
+    heads, tails = (F.slice("prefix", i, F.size("prefix") - 1) for i in (1, 2))
+    return F.zip_with(heads, tails, lambda x, y: F.call_function("shiftleft", x.cast("long"), F.lit(32)).bitwiseOR(y.cast("long")))
+
+
+def _fits(percent: int) -> Column:
+    """Filters of a pair by sizes and marks.
 
+    A bit of a mark is the parity of the words that fall on it, so each bit in which two marks
+    differ is a word that only one of the sets has.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS])
+    sizes = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+    return sizes & ((n_a + n_b - apart) * (100 + percent) >= (n_a + n_b) * 2 * percent)
 
-def _side(postings: DataFrame, x: str) -> DataFrame:
-    return postings.select("word", F.col("seq").alias(x), F.col("spot").alias(f"spot_{x}"), F.col("mark").alias(f"mark_{x}"))
+
+def _mark(half: int) -> Column:
+    """The parities of the words that fall on one of 64 bits, of all words of this half."""
+    own = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half))
+    bit = lambda c: F.call_function("shiftleft", own(c).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(bit(c)))
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,20 +151,27 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
     codes = _lines(docs).select("doc", "twin", "line", _coded(_words(F.col("body")), grades).alias("codes"))
     n = F.size("codes")
     length = _prefix_length(n, percent)
-    prefix = F.transform(F.slice("codes", F.lit(1), length.cast("int")), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     able = n * (100 - percent) >= percent
     spark = docs.sparkSession
     lines = staged(
         codes.select(
-            "doc", "twin", "line", n.alias("n"), F.xxhash64("codes").alias("unit"), F.when(able, prefix).alias("prefix")
+            "doc",
+            "twin",
+            "line",
+            n.alias("n"),
+            F.xxhash64("codes").alias("unit"),
+            F.when(able, prefix).alias("prefix"),
+            *[F.when(able, _mark(i)).alias(m) for i, m in enumerate(MARKS)],
         ),
         "lines",
     )
+    release(spark)
     at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
     # Units in order of their first places: of two, the one with the lesser number comes first.
-    units = lines.filter("n > 0").groupBy("unit", "n", "prefix").agg(F.min(at.cast("decimal(38,0)")).alias("first"))
+    units = lines.filter("n > 0").groupBy("unit", "n", "prefix", *MARKS).agg(F.min(at.cast("decimal(38,0)")).alias("first"))
     numbered = units.orderBy("first", "unit", "n").withColumn("seq", F.monotonically_increasing_id())
-    units = staged(numbered.withColumn("mark", _mark()), "units")
+    units = staged(numbered, "units")
     release(spark)
     matched = _matched(docs, units.filter("prefix IS NOT NULL"), percent)
     judged = units.select("unit", "n", "first", "seq").join(matched.withColumn("late", F.lit(True)), "seq", "left")
@@ -143,86 +184,100 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, key: str = "doc
     )
 
 
-def _mark() -> Column:
-    """One of 64 bits set for each word of the prefix."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))
-    return F.aggregate("prefix", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
+def _slices(rows: DataFrame, slices: int) -> list[DataFrame]:
+    """``rows`` by their signatures in parts that are worked on one after the other."""
+    return [rows.filter(F.pmod(F.hash("sig", F.lit(1)), F.lit(slices)) == i) for i in range(slices)]
 
 
-def _postings(units: DataFrame) -> DataFrame:
-    """One posting per unit and word of its prefix: ``(word, seq, spot, mark)``.
+def _in_turn(parts: list[DataFrame], name: str) -> DataFrame:
+    """All rows of ``parts``, staged one after the other, so that one part's shuffles are on disk at a time."""
+    done = []
+    for part in parts:
+        done.append(staged(part, name))
+        release(part.sparkSession)
+    return reduce(DataFrame.union, done)
 
-    ``spot`` holds the unit's size above the word's place. They are few and narrow columns, since
-    this is the largest shuffle.
+
+def _met(postings: DataFrame) -> DataFrame:
+    """``(sig, seq, head)``: per signature its units besides the first one, ``head``.
+
+    Rows are two numbers and are sent once, since this is the largest shuffle: most signatures
+    have one unit only, and nothing else is needed of a unit until another one shares its signature.
     """
-    spread = units.select("seq", "n", "mark", F.posexplode("prefix").alias("place", "word"))
-    spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
-    return spread.select("word", "seq", spot.alias("spot"), "mark")
+    # With the join's own filters on both sides, they read one shuffle.
+    spread = postings.filter("sig IS NOT NULL AND seq IS NOT NULL").repartition("sig")
+    heads = spread.groupBy("sig").agg(F.min("seq").alias("head"), F.max("seq").alias("last"))
+    return spread.join(heads.filter("last > head").select("sig", "head"), "sig").filter("seq > head")
 
 
 def _matched(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """``seq`` of units that match an earlier unit."""
-    # The words' first units and numbers of uses; words of one unit match nothing.
-    words = units.select("seq", F.explode("prefix").alias("word"))
-    words = words.groupBy("word").agg(F.min("seq").alias("head"), F.count("*").alias("uses")).filter("uses > 1")
-    words = staged(words, "words")
-    release(docs.sparkSession)
-    # Only a word's first unit needs to be sent again, with the words that it heads.
-    heads = _postings(units).join(words.select("word", F.col("head").alias("seq")), ["word", "seq"])
-    pairs = _side(_postings(units), "a").join(_side(heads, "b"), "word").filter(_fits(percent))
-    # The name is bound anew, so that nothing holds the finished step's shuffles.
-    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    slices = SLICES if (units.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICED else 1
+    postings = units.select("seq", F.explode(_signatures(percent)).alias("sig"))
+    met = _in_turn([_met(part) for part in _slices(postings, slices)], "met")
+    pairs = staged(met.select(F.col("seq").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+    release(spark)
     early = _later(docs, units, pairs, percent)
-    release(docs.sparkSession)
-
-    # What a word's first unit left undecided meets all of its earlier units. Decided units have
-    # negative numbers, so that both sides can read one shuffle.
-    told = units.join(early.withColumn("done", F.lit(True)), "seq", "left")
-    told = told.withColumn("seq", F.when(F.col("done"), -F.col("seq") - 1).otherwise(F.col("seq")))
-    places = _postings(told).repartition("word")
-    more = _side(places, "a").join(_side(places, "b"), "word").filter(_fits(percent))
-    earlier = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b"))
-    more = staged(more.select("a", earlier.alias("b")).distinct(), "more")
-    release(docs.sparkSession)
+    release(spark)
+
+    # What a signature's first unit left undecided meets all of its earlier units.
+    told = met.select("sig", "seq").join(early.withColumn("done", F.lit(True)), "seq", "left")
+    told = told.join(units.select("seq", "n", *MARKS), "seq").withColumn("done", F.coalesce("done", F.lit(False)))
+    told = staged(told, "told")
+    release(spark)
+    more = _in_turn([_undecided(part, percent) for part in _slices(told, slices)], "more")
+    more = staged(more.distinct(), "pairs")
+    release(spark)
     later = _later(docs, units, more, percent)
-    release(docs.sparkSession)
+    release(spark)
     return early.union(later).distinct()
 
 
+def _side(units: DataFrame, x: str, *columns: str) -> DataFrame:
+    return units.select(*columns, F.col("seq").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *MARKS)])
+
+
+def _undecided(told: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: undecided units and the earlier ones that share a signature and may match."""
+    pairs = _side(told.filter("NOT done"), "a", "sig").join(_side(told, "b", "sig"), "sig")
+    return pairs.filter((F.col("b") < F.col("a")) & _fits(percent)).select("a", "b").distinct()
+
+
 def _later(docs: DataFrame, units: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``seq`` of the later unit ``a`` of each pair ``(a, b)`` whose words are within the threshold.
 
-    Before words are fetched the prefixes bound the overlap: of the unit whose prefix ends first
-    in the common order, only words behind the prefix can be shared beyond the shared prefix.
+    Before lines are fetched sizes and marks rule pairs out.
     """
-    sides = [
-        units.select(F.col("seq").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "first", "prefix")]) for x in ("a", "b")
-    ]
-    placed = pairs.join(sides[0], "a").join(sides[1], "b")
-    behind = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
-    bound = F.size(F.array_intersect("prefix_a", "prefix_b")) + behind
-    placed = placed.filter(bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    placed = staged(placed.select("a", "n_a", "first_a", "n_b", "first_b"), "placed")
-    words = _unit_words(docs, placed.select("first_a").union(placed.select("first_b")).distinct())
+    spark = docs.sparkSession
+    placed = pairs
+    for x in ("a", "b"):
+        placed = placed.join(_side(units.withColumn(f"first_{x}", F.col("first")), x, f"first_{x}"), x)
+    placed = staged(placed.filter(_fits(percent)).select("a", "n_a", "first_a", "n_b", "first_b"), "placed")
+    release(spark)
+    bodies = _unit_bodies(docs, placed.select("first_a").union(placed.select("first_b")).distinct())
     joined = placed
     for x in ("a", "b"):
-        joined = joined.join(words.select(F.col("first").alias(f"first_{x}"), F.col("words").alias(f"words_{x}")), f"first_{x}")
+        joined = joined.join(bodies.select(F.col("first").alias(f"first_{x}"), F.col("body").alias(f"body_{x}")), f"first_{x}")
+    # Words are cut only here, because they are sent in far more bytes than the line; as a row of
+    # their own they are cut once, not for each use in the filter.
+    cut = F.struct(*[F.array_distinct(_words(F.col(f"body_{x}"))).alias(f"words_{x}") for x in ("a", "b")])
+    told = joined.select("a", "n_a", "n_b", F.explode(F.array(cut)).alias("cut")).select("a", "n_a", "n_b", "cut.*")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     union = F.size("words_a") + F.size("words_b") - shared
     same_size = (F.size("words_a") == F.col("n_a")) & (F.size("words_b") == F.col("n_b"))
-    near = joined.filter(same_size & (shared * 100 >= union * percent))
+    near = told.filter(same_size & (shared * 100 >= union * percent))
     return cut_lineage(near.select(F.col("a").alias("seq")).distinct())
 
 
-def _unit_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(first, words)``: the distinct words of the line at each wanted place.
+def _unit_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(first, body)``: the line at each wanted place.
 
     Texts of one key that differ may give several lines for one place.
     """
     first = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
     lines = _lines(docs).select(first.alias("first"), "body")
-    return thinned(lines, "first", wanted.toDF("first")).select("first", F.array_distinct(_words(F.col("body"))).alias("words"))
+    return thinned(lines, "first", wanted.toDF("first")).select("first", "body")
 
 
 def dedup(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
